@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lineloom.functions import rules as R
+from lineloom.functions.arrays import let
 from lineloom.functions.scalars import _c, norm_sep
 
 
@@ -51,10 +52,16 @@ def _rule(rule: tuple, sources: dict[str, Column]) -> Column:
 
 
 def regex_cascade(col, rule_table: list[tuple]) -> Column:
-    """First rule that yields a value, NULL when none does. Run it on distinct values."""
+    """First rule that yields a value, NULL when none does. Run it on distinct values.
+
+    The lambda keeps the long rule chain out of generated code, which would exceed the JVM's method
+    size, and evaluates the cleaned text once.
+    """
+    def run(s):
+        sources = {"raw": s["raw"], "text": s["text"], "raw_trimmed": F.trim(s["raw"])}
+        return F.coalesce(*[_rule(r, sources) for r in rule_table])
     raw = _c(col)
-    sources = {"raw": raw, "text": norm_sep(raw), "raw_trimmed": F.trim(raw)}
-    return F.coalesce(*[_rule(r, sources) for r in rule_table])
+    return let(F.struct(raw.alias("raw"), norm_sep(raw).alias("text")), run)
 
 
 def literal_map(pairs: dict) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.rules import LINES
 from lineloom.functions.scalars import _c, covers, hash_split, is_finite, mjd_to_year, resolution_family, to_mjd
-from lineloom.operators.skew import attach, group_quantiles, lookup_join
+from lineloom.operators.skew import attach, group_quantiles, lookup_join, rows_of
 
 
 def completeness(df: DataFrame, columns: list[str], conditions: dict[str, Column] | None = None) -> DataFrame:
@@ -209,11 +209,10 @@ def feature_stats(df: DataFrame, features: list[str], cls: str, entity: str = "s
     """Finite values per feature, rows per class, rows and entities: (section, name, n)."""
     one = df.agg(F.count("*").alias("rows"), F.count_distinct(entity).alias("entities"),
                  *[F.count_if(is_finite(F.col(f).cast("double"))).alias(f"f_{f}") for f in features])
-    rows = [F.struct(F.lit("total").alias("section"), F.lit(n).alias("name"), F.col(n).alias("n"))
-            for n in ("rows", "entities")]
-    rows += [F.struct(F.lit("finite"), F.lit(f), F.col(f"f_{f}")) for f in features]
+    rows = [("total", n, F.col(n)) for n in ("rows", "entities")]
+    rows += [("finite", f, F.col(f"f_{f}")) for f in features]
     classes = df.groupBy(F.col(cls).cast("string").alias("name")).agg(F.count("*").alias("n"))
-    return one.select(F.inline(F.array(*rows))).unionByName(
+    return one.select(F.inline(rows_of(["section", "name", "n"], rows))).unionByName(
         classes.select(F.lit("class").alias("section"), "name", "n"))
 
 

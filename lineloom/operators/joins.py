@@ -186,13 +186,15 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _checksum(e)
     for _ in range(max_rounds):
+        n = mark[0]  # edges known, which bounds every group below
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (salted_join(both, low, ["u"], "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
-        large = materialize(large)
+        large = (salted_join(both, low, ["u"], "inner", rows=2 * n).filter("v > u")
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        if n > HOT_ROWS:
+            large = materialize(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = salted_join(large, low, ["u"], "inner")
+        joined = salted_join(large, low, ["u"], "inner", rows=n)
         small = (joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         e = materialize(small)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lineloom.functions import rules as R
 from lineloom.functions.text import fill_from_map, join_parts, match_confidence, normalize_name, regex_cascade
 from lineloom.operators.joins import connected_components, radius_edges
-from lineloom.operators.skew import attach, group_quantiles, lookup_join
+from lineloom.operators.skew import attach, group_quantiles, lookup_join, rows_of
+from lineloom.session import materialize
 
 
 def parse_instruments(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -41,10 +42,10 @@ def lookup_stats(lookup: DataFrame) -> DataFrame:
     one = lookup.agg(*[F.count(c).alias(f"s_{c}") for c in parts],
                      *[F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n_rows"))), F.lit(0)).alias(f"r_{c}") for c in parts],
                      *[F.count_distinct(c).alias(f"d_{c}") for c in parts])
-    rows = [F.struct(F.lit("covered").alias("section"), F.lit(c).alias("name"), F.col(f"s_{c}").alias("n_setups"),
-                     F.col(f"r_{c}").alias("n_rows")) for c in parts]
-    rows += [F.struct(F.lit("distinct"), F.lit(c), F.col(f"d_{c}"), F.col(f"r_{c}")) for c in parts]
-    return conf.unionByName(one.select(F.inline(F.array(*rows))))
+    rows = [("covered", c, F.col(f"s_{c}"), F.col(f"r_{c}")) for c in parts]
+    rows += [("distinct", c, F.col(f"d_{c}"), F.col(f"r_{c}")) for c in parts]
+    table = rows_of(["section", "name", "n_setups", "n_rows"], rows)
+    return conf.unionByName(one.select(F.inline(table)))
 
 
 def name_centroids(df: DataFrame, name: str = "name", x: str = "ra", y: str = "dec") -> DataFrame:
@@ -67,9 +68,9 @@ def canonical_names(centroids: DataFrame, components: DataFrame, name: str = "na
 def merge_names(df: DataFrame, raw: str = "raw", x: str = "ra", y: str = "dec", radius: float = 0.01) -> DataFrame:
     """Name map: every normalised name with a position and the canonical name of its group."""
     base = df.withColumn("name", normalize_name(raw)).select("name", x, y)
-    cent = name_centroids(base, "name", x, y)
+    cent = materialize(name_centroids(base, "name", x, y))
     comp = connected_components(cent, radius_edges(cent, "name", "x", "y", radius), "name")
-    return canonical_names(cent, comp)
+    return materialize(canonical_names(cent, comp))
 
 
 def apply_canonical(df: DataFrame, mapping: DataFrame, name: str = "name", out: str = "star_name") -> DataFrame:

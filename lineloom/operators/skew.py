@@ -19,11 +19,14 @@ BROADCAST_ROWS = 500_000
 CHUNK, BLOCK, HALO = "_chunk", "_block", "_halo"
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS, rows: int | None = None) -> DataFrame | None:
     """Keys with more than ``limit`` rows as ``keys + _n``; None when there are none.
 
-    At most rows/limit keys can be hot, so the result is small whatever the input.
+    At most rows/limit keys can be hot, so the result is small whatever the input. ``rows`` is an
+    upper bound of the row count where the caller knows one; it can spare the counting.
     """
+    if rows is not None and rows <= limit:
+        return None
     if not keys:
         n = df.count()
         return df.sparkSession.createDataFrame([(n,)], "_n long") if n > limit else None
@@ -40,17 +43,21 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
                 rows: int = BROADCAST_ROWS, limit: int = HOT_ROWS) -> DataFrame:
-    """Join a table on keys: broadcast when its measured size is within ``rows``, else salted."""
+    """Join a derived table on keys: broadcast when its measured size is within ``rows``, else salted.
+
+    The table is written out first, so measuring it does not compute it twice.
+    """
+    small = materialize(small)
     if is_small(small, rows):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how, limit)
 
 
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "left",
-                limit: int = HOT_ROWS) -> DataFrame:
+                limit: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Equi-join whose hot keys on the ``big`` side are spread over salts (``how``: inner, left,
     left_semi, left_anti). ``other`` is replicated for hot keys only."""
-    hot = hot_keys(big, keys, limit)
+    hot = hot_keys(big, keys, limit, rows)
     if hot is None:
         return big.join(other, keys, how)
     fan = hot.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan"))
@@ -102,6 +109,7 @@ def chunk_prefix(chunked: DataFrame, keys: list[str], aggs: list[Column], carry:
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of a one-row-per-key table whose keys may be NULL."""
+    per_key = materialize(per_key)
     small = F.broadcast(per_key) if is_small(per_key) else per_key
     a, b = df.alias("a"), small.alias("b")
     cond = F.lit(True)
@@ -183,6 +191,11 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], n
     return out.groupBy(*by, "_n").agg(*picks).select(*by, *result)
 
 
+def rows_of(names: list[str], entries: list[tuple]) -> Column:
+    """Array of equally named structs, to turn one aggregate row into several with ``inline``."""
+    return F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, e)]) for e in entries])
+
+
 def keep_large_groups(df: DataFrame, keys: list[str], n: int, limit: int = HOT_ROWS) -> DataFrame:
     """Rows whose key group has at least ``n`` rows."""
     good = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= n).select(*keys)

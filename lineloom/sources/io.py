@@ -66,11 +66,11 @@ def extraction_report(df: DataFrame, error: str = "error", fmt: str = "fits_form
     kind = F.trim(F.get(F.split(_c(error), ":"), F.lit(0)))
     base = df.groupBy(F.coalesce(kind, F.lit("ok")).alias("e"), F.col(fmt).alias("f")).agg(F.count("*").alias("n"))
     bad = F.col("e") != "ok"
-    rows = F.array(
-        F.struct(F.lit("total").alias("section"), F.lit("rows").alias("name")),
-        F.struct(F.lit("total"), F.when(bad, "error").otherwise("ok")),
-        F.when(bad, F.struct(F.lit("error"), F.col("e"))),
-        F.when(~bad, F.struct(F.lit("format"), F.coalesce("f", F.lit("unknown")))))
+    def row(section, name):
+        return F.struct(F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name).alias("name"))
+    rows = F.array(row("total", "rows"), row("total", F.when(bad, "error").otherwise("ok")),
+                   F.when(bad, row("error", F.col("e"))),
+                   F.when(~bad, row("format", F.coalesce("f", F.lit("unknown")))))
     return (base.select("n", F.explode(F.filter(rows, lambda s: s.isNotNull())).alias("s"))
             .groupBy("s.section", "s.name").agg(F.sum("n").alias("n")))
 
