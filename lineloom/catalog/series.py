@@ -1 +1,283 @@
-"""Pending."""
+"""Nearest-time joins, context windows, array kernels and line features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lineloom.catalog.audit import rnd
+from lineloom.catalog.registry import query
+from lineloom.functions import arrays as A
+from lineloom.functions.kernels import LineGrid, resample
+from lineloom.functions.scalars import time_split
+from lineloom.operators import windows as W
+from lineloom.operators.joins import nearest_join
+from lineloom.operators.ranking import class_exemplars
+from lineloom.operators.skew import keep_large_groups
+from lineloom.plans import features as X
+from lineloom.session import materialize
+from lineloom.sources import io
+
+# ---- time series -----------------------------------------------------------------------------
+
+NEAREST = """l AS (SELECT * FROM obs WHERE cls = 'view'), r AS (SELECT * FROM obs WHERE cls = 'purchase'),
+  m AS (SELECT l.star_name, l.mjd, l.row_id, l.ew, r.row_id AS r_row_id, r.ew AS r_ew, row_number() OVER (PARTITION BY l.row_id ORDER BY abs(l.mjd - r.mjd), r.mjd, r.row_id) AS k
+    FROM l JOIN r ON l.star_name = r.star_name AND abs(l.mjd - r.mjd) < 0.25::DOUBLE)
+"""
+
+
+def _sides(t):
+    o = t.obs.select("star_name", "mjd", "row_id", "ew", "cls")
+    return o.filter("cls = 'view'").drop("cls"), o.filter("cls = 'purchase'").drop("cls")
+
+
+@query(NEAREST + "SELECT star_name, row_id, ew, r_row_id, r_ew FROM m WHERE k = 1", "obs")
+def nearest_time_join(t):
+    left, right = _sides(t)
+    return nearest_join(left, right, "star_name", "mjd", 0.25, "row_id").select("star_name", "row_id", "ew", "r_row_id", "r_ew")
+
+
+@query(NEAREST + "SELECT (SELECT count(*) FROM l) AS n_left, (SELECT count(*) FROM m WHERE k = 1) AS n_matched, (SELECT count(*) FROM l) - (SELECT count(*) FROM m WHERE k = 1) AS n_unmatched", "obs")
+def nearest_time_counts(t):
+    left, right = _sides(t)
+    j = nearest_join(left, right, "star_name", "mjd", 0.25, "row_id", how="left")
+    return j.agg(F.count("*").alias("n_left"), F.count("r_row_id").alias("n_matched"), F.count_if(F.col("r_row_id").isNull()).alias("n_unmatched"))
+
+
+CTX = """c AS (SELECT star_name, row_id, mjd, ew, list(ew) OVER (PARTITION BY star_name ORDER BY mjd, row_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS context FROM obs)
+"""
+
+
+def _obs(t):
+    return t.obs.select("star_name", "mjd", "row_id", "ew")
+
+
+@query(CTX.format(n=5) + "SELECT row_id, context FROM c WHERE len(context) = 5", "obs")
+def context_fixed(t):
+    return W.context_window(_obs(t), "star_name", ["mjd", "row_id"], "ew", 5).select("row_id", "context")
+
+
+@query(CTX.format(n=64) + "SELECT row_id, len(context) AS n, round(list_sum(context), 4) AS total FROM c WHERE len(context) >= 1", "obs")
+def context_variable(t):
+    c = W.finite_context(W.context_window(_obs(t), "star_name", ["mjd", "row_id"], "ew", 64, 1))
+    return c.select("row_id", F.size("context").cast("long").alias("n"), F.round(A.total(F.col("context")), 4).alias("total"))
+
+
+@query(CTX.format(n=10) + "SELECT CASE WHEN mjd <= 60325.0::DOUBLE THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(sum(list_sum(context)), 3) AS total FROM c WHERE len(context) = 10 GROUP BY 1", "obs")
+def context_train_test(t):
+    """Rows up to the cutoff have contexts inside the training part by construction."""
+    c = W.context_window(_obs(t), "star_name", ["mjd", "row_id"], "ew", 10)
+    return c.groupBy(time_split("mjd", 60325.0).alias("part")).agg(
+        F.count("*").alias("n"), F.round(F.sum(A.total(F.col("context"))), 3).alias("total"))
+
+
+@query("""SELECT row_id, lag(ew) OVER w AS y_persist, round(mjd - lag(mjd) OVER w, 6) AS dt FROM obs WINDOW w AS (PARTITION BY star_name ORDER BY mjd, row_id)""", "obs")
+def lag_persistence(t):
+    return rnd(W.with_lag(_obs(t), "star_name", ["mjd", "row_id"], "ew", "mjd").select("row_id", "y_persist", "dt"))
+
+
+@query("""SELECT star_name, count(*) AS n FROM (SELECT star_name, count(*) OVER (PARTITION BY star_name, cls) AS k FROM obs) WHERE k >= 14 GROUP BY 1""", "obs")
+def min_series_length(t):
+    return keep_large_groups(t.obs, ["star_name", "cls"], 14).groupBy("star_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT star_name, row_id, row_number() OVER (PARTITION BY star_name ORDER BY mjd, row_id) AS rn FROM obs", "obs")
+def entity_time_order(t):
+    from lineloom.operators.skew import row_numbers
+    return row_numbers(_obs(t), ["star_name"], ["mjd", "row_id"]).select("star_name", "row_id", "rn")
+
+
+# ---- array kernels ---------------------------------------------------------------------------
+
+
+@query("""SELECT spectrum_id, n, round(list_sum(flux), 6) AS total, round(wavelength[1], 6) AS first_wl, round(wavelength[n], 6) AS last_wl FROM arrays_ev""", "arrays_ev")
+def array_assembly(t):
+    return t.arrays_ev.select("spectrum_id", F.size("flux").cast("long").alias("n"), F.round(A.total(F.col("flux")), 6).alias("total"),
+                              F.round(F.element_at("wavelength", 1), 6).alias("first_wl"), F.round(F.element_at("wavelength", -1), 6).alias("last_wl"))
+
+
+BROKEN = """b0 AS (SELECT spectrum_id, n, substr(split_part(spectrum_id, ':', 1), 2)::INT % 8 AS k, wavelength, list_transform(flux, lambda x, i: CASE WHEN i % 9 = 0 THEN 'nan'::DOUBLE ELSE x END) AS flux FROM arrays_ev),
+  b AS (SELECT spectrum_id, n, CASE WHEN k = 0 THEN 'no_spectral_data' WHEN k = 1 THEN 'empty_arrays' WHEN k = 2 THEN 'shape_mismatch: wave='||n||', flux='||(n-1)
+    WHEN k = 3 THEN 'too_few_valid_pixels: 8' END AS error, CASE WHEN k > 3 THEN n - n//9 END AS n_pixels FROM b0)
+"""
+
+
+def _broken(t):
+    k = F.substring_index("star_name", ":", 1).substr(F.lit(2), F.lit(20)).cast("int") % 8
+    a = t.arrays_ev.withColumn("k", k)
+    flux = F.transform("flux", lambda x, i: F.when((i + 1) % 9 == 0, F.lit(float("nan"))).otherwise(x))
+    a = a.withColumn("flux", F.when(F.col("k") == 0, F.lit(None)).when(F.col("k") == 1, F.array().cast("array<double>"))
+                     .when(F.col("k") == 2, F.slice(flux, F.lit(1), F.size(flux) - 1)).when(F.col("k") == 3, F.slice(flux, 1, 9)).otherwise(flux))
+    a = a.withColumn("wavelength", F.when(F.col("k") == 3, F.slice("wavelength", 1, 9)).otherwise(F.col("wavelength")))
+    return a.withColumn("flux_error", F.transform("flux", lambda x: x * 0.1)).withColumn("fits_format", F.concat(F.lit("fmt"), (F.col("k") % 2).cast("string")))
+
+
+@query(BROKEN + "SELECT spectrum_id, error, n_pixels FROM b", "arrays_ev")
+def array_validation(t):
+    return io.validate_arrays(_broken(t)).select("spectrum_id", "error", F.col("n_pixels").cast("long").alias("n_pixels"))
+
+
+@query(BROKEN + """, e AS (SELECT split_part(error, ':', 1) AS e, 'fmt'||(substr(split_part(spectrum_id, ':', 1), 2)::INT % 8 % 2) AS f FROM b)
+  SELECT 'total' AS section, 'rows' AS name, count(*) AS n FROM e UNION ALL SELECT 'total', CASE WHEN e IS NULL THEN 'ok' ELSE 'error' END, count(*) FROM e GROUP BY ALL
+  UNION ALL SELECT 'error', e, count(*) FROM e WHERE e IS NOT NULL GROUP BY ALL UNION ALL SELECT 'format', f, count(*) FROM e WHERE e IS NULL GROUP BY ALL""", "arrays_ev")
+def array_extraction_report(t):
+    return io.extraction_report(io.validate_arrays(_broken(t)))
+
+
+@query("""SELECT o_orderkey AS id, round(w[1], 6) AS first_wl, round(w[len(w)], 6) AS last_wl, len(w) AS n FROM (SELECT o_orderkey, list_transform(range(5 + o_orderkey % 7),
+  lambda i: (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 10 END)*(CASE WHEN o_orderkey % 2 = 0 THEN 4000.0::DOUBLE ELSE 400.0::DOUBLE END + (i - 2 + 1)*0.5::DOUBLE)) AS w FROM orders)""")
+def wcs_axis(t):
+    k = F.col("o_orderkey")
+    a = t.raw("orders").select(k.alias("id"), A.wcs_axis(F.lit(5) + (k % 7).cast("int"), F.when(k % 2 == 0, 4000.0).otherwise(400.0), F.lit(0.5), F.lit(2.0)).alias("w"))
+    return a.select("id", F.round(F.element_at("w", 1), 6).alias("first_wl"), F.round(F.element_at("w", -1), 6).alias("last_wl"), F.size("w").cast("long").alias("n"))
+
+
+@query("""SELECT spectrum_id, CASE WHEN n >= 50 THEN round(list_aggregate(flux, 'median')/(1.482602::DOUBLE*list_aggregate(list_transform(range(3, n - 1),
+  lambda i: abs(2*flux[i] - flux[i-2] - flux[i+2])), 'median')/sqrt(6.0::DOUBLE)), 6) END AS snr FROM arrays_ev""", "arrays_ev")
+def der_snr(t):
+    return t.arrays_ev.select("spectrum_id", F.round(A.der_snr("flux"), 6).alias("snr"))
+
+
+@query(None)
+def snr_scores(t):
+    """Both SNR measures of wide spectra."""
+    return X.score_snr(t.arrays_li).select("spectrum_id", "snr", "snr_continuum")
+
+
+@query(None)
+def snr_scores_remaining(t):
+    """Only spectra not scored before."""
+    a = materialize(t.arrays_li)
+    done = X.score_snr(a.filter(F.crc32("spectrum_id") % 2 == 0))
+    return X.score_snr(a, done=done).select("spectrum_id", "snr", "snr_continuum")
+
+
+@query("SELECT spectrum_id, n AS n_valid, 'too_few_pixels' AS cause, 0.0::DOUBLE AS pct_zeros FROM arrays_ev WHERE n < 50", "arrays_ev")
+def snr_rejected(t):
+    s = t.arrays_ev.withColumn("snr", A.der_snr("flux"))
+    return X.snr_rejects(s).select("spectrum_id", F.col("n_valid").cast("long").alias("n_valid"), "cause", "pct_zeros")
+
+
+@query("""SELECT spectrum_id, round(list_sum(list_transform(wavelength, lambda w: w*(1 - (flux[n]*10)/299792.458::DOUBLE))), 4) AS total FROM arrays_ev""", "arrays_ev")
+def doppler_shift(t):
+    return t.arrays_ev.select("spectrum_id", F.round(A.total(A.doppler_shift("wavelength", "velocity")), 4).alias("total"))
+
+
+GRID = """g AS (SELECT i, 6512.8::DOUBLE + i*(100.0::DOUBLE/127) AS x FROM range(128) r(i)),
+  p AS (SELECT spectrum_id, unnest(wavelength) AS w, unnest(flux) AS f FROM arrays_ev), c AS (SELECT * FROM p WHERE w >= 6510.8::DOUBLE AND w <= 6614.8::DOUBLE),
+  s AS (SELECT spectrum_id, i, x FROM (SELECT spectrum_id FROM c GROUP BY 1 HAVING count(*) >= 5), g),
+  lo AS (SELECT s.spectrum_id, s.i, s.x, c.w AS w1, c.f AS f1 FROM s ASOF LEFT JOIN c ON s.spectrum_id = c.spectrum_id AND s.x >= c.w),
+  hi AS (SELECT lo.*, c.w AS w2, c.f AS f2 FROM lo ASOF LEFT JOIN c ON lo.spectrum_id = c.spectrum_id AND lo.x <= c.w),
+  rs AS (SELECT spectrum_id, list(CASE WHEN w1 IS NULL THEN f2 WHEN w2 IS NULL OR w1 = w2 THEN f1 ELSE (f2-f1)/(w2-w1)*(x-w1) + f1 END::FLOAT::DOUBLE ORDER BY i) AS v FROM hi GROUP BY 1)
+"""
+
+
+@query(GRID + "SELECT spectrum_id, round(list_sum(v), 4) AS total, round(v[1], 5) AS first_bin, round(v[65], 5) AS mid_bin FROM rs", "arrays_ev")
+def resample_to_grid(t):
+    r = t.arrays_ev.select("spectrum_id", resample("wavelength", "flux").alias("v"))
+    d = F.transform("v", lambda x: x.cast("double"))
+    return r.filter("v is not null").select("spectrum_id", F.round(A.total(d), 4).alias("total"), F.round(F.get(d, F.lit(0)), 5).alias("first_bin"),
+                                            F.round(F.get(d, F.lit(64)), 5).alias("mid_bin"))
+
+
+@query("SELECT spectrum_id, CASE WHEN n >= 60 THEN 128 ELSE 0 END AS nonzero FROM arrays_ev", "arrays_ev")
+def resample_short_as_zeros(t):
+    """Fewer points than asked for give a zero vector, which keeps the row."""
+    few = F.when(F.size("flux") < 60, F.slice("flux", 1, 4)).otherwise(F.col("flux"))
+    wl = F.when(F.size("flux") < 60, F.slice("wavelength", 1, 4)).otherwise(F.col("wavelength"))
+    r = t.arrays_ev.select("spectrum_id", resample(wl, few, on_short="zeros").alias("v"))
+    return r.select("spectrum_id", F.size(F.filter("v", lambda x: x != 0)).alias("nonzero"))
+
+
+EDGE = """e AS (SELECT spectrum_id, n, flux, list_sum(flux[1:10] || flux[n-9:n])/20 AS m FROM arrays_ev),
+  f AS (SELECT spectrum_id, n, list_transform(flux, lambda x: least(greatest(x/m, -5), 10)) AS v FROM e)
+"""
+
+
+@query(EDGE + "SELECT spectrum_id, round(list_sum(v), 6) AS total, round(list_max(v), 6) AS top, round(list_min(v), 6) AS low FROM f", "arrays_ev")
+def normalize_edge(t):
+    v = F.col("v")
+    return t.arrays_ev.select("spectrum_id", A.normalize_edge("flux").alias("v")).select(
+        "spectrum_id", F.round(A.total(v), 6).alias("total"), F.round(F.array_max(v), 6).alias("top"), F.round(F.array_min(v), 6).alias("low"))
+
+
+@query("""z AS (SELECT spectrum_id, flux, list_avg(flux) AS m, sqrt(list_avg(list_transform(flux, lambda x: (x - list_avg(flux))*(x - list_avg(flux))))) AS s FROM arrays_ev)
+  SELECT spectrum_id, round(list_sum(list_transform(flux, lambda x: abs(least(greatest((x - m)/s, -5), 10)))), 6) AS total FROM z""", "arrays_ev")
+def normalize_zscore(t):
+    z = t.arrays_ev.select("spectrum_id", A.normalize_zscore("flux").alias("v"))
+    return z.select("spectrum_id", F.round(A.total(F.transform("v", F.abs)), 6).alias("total"))
+
+
+@query(EDGE + "SELECT spectrum_id, round(list_sum(list_transform(v[27:102], lambda x: 1 - x))*(100.0::DOUBLE/127), 6) AS ew, round(list_max(v[46:83]), 6) AS peak_intensity, "
+       "list_max(v) > 5 OR list_min(v) < -1 AS is_saturated FROM f", "arrays_ev")
+def width_and_peak(t):
+    v = t.arrays_ev.select("spectrum_id", A.normalize_edge("flux").alias("v"))
+    return v.select("spectrum_id", F.round(A.equivalent_width("v"), 6).alias("ew"), F.round(A.peak_intensity("v"), 6).alias("peak_intensity"),
+                    A.is_saturated("v").alias("is_saturated"))
+
+
+@query(GRID + """, pt AS (SELECT spectrum_id, unnest(range(31)) AS patch, v FROM rs)
+  SELECT spectrum_id, patch::INT AS patch, round(list_sum(v[patch*4+1:patch*4+8]), 4) AS total FROM pt""", "arrays_ev")
+def sliding_patches(t):
+    r = t.arrays_ev.select("spectrum_id", resample("wavelength", "flux").alias("v")).filter("v is not null")
+    p = r.select("spectrum_id", F.posexplode(A.patchify("v")).alias("patch", "x"))
+    return p.select("spectrum_id", "patch", F.round(A.total(F.transform("x", lambda v: v.cast("double"))), 4).alias("total"))
+
+
+# ---- line features ---------------------------------------------------------------------------
+
+
+@query(None)
+def line_features(t):
+    """All measures of the first line for every spectrum, with reject reasons."""
+    f = X.extract_features(t.arrays_ev, velocity="velocity")
+    return f.drop("peaks", "flux_norm")
+
+
+@query(GRID + """, nm AS (SELECT spectrum_id, v, list_sum(v[1:10] || v[119:128])/20 AS m FROM rs), f AS (SELECT spectrum_id, list_transform(v, lambda x: least(greatest(x/m, -5), 10)::FLOAT::DOUBLE) AS v FROM nm)
+  SELECT spectrum_id, round(list_sum(list_transform(v[27:102], lambda x: 1 - x))*(100.0::DOUBLE/127), 4) AS ew, round(list_max(v[46:83]), 4) AS peak_intensity FROM f""", "arrays_ev")
+def line_widths(t):
+    f = X.extract_features(t.arrays_ev, snr_min=None).filter("reject_reason is null")
+    return f.select("spectrum_id", F.round("ew", 4).alias("ew"), F.round("peak_intensity", 4).alias("peak_intensity"))
+
+
+@query("""SELECT coalesce(r, 'kept') AS outcome, count(*) AS n FROM (SELECT CASE WHEN mjd <= 0 THEN 'no_key' WHEN flux[1]*8 < 10 THEN 'low_snr' END AS r FROM arrays_ev) GROUP BY 1""", "arrays_ev")
+def line_feature_rejects(t):
+    f = X.extract_features(t.arrays_ev)
+    return f.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(None)
+def second_line_features(t):
+    """Window vector and width of the second line from wide spectra."""
+    return X.extract_line(t.arrays_li, LineGrid(4861.3)).drop("flux_norm")
+
+
+@query(None)
+def line_peaks(t):
+    """Emission peaks per spectrum, strongest first."""
+    f = X.extract_features(t.arrays_ev, snr_min=None)
+    return f.select("spectrum_id", F.posexplode("peaks").alias("rank", "p")).select("spectrum_id", "rank", "p.idx", "p.wavelength", "p.intensity")
+
+
+@query(None)
+def label_audit(t):
+    """Stored classes against classes derived again; one stored class in ten is altered first."""
+    f = X.extract_features(t.arrays_ev, snr_min=None).filter("reject_reason is null")
+    stored = F.when(F.crc32("spectrum_id") % 10 == 0, (F.col("profile_type_id") + 1) % 5).otherwise(F.col("profile_type_id"))
+    return X.audit_labels(f.select(stored.alias("profile_type_id"), "flux_norm"))
+
+
+@query(None)
+def continuum_agreement(t):
+    """Equivalent widths under three continua, compared."""
+    m = materialize(X.continuum_methods(t.arrays_ev).select("spectrum_id", "ew_edge_mean", "ew_poly2", "ew_poly3"))
+    return X.method_agreement(m, "ew_edge_mean", ["ew_poly2", "ew_poly3"])
+
+
+@query(None)
+def class_exemplar(t):
+    """Clearest spectrum of each profile class."""
+    f = X.extract_features(t.arrays_ev, snr_min=None).filter("reject_reason is null")
+    return class_exemplars(f.select("spectrum_id", "profile_type_id", "flux_norm"), "profile_type_id", "flux_norm", "spectrum_id")
+
+

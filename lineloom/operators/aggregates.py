@@ -202,7 +202,7 @@ def year_pivot(df: DataFrame, mjd: str = "mjd", kind: str = "observer_type",
     label = F.when(F.col(kind).isin(*kinds), F.col(kind)).otherwise("other")
     cats = [*kinds, "other"]
     return (df.filter(F.col(mjd).isNotNull()).select(year.alias("year"), label.alias("_k"))
-            .groupBy("year").pivot("_k", cats).agg(F.count("*")).na.fill(0, cats))
+            .groupBy("year").pivot("_k", cats).agg(F.count(F.lit(1))).na.fill(0, cats))
 
 
 def feature_stats(df: DataFrame, features: list[str], cls: str, entity: str = "star_name") -> DataFrame:
