@@ -255,7 +255,7 @@ def second_line_features(t):
 @query(None)
 def line_peaks(t):
     """Emission peaks per spectrum, strongest first."""
-    f = X.extract_features(t.arrays_ev, snr_min=None)
+    f = materialize(X.extract_features(t.arrays_ev, snr_min=None).select("spectrum_id", "peaks"))
     return f.select("spectrum_id", F.posexplode("peaks").alias("rank", "p")).select("spectrum_id", "rank", "p.idx", "p.wavelength", "p.intensity")
 
 

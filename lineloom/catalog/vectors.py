@@ -1 +1,146 @@
-"""Pending."""
+"""PCA, ridge probes, neighbours and exemplars over the vector table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lineloom.catalog.audit import rnd
+from lineloom.catalog.registry import query
+from lineloom.operators import linear as L
+from lineloom.operators import neighbours as K
+from lineloom.operators import ranking as T
+from lineloom.operators.splits import assign_folds
+from lineloom.plans import probes as P
+from lineloom.session import materialize
+
+
+@query(None)
+def pca_explained(t):
+    """Explained variance by number of axes: centred, trained on a part, and standardised."""
+    v = materialize(t.vec.select("z", "mjd"))
+    train = v.filter("mjd <= 100")
+    rows = [(k, float(L.fit_pca(v, "z", k).explained), float(L.fit_pca(train, "z", k).explained),
+             float(L.fit_pca(v, "z", k, standardize=True).explained)) for k in (2, 10, 32)]
+    return v.limit(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, (
+        "k", "explained", "explained_train", "explained_scaled"))]) for r in rows])))
+
+
+@query("SELECT row_id, 0.0::DOUBLE AS gap FROM vec", "vec")
+def pca_full_rank(t):
+    """All axes keep every row's distance from the mean."""
+    v = materialize(t.vec.select("row_id", "z"))
+    pca = L.fit_pca(v, "z", 64)
+    centre = F.array(*[F.lit(float(c)) for c in pca.centre])
+    sq = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    p = v.withColumn("p", pca.apply("z")).withColumn("d", F.zip_with("z", centre, lambda x, m: x.cast("double") - m))
+    return p.select("row_id", F.abs(F.round(F.sqrt(sq("p")) - F.sqrt(sq("d")), 6)).alias("gap"))
+
+
+@query(None)
+def ridge_probe(t):
+    """Cross-validated linear probe of an exactly linear and of a curved target."""
+    v = materialize(assign_folds(t.vec, 5, "shuffled"))
+    out = L.probe(v, "z", "y", P.PROBE_ALPHAS).withColumn("target", F.lit("y"))
+    return out.unionByName(L.probe(v, "z", "y2", P.PROBE_ALPHAS).withColumn("target", F.lit("y2")))
+
+
+@query("SELECT 'y' AS target, count(*) AS n_valid, true AS recovered FROM vec", "vec")
+def ridge_recovers_linear_target(t):
+    """A target linear in the vector is predicted almost perfectly out of fold."""
+    v = materialize(assign_folds(t.vec, 5, "contiguous"))
+    return L.probe(v, "z", "y", P.PROBE_ALPHAS).select(F.lit("y").alias("target"), F.col("n_valid"), (F.col("r2_mean") > 0.999).alias("recovered"))
+
+
+@query(None)
+def probe_grid(t):
+    """Targets by representation: vector, PCAs, raw, and the other targets."""
+    v = t.vec.withColumn("y3", F.col("y") * F.col("y2")).withColumn("raw", F.slice("z", 1, 32))
+    return P.probe_grid(v, ["y", "y2", "y3"], "z", "raw", (2, 10))
+
+
+@query(None)
+def probe_gain(t):
+    """Score of the vector over the PCA baseline per target."""
+    v = t.vec.withColumn("raw", F.slice("z", 1, 32))
+    grid = P.probe_grid(v, ["y", "y2"], "z", "raw", (10,))
+    return L.gain(grid, "z", "pca10")
+
+
+@query("SELECT row_id, [CASE WHEN row_id % 7 = 0 THEN 0.0::DOUBLE ELSE round(y, 6) END, snr] AS x FROM vec", "vec")
+def leave_one_out_features(t):
+    v = t.vec.withColumn("y", F.when(F.col("row_id") % 7 != 0, F.round("y", 6))).withColumn("target", F.lit(1.0))
+    return v.select("row_id", L.loo_features("target", ["y", "target", "snr"]).alias("x"))
+
+
+@query(None)
+def oof_predictions(t):
+    """One out-of-fold prediction per row."""
+    v = materialize(assign_folds(t.vec, 5, "shuffled"))
+    return L.oof_predict(v, "z", "y2", P.PROBE_ALPHAS, keep=("row_id",))
+
+
+@query(None)
+def snr_stratified_scores(t):
+    return P.snr_study(t.vec, "z", "y")
+
+
+@query("""SELECT s AS stratum, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(1 - sum((y_true-y_pred)*(y_true-y_pred))/(var_pop(y_true)*count(*)), 6) END AS r2 FROM
+  (SELECT *, CASE WHEN dt_days < 0.25 THEN 'a' WHEN dt_days < 0.5 THEN 'b' WHEN dt_days < 2 THEN 'c' ELSE 'd' END AS s FROM pred) GROUP BY 1""", "pred")
+def stratified_r2(t):
+    from lineloom.functions.scalars import bucket_label
+    p = t.pred.withColumnsRenamed({"y_true": "y"})
+    return rnd(L.stratified_r2(p, bucket_label("dt_days", [(0.0, 0.25, "a"), (0.25, 0.5, "b"), (0.5, 2.0, "c"), (2.0, None, "d")])))
+
+
+@query(None)
+def projection_2d(t):
+    """Two principal coordinates with the class, capped per class."""
+    return P.project2d(t.vec, "z", "label", per_class=40)
+
+
+COS = "list_cosine_similarity(a.z, b.z)"
+
+
+@query(f"""nn AS (SELECT a.row_id, a.star_name, a.cls AS own, b.cls AS l, row_number() OVER (PARTITION BY a.row_id ORDER BY {COS} DESC, b.row_id) AS k
+    FROM vec a JOIN vec b ON a.star_name = b.star_name AND a.row_id <> b.row_id),
+  votes AS (SELECT row_id, star_name, own, l, count(*) AS n FROM nn WHERE k <= 5 GROUP BY ALL),
+  said AS (SELECT row_id, star_name, own, l, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, l) AS r FROM votes),
+  share AS (SELECT star_name, max(c)::DOUBLE/sum(c) AS baseline FROM (SELECT star_name, cls, count(*) AS c FROM vec GROUP BY ALL) GROUP BY 1)
+  SELECT star_name AS entity, count(*) AS n, round(avg((l = own)::INT), 6) AS accuracy, round(any_value(baseline), 6) AS baseline, round(avg((l = own)::INT) - any_value(baseline), 6) AS delta
+  FROM said JOIN share USING (star_name) WHERE r = 1 GROUP BY star_name""", "vec")
+def knn_label_purity(t):
+    return rnd(K.knn_purity(t.vec, "row_id", "z", "cls", "star_name", 5))
+
+
+@query("""c AS (SELECT star_name, cls, i, avg(z[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY ALL), v AS (SELECT star_name, cls, list(m ORDER BY i) AS v FROM c GROUP BY ALL)
+  SELECT a.star_name, a.cls AS label_a, b.cls AS label_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, round(list_distance(a.v, b.v), 6) AS distance
+  FROM v a JOIN v b ON a.star_name = b.star_name AND a.cls < b.cls""", "vec")
+def centroid_similarity(t):
+    return rnd(K.centroid_similarity(t.vec, "z", "cls", "star_name"))
+
+
+@query(f"""nn AS (SELECT a.row_id, a.star_name = b.star_name AS hit, row_number() OVER (PARTITION BY a.row_id ORDER BY {COS} DESC, b.row_id) AS k FROM vec a JOIN vec b ON a.row_id <> b.row_id),
+  h AS (SELECT row_id, max(hit::INT) AS h FROM nn WHERE k <= 10 GROUP BY 1) SELECT count(*) AS n_queries, sum(h)::BIGINT AS n_hits, round(avg(h), 6) AS recall FROM h""", "vec")
+def recall_at_10(t):
+    return rnd(K.recall_at_k(t.vec, "row_id", "z", "star_name", 10))
+
+
+@query(None)
+def entity_regression(t):
+    """In-sample fit per entity on the first eight dimensions."""
+    return L.per_entity_r2(t.vec.withColumn("x", F.slice("z", 1, 8)), "star_name", "x", "y")
+
+
+@query("""SELECT label, row_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY y, row_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM vec)
+  WHERE n <= 10 OR list_contains(list_transform(range(10), lambda i: floor(i*((n-1)/9.0::DOUBLE))), rn)""", "vec")
+def spread_examples(t):
+    return T.spread_examples(t.vec.select("label", "row_id", "y"), "label", "y", "row_id", 10).select("label", "row_id")
+
+
+@query("""c AS (SELECT label, i, median(z[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY ALL), v AS (SELECT label, list(m ORDER BY i) AS v FROM c GROUP BY 1),
+  d AS (SELECT label, row_id, list_distance(z, v) AS dist FROM vec JOIN v USING (label)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, row_id) AS a, row_number() OVER (PARTITION BY label ORDER BY dist DESC, row_id DESC) AS b FROM d)
+  SELECT label, row_id, 'near' AS kind, a::INT AS pick, round(dist, 5) AS dist FROM r WHERE a <= 5 UNION ALL SELECT label, row_id, 'far', b::INT, round(dist, 5) FROM r WHERE b <= 5""", "vec")
+def extreme_examples(t):
+    e = T.extreme_examples(t.vec.select("label", "row_id", "z"), "label", "z", "row_id", 10)
+    return e.select("label", "row_id", "kind", "pick", F.round("dist", 5).alias("dist"))

@@ -46,6 +46,11 @@ class LineGrid:
 H_ALPHA, H_BETA = LineGrid(), LineGrid(4861.3)
 
 
+def once(udf):
+    """Keep the optimiser from copying a costly Python column into each expression that uses it."""
+    return udf.asNondeterministic()
+
+
 def resample_one(wl, fl, v, grid: LineGrid, margin: float, min_px: int):
     wl = np.asarray(wl, dtype=float)
     if v is not None and np.isfinite(v) and v != 0:
@@ -75,7 +80,7 @@ def resample(wl, fl, velocity=None, grid: LineGrid = H_ALPHA, margin: float = 2.
             out.append(blank if r is None else r.astype(np.float32))
         return pd.Series(out)
 
-    return run(wl, fl, F.lit(None).cast("double") if velocity is None else velocity)
+    return once(run)(wl, fl, F.lit(None).cast("double") if velocity is None else velocity)
 
 
 def window_snr(flux: np.ndarray, rounds: int = 2, sigmas: float = 3.0, min_points: int = 20):
@@ -139,7 +144,7 @@ def poly_normalize(edge, flux, weights: np.ndarray):
                 out[i] = r
         return pd.Series(out)
 
-    return run(edge, flux)
+    return once(run)(edge, flux)
 
 
 def _smoothing(window: int = 5, degree: int = 2) -> np.ndarray:
@@ -268,4 +273,4 @@ def measure_profile(flux, grid: LineGrid = H_ALPHA, floor: float = 1.05, distanc
                 value[i] = [float(z[k]) for k in p]
         return pd.DataFrame({"fwhm": pd.array(fwhm, dtype="Float64"), "peak_idx": where, "peak_val": value})
 
-    return run(flux)
+    return once(run)(flux)
