@@ -255,7 +255,7 @@ def second_line_features(t):
 @query(None)
 def line_peaks(t):
     """Emission peaks per spectrum, strongest first."""
-    f = materialize(X.extract_features(t.arrays_ev, snr_min=None).select("spectrum_id", "peaks"))
+    f = X.extract_features(t.arrays_ev, snr_min=None)
     return f.select("spectrum_id", F.posexplode("peaks").alias("rank", "p")).select("spectrum_id", "rank", "p.idx", "p.wavelength", "p.intensity")
 
 
@@ -267,6 +267,14 @@ def label_audit(t):
     return X.audit_labels(f.select(stored.alias("profile_type_id"), "flux_norm"))
 
 
+@query(None)
+def normalize_poly(t):
+    """Resampled vectors over a quadratic fitted to their edges."""
+    r = materialize(t.arrays_ev.select("spectrum_id", resample("wavelength", "flux").alias("v")).filter("v is not null"))
+    p = X.normalize_poly(r, "v", 2)
+    return p.select("spectrum_id", A.equivalent_width("flux_norm").alias("ew"), A.mean_of(F.col("flux_norm")).alias("mean"))
+
+
 @query(None)
 def continuum_agreement(t):
     """Equivalent widths under three continua, compared."""

@@ -250,27 +250,99 @@ def width_of(f: np.ndarray, mid: int, core: int, step: float, floor: float) -> f
     return (b - a) * step
 
 
-def measure_profile(flux, grid: LineGrid = H_ALPHA, floor: float = 1.05, distance: int = 3,
-                    min_prominence: float = 0.04, peak_half: float = 20.0, width_half: float = 25.0,
-                    core_half: float = 5.0):
-    """One Arrow pass: ``struct<fwhm, peak_idx, peak_val>``, peaks by falling unsmoothed value."""
-    mid, ph, wh, core = grid.mid, grid.reach(peak_half), grid.reach(width_half), grid.reach(core_half)
+@dataclass(frozen=True)
+class ProfileRules:
+    """Thresholds of the width and peak measures, in angstrom where they are lengths."""
+
+    floor: float = 1.05
+    distance: int = 3
+    min_prominence: float = 0.04
+    peak_half: float = 20.0
+    width_half: float = 25.0
+    core_half: float = 5.0
+
+
+def profile_columns(vectors: list, grid: LineGrid, rules: ProfileRules) -> dict:
+    """fwhm, peak_idx and peak_val lists for a batch of vectors, None entries staying None."""
+    mid, ph, wh = grid.mid, grid.reach(rules.peak_half), grid.reach(rules.width_half)
+    fwhm, where, value = ([None] * len(vectors) for _ in range(3))
+    rows = [i for i, a in enumerate(vectors) if a is not None]
+    if rows:
+        full = np.stack([np.asarray(vectors[i], dtype=float) for i in rows])
+        first = max(0, mid - ph)
+        zone = full[:, first:mid + ph]
+        wide0 = max(0, mid - wh)
+        found = peaks_of(smooth(zone), rules.floor, rules.distance, rules.min_prominence)
+        for i, y, z, p in zip(rows, full, zone, found):
+            if np.isfinite(y).all():
+                w = width_of(y[wide0:mid + wh], mid - wide0, grid.reach(rules.core_half), grid.step, rules.floor)
+                fwhm[i] = None if np.isnan(w) else float(w)
+            p = sorted(p, key=lambda k: -z[k])
+            where[i] = [int(k + first) for k in p]
+            value[i] = [float(z[k]) for k in p]
+    return {"fwhm": pd.array(fwhm, dtype="Float64"), "peak_idx": where, "peak_val": value}
+
+
+def measure_profile(flux, grid: LineGrid = H_ALPHA, rules: ProfileRules = ProfileRules()):
+    """``struct<fwhm, peak_idx, peak_val>`` of a normalised vector, peaks by falling unsmoothed value."""
 
     @F.pandas_udf("struct<fwhm:double, peak_idx:array<int>, peak_val:array<double>>")
     def run(s: pd.Series) -> pd.DataFrame:
-        fwhm, where, value = [None] * len(s), [None] * len(s), [None] * len(s)
-        rows = [i for i, a in enumerate(s) if a is not None]
-        if rows:
-            full = np.stack([np.asarray(s.iloc[i], dtype=float) for i in rows])
-            zone = full[:, max(0, mid - ph):mid + ph]
-            found = peaks_of(smooth(zone), floor, distance, min_prominence)
-            wide0 = max(0, mid - wh)
-            for i, y, z, p in zip(rows, full, zone, found):
-                w = width_of(y[wide0:mid + wh], mid - wide0, core, grid.step, floor) if np.isfinite(y).all() else np.nan
-                fwhm[i] = None if np.isnan(w) else float(w)
-                p = sorted(p, key=lambda k: -z[k])
-                where[i] = [int(k + max(0, mid - ph)) for k in p]
-                value[i] = [float(z[k]) for k in p]
-        return pd.DataFrame({"fwhm": pd.array(fwhm, dtype="Float64"), "peak_idx": where, "peak_val": value})
+        return pd.DataFrame(profile_columns(list(s), grid, rules))
 
     return once(run)(flux)
+
+
+def edge_normalized(f: np.ndarray, n_edge: int = 10) -> np.ndarray:
+    """Batch form of arrays.normalize_edge for grid vectors (rows)."""
+    level = np.concatenate([f[:, :n_edge], f[:, -n_edge:]], axis=1).mean(axis=1)
+    level = np.where(np.isfinite(level) & (level > 0), level, 1.0)
+    return np.nan_to_num(np.clip(f / level[:, None], -5.0, 10.0), nan=1.0).astype(np.float32)
+
+
+def measure_spectrum(wl, fl, velocity, grid: LineGrid = H_ALPHA, margin: float = 2.0, min_px: int = 5,
+                     rules: ProfileRules = ProfileRules()):
+    """Resample, normalise and measure in one Arrow pass; all NULL where the window has too few points."""
+
+    @F.pandas_udf("struct<flux_norm:array<float>, fwhm:double, peak_idx:array<int>, peak_val:array<double>>")
+    def run(w: pd.Series, f: pd.Series, v: pd.Series) -> pd.DataFrame:
+        out: list = [None if a is None or b is None else resample_one(a, b, c, grid, margin, min_px)
+                     for a, b, c in zip(w, f, v)]
+        rows = [i for i, r in enumerate(out) if r is not None]
+        if rows:
+            for i, r in zip(rows, edge_normalized(np.stack([out[i] for i in rows]).astype(np.float32).astype(float))):
+                out[i] = r
+        return pd.DataFrame({"flux_norm": out, **profile_columns(out, grid, rules)})
+
+    return once(run)(wl, fl, velocity)
+
+
+def continuum_widths(wl, fl, grid: LineGrid = H_ALPHA, n_edge: int = 10, wide_half: float = 100.0, wide_bins: int = 256,
+                     n_far: int = 20, half: float = 30.0):
+    """``struct<edge_mean, poly2, poly3>``: equivalent width under three continua; NULL when unusable."""
+    wide = LineGrid(grid.centre, wide_half, wide_bins)
+    x, xw = grid.wavelengths() - grid.centre, wide.wavelengths() - grid.centre
+    near = sideband_weights(np.r_[x[:n_edge], x[-n_edge:]], x, 2)
+    far = sideband_weights(np.r_[xw[:n_far], xw[-n_far:]], x, 3)
+    k = grid.reach(half)
+    zone = slice(max(0, grid.mid - k), min(grid.bins, grid.mid + k))
+
+    def width(f, base):
+        base = np.where(np.isfinite(base) & (base > 0), base, 1.0)
+        return float((1.0 - (f / base)[zone]).sum() * grid.step)
+
+    @F.pandas_udf("struct<edge_mean:double, poly2:double, poly3:double>")
+    def run(w: pd.Series, f: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(w, f):
+            s = g = None
+            if a is not None and b is not None:
+                s, g = resample_one(a, b, None, grid, 2.0, 5), resample_one(a, b, None, wide, 2.0, 5)
+            if s is None or g is None or not (np.isfinite(s).all() and np.isfinite(g).all()):
+                rows.append((None, None, None))
+                continue
+            ends = np.r_[s[:n_edge], s[-n_edge:]]
+            rows.append((width(s, ends.mean()), width(s, near @ ends), width(s, far @ np.r_[g[:n_far], g[-n_far:]])))
+        return pd.DataFrame(rows, columns=["edge_mean", "poly2", "poly3"], dtype="Float64")
+
+    return once(run)(wl, fl)

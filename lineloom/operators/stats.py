@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.operators.skew import attach
+from lineloom.session import materialize
 
 CHUNK_ROWS, MAX_CHUNKS = 50_000, 4096
 
@@ -31,6 +32,7 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
     size = err.groupBy("k").agg(F.count("*").alias("n"))
     chunks = F.greatest(F.lit(1), F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("n") / chunk_rows))).cast("int")
     placed = attach(err, size.select("k", chunks.alias("nc")), ["k"]).withColumn("c", F.pmod("h", F.col("nc")).cast("int"))
+    placed = materialize(placed.select("k", "c", "m", "p", "h"))
     counts = placed.groupBy("k", "c").agg(F.count("*").alias("cn"))
     # at most MAX_CHUNKS numbers per key
     plan = counts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "cn"))).alias("all"))
@@ -52,7 +54,7 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
             sums[b] = w @ both
         return pd.DataFrame({"k": key[0], "b": np.arange(n_boot), "m": sums[:, 0], "p": sums[:, 1]})
 
-    boots = placed.select("k", "c", "m", "p", "h").groupBy("k", "c").cogroup(plan.groupBy("k", "c")).applyInPandas(
+    boots = placed.groupBy("k", "c").cogroup(plan.groupBy("k", "c")).applyInPandas(
         run, "k string, b int, m double, p double")
     ratio = boots.groupBy("k", "b").agg(F.sum("m").alias("m"), F.sum("p").alias("p"))
     ratio = attach(ratio, size, ["k"]).select(

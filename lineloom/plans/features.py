@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions import arrays as A
-from lineloom.functions.kernels import (H_ALPHA, LineGrid, continuum_snr, measure_profile, poly_normalize, resample,
-                                        sideband_weights)
+from lineloom.functions.kernels import (H_ALPHA, LineGrid, continuum_snr, continuum_widths, measure_profile,
+                                        measure_spectrum, poly_normalize, sideband_weights)
 from lineloom.functions.rules import PROFILE_CLASSES
 from lineloom.functions.scalars import covers, is_finite
 from lineloom.operators.skew import attach, group_quantiles
@@ -48,15 +49,18 @@ def extract_features(df: DataFrame, grid: LineGrid = H_ALPHA, snr_min: float | N
     v = F.col(velocity) if velocity else F.lit(None).cast("double")
     src = df.select(*keep, reason.alias("_why"), "wavelength", "flux", v.cast("double").alias("_v"))
     ok = F.col("_why").isNull()
-    src = src.withColumn("_raw", resample(F.when(ok, F.col("wavelength")), F.when(ok, F.col("flux")), F.col("_v"), grid))
-    src = src.withColumn("reject_reason", F.coalesce("_why", F.when(F.col("_raw").isNull(), "too_few_pixels")))
-    src = src.withColumn("flux_norm", A.normalize_edge("_raw").cast("array<float>"))
-    return measure(src.drop("_why", "wavelength", "flux", "_v", "_raw"), "flux_norm", grid)
+    m = src.withColumn("_m", measure_spectrum(F.when(ok, F.col("wavelength")), F.when(ok, F.col("flux")), F.col("_v"), grid))
+    m = m.withColumn("flux_norm", F.col("_m.flux_norm"))
+    m = m.withColumn("reject_reason", F.coalesce("_why", F.when(F.col("flux_norm").isNull(), "too_few_pixels")))
+    return _derive(m.drop("_why", "wavelength", "flux", "_v"), "flux_norm", grid)
 
 
 def measure(df: DataFrame, vec: str = "flux_norm", grid: LineGrid = H_ALPHA) -> DataFrame:
     """All profile measures of a normalised vector column; NULL vectors give NULL measures."""
-    m = df.withColumn("_m", measure_profile(vec, grid))
+    return _derive(df.withColumn("_m", measure_profile(vec, grid)), vec, grid)
+
+
+def _derive(m: DataFrame, vec: str, grid: LineGrid) -> DataFrame:
     m = m.withColumn("peaks", A.peak_structs(F.col("_m.peak_idx"), F.col("_m.peak_val"), grid))
     m = (m.withColumn("ew", A.equivalent_width(vec, grid)).withColumn("fwhm", F.col("_m.fwhm"))
          .withColumn("vr_ratio", A.vr_ratio("peaks", grid)).withColumn("delta_v", A.peak_separation("peaks", grid))
@@ -81,24 +85,19 @@ def audit_labels(df: DataFrame, vec: str = "flux_norm", label: str = "profile_ty
     return again.groupBy("stored").agg(F.count("*").alias("n"), F.count_if(F.col("stored") != F.col("profile_type_id")).alias("n_disagree"))
 
 
-def continuum_methods(df: DataFrame, wl: str = "wavelength", fl: str = "flux", grid: LineGrid = H_ALPHA,
-                      n_edge: int = 10, wide_half: float = 100.0, wide_bins: int = 256, n_far: int = 20) -> DataFrame:
+def continuum_methods(df: DataFrame, wl: str = "wavelength", fl: str = "flux", grid: LineGrid = H_ALPHA) -> DataFrame:
     """Equivalent width under three continua: edge mean, quadratic near bands, cubic far bands."""
-    wide = LineGrid(grid.centre, wide_half, wide_bins)
+    w = df.withColumn("_w", continuum_widths(wl, fl, grid))
+    cols = {"ew_edge_mean": "edge_mean", "ew_poly2": "poly2", "ew_poly3": "poly3"}
+    return w.withColumns({k: F.col(f"_w.{v}") for k, v in cols.items()}).drop("_w")
+
+
+def normalize_poly(df: DataFrame, vec: str, degree: int, n_edge: int = 10, grid: LineGrid = H_ALPHA,
+                   out: str = "flux_norm") -> DataFrame:
+    """Grid vector over a polynomial fitted to its edge bins; the fit is one fixed matrix."""
     x = grid.wavelengths() - grid.centre
-    xw = wide.wavelengths() - grid.centre
-    near = sideband_weights(x[list(range(n_edge)) + list(range(-n_edge, 0))], x, 2)
-    far = sideband_weights(xw[list(range(n_far)) + list(range(-n_far, 0))], x, 3)
-    ends = lambda c, n: F.concat(F.slice(c, 1, n), F.slice(c, -n, n))
-    d = df.withColumn("_s", resample(wl, fl, None, grid)).withColumn("_w", resample(wl, fl, None, wide))
-    d = d.filter(F.col("_s").isNotNull() & F.col("_w").isNotNull())
-    base = A.mean_of(ends("_s", n_edge))
-    flat = F.when(is_finite(base) & (base > 0), base).otherwise(F.lit(1.0))
-    d = d.withColumn("_c", flat).withColumn("_p2", poly_normalize(ends("_s", n_edge), F.col("_s"), near))
-    d = d.withColumn("_p3", poly_normalize(ends("_w", n_far), F.col("_s"), far))
-    em = A.equivalent_width(F.transform("_s", lambda v: v.cast("double") / F.col("_c")), grid)
-    return (d.withColumn("ew_edge_mean", em).withColumn("ew_poly2", A.equivalent_width("_p2", grid))
-            .withColumn("ew_poly3", A.equivalent_width("_p3", grid)).drop("_s", "_w", "_c", "_p2", "_p3"))
+    weights = sideband_weights(np.r_[x[:n_edge], x[-n_edge:]], x, degree)
+    return df.withColumn(out, poly_normalize(F.concat(F.slice(vec, 1, n_edge), F.slice(vec, -n_edge, n_edge)), F.col(vec), weights))
 
 
 def method_agreement(df: DataFrame, ref: str, alts: list[str], floor: float = 0.5) -> DataFrame:

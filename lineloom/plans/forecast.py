@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ HORIZONS = [(0.0, 7.0, "< 7d"), (7.0, 30.0, "7-30d"), (30.0, 90.0, "30-90d"), (9
 def forecast_series(emb: DataFrame, feat: DataFrame, key: str = "star_name", t: str = "mjd", tol: float = 0.01,
                     y: str = "ew", order: str = "row_id", min_rows: int = 3) -> DataFrame:
     """Series rows: embeddings matched to features, finite targets, entities with enough rows."""
-    matched = nearest_join(emb, feat, key, t, tol, order)
+    matched = materialize(nearest_join(emb, feat, key, t, tol, order))
     enough = keep_large_groups(matched, [key], min_rows)
     finite = enough.filter(is_finite(F.col(f"r_{y}")))
     return keep_large_groups(finite, [key], min_rows)
@@ -109,8 +110,6 @@ def score_external(contexts: DataFrame, forecasts: DataFrame, keys: list[str], c
 
 def apply_forecaster(contexts: DataFrame, forecast, out: str = "y_pred") -> DataFrame:
     """Run ``forecast(list of arrays) -> array`` on Arrow batches of contexts."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(np.asarray(forecast([np.asarray(a, dtype=float) for a in s]), dtype=float))
