@@ -78,9 +78,10 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, group: str | None = None,
     cand = cand.withColumn("ts", F.explode(F.sequence(F.lit(0), F.col("t.ns") - 1)))
     cand = cand.filter((F.col("t.c") != F.col("c")) | (F.col("ts") != F.col("s"))).select(
         "id", "v", "g", F.col("t.c").alias("c"), F.col("ts").alias("s"))
-    load = cand.groupBy("g", "c", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("fan"))
+    load = materialize(cand.groupBy("g", "c", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("fan")))
     cand = attach(cand, load, ["g", "c", "s"]).withColumn("f", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int"))
-    blocks = (at.select("id", "v", "g", "c", "s").join(load, ["g", "c", "s"])
+    twin = lambda d, cols: d.select(*[F.col(c).alias(c) for c in cols])  # own columns, so that the sides stay apart
+    blocks = (twin(at, ["id", "v", "g", "c", "s"]).join(twin(load, load.columns), ["g", "c", "s"])
               .withColumn("f", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))))
     keys = ["g", "c", "s", "f"]
 

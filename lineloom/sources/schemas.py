@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+TYPES = {"string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "int": T.IntegerType(), "long": T.LongType(),
+         "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType()), "array<double>": T.ArrayType(T.DoubleType())}
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from "name type, ..." without needing a session, so that modules load before one exists."""
+    pairs = [p.split() for p in text.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 ARRAYS = ddl("id string, wavelength array<float>, flux array<float>, flux_error array<float>, "
