@@ -10,6 +10,7 @@ from lineloom.functions.scalars import hash_split, resolution_family
 from lineloom.operators import aggregates as G
 from lineloom.operators import splits as P
 from lineloom.operators.windows import cap_per_entity
+from lineloom.session import scratch_path
 from lineloom.sources import io
 
 
@@ -188,6 +189,14 @@ def slim_union(t):
     return io.slim_metadata({s: t.meta.filter(F.col("status") == s) for s in ("F", "O", "P")}, ["star_name", "mjd", "snr"])
 
 
+@query(f"SELECT star_name, {SPLIT_CASE.format(k='star_name')} AS split FROM (SELECT DISTINCT star_name FROM obs)", "obs")
+def split_csv_roundtrip(t):
+    """Split map written as sorted CSV and read back."""
+    path = scratch_path(t.spark)
+    io.write_split_csv(t.obs.select("star_name").distinct().withColumn("split", hash_split("star_name")), path)
+    return io.read_split_csv(t.spark, path)
+
+
 # ---- gates -----------------------------------------------------------------------------------
 
 

@@ -59,11 +59,11 @@ def forecast_configurations(t):
     return out
 
 
-@query("""SELECT star_name, count(*) AS n, round(avg(abs(ew - p)), 6) AS mae FROM (SELECT star_name, ew, lag(ew) OVER (PARTITION BY star_name ORDER BY mjd, row_id) AS p FROM obs)
+@query("""SELECT star_name, count(*) AS n, round(avg(abs(ew - p)), 8) AS mae FROM (SELECT star_name, ew, lag(ew) OVER (PARTITION BY star_name ORDER BY mjd, row_id) AS p FROM obs)
   WHERE p IS NOT NULL GROUP BY 1""", "obs")
 def persistence_forecast(t):
     p = C.persistence(t.obs, "star_name", "mjd", "row_id", "ew")
-    return rnd(p.groupBy("star_name").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("ew") - F.col("y_persist"))).alias("mae")))
+    return rnd(p.groupBy("star_name").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("ew") - F.col("y_persist"))).alias("mae")), 8)
 
 
 METRICS = """count(*) AS n, round(avg(abs(y_true-y_pred)), 6) AS mae_model, round(avg(abs(y_true-y_persist)), 6) AS mae_persist,

@@ -14,8 +14,9 @@ from lineloom.operators.joins import nearest_join
 from lineloom.operators.ranking import class_exemplars
 from lineloom.operators.skew import keep_large_groups
 from lineloom.plans import features as X
-from lineloom.session import materialize
-from lineloom.sources import io
+from lineloom.session import materialize, scratch_path
+from lineloom.sources import io, schemas
+from lineloom.streaming.incremental import score_stream
 
 # ---- time series -----------------------------------------------------------------------------
 
@@ -143,6 +144,30 @@ def snr_scores(t):
     return X.score_snr(t.arrays_li).select("spectrum_id", "snr", "snr_continuum")
 
 
+@query("SELECT spectrum_id AS id, n AS n_pixels, round(list_sum(list_transform(flux, lambda x: x::FLOAT::DOUBLE)), 4) AS total FROM arrays_ev", "arrays_ev")
+def array_shards(t):
+    """Arrays written as compressed shards and scanned back with the declared schema."""
+    path = scratch_path(t.spark)
+    a = t.arrays_ev.select(F.col("spectrum_id").alias("id"), "wavelength", "flux", F.size("flux").alias("n_pixels_extracted"))
+    io.write_shards(schemas.conform(a, schemas.ARRAYS), path, 500)
+    total = A.total(F.transform("flux", lambda x: x.cast("double")))
+    return io.read_arrays(t.spark, path).select("id", F.col("n_pixels_extracted").cast("long").alias("n_pixels"), F.round(total, 4).alias("total"))
+
+
+@query("""SELECT spectrum_id, CASE WHEN n >= 50 THEN round(list_aggregate(flux, 'median')/(1.482602::DOUBLE*list_aggregate(list_transform(range(3, n - 1),
+  lambda i: abs(2*flux[i] - flux[i-2] - flux[i+2])), 'median')/sqrt(6.0::DOUBLE)), 6) END AS snr FROM arrays_ev""", "arrays_ev")
+def stream_scores(t):
+    """Spectra scored as they arrive: two file drops, two runs, each spectrum once."""
+    a = materialize(t.arrays_ev.select("spectrum_id", "wavelength", "flux"))
+    src, out, ck = (scratch_path(t.spark) for _ in range(3))
+    half = F.crc32("spectrum_id") % 2 == 0
+    a.filter(half).write.parquet(src)
+    score_stream(t.spark, src, a.schema, out, ck)
+    a.filter(~half).write.mode("append").parquet(src)
+    score_stream(t.spark, src, a.schema, out, ck)
+    return t.spark.read.parquet(out).select("spectrum_id", F.round("snr", 6).alias("snr"))
+
+
 @query(None)
 def snr_scores_remaining(t):
     """Only spectra not scored before."""

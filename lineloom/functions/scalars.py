@@ -102,8 +102,11 @@ def clip(col, lo: float = -100.0, hi: float = 100.0) -> Column:
     return F.when(is_finite(c), F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
 
 
+SEPARATORS = r"[_\-+]"
+
+
 def norm_sep(col) -> Column:
-    return F.regexp_replace(_c(col), r"[_\-+]", " ")
+    return F.regexp_replace(_c(col), SEPARATORS, " ")
 
 
 def hash_bucket(key, salt: str, modulo: int = 100) -> Column:

@@ -8,60 +8,61 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lineloom.functions import rules as R
-from lineloom.functions.arrays import let
-from lineloom.functions.scalars import _c, norm_sep
+from lineloom.functions.scalars import SEPARATORS, _c
 
 
-def _fill(template: str, group: Column) -> Column:
+def _q(text: str) -> str:
+    """Raw SQL string literal."""
+    quote = '"' if "'" in text else "'"
+    return f"r{quote}{text}{quote}"
+
+
+def _fill(template: str, group: str) -> str:
     """Result text with ``{1}``, ``{n}`` and the two fraction forms replaced."""
-    number = group.cast("long")
-    digits = F.length(group)
+    number = f"cast({group} AS bigint)"
     slots = {
         "{1}": group,
-        "{n}": number.cast("string"),
-        "{fraction_mm}": (number * F.when(digits == 1, 100).when(digits == 2, 10).otherwise(1)).cast("string"),
-        "{fraction_cm}": (number * F.when(digits == 1, 10).otherwise(1)).cast("string"),
+        "{n}": f"cast({number} AS string)",
+        "{fraction_mm}": f"cast({number} * CASE length({group}) WHEN 1 THEN 100 WHEN 2 THEN 10 ELSE 1 END AS string)",
+        "{fraction_cm}": f"cast({number} * CASE length({group}) WHEN 1 THEN 10 ELSE 1 END AS string)",
     }
-    pieces = [p for p in re.split(r"(\{\w+\})", template) if p]
-    return F.concat(*[slots.get(p, F.lit(p)) for p in pieces])
+    pieces = [slots.get(p, _q(p)) for p in re.split(r"(\{\w+\})", template) if p]
+    return pieces[0] if len(pieces) == 1 else f"concat({', '.join(pieces)})"
 
 
-def _rule(rule: tuple, sources: dict[str, Column]) -> Column:
+def _rule(rule: tuple) -> str:
+    """One rule as a CASE over the texts ``s.raw``, ``s.text`` and ``s.raw_trimmed``."""
     pattern, result = rule[0], rule[1]
     opt = rule[2] if len(rule) > 2 else {}
-    text = sources[opt.get("src", "text")]
-    regex = "(?i)" + pattern
-    hit = F.regexp_like(text, F.lit(regex))
-    has_group = re.compile(pattern).groups > 0
-    group = F.regexp_extract(text, regex, 1) if has_group else F.lit("")
+    text = f"s.{opt.get('src', 'text')}"
+    hit = [f"regexp_like({text}, {_q('(?i)' + pattern)})"]
+    group = f"regexp_extract({text}, {_q('(?i)' + pattern)}, 1)"
     if "first_of" in opt:  # the first looser match must carry the group
-        group = F.regexp_extract(text, "(?i)" + opt["first_of"], 1)
-        hit = group != ""
+        group = f"regexp_extract({text}, {_q('(?i)' + opt['first_of'])}, 1)"
+        hit = [f"{group} <> ''"]
     if "unless" in opt:
-        hit = hit & ~F.regexp_like(sources[opt.get("unless_src", "text")], F.lit("(?i)" + opt["unless"]))
+        hit.append(f"NOT regexp_like(s.{opt.get('unless_src', 'text')}, {_q('(?i)' + opt['unless'])})")
     if "not_after" in opt:
-        lead = F.regexp_extract(text, f"(?i)(.{{0,{opt['not_after_chars']}}}?)" + pattern, 1)
-        hit = hit & ~F.upper(F.trim(lead)).isin(opt["not_after"])
+        lead = f"(?i)(.{{0,{opt['not_after_chars']}}}?){pattern}"
+        banned = ", ".join(_q(x) for x in opt["not_after"])
+        hit.append(f"upper(trim(regexp_extract({text}, {_q(lead)}, 1))) NOT IN ({banned})")
+    test = " AND ".join(hit)
     if "cases" not in opt:
-        return F.when(hit, _fill(result, group))
-    value, out = group.cast("long"), None
-    for lo, hi, template in opt["cases"]:
-        cond = hit & value.between(lo, hi)
-        out = F.when(cond, _fill(template, group)) if out is None else out.when(cond, _fill(template, group))
-    return out
+        return f"CASE WHEN {test} THEN {_fill(result, group)} END"
+    arms = " ".join(f"WHEN {test} AND cast({group} AS bigint) BETWEEN {lo} AND {hi} THEN {_fill(template, group)}"
+                    for lo, hi, template in opt["cases"])
+    return f"CASE {arms} END"
 
 
-def regex_cascade(col, rule_table: list[tuple]) -> Column:
+def regex_cascade(col: str, rule_table: list[tuple]) -> Column:
     """First rule that yields a value, NULL when none does. Run it on distinct values.
 
     The lambda keeps the long rule chain out of generated code, which would exceed the JVM's method
-    size, and evaluates the cleaned text once.
+    size, and cleans the text once.
     """
-    def run(s):
-        sources = {"raw": s["raw"], "text": s["text"], "raw_trimmed": F.trim(s["raw"])}
-        return F.coalesce(*[_rule(r, sources) for r in rule_table])
-    raw = _c(col)
-    return let(F.struct(raw.alias("raw"), norm_sep(raw).alias("text")), run)
+    sources = (f"struct(`{col}` AS raw, regexp_replace(`{col}`, {_q(SEPARATORS)}, ' ') AS text, trim(`{col}`) AS raw_trimmed)")
+    chain = ", ".join(_rule(r) for r in rule_table)
+    return F.expr(f"transform(array({sources}), s -> coalesce({chain}))[0]")
 
 
 def literal_map(pairs: dict) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.rules import LINES
 from lineloom.functions.scalars import _c, covers, hash_split, is_finite, mjd_to_year, resolution_family, to_mjd
-from lineloom.operators.skew import attach, group_quantiles, lookup_join, rows_of
+from lineloom.operators.skew import attach, group_quantiles, group_stats, rows_of
 
 
 def completeness(df: DataFrame, columns: list[str], conditions: dict[str, Column] | None = None) -> DataFrame:
@@ -51,11 +51,9 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def group_median(df: DataFrame, by: list[str], columns: list[str], digits: int = 2) -> DataFrame:
     """Rows, exact median and mean per group."""
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(c), digits).alias(f"mean_{c}") for c in columns])
-    for c in columns:
-        med = group_quantiles(df, by, c, [0.5], [f"median_{c}"])
-        out = attach(out, med, by).withColumn(f"median_{c}", F.round(f"median_{c}", digits))
-    return out
+    out = group_stats(df, by, [F.count("*").alias("n"), *[F.round(F.avg(c), digits).alias(f"mean_{c}") for c in columns]],
+                      [(c, 0.5, f"median_{c}") for c in columns])
+    return out.withColumns({f"median_{c}": F.round(f"median_{c}", digits) for c in columns})
 
 
 def crosstab(df: DataFrame, a: str, b: str, min_rows: int = 1) -> DataFrame:
@@ -71,14 +69,13 @@ def entity_list(df: DataFrame, salt: str = "split", amateur: str = "amateur") ->
     def first(c):  # first non-NULL value in row order
         return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_id")))
     flagged = F.coalesce("is_echelle_order", F.lit(False))
-    base = df.filter(F.col("star_name").isNotNull()).groupBy("star_name").agg(
+    aggs = [
         F.count("*").alias("n_spectra"), F.count_if(~flagged).alias("n_single"),
         F.count_if(flagged).alias("n_echelle_orders"), first("ra").alias("ra_deg"), first("dec").alias("dec_deg"),
         F.min("mjd").alias("mjd_min"), F.max("mjd").alias("mjd_max"),
-        F.avg(F.coalesce(F.col("observer_type") == amateur, F.lit(False)).cast("double")).alias("amateur_frac"))
-    med = group_quantiles(df, ["star_name"], "snr", [0.5], ["median_snr"])
-    return (lookup_join(base, med, ["star_name"])
-            .withColumn("time_span_days", F.round(F.col("mjd_max") - F.col("mjd_min"), 1))
+        F.avg(F.coalesce(F.col("observer_type") == amateur, F.lit(False)).cast("double")).alias("amateur_frac")]
+    out = group_stats(df.filter(F.col("star_name").isNotNull()), ["star_name"], aggs, [("snr", 0.5, "median_snr")])
+    return (out.withColumn("time_span_days", F.round(F.col("mjd_max") - F.col("mjd_min"), 1))
             .withColumn("split", hash_split("star_name", salt)))
 
 
@@ -149,17 +146,16 @@ def resolution_breakdown(df: DataFrame) -> DataFrame:
 def quantile_summary(df: DataFrame, columns: list[str], qs=(0.05, 0.25, 0.5, 0.75, 0.95),
                      approximate: bool = False) -> DataFrame:
     """min, max, mean and quantiles per column; exact unless ``approximate``."""
-    out = None
     names = [f"p{round(q * 100)}" for q in qs]
+    out = None
     for c in columns:
         x = F.col(c).cast("double")
-        stats = df.agg(F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
-                       F.avg(x).alias("mean"), *([F.approx_percentile(x, list(qs), 10000).alias("_p")] if approximate else []))
+        basic = [F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean")]
         if approximate:
-            one = stats.select("column", "n", "min", "max", "mean", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+            one = df.agg(*basic, F.approx_percentile(x, list(qs), 10000).alias("_p")).select(
+                "column", "n", "min", "max", "mean", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
         else:
-            quants = group_quantiles(df, [], c, list(qs), names).withColumn("column", F.lit(c))
-            one = stats.join(quants, "column", "left")
+            one = group_stats(df.select(c), [], basic, [(c, q, n) for q, n in zip(qs, names)])
         out = one if out is None else out.unionByName(one)
     return out
 

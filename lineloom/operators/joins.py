@@ -118,12 +118,12 @@ def radius_edges(df: DataFrame, id_col: str, x: str, y: str, r: float, work: int
            .withColumn("cx", F.floor("u").cast("long")).withColumn("cy", F.floor("v").cast("long")))
     pts = materialize(pts)
     spot = pts.groupBy("cx", "cy", "x", "y", "u", "v").agg(F.min("id").alias("id"))  # one row per position
-    reps = materialize(pts.groupBy("cx", "cy").agg(F.min("id").alias("rep")))
-    edges = [lookup_join(pts, reps, ["cx", "cy"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))]
+    cells = spot.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    cells = materialize(cells.withColumn("px", F.col("cx")).withColumn("py", F.col("cy")))
+    edges = [lookup_join(pts, cells.select("cx", "cy", "rep"), ["cx", "cy"]).filter("id <> rep")
+             .select(F.col("rep").alias("a"), F.col("id").alias("b"))]
 
     level, scale = 0, 1
-    cells = materialize(spot.groupBy("cx", "cy").agg(F.count("*").alias("n"))
-                        .select(F.col("cx").alias("px"), F.col("cy").alias("py"), "n", "cx", "cy"))
     near = [(i, j) for i in range(0, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
     b = cells.select(*[F.col(c).alias(f"{c}2") for c in cells.columns])
     a = cells.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])))
@@ -137,11 +137,11 @@ def radius_edges(df: DataFrame, id_col: str, x: str, y: str, r: float, work: int
         hi = (far("px") * far("px") + far("py") * far("py")) * step * step
         pairs = pairs.filter(lo <= r * r * (1 + 1e-9))
         sure = hi <= r * r * (1 - 1e-9)
-        root = ["cx", "cy", "cx2", "cy2"]
-        edges.append(_rep_edges(pairs.filter(sure).select(*root).distinct(), reps))
+        link = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
+        edges.append(pairs.filter(sure).select(*link).distinct())
         open_ = pairs.filter(~sure)
         small = (F.col("n") * F.col("n2") <= work) | F.lit(level >= 20)
-        edges.append(_rep_edges(_witness(open_.filter(small), spot, scale, r).select(*root).distinct(), reps))
+        edges.append(_witness(open_.filter(small), spot, scale, r).select(*link).distinct())
         rest = open_.filter(~small)
         if not rest.take(1):
             break
@@ -154,20 +154,13 @@ def radius_edges(df: DataFrame, id_col: str, x: str, y: str, r: float, work: int
         f2 = fine.select(*[F.col(c).alias(f"{c}2") for c in ("cx", "cy", "px", "py", "n", "qx", "qy")])
         split = (rest.drop("n", "n2").join(f1, ["cx", "cy", "px", "py"]).join(f2, ["cx2", "cy2", "px2", "py2"])
                  .drop("px", "py", "px2", "py2").withColumnsRenamed({"qx": "px", "qy": "py", "qx2": "px2", "qy2": "py2"}))
-        pairs = materialize(split.select("px2", "py2", "px", "py", "n", "cx", "cy", "n2", "cx2", "cy2"))
+        pairs = materialize(split.select(*pairs.columns))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return out.distinct()
 
 
-def _rep_edges(cell_pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    one = lookup_join(cell_pairs, reps.withColumnRenamed("rep", "r1"), ["cx", "cy"])
-    two = lookup_join(one, reps.select(F.col("cx").alias("cx2"), F.col("cy").alias("cy2"), F.col("rep").alias("r2")),
-                      ["cx2", "cy2"])
-    return two.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
-
-
 def _witness(cell_pairs: DataFrame, spot: DataFrame, scale: int, r: float) -> DataFrame:
     """Cell pairs with two points within ``r``; every pair given here has little work."""
     at = spot.select("cx", "cy", "x", "y", F.floor(F.col("u") * scale).cast("long").alias("px"),

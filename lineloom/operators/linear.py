@@ -132,6 +132,11 @@ class Design:
     def predict(self, rotated: np.ndarray, alpha: float) -> np.ndarray:
         return self.y_mean + rotated @ (self.loads / (self.values + alpha))
 
+    def test_error(self, x: np.ndarray, y: np.ndarray, alphas) -> np.ndarray:
+        """Summed squared errors per alpha for rows outside the training part."""
+        r = self.rotate(x)
+        return np.array([((y - self.predict(r, a)) ** 2).sum() for a in alphas])
+
     def loo_error(self, x: np.ndarray, y: np.ndarray, alphas) -> np.ndarray:
         """Summed squared leave-one-out errors per alpha for training rows."""
         r = self.rotate(x)
@@ -153,13 +158,14 @@ def design(s: np.ndarray) -> Design:
     return Design(n, mean, scale, y_mean, vec, np.maximum(val, 0), vec.T @ b)
 
 
-def _loo(df: DataFrame, models: dict, alphas, held_out: bool) -> dict:
-    """Leave-one-out error sums per model and alpha, over the rows each model was trained on."""
+def _errors(df: DataFrame, models: dict, alphas, held_out: bool) -> tuple[dict, dict]:
+    """Per model and alpha, in one pass: leave-one-out error sums over the model's training rows, and
+    error sums over the fold it has not seen."""
     shared = df.sparkSession.sparkContext.broadcast(models)
     grid = list(alphas)
 
     def run(batches):
-        total = {k: np.zeros(len(grid)) for k in shared.value}
+        total = {k: np.zeros((2, len(grid))) for k in shared.value}
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -167,14 +173,29 @@ def _loo(df: DataFrame, models: dict, alphas, held_out: bool) -> dict:
             for k, m in shared.value.items():
                 use = g != k if held_out else np.ones(len(g), dtype=bool)
                 if use.any():
-                    total[k] += m.loo_error(x[use], y[use], grid)
-        yield pd.DataFrame([(k, i, v) for k, t in total.items() for i, v in enumerate(t)], columns=["k", "i", "e"])
-
-    sums = df.mapInPandas(run, "k string, i int, e double").groupBy("k", "i").agg(F.sum("e").alias("e"))
-    out = {k: np.zeros(len(grid)) for k in models}
+                    total[k][0] += m.loo_error(x[use], y[use], grid)
+                if not use.all():
+                    total[k][1] += m.test_error(x[~use], y[~use], grid)
+        yield pd.DataFrame([(k, i, *v) for k, t in total.items() for i, v in enumerate(t.T)], columns=["k", "i", "loo", "test"])
+
+    sums = df.mapInPandas(run, "k string, i int, loo double, test double").groupBy("k", "i").agg(
+        F.sum("loo").alias("loo"), F.sum("test").alias("test"))
+    loo, test = ({k: np.zeros(len(grid)) for k in models} for _ in range(2))
     for r in sums.collect():  # models x alphas rows
-        out[r["k"]][r["i"]] = r["e"]
-    return out
+        loo[r["k"]][r["i"]], test[r["k"]][r["i"]] = r["loo"], r["test"]
+    return loo, test
+
+
+def _fold_models(src: DataFrame) -> tuple[dict, dict]:
+    """Moments per fold and one model per fold trained on the others, from one moments pass."""
+    per = {r["g"]: unpack(r["m"]) for r in moments(src, "x", "y", "g").collect()}  # one row per fold
+    whole = sum(per.values()) if per else None
+    return per, {g: design(whole - s) for g, s in per.items()} if len(per) > 1 else {}
+
+
+def _folded(df: DataFrame, x: str, y: str, fold: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*keep, F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
+                     F.col(fold).cast("string").alias("g")).filter(is_finite("y") & F.col("x").isNotNull())
 
 
 def _predict(df: DataFrame, models: dict, alpha: dict, keep: list[str]) -> DataFrame:
@@ -200,7 +221,7 @@ def ridge_fit(df: DataFrame, x: str, y: str, alphas) -> tuple[Design, float]:
     width(df, x)
     src = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.lit("all").alias("g")).filter(is_finite("y"))
     m = design(unpack(moments(src, "x", "y").first()["m"]))
-    err = _loo(src, {"all": m}, alphas, held_out=False)["all"]
+    err = _errors(src, {"all": m}, alphas, held_out=False)[0]["all"]
     return m, float(list(alphas)[int(np.argmin(err))])
 
 
@@ -216,13 +237,11 @@ def oof_predict(df: DataFrame, x: str, y: str, alphas, fold: str = "fold", keep:
     One moments pass for all folds: the training sums of a fold are the total minus its own.
     """
     width(df, x)
-    src = df.select(*keep, F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
-                    F.col(fold).cast("string").alias("g")).filter(is_finite("y") & F.col("x").isNotNull())
-    per = {r["g"]: unpack(r["m"]) for r in moments(src, "x", "y", "g").collect()}  # one row per fold
-    whole = sum(per.values())
-    models = {g: design(whole - s) for g, s in per.items()}
+    src = _folded(df, x, y, fold, keep)
+    _, models = _fold_models(src)
     grid = list(alphas)
-    alpha = {k: grid[int(np.argmin(e))] for k, e in _loo(src.select("x", "y", "g"), models, grid, True).items()}
+    loo, _ = _errors(src.select("x", "y", "g"), models, grid, True)
+    alpha = {k: grid[int(np.argmin(e))] for k, e in loo.items()}
     out = _predict(src, models, alpha, [*keep, "y", "g"])
     return out.withColumn("fold", F.col("g").cast("int")).drop("g")
 
@@ -243,12 +262,25 @@ def fold_scores(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def probe(df: DataFrame, x: str, y: str, alphas, k: int = 5, fold: str = "fold") -> DataFrame:
-    """K-fold ridge probe; NULL scores with fewer than five rows per fold."""
-    n = df.filter(is_finite(F.col(y).cast("double")) & F.col(x).isNotNull()).count()
-    if n < 5 * k:
-        null = F.lit(None).cast("double")
-        return df.sparkSession.range(1).select(null.alias("r2_mean"), null.alias("r2_std"), F.lit(n).cast("long").alias("n_valid"))
-    return fold_scores(oof_predict(df, x, y, alphas, fold))
+    """K-fold ridge probe; NULL scores with fewer than five rows per fold.
+
+    Two passes over the rows: moments of all folds, then errors of all fold models and alphas.
+    """
+    src = _folded(df, x, y, fold)
+    width(df, x)
+    per, models = _fold_models(src)
+    n = int(sum(s[0, 0] for s in per.values()))
+    mean = std = None
+    if n >= 5 * k:
+        loo, test = _errors(src, models, alphas, True)
+        r2 = []
+        for g, s in per.items():
+            spread = s[-1, -1] - s[0, -1] ** 2 / s[0, 0]
+            r2.append(1 - test[g][int(np.argmin(loo[g]))] / spread)
+        mean, std = float(np.mean(r2)), float(np.std(r2))
+    one = df.sparkSession.range(0, 1, 1, 1)
+    return one.select(F.lit(mean).cast("double").alias("r2_mean"), F.lit(std).cast("double").alias("r2_std"),
+                      F.lit(n).cast("long").alias("n_valid"))
 
 
 def stratified_r2(pred: DataFrame, by: str | Column, min_rows: int = 20) -> DataFrame:

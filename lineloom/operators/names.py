@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from lineloom.functions import rules as R
 from lineloom.functions.text import fill_from_map, join_parts, match_confidence, normalize_name, regex_cascade
 from lineloom.operators.joins import connected_components, radius_edges
-from lineloom.operators.skew import attach, group_quantiles, lookup_join, rows_of
+from lineloom.operators.skew import group_stats, lookup_join, rows_of
 from lineloom.session import materialize
 
 
 def parse_instruments(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Telescope, spectrograph, detector, setup and confidence columns from the raw text."""
-    out = (df.withColumn("telescope", regex_cascade(raw, R.TELESCOPE_RULES))
-           .withColumn("spectrograph", regex_cascade(raw, R.SPECTROGRAPH_RULES))
-           .withColumn("detector", regex_cascade(raw, R.DETECTOR_RULES)))
+    out = df.withColumns({"telescope": regex_cascade(raw, R.TELESCOPE_RULES),
+                          "spectrograph": regex_cascade(raw, R.SPECTROGRAPH_RULES),
+                          "detector": regex_cascade(raw, R.DETECTOR_RULES)})
     out = out.withColumn("telescope", fill_from_map("telescope", "spectrograph", R.IMPLIED_TELESCOPE))
     sure = R.INTEGRATED_SETUPS + list(R.IMPLIED_TELESCOPE)
     return (out.withColumn("confidence", match_confidence("telescope", "spectrograph", "detector", sure))
@@ -50,10 +50,8 @@ def lookup_stats(lookup: DataFrame) -> DataFrame:
 
 def name_centroids(df: DataFrame, name: str = "name", x: str = "ra", y: str = "dec") -> DataFrame:
     """Median position and rows per name; names without any position are left out."""
-    n = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
-    mx = group_quantiles(df, [name], x, [0.5], ["x"])
-    my = group_quantiles(df, [name], y, [0.5], ["y"])
-    return n.join(mx, name, "inner").join(my, name, "inner")
+    g = group_stats(df.filter(F.col(name).isNotNull()), [name], [F.count("*").alias("n")], [(x, 0.5, "x"), (y, 0.5, "y")])
+    return g.filter("x is not null and y is not null")
 
 
 def canonical_names(centroids: DataFrame, components: DataFrame, name: str = "name") -> DataFrame:
@@ -82,11 +80,9 @@ def apply_canonical(df: DataFrame, mapping: DataFrame, name: str = "name", out:
 def variant_report(df: DataFrame, canonical: str = "star_name", raw: str = "raw", name: str = "name",
                    x: str = "ra", y: str = "dec") -> DataFrame:
     """Long report: per canonical name its rows and median position, with one row per raw variant."""
-    n = df.groupBy(canonical).agg(F.count("*").alias("n_rows"), F.count_distinct(raw).alias("n_raw_variants"),
-                                  F.count_distinct(name).alias("n_names"))
-    for c, o in ((x, "ra"), (y, "dec")):
-        med = group_quantiles(df, [canonical], c, [0.5], [f"med_{o}"])
-        n = attach(n, med, [canonical]).withColumn(f"med_{o}", F.round(f"med_{o}", 6))
+    n = group_stats(df, [canonical], [F.count("*").alias("n_rows"), F.count_distinct(raw).alias("n_raw_variants"),
+                                      F.count_distinct(name).alias("n_names")], [(x, 0.5, "med_ra"), (y, 0.5, "med_dec")])
+    n = n.withColumns({c: F.round(c, 6) for c in ("med_ra", "med_dec")})
     variants = df.groupBy(canonical, raw, name).agg(F.count("*").alias("n_variant"))
     return lookup_join(variants, n, [canonical])
 

@@ -191,6 +191,19 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], n
     return out.groupBy(*by, "_n").agg(*picks).select(*by, *result)
 
 
+def group_stats(df: DataFrame, by: list[str], aggs: list[Column], quantiles: list[tuple[str, float, str]],
+                limit: int = HOT_ROWS) -> DataFrame:
+    """Ordinary aggregates and exact quantiles ``(column, q, name)`` per group, in one pass where no
+    group is hot."""
+    if hot_keys(df, by, limit) is None:
+        return df.groupBy(*by).agg(*aggs, *[F.percentile(F.col(c).cast("double"), F.lit(float(q))).alias(n) for c, q, n in quantiles])
+    out = df.groupBy(*by).agg(*aggs)
+    for c, q, n in quantiles:
+        part = group_quantiles(df, by, c, [q], [n], limit)
+        out = attach(out, part, by) if by else out.withColumn(n, part.scalar())
+    return out
+
+
 def rows_of(names: list[str], entries: list[tuple]) -> Column:
     """Array of equally named structs, to turn one aggregate row into several with ``inline``."""
     return F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, e)]) for e in entries])

@@ -20,6 +20,7 @@ def get_spark(app: str = "lineloom", cores: int | str = "*", shuffle: int | None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle or os.cpu_count() or 8))
     )
     for k, v in conf.items():
@@ -37,9 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path inside the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/lineloom/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lineloom/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
