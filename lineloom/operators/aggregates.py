@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineloom.functions.rules import LINES
 from lineloom.functions.scalars import _c, covers, hash_split, is_finite, mjd_to_year, resolution_family, to_mjd
 from lineloom.operators.skew import attach, group_quantiles, group_stats, rows_of
+from lineloom.session import materialize
 
 
 def completeness(df: DataFrame, columns: list[str], conditions: dict[str, Column] | None = None) -> DataFrame:
@@ -120,14 +121,15 @@ def line_coverage(df: DataFrame, lines: dict[str, float] = LINES, half: float =
 
 def granularity(df: DataFrame, qs=(0.05, 0.5, 0.95)) -> DataFrame:
     """Rows, observations and entities overall and per flag, with rows-per-observation quantiles."""
-    obs = F.when(F.col("star_name").isNotNull() & F.col("mjd").isNotNull(), F.struct("star_name", "mjd"))
     flag = F.when(F.coalesce("is_echelle_order", F.lit(False)), "echelle_order").otherwise("single_range")
-    tagged = df.select("star_name", "mjd", obs.alias("o"),
-                       F.explode(F.array(F.lit("all"), flag)).alias("scope"))
-    counts = tagged.groupBy("scope").agg(F.count("*").alias("n_rows"), F.count_distinct("o").alias("n_observations"),
-                                         F.count_distinct("star_name").alias("n_entities"))
-    sizes = tagged.filter("o is not null").groupBy("scope", "o").agg(F.count("*").cast("double").alias("k"))
-    quants = group_quantiles(sizes, ["scope"], "k", list(qs), [f"rows_per_obs_p{round(q * 100)}" for q in qs])
+    # one row per observation and flag first; everything below reads only that
+    per = df.groupBy("star_name", "mjd", flag.alias("f")).agg(F.count("*").alias("k"))
+    per = per.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("f"))))
+    obs = materialize(per.groupBy("scope", "star_name", "mjd").agg(F.sum("k").alias("k")))
+    valid = F.col("star_name").isNotNull() & F.col("mjd").isNotNull()
+    counts = obs.groupBy("scope").agg(F.sum("k").alias("n_rows"), F.count_if(valid).alias("n_observations"),
+                                      F.count_distinct("star_name").alias("n_entities"))
+    quants = group_quantiles(obs.filter(valid), ["scope"], "k", list(qs), [f"rows_per_obs_p{round(q * 100)}" for q in qs])
     return attach(counts, quants, ["scope"])
 
 

@@ -16,6 +16,8 @@ from lineloom.session import materialize
 
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 500_000
+QUANTILE_ROWS = 200_000  # above this, hash maps of all values cost more than two scans
+SKETCH_ACCURACY = 10_000
 CHUNK, BLOCK, HALO = "_chunk", "_block", "_halo"
 
 
@@ -158,49 +160,86 @@ def halo_blocks(df: DataFrame, keys: list[str], order: list, length: int,
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], names: list[str],
-                    limit: int = HOT_ROWS) -> DataFrame:
+                    limit: int = QUANTILE_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles per group; NULL values are skipped.
 
-    Hot groups are not held in one task: equal values are pre-counted, then ranked by range chunks.
+    Where a group has more than ``limit`` rows, nothing is sorted whole: mergeable sketches bracket
+    each quantile, rows below a bracket are only counted, and the few rows inside are ranked.
     """
     src = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if hot_keys(src, by, limit) is None:
         p = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
         agg = src.groupBy(*by).agg(p.alias("_p"))
         return agg.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    counted = src.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    chunked, split = order_chunks(counted, by, ["_v"], limit)
-    run = Window.partitionBy(*by, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    out = _bracketed_quantiles(src, by, qs, names, limit, SKETCH_ACCURACY)
+    broken = F.lit(False)
+    for n in names:
+        broken = broken | F.col(n).isNull()
+    if out.filter(broken).take(1):  # a bracket missed its rank: rank all rows instead
+        out = _bracketed_quantiles(src, by, qs, names, limit, None)
+    return out
+
+
+def _bracketed_quantiles(src: DataFrame, by: list[str], qs: list[float], names: list[str], limit: int,
+                         accuracy: int | None) -> DataFrame:
+    """NULL marks a quantile whose rank lies outside its bracket; without ``accuracy`` the bracket is everything."""
+    v, k = F.col("_v"), len(qs)
+    lo_hi = [F.min(v).alias("_min"), F.max(v).alias("_max"), F.count(v).alias("_n")]
+    if accuracy:
+        pad = 2.0 / accuracy
+        ends = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-pad, pad)]
+        lo_hi.append(F.approx_percentile(v, ends, accuracy).alias("_e"))
+    g = src.groupBy(*by).agg(*lo_hi)
+    entry = []
+    for i, q in enumerate(qs):
+        low = F.col("_e")[2 * i] if accuracy and q > 2.0 / accuracy else F.col("_min")
+        high = F.col("_e")[2 * i + 1] if accuracy and q < 1 - 2.0 / accuracy else F.col("_max")
+        entry.append(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), low.alias("lo"), high.alias("hi")))
+    g = materialize(g.select(*by, "_n", F.array(*entry).alias("_b")))
+    rows = attach(src, g.select(*by, "_b"), by) if by else src.withColumn("_b", g.select("_b").scalar())
+    below = rows.groupBy(*by).agg(*[F.count_if(v < F.col("_b")[i]["lo"]).alias(f"_u{i}") for i in range(k)])
+    facts = attach(g, below, by) if by else g.withColumns({f"_u{i}": below.select(f"_u{i}").scalar() for i in range(k)})
+    facts = facts.withColumn("_x", F.explode("_b")).select(
+        *by, "_n", F.col("_x.i").alias("_i"), F.col("_x.q").alias("_q"),
+        F.get(F.array(*[F.col(f"_u{i}") for i in range(k)]), F.col("_x.i")).alias("_under"))
+    inside = rows.withColumn("_x", F.explode(F.filter("_b", lambda e: (v >= e["lo"]) & (v <= e["hi"]))))
+    keys = [*by, "_i"]
+    counted = inside.groupBy(*by, F.col("_x.i").alias("_i"), "_v").agg(F.count("*").alias("_c"))
+    chunked, split = order_chunks(counted, keys, ["_v"], limit)
+    run = Window.partitionBy(*keys, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     out = chunked.withColumn("_hi", F.sum("_c").over(run))
     if split:
-        before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        prefix = chunk_prefix(chunked, by, [F.sum("_c").alias("_s")],
+        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        prefix = chunk_prefix(chunked, keys, [F.sum("_c").alias("_s")],
                               [F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")])
-        out = attach_chunks(out, prefix, by).withColumn("_hi", F.col("_hi") + F.col("_off")).drop("_off")
-    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    out = attach(out, sizes, by) if by else out.withColumn("_n", F.lit(sizes.first()[0]))
-    lo_edge = F.col("_hi") - F.col("_c")
-    picks, result = [], []
-    for i, (q, n) in enumerate(zip(qs, names)):
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        for tag, k in (("a", F.floor(pos)), ("b", F.ceil(pos))):
-            picks.append(F.max(F.when((lo_edge <= k) & (k < F.col("_hi")), F.col("_v"))).alias(f"_{tag}{i}"))
-        frac = (F.col("_n") - 1) * F.lit(float(q))
-        frac = frac - F.floor(frac)
-        result.append((F.col(f"_a{i}") * (1 - frac) + F.col(f"_b{i}") * frac).alias(n))
-    return out.groupBy(*by, "_n").agg(*picks).select(*by, *result)
+        out = attach_chunks(out, prefix, keys).withColumn("_hi", F.col("_hi") + F.col("_off")).drop("_off")
+    out = attach(out, facts, keys).withColumn("_hi", F.col("_hi") + F.col("_under"))
+    pos = (F.col("_n") - 1) * F.col("_q")
+    start = F.col("_hi") - F.col("_c")
+    at = lambda r: F.max(F.when((start <= r) & (r < F.col("_hi")), v))
+    one = out.groupBy(*keys).agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_z"),
+                                 F.max(pos - F.floor(pos)).alias("_f"))
+    res = F.col("_a") * (1 - F.col("_f")) + F.col("_z") * F.col("_f")
+    return materialize(one.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, res)).alias(n) for i, n in enumerate(names)]))
 
 
 def group_stats(df: DataFrame, by: list[str], aggs: list[Column], quantiles: list[tuple[str, float, str]],
-                limit: int = HOT_ROWS) -> DataFrame:
+                limit: int = QUANTILE_ROWS) -> DataFrame:
     """Ordinary aggregates and exact quantiles ``(column, q, name)`` per group, in one pass where no
-    group is hot."""
+    group is large."""
+    per: dict[str, list[tuple[float, str]]] = {}
+    for c, q, n in quantiles:
+        per.setdefault(c, []).append((float(q), n))
     if hot_keys(df, by, limit) is None:
-        return df.groupBy(*by).agg(*aggs, *[F.percentile(F.col(c).cast("double"), F.lit(float(q))).alias(n) for c, q, n in quantiles])
+        arrays = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q, _ in v])).alias(f"_q{i}")
+                  for i, (c, v) in enumerate(per.items())]
+        out = df.groupBy(*by).agg(*aggs, *arrays)
+        return out.withColumns({n: F.col(f"_q{i}")[j] for i, v in enumerate(per.values()) for j, (_, n) in enumerate(v)}).drop(
+            *[f"_q{i}" for i in range(len(per))])
     out = df.groupBy(*by).agg(*aggs)
-    for c, q, n in quantiles:
-        part = group_quantiles(df, by, c, [q], [n], limit)
-        out = attach(out, part, by) if by else out.withColumn(n, part.scalar())
+    for c, v in per.items():
+        part = group_quantiles(df, by, c, [q for q, _ in v], [n for _, n in v], limit)
+        out = attach(out, part, by) if by else out.withColumns({n: part.select(n).scalar() for _, n in v})
     return out
 
 

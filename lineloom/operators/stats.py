@@ -28,7 +28,7 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
     err = pred.select(F.col(by).cast("string").alias("k"), F.abs(F.col(model) - F.col(y)).alias("m"),
                       F.abs(F.col(base) - F.col(y)).alias("p"),
                       F.xxhash64(*[c for c in pred.columns]).alias("h"))
-    err = err.filter(F.col("m").isNotNull() & F.col("p").isNotNull())
+    err = materialize(err.filter(F.col("m").isNotNull() & F.col("p").isNotNull()))
     size = err.groupBy("k").agg(F.count("*").alias("n"))
     chunks = F.greatest(F.lit(1), F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("n") / chunk_rows))).cast("int")
     placed = attach(err, size.select("k", chunks.alias("nc")), ["k"]).withColumn("c", F.pmod("h", F.col("nc")).cast("int"))

@@ -114,3 +114,12 @@ def test_results_do_not_depend_on_partitioning(rows):
     one = K.row_numbers(rows.repartition(1), ["k"], ["t", "id"]).select("id", "rn")
     many = K.row_numbers(rows.repartition(37), ["k"], ["t", "id"], limit=150).select("id", "rn")
     same(one, many)
+
+
+def test_sketch_brackets_give_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random(60_000) < 0.35, 1.5, rng.normal(size=60_000).round(3))  # a third of all values equal
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    qs = [0.0, 0.01, 0.3, 0.5, 0.77, 0.999, 1.0]
+    got = K.group_quantiles(df, [], "v", qs, [f"q{i}" for i in range(7)], limit=20_000).first()
+    assert np.allclose(list(got), np.quantile(v, qs))
