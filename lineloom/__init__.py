@@ -1,5 +1,5 @@
 """Curation, measurement and evaluation of array-column time series on Spark."""
 
-from lineloom.session import get_spark, materialize, shared_dir
+from lineloom.session import drop_scratch, get_spark, materialize, shared_dir
 
-__all__ = ["get_spark", "materialize", "shared_dir"]
+__all__ = ["drop_scratch", "get_spark", "materialize", "shared_dir"]

@@ -11,6 +11,7 @@ from lineloom.functions.text import first_pattern, normalize_name
 from lineloom.operators import aggregates as G
 from lineloom.operators import names as N
 from lineloom.operators import windows as W
+from lineloom.operators.filters import filter_covering, filter_scoreable
 from lineloom.operators.joins import (common_keys, connected_components, drop_keys, keep_keys, radius_edges, radius_pairs,
                                       unmatched)
 from lineloom.plans.curate import curate
@@ -74,20 +75,9 @@ def covering_rows(t):
     return filter_covering(t.coverage, 6562.8, 50.0, False, 100.0).groupBy("star_name").agg(F.count("*").alias("n"))
 
 
-def filter_covering(df, centre, half, include_flagged=True, min_snr=None):
-    """Training-side filter: missing bounds count as 0; a missing SNR fails where a minimum is set."""
-    out = df.filter(S.covers(F.coalesce("lambda_min", F.lit(0.0)), F.coalesce("lambda_max", F.lit(0.0)), centre, half))
-    if not include_flagged:
-        out = out.filter(~F.coalesce("is_echelle_order", F.lit(False)))
-    return out if min_snr is None else out.filter(F.col("snr") >= min_snr)
-
-
 @query("SELECT count(*) AS n, count(snr) AS n_snr FROM meta WHERE star_name <> '' AND mjd > 0 AND (snr IS NULL OR snr >= 10)", "meta")
 def scoreable_rows(t):
-    """Feature-side filter: a missing SNR passes, a finite one below the minimum does not."""
-    low = F.coalesce(S.is_finite("snr") & (F.col("snr") < 10), F.lit(False))
-    ok = t.meta.filter((F.col("star_name") != "") & (F.col("mjd") > 0) & ~low)
-    return ok.agg(F.count("*").alias("n"), F.count("snr").alias("n_snr"))
+    return filter_scoreable(t.meta).agg(F.count("*").alias("n"), F.count("snr").alias("n_snr"))
 
 
 @query("""SELECT count_if(exptime = 0 OR exptime IS NULL) AS zero_exptime, count_if(exptime > 36000) AS very_long,

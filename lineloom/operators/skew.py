@@ -16,7 +16,7 @@ from lineloom.session import materialize
 
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 500_000
-QUANTILE_ROWS = 200_000  # above this, hash maps of all values cost more than two scans
+QUANTILE_ROWS = 1_000_000  # above this, hash maps of all values cost more than two scans
 SKETCH_ACCURACY = 10_000
 CHUNK, BLOCK, HALO = "_chunk", "_block", "_halo"
 
@@ -197,11 +197,10 @@ def _bracketed_quantiles(src: DataFrame, by: list[str], qs: list[float], names:
         entry.append(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), low.alias("lo"), high.alias("hi")))
     g = materialize(g.select(*by, "_n", F.array(*entry).alias("_b")))
     rows = attach(src, g.select(*by, "_b"), by) if by else src.withColumn("_b", g.select("_b").scalar())
-    below = rows.groupBy(*by).agg(*[F.count_if(v < F.col("_b")[i]["lo"]).alias(f"_u{i}") for i in range(k)])
-    facts = attach(g, below, by) if by else g.withColumns({f"_u{i}": below.select(f"_u{i}").scalar() for i in range(k)})
+    below = rows.groupBy(*by).agg(F.array(*[F.count_if(v < F.col("_b")[i]["lo"]) for i in range(k)]).alias("_u"))
+    facts = attach(g, below, by) if by else g.withColumn("_u", below.scalar())
     facts = facts.withColumn("_x", F.explode("_b")).select(
-        *by, "_n", F.col("_x.i").alias("_i"), F.col("_x.q").alias("_q"),
-        F.get(F.array(*[F.col(f"_u{i}") for i in range(k)]), F.col("_x.i")).alias("_under"))
+        *by, "_n", F.col("_x.i").alias("_i"), F.col("_x.q").alias("_q"), F.get("_u", F.col("_x.i")).alias("_under"))
     inside = rows.withColumn("_x", F.explode(F.filter("_b", lambda e: (v >= e["lo"]) & (v <= e["hi"]))))
     keys = [*by, "_i"]
     counted = inside.groupBy(*by, F.col("_x.i").alias("_i"), "_v").agg(F.count("*").alias("_c"))
@@ -239,7 +238,11 @@ def group_stats(df: DataFrame, by: list[str], aggs: list[Column], quantiles: lis
     out = df.groupBy(*by).agg(*aggs)
     for c, v in per.items():
         part = group_quantiles(df, by, c, [q for q, _ in v], [n for _, n in v], limit)
-        out = attach(out, part, by) if by else out.withColumns({n: part.select(n).scalar() for _, n in v})
+        if by:
+            out = attach(out, part, by)
+        else:
+            one = part.select(F.struct("*")).scalar()
+            out = out.withColumn("_s", one).select(*out.columns, *[F.col(f"_s.{n}") for _, n in v])
     return out
 
 

@@ -19,6 +19,7 @@ def get_spark(app: str = "lineloom", cores: int | str = "*", shuffle: int | None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle or os.cpu_count() or 8))
@@ -39,8 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lineloom/{uuid.uuid4().hex}"
+    """A new path inside this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lineloom/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames built on it become unusable."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

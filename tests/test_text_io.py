@@ -141,3 +141,34 @@ def test_stream_scores_each_file_once(spark, small, tmp_path):
     got = spark.read.parquet(out)
     assert n1 == a.filter(half).count() and got.count() == a.count() == got.select("spectrum_id").distinct().count()
     assert resume_batch(a, got, "spectrum_id").count() == 0
+
+
+def test_filters_differ_on_missing_snr(spark):
+    from lineloom.operators.filters import filter_covering, filter_scoreable
+    rows = [("a", 1.0, None, 6000.0, 7000.0, False), ("b", 1.0, 5.0, 6000.0, 7000.0, None), ("c", 1.0, 50.0, None, None, False), ("", 1.0, 50.0, 6000.0, 7000.0, True)]
+    df = spark.createDataFrame(rows, "star_name string, mjd double, snr double, lambda_min double, lambda_max double, is_echelle_order boolean")
+    assert [r["star_name"] for r in filter_covering(df, 6562.8, 50.0, False, 5.0).collect()] == ["b"]
+    assert [r["star_name"] for r in filter_scoreable(df).collect()] == ["a", "c"]
+
+
+def test_coverage_filter_reaches_the_scan(small, tmp_path):
+    path = str(tmp_path / "cov")
+    small.coverage.write.parquet(path)
+    plan = small.spark.read.parquet(path).filter(S.covers("lambda_min", "lambda_max", 6562.8, 50.0)).select("star_name")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(lambda_min,6512.8)" in text and "GreaterThanOrEqual(lambda_max,6612.8)" in text
+    assert "snr" not in text
+
+
+def test_nearest_join_plan_has_no_product(small):
+    from lineloom.operators.joins import nearest_join, radius_pairs
+    o = small.obs.select("star_name", "mjd", "row_id", "ew")
+    for df in (nearest_join(o, o, "star_name", "mjd", 0.1, "row_id"),
+               radius_pairs(o.withColumn("y", F.col("ew")), "row_id", "ew", "y", 0.5)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_own_scratch_folder_can_be_dropped(spark, tmp_path):
+    from lineloom.session import _own_folder, scratch_path
+    assert scratch_path(spark).startswith(_own_folder(spark)) and spark.sparkContext.applicationId in _own_folder(spark)
