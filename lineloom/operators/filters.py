@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.functions.scalars import covers, is_finite
+from lineloom.functions.scalars import is_finite
 
 
 def filter_covering(df: DataFrame, centre: float, half: float, include_flagged: bool = True,
                     min_snr: float | None = None) -> DataFrame:
-    """Training-side filter: missing bounds count as 0; a missing SNR fails where a minimum is set."""
-    out = df.filter(covers(F.coalesce("lambda_min", F.lit(0.0)), F.coalesce("lambda_max", F.lit(0.0)), centre, half))
+    """Training-side filter: missing bounds count as 0; a missing SNR fails where a minimum is set.
+
+    A missing lower bound therefore passes and a missing upper one fails; written so that the scan
+    can use both tests.
+    """
+    low = F.col("lambda_min").isNull() | (F.col("lambda_min") <= centre - half)
+    out = df.filter(low & (F.col("lambda_max") >= centre + half))
     if not include_flagged:
         out = out.filter(~F.coalesce("is_echelle_order", F.lit(False)))
     return out if min_snr is None else out.filter(F.col("snr") >= min_snr)
