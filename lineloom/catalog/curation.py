@@ -145,12 +145,12 @@ def instrument_apply(t):
 
 
 @query(LOOKUP + """SELECT 'confidence' AS section, confidence AS name, count(*) AS n_setups, sum(n_rows)::BIGINT AS n_rows FROM lk GROUP BY ALL
-  UNION ALL SELECT 'covered', 'telescope', count(telescope), sum(n_rows) FILTER (telescope IS NOT NULL) FROM lk
-  UNION ALL SELECT 'covered', 'spectrograph', count(spectrograph), sum(n_rows) FILTER (spectrograph IS NOT NULL) FROM lk
-  UNION ALL SELECT 'covered', 'detector', count(detector), sum(n_rows) FILTER (detector IS NOT NULL) FROM lk
-  UNION ALL SELECT 'distinct', 'telescope', count(DISTINCT telescope), sum(n_rows) FILTER (telescope IS NOT NULL) FROM lk
-  UNION ALL SELECT 'distinct', 'spectrograph', count(DISTINCT spectrograph), sum(n_rows) FILTER (spectrograph IS NOT NULL) FROM lk
-  UNION ALL SELECT 'distinct', 'detector', count(DISTINCT detector), sum(n_rows) FILTER (detector IS NOT NULL) FROM lk""", "meta")
+  UNION ALL SELECT 'covered', 'telescope', count(telescope), sum(n_rows) FILTER (telescope IS NOT NULL)::BIGINT FROM lk
+  UNION ALL SELECT 'covered', 'spectrograph', count(spectrograph), sum(n_rows) FILTER (spectrograph IS NOT NULL)::BIGINT FROM lk
+  UNION ALL SELECT 'covered', 'detector', count(detector), sum(n_rows) FILTER (detector IS NOT NULL)::BIGINT FROM lk
+  UNION ALL SELECT 'distinct', 'telescope', count(DISTINCT telescope), sum(n_rows) FILTER (telescope IS NOT NULL)::BIGINT FROM lk
+  UNION ALL SELECT 'distinct', 'spectrograph', count(DISTINCT spectrograph), sum(n_rows) FILTER (spectrograph IS NOT NULL)::BIGINT FROM lk
+  UNION ALL SELECT 'distinct', 'detector', count(DISTINCT detector), sum(n_rows) FILTER (detector IS NOT NULL)::BIGINT FROM lk""", "meta")
 def instrument_lookup_stats(t):
     return N.lookup_stats(N.build_lookup(t.meta))
 

@@ -41,6 +41,15 @@ def forecast_pca_ridge(t):
     return _ridge(t, 3, 5)
 
 
+@query("""SELECT star_name, count(*) AS n, round(avg(abs(ew - p)), 8) AS mae_persist FROM (SELECT *, lag(ew) OVER w AS p, row_number() OVER w AS rn, count(*) OVER (PARTITION BY star_name) AS k
+  FROM obs WINDOW w AS (PARTITION BY star_name ORDER BY mjd, row_id)) WHERE rn > 13 AND k - 8 >= 3 AND mjd > 60325.0::DOUBLE GROUP BY 1""", "obs")
+def forecast_test_rows(t):
+    """Which rows a forecast is scored on, with their persistence error."""
+    p = _ridge(t, 3, 5).filter("y_pred is not null").groupBy("star_name").agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_persist"))).alias("mae_persist"))
+    return rnd(p, 8)
+
+
 @query(None)
 def forecast_vector_ridge(t):
     """Predictions from the full context vectors."""

@@ -138,10 +138,25 @@ def der_snr(t):
     return t.arrays_ev.select("spectrum_id", F.round(A.der_snr("flux"), 6).alias("snr"))
 
 
-@query(None)
+def _clip(f: str) -> str:
+    kept = f"list_filter({f}, lambda x: abs(x - list_aggregate({f}, 'median')) < 3*list_aggregate({f}, 'stddev_pop'))"
+    return f"CASE WHEN list_aggregate({f}, 'stddev_pop') = 0 OR len({kept}) < 20 THEN {f} ELSE {kept} END"
+
+
+SNR = f"""d AS (SELECT spectrum_id, flux, CASE WHEN len(flux) >= 50 THEN list_aggregate(flux, 'median')/(1.482602::DOUBLE*list_aggregate(list_transform(range(3, len(flux) - 1),
+    lambda i: abs(2*flux[i] - flux[i-2] - flux[i+2])), 'median')/sqrt(6.0::DOUBLE)) END AS snr FROM arrays_li),
+  w AS (SELECT unnest([4000, 4550, 5400, 5800, 6100, 6380, 6730]) AS lo, unnest([4100, 4650, 5500, 5870, 6200, 6470, 6800]) AS hi),
+  f0 AS (SELECT spectrum_id, flux[(lo-4000)//5 + 1:(hi-4000)//5 + 1] AS f FROM d, w), f1 AS (SELECT spectrum_id, {_clip('f')} AS f FROM f0 WHERE len(f) >= 20),
+  f2 AS (SELECT spectrum_id, {_clip('f')} AS f FROM f1), c AS (SELECT spectrum_id, median(list_avg(f)/list_aggregate(f, 'stddev_pop')) AS snr_c FROM f2
+    WHERE list_avg(f) > 0 AND list_aggregate(f, 'stddev_pop') > 0 GROUP BY 1),
+  scored AS (SELECT d.spectrum_id, round(snr, 6) AS snr, CASE WHEN snr IS NOT NULL THEN round(snr_c, 6) END AS snr_continuum FROM d LEFT JOIN c USING (spectrum_id))
+"""
+
+
+@query(SNR + "SELECT * FROM scored", "arrays_li")
 def snr_scores(t):
     """Both SNR measures of wide spectra."""
-    return X.score_snr(t.arrays_li).select("spectrum_id", "snr", "snr_continuum")
+    return rnd(X.score_snr(t.arrays_li).select("spectrum_id", "snr", "snr_continuum"))
 
 
 @query("SELECT spectrum_id AS id, n AS n_pixels, round(list_sum(list_transform(flux, lambda x: x::FLOAT::DOUBLE)), 4) AS total FROM arrays_ev", "arrays_ev")
@@ -168,12 +183,12 @@ def stream_scores(t):
     return t.spark.read.parquet(out).select("spectrum_id", F.round("snr", 6).alias("snr"))
 
 
-@query(None)
+@query(SNR + "SELECT * FROM scored WHERE length(spectrum_id) % 2 = 1", "arrays_li")
 def snr_scores_remaining(t):
     """Only spectra not scored before."""
     a = materialize(t.arrays_li)
-    done = X.score_snr(a.filter(F.crc32("spectrum_id") % 2 == 0))
-    return X.score_snr(a, done=done).select("spectrum_id", "snr", "snr_continuum")
+    done = X.score_snr(a.filter(F.length("spectrum_id") % 2 == 0))
+    return rnd(X.score_snr(a, done=done).select("spectrum_id", "snr", "snr_continuum"))
 
 
 @query("SELECT spectrum_id, n AS n_valid, 'too_few_pixels' AS cause, 0.0::DOUBLE AS pct_zeros FROM arrays_ev WHERE n < 50", "arrays_ev")
@@ -248,6 +263,14 @@ def sliding_patches(t):
     return p.select("spectrum_id", "patch", F.round(A.total(F.transform("x", lambda v: v.cast("double"))), 4).alias("total"))
 
 
+@query(GRID + """, pt AS (SELECT spectrum_id, unnest(range(31)) AS patch, v FROM rs)
+  SELECT patch::INT AS patch, count(*) AS n, round(avg(list_avg(v[patch*4+1:patch*4+8])), 5) AS mean FROM pt GROUP BY 1""", "arrays_ev")
+def patch_means(t):
+    r = t.arrays_ev.select(resample("wavelength", "flux").alias("v")).filter("v is not null")
+    p = r.select(F.posexplode(A.patch_means("v")).alias("patch", "m"))
+    return p.groupBy("patch").agg(F.count("*").alias("n"), F.round(F.avg("m"), 5).alias("mean"))
+
+
 # ---- line features ---------------------------------------------------------------------------
 
 

@@ -77,7 +77,7 @@ VEC = """vec AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS z, label, 'E'||
   list_sum(list_transform(range(len(embedding)), lambda i: CASE WHEN i % 2 = 0 THEN embedding[i+1]::DOUBLE ELSE -embedding[i+1]::DOUBLE END)) AS y, vec_id*0.5::DOUBLE AS mjd FROM embeddings)"""
 
 RESULTS = """results AS (SELECT 'f'||(l_partkey % 6) AS feature, 'rep'||(l_suppkey % 4) AS representation, (l_linenumber % 3)::INT AS seed, l_returnflag AS variant,
-  round(avg(l_discount)*10, 6) AS value, round(stddev_samp(l_discount), 6) AS r2_std FROM lineitem GROUP BY ALL)"""
+  round(avg(l_discount)*10, 9) AS value, round(stddev_samp(l_discount), 6) AS r2_std FROM lineitem GROUP BY ALL)"""
 
 PRED = """pred0 AS (SELECT *, row_number() OVER w AS rn, lag(ew) OVER w AS y_persist, mjd - lag(mjd) OVER w AS dt_days,
   lag(ew,1) OVER w + lag(ew,2) OVER w + lag(ew,3) OVER w + lag(ew,4) OVER w + lag(ew,5) OVER w AS s5 FROM obs WINDOW w AS (PARTITION BY star_name ORDER BY mjd, row_id)),

@@ -169,6 +169,11 @@ def patchify(col, size: int = 8, step: int = 4, bins: int = 128) -> Column:
     return F.transform(starts, lambda i: F.slice(_c(col), i, F.lit(size)))
 
 
+def patch_means(col, size: int = 8, step: int = 4, bins: int = 128) -> Column:
+    """Mean of each overlapping slice, e.g. of the wavelengths or the validity of a patch."""
+    return F.transform(patchify(col, size, step, bins), mean_of)
+
+
 def exemplar_scores(col, centre_bin: int | None = None) -> dict[int, Column]:
     """Score per profile class of how clearly a vector shows it; -1 when it is not eligible."""
     a = _c(col)

@@ -151,7 +151,7 @@ class Tables:
             F.concat(F.lit("rep"), (F.col("l_suppkey") % 4).cast("string")).alias("representation"),
             (F.col("l_linenumber") % 3).cast("int").alias("seed"), F.col("l_returnflag").alias("variant"), "l_discount")
             .groupBy("feature", "representation", "seed", "variant")
-            .agg(F.round(F.avg("l_discount") * 10, 6).alias("value"), F.round(F.stddev_samp("l_discount"), 6).alias("r2_std")))
+            .agg(F.round(F.avg("l_discount") * 10, 9).alias("value"), F.round(F.stddev_samp("l_discount"), 6).alias("r2_std")))
 
     @property
     def pred(self) -> DataFrame:
