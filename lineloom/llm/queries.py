@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import pii, quality, sharding
+from lineloom.llm import pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,15 @@ def remainder(id: str, of: int = 5):
     return F.crc32(F.encode(F.col(id).cast("string"), "UTF-8")) % of
 
 
+@query
+def op2_pieces(spark, path):
+    v = pieces.load()
+    rows = pieces.encode(table(spark, path, "documents").select("doc_id", "text"), v)
+    back = pieces.decode(rows, v)
+    return back.select("doc_id", F.size("pieces").alias("n_pieces"), F.octet_length("text").alias("n_bytes"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "pieces")
+
+
 @query
 def op4_virtual_slots(spark, path):
     placed = sharding.shard(table(spark, path, "documents"), 40)
