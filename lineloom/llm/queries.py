@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import pieces, pii, quality, sharding
+from lineloom.llm import maxent, pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,14 @@ def op4_virtual_slots(spark, path):
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query
+def op7_maxent(spark, path):
+    docs = table(spark, path, "documents")
+    model, counts = maxent.fit(docs.filter(remainder("doc_id") != 1))
+    held_out = F.coalesce(remainder("doc_id") == 1, F.lit(True)).alias("held_out")
+    return maxent.score(docs, model, counts, keep=["doc_id", held_out])
+
+
 @query
 def op8_pii(spark, path):
     found = pii.find_pii(table(spark, path, "documents"))
