@@ -119,8 +119,9 @@ def take(x: Sparse, rows: np.ndarray) -> Sparse:
     return Sparse(x.ids[at], x.values[at], first)
 
 
-def steps(m: Model, x: Sparse, y: np.ndarray, seed: int, rate: float = 0.15, decay: float = 1e-4, batch: int = 64) -> Model:
-    """One pass of adaptive gradient steps over the rows, in shuffled batches."""
+def steps(m: Model, x: Sparse, y: np.ndarray, seed: int, rate: float = 0.15, decay: float = 1e-4, batch: int = 64) -> tuple[Model, float]:
+    """One pass of adaptive gradient steps over the rows, in shuffled batches, and the log-loss met on the way."""
+    loss = 0.0
     bias, linear, factors = float(m.bias), m.linear.copy(), m.factors.copy()
     g_bias, g_linear, g_factors = 1.0, np.full(WIDTH, 0.1, np.float32), np.full((WIDTH, RANK), 0.1, np.float32)
     order = np.random.default_rng(seed).permutation(len(y))
@@ -128,6 +129,7 @@ def steps(m: Model, x: Sparse, y: np.ndarray, seed: int, rate: float = 0.15, dec
         rows = order[at : at + batch]
         part = take(x, rows)
         z, sums = logits(Model(np.float32(bias), linear, factors), part)
+        loss += float(np.logaddexp(0, np.where(y[rows] > 0, -z, z)).sum())
         error = (sigmoid(z) - y[rows]).astype(np.float32) / len(rows)
         each = np.repeat(error, np.diff(part.first))
         used, slot = np.unique(part.ids, return_inverse=True)
@@ -144,7 +146,7 @@ def steps(m: Model, x: Sparse, y: np.ndarray, seed: int, rate: float = 0.15, dec
         bias -= rate * d_bias / g_bias**0.5
         linear[used] -= rate * d_linear / np.sqrt(g_linear[used])
         factors[used] -= rate * d_factors / np.sqrt(g_factors[used])
-    return Model(np.float32(bias), linear, factors)
+    return Model(np.float32(bias), linear, factors), loss
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -162,10 +164,10 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_n_chars", F.coalesce(F.col("n_chars").cast("double"), F.lit(float("nan"))) if known else F.lit(float("nan")))
 
 
-def fit(rows: DataFrame, rounds: int = 6, parts: int = 4) -> Model:
+def fit(rows: DataFrame, rounds: int = 40, parts: int = 4, gain: float = 0.005) -> Model:
     """Parameters from a frame of :func:`sample`. Without rows, or with one label only, all scores are near that label's share.
 
-    The sample is bounded, so what the driver averages is ``parts`` parameter sets a round. Sampled features are
+    Rounds end when the log-loss falls by less than ``gain`` of itself, or after ``rounds``. The sample is bounded, so what the driver averages is ``parts`` parameter sets a round. Sampled features are
     written to the shared folder once.
     """
     spark = rows.sparkSession
@@ -180,7 +182,7 @@ def fit(rows: DataFrame, rounds: int = 6, parts: int = 4) -> Model:
 
     table = materialize(rows.select("text", "_n_chars", F.col("_label").cast("double").alias("label")).mapInArrow(
         encode, "ids array<int>, values array<float>, label float").repartition(parts))
-    model = blank()
+    model, before = blank(), float("inf")
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -192,10 +194,10 @@ def fit(rows: DataFrame, rounds: int = 6, parts: int = 4) -> Model:
             values = [b.column(1).flatten().to_numpy() for b in got]
             sizes = np.concatenate([b.column(0).value_lengths().to_numpy() for b in got])
             y = np.concatenate([b.column(2).to_numpy() for b in got])
-            m = steps(shared.value, Sparse(np.concatenate(ids), np.concatenate(values), np.concatenate([[0], np.cumsum(sizes)])), y, turn)
-            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([np.concatenate([[m.bias], m.linear, m.factors.ravel()]).astype(np.float32).tobytes()], pa.binary())], names=["n", "params"])
+            m, loss = steps(shared.value, Sparse(np.concatenate(ids), np.concatenate(values), np.concatenate([[0], np.cumsum(sizes)])), y, turn)
+            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([loss], pa.float64()), pa.array([np.concatenate([[m.bias], m.linear, m.factors.ravel()]).astype(np.float32).tobytes()], pa.binary())], names=["n", "loss", "params"])
 
-        found = table.mapInArrow(train, "n bigint, params binary").collect()
+        found = table.mapInArrow(train, "n bigint, loss double, params binary").collect()
         shared.destroy()
         if not found:
             break
@@ -203,6 +205,10 @@ def fit(rows: DataFrame, rounds: int = 6, parts: int = 4) -> Model:
         flat = sum(np.frombuffer(r["params"], np.float32).astype(np.float64) * r["n"] for r in found) / total
         flat = flat.astype(np.float32)
         model = Model(flat[0], flat[1 : 1 + WIDTH], flat[1 + WIDTH :].reshape(WIDTH, RANK))
+        loss = sum(r["loss"] for r in found) / total
+        if loss > before * (1 - gain):
+            break
+        before = loss
     return model
 
 
