@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import maxent, pieces, pii, quality, sharding
+from lineloom.llm import decontam, maxent, pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op4_virtual_slots(spark, path):
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query
+def op5_latent_decontamination(spark, path):
+    hits = decontam.contaminated(table(spark, path, "documents"), table(spark, path, "benchmark"))
+    return hits.select("doc_id", "item_id", "cosine", "common", "answered")
+
+
 @query
 def op7_maxent(spark, path):
     docs = table(spark, path, "documents")

@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Spaces and all other ASCII signs but letters and digits: what separates words where punctuation is ignored.
+NOT_ALNUM = np.array([not chr(k).isalnum() if k < 128 else False for k in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -92,13 +94,13 @@ def slices(column, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         row = end
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
-    """The words of one slice, in order."""
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """The words of one slice, in order; ``between`` tells for each byte whether it separates words."""
     rows = len(at) - 1
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, none.astype(np.uint64), np.zeros(rows + 1, np.int64))
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
