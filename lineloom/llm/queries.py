@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import decontam, maxent, pieces, pii, quality, sharding
+from lineloom.llm import decontam, maxent, ngram_join, pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +39,12 @@ def op2_pieces(spark, path):
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "pieces")
 
 
+@query
+def op3_vertical_join(spark, path):
+    linked = ngram_join.link(table(spark, path, "documents"), 3, Fraction(9, 10))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op4_virtual_slots(spark, path):
     placed = sharding.shard(table(spark, path, "documents"), 40)
