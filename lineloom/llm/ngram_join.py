@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.llm.graph import components, small
+from lineloom.llm.sharing import shared
 from lineloom.llm.words import grams, mix, signed, slices, words
 from lineloom.session import materialize
 
@@ -29,8 +30,6 @@ from lineloom.session import materialize
 CLASS_RATIO = 0.7
 #: Documents whose fragments fill one group of the candidate search, about.
 GROUP_DOCS = 4_000
-#: Rows of one fragment that a task sends to the fragment's own group; what is beyond is known to be shared.
-SENT = 4
 #: Fragments in which overlaps are counted.
 PARTS = 8
 _BITS = 256
@@ -128,55 +127,15 @@ def describe(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") ->
 
 
 def shared_fragments(docs: DataFrame, n: int, t: Fraction, rows: int, text: str = "text") -> DataFrame:
-    """(sig, key): the fragments that at least two classes share. Signatures travel as packed arrays, one row for
-    each task and group; a task sends at most ``SENT`` rows of a fragment to its group, the others, known to be
-    shared, are spread over all groups. So no group grows with the largest fragment."""
-    groups = max(8, rows // GROUP_DOCS)
-
-    def pack(batches):
-        sig, key = [], []
-
-        def emit():
-            both = np.unique(np.stack([np.concatenate(sig), np.concatenate(key)], 1), axis=0)
-            s, k = both[:, 0], both[:, 1]
-            start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            nth = np.arange(len(s)) - np.repeat(start, np.diff(np.r_[start, len(s)]))
-            known = nth >= SENT
-            group = ((np.where(known, mix(k), s) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
-            pick = lambda x, i, j: x[order[i:j]].tobytes()
-            ends = [*cuts[1:], len(order)]
-            yield pa.RecordBatch.from_arrays([pa.array(group[order][cuts].astype(np.int64)), *(pa.array([pick(x, i, j) for i, j in zip(cuts, ends)], pa.binary()) for x in (s, k, known))], names=["grp", "sig", "key", "known"])
+    """(sig, key): the fragments that at least two classes share."""
+    def produce(b):
+        for _, _, data, at in slices(b.column(0)):
+            row, h = sets(data, at, n)
+            size = np.bincount(row, minlength=len(at) - 1)
+            r, s = signatures(row, h, size, t)
+            yield s, keys_of(row, h, size)[r], np.ones(len(s), bool)
 
-        for b in batches:
-            for _, _, data, at in slices(b.column(0)):
-                row, h = sets(data, at, n)
-                size = np.bincount(row, minlength=len(at) - 1)
-                r, s = signatures(row, h, size, t)
-                sig.append(s)
-                key.append(keys_of(row, h, size)[r])
-            if sum(map(len, sig)) > 1 << 21:
-                yield from emit()
-                sig, key = [], []
-        if sum(map(len, sig)):
-            yield from emit()
-
-    def search(table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table[c]), kind)
-        s, k, known = join("sig", np.uint64), join("key", np.uint64), join("known", bool)
-        ks, kk = s[known], k[known]
-        order = np.lexsort((k[~known], s[~known]))
-        s, k = s[~known][order], k[~known][order]
-        new = np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])] if len(s) else np.zeros(0, bool)
-        s, k = s[new], k[new]
-        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-        each = np.diff(np.r_[start, len(s)])
-        held = np.repeat(each > 1, each)
-        return pa.table({"sig": signed(np.concatenate([s[held], ks])), "key": signed(np.concatenate([k[held], kk]))})
-
-    packed = docs.select(text).mapInArrow(pack, "grp bigint, sig binary, key binary, known binary")
-    return packed.groupBy("grp").applyInArrow(search, "sig bigint, key bigint").distinct()
+    return shared(docs.select(text), produce, max(8, rows // GROUP_DOCS)).select("sig", "key")
 
 
 def near_enough(a: str, b: str, t: Fraction) -> Column:
@@ -234,11 +193,11 @@ def link(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id:
     every = materialize(describe(docs, n, id, text))
     known = every.filter("key is not null")
     classes = materialize(known.groupBy("key").agg(F.min(id).alias("least"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "b2", "b3"))))
-    shared = materialize(shared_fragments(docs, n, t, every.count(), text))
+    common = materialize(shared_fragments(docs, n, t, every.count(), text))
     # a class's weight: how many classes share its fragments
-    weighed = shared.join(shared.groupBy("sig").agg(F.count("*").alias("held")), "sig")
+    weighed = common.join(common.groupBy("sig").agg(F.count("*").alias("held")), "sig")
     weight = materialize(weighed.groupBy("key").agg(F.sum("held").alias("weight")))
-    heavy = shared.join(weight, "key")
+    heavy = common.join(weight, "key")
     pivot = heavy.groupBy("sig").agg(F.max(F.struct("weight", "key"))["key"].alias("b"))
     facts = classes.select("key", "n_shingles", "b0", "b1", "b2", "b3")
 
@@ -247,11 +206,11 @@ def link(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id:
         joined = pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key"))
         return joined.filter(near_enough("x", "y", t)).select("a", "b")
 
-    star = shared.withColumnRenamed("key", "a").join(pivot, "sig").filter("a <> b").select("a", "b").distinct()
+    star = common.withColumnRenamed("key", "a").join(pivot, "sig").filter("a <> b").select("a", "b").distinct()
     first = materialize(bounded(star))
     linked = materialize(verify(first, classes, docs, n, t, text))
     part = components(linked).withColumnRenamed("id", "key")
-    placed = materialize(shared.join(part, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    placed = materialize(common.join(part, "key", "left").withColumn("component", F.coalesce("component", "key")))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
     left = materialize(placed.join(mixed, "sig", "left_semi").join(facts, "key"))
     x, y = left.alias("x"), left.alias("y")

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import decontam, maxent, ngram_join, pieces, pii, quality, sharding
+from lineloom.llm import decontam, line_dedup, maxent, ngram_join, pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,11 @@ def remainder(id: str, of: int = 5):
     return F.crc32(F.encode(F.col(id).cast("string"), "UTF-8")) % of
 
 
+@query
+def op1_line_edit_join(spark, path):
+    return line_dedup.classify(table(spark, path, "documents")).drop("text_hash")
+
+
 @query
 def op2_pieces(spark, path):
     v = pieces.load()
