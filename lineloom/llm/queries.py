@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import decontam, line_dedup, maxent, ngram_join, pieces, pii, quality, sharding
+from lineloom.llm import decontam, embedding_dedup, line_dedup, maxent, ngram_join, pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +63,11 @@ def op5_latent_decontamination(spark, path):
     return hits.select("doc_id", "item_id", "cosine", "common", "answered")
 
 
+@query
+def op6_nn_descent(spark, path):
+    return embedding_dedup.link(table(spark, path, "embeddings"))
+
+
 @query
 def op7_maxent(spark, path):
     docs = table(spark, path, "documents")
