@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import decontam, embedding_dedup, line_dedup, maxent, ngram_join, pieces, pii, quality, sharding
+from lineloom.llm import chat, decontam, embedding_dedup, line_dedup, maxent, ngram_join, pieces, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,6 +91,26 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     return quality.fit(quality.sample(docs, seen, LABELLED_ROWS))
 
 
+@query
+def op9_tool_links(spark, path):
+    return chat.link(*chat.from_turns(table(spark, path, "conversations")))
+
+
+SQL["op9_tool_links"] = """
+WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
+a AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+n AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM u)
+SELECT n.conv_id || '-' || n.turn AS id, 'respond' AS name,
+       row_number() OVER (PARTITION BY n.conv_id, n.turn % 2, n.run ORDER BY n.turn) - 1 AS level,
+       a.turn IS NOT NULL AS linked, n.text IS NOT NULL AS valid,
+       CASE WHEN n.text IS NULL THEN ['missing:prompt'] ELSE []::VARCHAR[] END AS problems,
+       '{"arguments":{' || CASE WHEN n.text IS NULL THEN '' ELSE '"prompt":' || to_json(n.text)::VARCHAR || ',' END || '"turn":' || n.turn
+       || '},"id":"' || n.conv_id || '-' || n.turn || '","name":"respond"'
+       || CASE WHEN a.text IS NULL THEN '' ELSE ',"result":' || to_json(a.text)::VARCHAR END || '}' AS message
+FROM n LEFT JOIN a ON a.conv_id = n.conv_id AND a.turn = n.turn + 1
+"""
+
+
 @query
 def op10_factorisation(spark, path):
     docs = table(spark, path, "documents")
