@@ -212,11 +212,14 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with every line gone whose class has an earlier line; columns stay as they are.
 
-    A text that loses all its lines becomes empty; a null text stays null. ``n_chars``, where there is such a
+    A row whose lines of ``least`` characters or more are all gone, one at least, goes as a whole: its text is
+    elsewhere. Null and empty texts stay. ``n_chars``, where there is such a
     column, follows the new text.
     """
     classes = materialize(classify(docs, id, text, **options))
-    gone = classes.filter("not kept").groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
+    own = F.sum((F.col("kept") & (F.col("n_chars") >= options.get("least", LEAST))).cast("int"))
+    found = classes.groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), own.alias("_own"))
+    gone = found.filter(F.size("_gone") > 0)
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, lines: pa.Array) -> pa.Array:
@@ -230,6 +233,7 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
         return pa.array(out, pa.string())
 
     out = docs.join(small(materialize(gone)), docs[id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left")
+    out = out.filter("_own is null or _own > 0")
     changed = F.col("_gone").isNotNull()
     out = out.withColumn(text, F.when(changed, without(F.col(text), F.col("_gone"))).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
