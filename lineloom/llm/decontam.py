@@ -334,5 +334,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
 def remove(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns stay, null ids and texts are kept."""
-    hits = contaminated(docs, benchmark, id, text, **options).select(F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hits, F.xxhash64(docs[text]) == F.col("_hash"), "left_anti")
+    hits = contaminated(docs, benchmark, id, text, **options).select(F.col("text_hash").alias("_hit_hash")).distinct()
+    return docs.join(hits, F.xxhash64(docs[text]) == F.col("_hit_hash"), "left_anti")

@@ -218,8 +218,8 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
     """
     classes = materialize(classify(docs, id, text, **options))
     own = F.sum((F.col("kept") & (F.col("n_chars") >= options.get("least", LEAST))).cast("int"))
-    found = classes.groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), own.alias("_own"))
-    gone = found.filter(F.size("_gone") > 0)
+    found = classes.groupBy(F.col(id).alias("_lines_id"), F.col("text_hash").alias("_lines_hash")).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_lines_gone"), own.alias("_lines_own"))
+    gone = found.filter(F.size("_lines_gone") > 0)
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, lines: pa.Array) -> pa.Array:
@@ -232,10 +232,10 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
             out.append(t)
         return pa.array(out, pa.string())
 
-    out = docs.join(small(materialize(gone)), docs[id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left")
-    out = out.filter("_own is null or _own > 0")
-    changed = F.col("_gone").isNotNull()
-    out = out.withColumn(text, F.when(changed, without(F.col(text), F.col("_gone"))).otherwise(F.col(text)))
+    out = docs.join(small(materialize(gone)), docs[id].eqNullSafe(F.col("_lines_id")) & (F.xxhash64(docs[text]) == F.col("_lines_hash")), "left")
+    out = out.filter("_lines_own is null or _lines_own > 0")
+    changed = F.col("_lines_gone").isNotNull()
+    out = out.withColumn(text, F.when(changed, without(F.col(text), F.col("_lines_gone"))).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -154,14 +154,14 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, id: str = "doc_id"
     given twice counts as its lower value, null labels and ids don't count, a repeated document is taken once per row."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.min(label).alias("_label"))
     few = known.orderBy(F.xxhash64(F.col(id), F.lit(1)), id).limit(max_rows)
-    return with_length(docs).join(F.broadcast(few), id).select(F.col(text).alias("text"), "_n_chars", "_label")
+    return with_length(docs).join(F.broadcast(few), id).select(F.col(text).alias("text"), "_quality_n_chars", "_label")
 
 
 def with_length(docs: DataFrame) -> DataFrame:
     """``docs`` with the numeric metadata column the model reads; NaN where it is missing."""
     kind = dict(docs.dtypes).get("n_chars", "")
     known = kind in ("int", "bigint", "double", "float", "smallint")
-    return docs.withColumn("_n_chars", F.coalesce(F.col("n_chars").cast("double"), F.lit(float("nan"))) if known else F.lit(float("nan")))
+    return docs.withColumn("_quality_n_chars", F.coalesce(F.col("n_chars").cast("double"), F.lit(float("nan"))) if known else F.lit(float("nan")))
 
 
 def fit(rows: DataFrame, rounds: int = 40, parts: int = 4, gain: float = 0.005) -> Model:
@@ -180,7 +180,7 @@ def fit(rows: DataFrame, rounds: int = 40, parts: int = 4, gain: float = 0.005)
                 first = pa.array(x.first, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(first, pa.array(x.ids)), pa.ListArray.from_arrays(first, pa.array(x.values)), pa.array(labels[i:j].astype(np.float32))], names=["ids", "values", "label"])
 
-    table = materialize(rows.select("text", "_n_chars", F.col("_label").cast("double").alias("label")).mapInArrow(
+    table = materialize(rows.select("text", "_quality_n_chars", F.col("_label").cast("double").alias("label")).mapInArrow(
         encode, "ids array<int>, values array<float>, label float").repartition(parts))
     model, before = blank(), float("inf")
     for turn in range(rounds):
@@ -227,4 +227,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             parts.append(sigmoid(logits(shared.value, features(data, at, n_chars[i:j]))[0]))
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return with_length(docs).withColumn(out, run(F.col(text), F.col("_n_chars"))).drop("_n_chars")
+    return with_length(docs).withColumn(out, run(F.col(text), F.col("_quality_n_chars"))).drop("_quality_n_chars")
