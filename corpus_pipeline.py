@@ -17,7 +17,7 @@ QUALITY = 0.3
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose factorisation-machine score is at least QUALITY; the model is fitted on labelled rows."""
     model = queries.quality_model(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").filter(f"_score >= {QUALITY}").drop("_score")
+    return quality.score(docs, model, out="_quality_score").filter(f"_quality_score >= {QUALITY}").drop("_quality_score")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
