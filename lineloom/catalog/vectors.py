@@ -54,14 +54,14 @@ def ridge_recovers_linear_target(t):
 @query(None)
 def probe_grid(t):
     """Targets by representation: vector, PCAs, raw, and the other targets."""
-    v = t.vec.withColumn("y3", F.col("y") * F.col("y2")).withColumn("raw", F.slice("z", 1, 32))
+    v = t.vec.withColumn("y3", F.col("y") * F.col("y2")).withColumn("raw", F.transform("z", lambda x: x.cast("double") * F.abs(x)))
     return P.probe_grid(v, ["y", "y2", "y3"], "z", "raw", (2, 10))
 
 
 @query(None)
 def probe_gain(t):
     """Score of the vector over the PCA baseline per target."""
-    v = t.vec.withColumn("raw", F.slice("z", 1, 32))
+    v = t.vec.withColumn("raw", F.transform("z", lambda x: x.cast("double") * F.abs(x)))
     grid = P.probe_grid(v, ["y", "y2"], "z", "raw", (10,))
     return L.gain(grid, "z", "pca10")
 
@@ -127,8 +127,8 @@ def recall_at_10(t):
 
 @query(None)
 def entity_regression(t):
-    """In-sample fit per entity on the first eight dimensions."""
-    return L.per_entity_r2(t.vec.withColumn("x", F.slice("z", 1, 8)), "star_name", "x", "y")
+    """Cross-validated fit per entity on all dimensions."""
+    return L.per_entity_r2(t.vec, "star_name", "z", "y2")
 
 
 @query("""SELECT label, row_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY y, row_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM vec)

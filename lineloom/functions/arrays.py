@@ -21,13 +21,13 @@ def total(arr: Column) -> Column:
 
 
 def mean_of(arr: Column) -> Column:
-    return let(arr, lambda a: total(a) / F.size(a))
+    return let(arr, lambda a: F.try_divide(total(a), F.size(a)))
 
 
 def std_of(arr: Column) -> Column:
     """Population standard deviation of the elements."""
     return let(arr, lambda a: let(mean_of(a), lambda m: F.sqrt(total(F.transform(
-        a, lambda x: (x - m) * (x - m))) / F.size(a))))
+        a, lambda x: (x - m) * (x - m))) / F.nullif(F.size(a), F.lit(0)))))
 
 
 def median_of(arr: Column) -> Column:

@@ -18,8 +18,8 @@ def _q(text: str) -> str:
 
 
 def _fill(template: str, group: str) -> str:
-    """Result text with ``{1}``, ``{n}`` and the two fraction forms replaced."""
-    number = f"cast({group} AS bigint)"
+    """Result text with ``{1}``, ``{n}`` and the two fraction forms replaced; NULL where a number is too long."""
+    number = f"try_cast({group} AS decimal(38, 0))"  # NULL for over 38 digits: the rule then yields nothing
     slots = {
         "{1}": group,
         "{n}": f"cast({number} AS string)",
@@ -49,7 +49,7 @@ def _rule(rule: tuple) -> str:
     test = " AND ".join(hit)
     if "cases" not in opt:
         return f"CASE WHEN {test} THEN {_fill(result, group)} END"
-    arms = " ".join(f"WHEN {test} AND cast({group} AS bigint) BETWEEN {lo} AND {hi} THEN {_fill(template, group)}"
+    arms = " ".join(f"WHEN {test} AND try_cast({group} AS decimal(38, 0)) BETWEEN {lo} AND {hi} THEN {_fill(template, group)}"
                     for lo, hi, template in opt["cases"])
     return f"CASE {arms} END"
 

@@ -182,14 +182,15 @@ def band_counts(df: DataFrame, col: str, cuts=(10.0, 50.0, 100.0, 200.0)) -> Dat
 def log_hist(df: DataFrame, col: str, bins: int = 40, q: float = 0.99) -> DataFrame:
     """Histogram over log-spaced bins of the positive values up to their q-quantile; empty bins kept."""
     pos = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v") > 0)
-    top = group_quantiles(pos, [], "v", [q], ["top"]).scalar()
-    kept = pos.filter(F.col("v") <= top)
-    edge = kept.agg(F.log10(F.min("v")).alias("lo"), F.log10(F.max("v")).alias("hi"))
-    lo, hi = edge.select("lo").scalar(), edge.select("hi").scalar()
-    pos_in = F.floor((F.log10("v") - lo) / ((hi - lo) / F.lit(float(bins)))).cast("int")
+    top = group_quantiles(pos, [], "v", [q], ["top"]).first()
+    kept = pos.filter(F.col("v") <= F.lit(top[0] if top else None).cast("double"))
+    lo, hi = kept.agg(F.log10(F.min("v")), F.log10(F.max("v"))).first()
+    wide = (hi - lo) / bins if lo is not None else 0.0
+    # a single value has all its rows in the first bin
+    pos_in = F.floor((F.log10("v") - F.lit(lo)) / F.lit(wide)).cast("int") if wide > 0 else F.lit(0)
     n = kept.groupBy(F.least(F.greatest(pos_in, F.lit(0)), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
     axis = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    lower = F.pow(F.lit(10.0), lo + F.col("bin") * ((hi - lo) / F.lit(float(bins))))
+    lower = F.pow(F.lit(10.0), F.lit(lo).cast("double") + F.col("bin") * F.lit(wide))
     return axis.join(n, "bin", "left").select("bin", lower.alias("lower"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -252,7 +253,7 @@ def mjd_consistency(df: DataFrame, mjd: str = "mjd", date_obs: str = "date_obs",
     err = (F.col(mjd) - (start + F.col(exptime) / 86400.0 / 2)) * 86400.0
     d = df.select(err.alias("e")).filter(F.col("e").isNotNull())
     return d.agg(F.count("*").alias("n"), F.max(F.abs("e")).alias("max_abs_s"), F.avg(F.abs("e")).alias("mean_abs_s"),
-                 (100.0 * F.count_if(F.abs("e") <= 1.0) / F.count("*")).alias("pct_within_1s"))
+                 F.try_divide(100.0 * F.count_if(F.abs("e") <= 1.0), F.count("*")).alias("pct_within_1s"))
 
 
 def reduction_stats(df: DataFrame, steps: list[str], final: str) -> DataFrame:

@@ -12,6 +12,9 @@ from lineloom.operators.skew import (BROADCAST_ROWS, CHUNK, HOT_ROWS, attach_chu
 from lineloom.session import materialize
 
 
+ONE_TASK_EDGES = 50_000
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, key: str, ignore_case: bool = False) -> DataFrame:
     """Rows whose key is listed (left semi)."""
     return _by_list(df, keys, key, "left_semi", ignore_case)
@@ -140,7 +143,7 @@ def radius_edges(df: DataFrame, id_col: str, x: str, y: str, r: float, work: int
         link = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
         edges.append(pairs.filter(sure).select(*link).distinct())
         open_ = pairs.filter(~sure)
-        small = (F.col("n") * F.col("n2") <= work) | F.lit(level >= 20)
+        small = (F.col("n") * F.col("n2") <= work) | F.lit(level >= 45)  # doubles cannot be split further
         edges.append(_witness(open_.filter(small), spot, scale, r).select(*link).distinct())
         rest = open_.filter(~small)
         if not rest.take(1):
@@ -171,16 +174,16 @@ def _witness(cell_pairs: DataFrame, spot: DataFrame, scale: int, r: float) -> Da
     return j.filter(dx * dx + dy * dy <= r * r)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id", max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, component) with the smallest id as component, by alternating large-star and small-star.
 
     Only minima are aggregated, never neighbour lists; each round is written to the shared folder.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _checksum(e)
-    for _ in range(max_rounds):
+    while True:
         n = mark[0]  # edges known, which bounds every group below
-        if n <= BROADCAST_ROWS:
+        if n <= ONE_TASK_EDGES:
             e = e.coalesce(1)  # few enough for one task: no shuffles
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -197,8 +200,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     v = vertices.select(F.col(id_col).alias("id")).distinct()
     return v.join(e.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("m", "id").alias("component"))

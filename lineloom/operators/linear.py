@@ -1,7 +1,8 @@
 """PCA and cross-validated ridge from distributed second-moment sums.
 
 Rows are visited in Arrow batches only to add up second moments, leave-one-out errors and
-predictions; the driver sees d x d sums (``max_width`` limits d), never rows.
+predictions; the driver sees d x d sums, never rows. Rows whose vector is NULL or holds a NULL or
+non-finite number take no part in a fit and get NULL scores and predictions.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.scalars import is_finite
 
-MAX_WIDTH = 2048
 GROUPS_IN_MEMORY = 64
 
 
@@ -66,10 +66,18 @@ def unpack(m) -> np.ndarray:
 
 def width(df: DataFrame, x: str) -> int:
     row = df.select(F.size(x)).filter(F.col(x).isNotNull()).take(1)
-    d = row[0][0] if row else 0
-    if d > MAX_WIDTH:
-        raise ValueError(f"{d} inputs exceed the limit of {MAX_WIDTH}")
-    return d
+    return row[0][0] if row else 0
+
+
+def usable(x) -> Column:
+    """Whether a vector is there and finite throughout."""
+    x = F.col(x) if isinstance(x, str) else x
+    bad = F.exists(x, lambda v: v.isNull() | ~is_finite(v.cast("double")))
+    return x.isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
+def good_rows(s: pd.Series) -> np.ndarray:
+    return np.array([a is not None and np.isfinite(np.asarray(a, dtype=float)).all() for a in s], dtype=bool)
 
 
 # ---- PCA -------------------------------------------------------------------------------------
@@ -86,7 +94,10 @@ class Pca:
 
         @F.pandas_udf("array<double>")
         def run(s: pd.Series) -> pd.Series:
-            return pd.Series(list((stack(s) - centre) @ mat)) if len(s) else pd.Series([], dtype=object)
+            out, good = [None] * len(s), good_rows(s)
+            for i, row in zip(np.flatnonzero(good), (stack(s[good]) - centre) @ mat if good.any() else ()):
+                out[i] = row
+            return pd.Series(out, dtype=object)
         return run(x)
 
 
@@ -96,7 +107,7 @@ def fit_pca(df: DataFrame, x: str, k: int, standardize: bool = False) -> Pca:
     Fit on training rows by passing only those (L2). Axis signs: largest loading positive.
     """
     width(df, x)
-    s = unpack(moments(df.filter(F.col(x).isNotNull()), x).first()["m"])[:-1, :-1]
+    s = unpack(moments(df.filter(usable(x)), x).first()["m"])[:-1, :-1]
     n = s[0, 0]
     mean = s[0, 1:] / n
     cov = s[1:, 1:] / n - np.outer(mean, mean)
@@ -195,7 +206,7 @@ def _fold_models(src: DataFrame) -> tuple[dict, dict]:
 
 def _folded(df: DataFrame, x: str, y: str, fold: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*keep, F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
-                     F.col(fold).cast("string").alias("g")).filter(is_finite("y") & F.col("x").isNotNull())
+                     F.col(fold).cast("string").alias("g")).filter(is_finite("y") & usable("x"))
 
 
 def _predict(df: DataFrame, models: dict, alpha: dict, keep: list[str]) -> DataFrame:
@@ -206,9 +217,9 @@ def _predict(df: DataFrame, models: dict, alpha: dict, keep: list[str]) -> DataF
         ms, al = shared.value
         for pdf in batches:
             pred = np.full(len(pdf), np.nan)
-            g = pdf["g"].to_numpy()
+            g, good = pdf["g"].to_numpy(), good_rows(pdf["x"])
             for k, m in ms.items():
-                use = g == k
+                use = (g == k) & good
                 if use.any():
                     pred[use] = m.predict(m.rotate(stack(pdf["x"][use])), al[k])
             yield pdf[keep].assign(y_pred=pred)
@@ -219,7 +230,7 @@ def _predict(df: DataFrame, models: dict, alpha: dict, keep: list[str]) -> DataF
 def ridge_fit(df: DataFrame, x: str, y: str, alphas) -> tuple[Design, float]:
     """Standardised ridge with an unpenalised intercept; alpha by leave-one-out error over the grid."""
     width(df, x)
-    src = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.lit("all").alias("g")).filter(is_finite("y"))
+    src = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.lit("all").alias("g")).filter(is_finite("y") & usable("x"))
     m = design(unpack(moments(src, "x", "y").first()["m"]))
     err = _errors(src, {"all": m}, alphas, held_out=False)[0]["all"]
     return m, float(list(alphas)[int(np.argmin(err))])
@@ -296,24 +307,48 @@ def loo_features(target: str, features: list[str]) -> Column:
                      for f in features if f != target])
 
 
-def per_entity_r2(df: DataFrame, entity: str, x: str, y: str, alpha: float = 1.0, min_rows: int = 30) -> DataFrame:
-    """In-sample R2 of a ridge fitted per entity, from per-entity moments (no group is gathered)."""
-    src = df.filter(is_finite(F.col(y).cast("double")) & F.col(x).isNotNull() & F.col(entity).isNotNull())
-    m = moments(src, x, y, entity)
+def per_entity_r2(df: DataFrame, entity: str, x: str, y: str, alpha: float = 1.0, min_rows: int = 30, folds: int = 5) -> DataFrame:
+    """Cross-validated R2 of a ridge fitted per entity, all dimensions: (entity, n, r2_cv).
+
+    Folds go by a hash of the row. One moments pass per (entity, fold) is enough: training sums are the
+    entity's minus the fold's, and the squared error over a fold follows from the fold's own sums. No group
+    is gathered, only ``folds`` sums per entity. NULL below ``min_rows`` rows or where a fold does not vary.
+    """
+    src = df.filter(is_finite(F.col(y).cast("double")) & usable(x) & F.col(entity).isNotNull())
+    key = F.struct(F.col(entity).alias("e"), F.pmod(F.xxhash64(x, y), F.lit(folds)).alias("f"))
+    m = moments(src.withColumn("_g", F.to_json(key)), x, y, "_g")
 
     @F.pandas_udf("struct<n:long, r2:double>")
-    def solve(s: pd.Series) -> pd.DataFrame:
+    def solve(lists: pd.Series) -> pd.DataFrame:
         rows = []
-        for packed in s:
-            z = unpack(packed)
-            d = design(z)
-            total = z[-1, -1] - d.n * d.y_mean ** 2
-            w = d.loads / (d.values + alpha)
-            err = total - 2 * w @ d.loads + (w * w) @ d.values
-            rows.append((int(d.n), 1 - err / total if d.n >= min_rows and total > 0 else None))
+        for packed in lists:
+            parts = [unpack(p) for p in packed]
+            whole = sum(parts)
+            n, scores = int(whole[0, 0]), []
+            for z in parts:
+                total = z[-1, -1] - z[0, -1] ** 2 / z[0, 0]
+                if n < min_rows or len(parts) < 2 or total <= 0 or whole[0, 0] - z[0, 0] < 2:
+                    scores = []
+                    break
+                d = design(whole - z)
+                slope = (d.axes @ (d.loads / (d.values + alpha))) / d.scale
+                w = np.concatenate([[d.y_mean - slope @ d.mean], slope])
+                error = z[-1, -1] - 2 * w @ z[:-1, -1] + w @ z[:-1, :-1] @ w
+                scores.append(1 - error / total)
+            rows.append((n, float(np.mean(scores)) if scores else None))
         return pd.DataFrame(rows, columns=["n", "r2"])
 
-    return m.withColumn("_s", solve("m")).select(F.col("g").alias(entity), "_s.n", "_s.r2")
+    named = m.withColumn("_k", F.from_json("g", f"e {df.schema[entity].dataType.simpleString()}, f long"))
+    per = named.groupBy(F.col("_k.e").alias(entity)).agg(F.array_sort(F.collect_list(F.struct(F.col("_k.f").alias("f"), "m"))).alias("_all"))
+    return per.withColumn("_s", solve(F.transform("_all", lambda s: s["m"]))).select(entity, "_s.n", F.col("_s.r2").alias("r2_cv"))
+
+
+def score_summary(df: DataFrame, value: str, above: tuple[float, ...] = (), below: tuple[float, ...] = ()) -> DataFrame:
+    """One row over entities: how many have a value, mean, median and population sigma, and how many lie above
+    or below each cut (names ``above_1`` .. in the order given)."""
+    v = F.col(value)
+    cuts = [F.count_if(v > c).alias(f"above_{k + 1}") for k, c in enumerate(above)] + [F.count_if(v < c).alias(f"below_{k + 1}") for k, c in enumerate(below)]
+    return df.agg(F.count(v).alias("n_entities"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sigma"), *cuts)
 
 
 def gain(results: DataFrame, best: str = "z", base: str = "pca50") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.functions.arrays import let, total
-from lineloom.operators.linear import stack
+from lineloom.operators.linear import stack, usable
 from lineloom.operators.ranking import class_means
 from lineloom.operators.skew import attach, lookup_join
 from lineloom.session import materialize
@@ -46,7 +46,7 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, group: str | None = None,
     """
     v = unit(vec) if cosine else F.transform(vec, lambda x: x.cast("double"))
     g = F.col(group).cast("string") if group else F.lit("")
-    pts = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), g.alias("g"))
+    pts = df.filter(usable(vec)).select(F.col(id_col).alias("id"), v.alias("v"), g.alias("g"))
     sizes = pts.groupBy("g").agg(F.count("*").alias("n"))
     if sizes.agg(F.max("n")).first()[0] is None or sizes.filter(F.col("n") > block).limit(1).count() == 0:
         return _rank(_within(pts.withColumn("c", F.lit(0)).withColumn("s", F.lit(0)), k), k)
@@ -92,7 +92,7 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, group: str | None = None,
             a["id"].to_numpy(), stack(a["v"]), b["id"].to_numpy(), stack(b["v"]), k))))
 
     more = cand.drop("fan").groupBy(*keys).cogroup(blocks.drop("fan").groupBy(*keys)).applyInPandas(
-        match, "id long, nb long, dist double")
+        match, _pair_schema(pts))
     return _rank(first.unionByName(more), k)
 
 
@@ -100,7 +100,12 @@ def _within(pts: DataFrame, k: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, v = pdf["id"].to_numpy(), stack(pdf["v"])
         return pd.DataFrame(dict(zip(("id", "nb", "dist"), _best(ids, v, ids, v, k))))
-    return pts.groupBy("g", "c", "s").applyInPandas(run, "id long, nb long, dist double")
+    return pts.groupBy("g", "c", "s").applyInPandas(run, _pair_schema(pts))
+
+
+def _pair_schema(pts: DataFrame) -> str:
+    kind = pts.schema["id"].dataType.simpleString()
+    return f"id {kind}, nb {kind}, dist double"
 
 
 def _rank(pairs: DataFrame, k: int) -> DataFrame:
@@ -115,7 +120,7 @@ def knn_purity(df: DataFrame, id_col: str, vec: str, label: str, entity: str, k:
     tags = df.select(F.col(id_col).alias("nb"), F.col(label).alias("l"))
     votes = nb.join(tags, "nb").groupBy("id", "l").agg(F.count("*").alias("n"))
     said = votes.groupBy("id").agg(F.min_by("l", F.struct(-F.col("n"), F.col("l"))).alias("vote"))
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(entity).alias("entity"), F.col(label).alias("own"))
+    own = df.select(F.col(id_col).alias("id"), F.col(entity).alias("entity"), F.col(label).alias("own"))
     acc = own.join(said, "id").groupBy("entity").agg(
         F.count("*").alias("n"), F.avg((F.col("vote") == F.col("own")).cast("double")).alias("accuracy"))
     share = own.groupBy("entity", "own").agg(F.count("*").alias("c")).groupBy("entity").agg(
@@ -126,7 +131,7 @@ def knn_purity(df: DataFrame, id_col: str, vec: str, label: str, entity: str, k:
 def recall_at_k(df: DataFrame, id_col: str, vec: str, entity: str, k: int = 10) -> DataFrame:
     """Share of rows with a row of the same entity among their k nearest."""
     nb = knn(df, id_col, vec, k)
-    tag = df.select(F.col(id_col).cast("long").alias("id"), F.col(entity).alias("e"))
+    tag = df.select(F.col(id_col).alias("id"), F.col(entity).alias("e"))
     hit = (nb.join(tag, "id").join(tag.select(F.col("id").alias("nb"), F.col("e").alias("e2")), "nb")
            .groupBy("id").agg(F.max((F.col("e") == F.col("e2")).cast("int")).alias("h")))
     return hit.agg(F.count("*").alias("n_queries"), F.sum("h").alias("n_hits"), F.avg("h").alias("recall"))
@@ -139,7 +144,7 @@ def centroid_similarity(df: DataFrame, vec: str, label: str, entity: str) -> Dat
     b = c.select(entity, F.col(label).alias("label_b"), F.col("centroid").alias("cb"))
     j = lookup_join(a, b, [entity], "inner").filter("label_a < label_b")
     dot = lambda p, q: total(F.zip_with(p, q, lambda x, y: x * y))
-    cos = dot("ca", "cb") / F.sqrt(dot("ca", "ca") * dot("cb", "cb"))
+    cos = F.try_divide(dot("ca", "cb"), F.sqrt(dot("ca", "ca") * dot("cb", "cb")))  # NULL for a zero centroid
     gap = F.sqrt(total(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y))))
     return j.select(entity, "label_a", "label_b", cos.alias("cosine"), gap.alias("distance"))
 

@@ -18,6 +18,7 @@ HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 500_000
 QUANTILE_ROWS = 1_000_000  # above this, hash maps of all values cost more than two scans
 SKETCH_ACCURACY = 10_000
+NULL_SALTS = 4096
 CHUNK, BLOCK, HALO = "_chunk", "_block", "_halo"
 
 
@@ -64,9 +65,11 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "l
         return big.join(other, keys, how)
     fan = hot.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan"))
     spread_on = [c for c in big.columns if c not in keys] or keys
+    # a NULL key meets nothing, so such rows may go anywhere
+    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     left = (big.join(F.broadcast(fan), keys, "left")
-            .withColumn("_salt", F.when(F.col("_fan").isNull(), F.lit(0)).otherwise(
-                F.pmod(F.xxhash64(*spread_on), F.col("_fan")).cast("int")))
+            .withColumn("_salt", F.when(no_key, F.pmod(F.xxhash64(*spread_on), F.lit(NULL_SALTS)).cast("int")).when(
+                F.col("_fan").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread_on), F.col("_fan")).cast("int")))
             .drop("_fan"))
     right = (other.join(F.broadcast(fan), keys, "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from itertools import combinations_with_replacement
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +10,7 @@ from pyspark.sql import functions as F
 from lineloom.operators.skew import attach
 from lineloom.session import materialize
 
-CHUNK_ROWS, MAX_CHUNKS = 50_000, 4096
+CHUNK_ROWS = 50_000
 
 
 def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", model: str = "y_pred",
@@ -21,31 +18,37 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Paired bootstrap of mean|model error| / mean|base error| per ``by`` value.
 
-    Rows fall into hashed chunks. A replicate first splits its n draws over the chunks
-    (multinomial by chunk size), then draws rows inside each chunk: the same distribution as n
-    draws from all rows, with no task holding more than a chunk.
+    Rows fall into 2**L hashed chunks of ``chunk_rows`` or fewer, about. A replicate splits its n draws over
+    them down a binary tree: at each node the left half gets a binomial share by its rows, from a generator
+    seeded by the node, so every chunk finds its own draws from the L nodes above it. Rows are then drawn
+    inside the chunk: the distribution of n draws from all rows, with no task holding more than a chunk.
     """
     err = pred.select(F.col(by).cast("string").alias("k"), F.abs(F.col(model) - F.col(y)).alias("m"),
                       F.abs(F.col(base) - F.col(y)).alias("p"),
                       F.xxhash64(*[c for c in pred.columns]).alias("h"))
     err = materialize(err.filter(F.col("m").isNotNull() & F.col("p").isNotNull()))
     size = err.groupBy("k").agg(F.count("*").alias("n"))
-    chunks = F.greatest(F.lit(1), F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("n") / chunk_rows))).cast("int")
-    placed = attach(err, size.select("k", chunks.alias("nc")), ["k"]).withColumn("c", F.pmod("h", F.col("nc")).cast("int"))
-    placed = materialize(placed.select("k", "c", "m", "p", "h"))
-    counts = placed.groupBy("k", "c").agg(F.count("*").alias("cn"))
-    # at most MAX_CHUNKS numbers per key
-    plan = counts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "cn"))).alias("all"))
-    plan = plan.select("k", F.explode("all").alias("one"), F.transform("all", lambda s: s["cn"]).alias("sizes"),
-                       F.transform("all", lambda s: s["c"]).alias("ids")).select("k", F.col("one.c").alias("c"), "sizes", "ids")
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / chunk_rows))).cast("int")
+    placed = attach(err, size.select("k", "n", depth.alias("depth")), ["k"])
+    placed = placed.withColumn("c", F.expr("pmod(h, shiftleft(1L, depth))"))
+    placed = materialize(placed.select("k", "c", "m", "p", "h", "n", "depth"))
+    counts = placed.groupBy("k", "c", "n", "depth").agg(F.count("*").alias("cn"))
+    # one row per chunk and level: the node below, its rows and those of its sibling
+    steps = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("node", F.expr("shiftright(c, depth - level)"))
+    nodes = materialize(steps.groupBy("k", "level", "node").agg(F.sum("cn").alias("rows")))
+    other = nodes.select("k", "level", F.expr("node ^ 1").alias("node"), F.col("rows").alias("sibling"))
+    path = steps.join(nodes, ["k", "level", "node"]).join(other, ["k", "level", "node"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("level", "node", "rows", F.coalesce("sibling", F.lit(0)).alias("sibling"))))
+    plan = materialize(path.groupBy("k", "c", "n").agg(listed.alias("path")))
 
     def run(key, pdf: pd.DataFrame, alloc: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "m", "p"])
-        sizes = np.asarray(alloc["sizes"].iloc[0], dtype=float)
-        spot = int(np.flatnonzero(np.asarray(alloc["ids"].iloc[0]) == key[1])[0])
-        n = int(sizes.sum())
-        draws = (np.full(n_boot, n) if len(sizes) == 1 else
-                 np.random.default_rng([seed, 0]).multinomial(n, sizes / n, size=n_boot)[:, spot])
+        draws = np.full(n_boot, int(alloc["n"].iloc[0]))
+        for level, node, rows, sibling in (tuple(s.values()) for s in alloc["path"].iloc[0]):
+            if level:
+                left = rows if node % 2 == 0 else sibling
+                share = np.random.default_rng([seed, 0, int(level), int(node) // 2]).binomial(draws, left / (rows + sibling))
+                draws = share if node % 2 == 0 else draws - share
         rng = np.random.default_rng([seed, 1, int(key[1])])
         both = pdf[["m", "p"]].to_numpy()
         sums = np.empty((n_boot, 2))
@@ -76,24 +79,12 @@ def claim(lo, hi) -> Column:
     return F.when(F.col(hi) < 1, "beats").when(F.col(lo) > 1, "fails").otherwise("inconclusive")
 
 
-MAX_EXACT = 10
-
-
-def resample_means(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All means of same-size resamples and their probabilities."""
-    n = len(values)
-    idx = np.array(list(combinations_with_replacement(range(n), n)))
-    ways = np.array([math.factorial(n) / math.prod(math.factorial(c) for c in np.bincount(i)) for i in idx])
-    return values[idx].mean(axis=1), ways / float(n) ** n
-
-
 def bootstrap_mean(values, ci: float = 95.0, n_boot: int = 10_000, seed: int = 42) -> Column:
-    """``struct<lo, hi>``: bootstrap interval of the mean of a short array (one entry per seed).
+    """``struct<lo, hi>``: percentile bootstrap interval of the mean of an array (one entry per seed).
 
-    Up to ten values the resamples are enumerated and the inverse-CDF quantiles taken, so the result
-    is exact; longer arrays are resampled.
+    One rule for every length: ``n_boot`` resamples from a fixed seed, interpolated percentiles.
     """
-    q = (100 - ci) / 200
+    q = (100 - ci) / 2
 
     @F.pandas_udf("struct<lo:double, hi:double>")
     def run(s: pd.Series) -> pd.DataFrame:
@@ -103,14 +94,9 @@ def bootstrap_mean(values, ci: float = 95.0, n_boot: int = 10_000, seed: int = 4
             if not len(v):
                 rows.append((None, None))
                 continue
-            if len(v) <= MAX_EXACT:
-                m, p = resample_means(v)
-                order = np.argsort(m, kind="stable")
-                cum = np.cumsum(p[order])
-                rows.append(tuple(float(m[order][min(np.searchsorted(cum, t - 1e-12), len(m) - 1)]) for t in (q, 1 - q)))
-            else:
-                m = np.random.default_rng(seed).choice(v, (n_boot, len(v))).mean(axis=1)
-                rows.append(tuple(float(x) for x in np.percentile(m, [100 * q, 100 * (1 - q)])))
+            rng, step = np.random.default_rng(seed), max(1, 4_000_000 // len(v))
+            m = np.concatenate([rng.choice(v, (min(step, n_boot - at), len(v))).mean(axis=1) for at in range(0, n_boot, step)])
+            rows.append(tuple(float(x) for x in np.percentile(m, [q, 100 - q])))
         return pd.DataFrame(rows, columns=["lo", "hi"])
 
     return run(values)

@@ -33,20 +33,23 @@ def snr_rejects(scored: DataFrame, fl: str = "flux") -> DataFrame:
     return out.withColumn("cause", cause).withColumn("pct_zeros", F.round(zeros, 3)).drop("_f")
 
 
-def extract_features(df: DataFrame, grid: LineGrid = H_ALPHA, snr_min: float | None = 10.0, velocity: str | None = None,
+def extract_features(df: DataFrame, grid: LineGrid = H_ALPHA, snr_min: float | None = 10.0, velocity: str | None = "bss_rqvh",
                      keep: tuple[str, ...] = ("spectrum_id", "star_name", "mjd")) -> DataFrame:
     """One row per spectrum: ``reject_reason`` or the measured features and the normalised vector.
 
     Cheap scalar tests decide first; the coverage test uses uncorrected bounds, and a missing SNR
-    passes. Arrays of rejected rows never reach Python.
+    passes. Arrays of rejected rows never reach Python. Wavelengths are corrected by the ``velocity`` column
+    where the table has it; NULL catalogue bounds are taken from the array.
     """
     named = F.col("star_name").isNotNull() & (F.col("star_name") != "") & (F.col("mjd") > 0)
     reason = F.when(~F.coalesce(named, F.lit(False)), "no_key")
     if snr_min is not None:
         bad = F.coalesce(is_finite(F.col("snr")) & (F.col("snr") < snr_min), F.lit(False))
         reason = reason.when(bad, "low_snr")
-    reason = reason.when(~F.coalesce(covers("lambda_min", "lambda_max", grid.centre, grid.half), F.lit(False)), "no_coverage")
-    v = F.col(velocity) if velocity else F.lit(None).cast("double")
+    bound = lambda c, of: F.coalesce(F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double"), of("wavelength").cast("double"))
+    df = df.withColumns({"_lo": bound("lambda_min", F.array_min), "_hi": bound("lambda_max", F.array_max)})
+    reason = reason.when(~F.coalesce(covers("_lo", "_hi", grid.centre, grid.half), F.lit(False)), "no_coverage")
+    v = F.col(velocity) if velocity in df.columns else F.lit(None).cast("double")
     src = df.select(*keep, reason.alias("_why"), "wavelength", "flux", v.cast("double").alias("_v"))
     ok = F.col("_why").isNull()
     m = src.withColumn("_m", measure_spectrum(F.when(ok, F.col("wavelength")), F.when(ok, F.col("flux")), F.col("_v"), grid))
@@ -75,7 +78,7 @@ def _derive(m: DataFrame, vec: str, grid: LineGrid) -> DataFrame:
 
 def extract_line(df: DataFrame, grid: LineGrid, keep=("spectrum_id", "star_name", "mjd")) -> DataFrame:
     """Second-line job: window vector and local equivalent width, no SNR gate."""
-    out = extract_features(df, grid, None, None, keep)
+    out = extract_features(df, grid, None, keep=keep)
     return out.select(*keep, "reject_reason", "flux_norm", "ew")
 
 

@@ -97,24 +97,26 @@ RESULT_TREE = "map<string, map<string, map<string, double>>>"
 
 
 def results_to_long(df: DataFrame, json_col: str = "results") -> DataFrame:
-    """Nested result text (feature -> representation -> metric -> value) as metric rows."""
+    """Nested result text (feature -> representation -> metric -> value) as metric rows. A text that cannot be
+    read gives one row whose feature, representation, metric and value are NULL."""
     keep = [c for c in df.columns if c != json_col]
-    return (df.select(*keep, F.explode(F.from_json(json_col, RESULT_TREE)).alias("feature", "_r"))
-            .select(*keep, "feature", F.explode("_r").alias("representation", "_m"))
-            .select(*keep, "feature", "representation", F.explode("_m").alias("metric", "value")))
+    read = df.select(*keep, F.from_json(json_col, RESULT_TREE).alias("_t"), F.col(json_col).isNotNull().alias("_given"))
+    one = read.select(*keep, F.explode_outer("_t").alias("feature", "_r"), (F.col("_given") & F.col("_t").isNull()).alias("_bad")).filter("_bad or feature is not null")
+    two = one.select(*keep, "feature", F.explode_outer("_r").alias("representation", "_m"), "_bad").filter("_bad or representation is not null")
+    three = two.select(*keep, "feature", "representation", F.explode_outer("_m").alias("metric", "value"), "_bad").filter("_bad or metric is not null")
+    return three.drop("_bad")
 
 
 def long_to_json(df: DataFrame, by: list[str]) -> DataFrame:
-    """One nested result text per ``by`` group. A group is one run: features x representations x metrics."""
-    metric = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
-    reps = F.map_from_entries(F.array_sort(F.collect_list(F.struct("representation", F.to_json("m").alias("j")))))
-    per_rep = df.groupBy(*by, "feature", "representation").agg(metric.alias("m"))
-    per_feature = per_rep.groupBy(*by, "feature").agg(reps.alias("r"))
-    text = F.array_join(F.transform(F.map_entries("r"), lambda e: F.concat(
-        F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
-    entry = F.concat(F.lit('"'), F.col("feature"), F.lit('":{'), text, F.lit("}"))
-    return per_feature.groupBy(*by).agg(F.concat(
-        F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("results"))
+    """One nested result text per ``by`` group, keys escaped and in order. A group is one run: features x
+    representations x metrics. Of repeated metrics the largest value is written."""
+    entries = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    once = df.groupBy(*by, "feature", "representation", "metric").agg(F.max("value").alias("value"))
+    per_rep = once.groupBy(*by, "feature", "representation").agg(entries("metric", "value").alias("m"))
+    # maps have no order to sort by, so each level sorts its keys beside them
+    nested = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)), lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)))
+    per_feature = per_rep.groupBy(*by, "feature").agg(nested("representation", "m").alias("r"))
+    return per_feature.groupBy(*by).agg(F.to_json(nested("feature", "r")).alias("results"))
 
 
 def assemble(meta: DataFrame, arrays: DataFrame, key: str = "id") -> DataFrame:

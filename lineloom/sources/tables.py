@@ -130,10 +130,10 @@ class Tables:
 
     @property
     def vec(self) -> DataFrame:
-        """Embeddings with targets and strata."""
+        """Embeddings with strata and two made-up targets, one linear and one curved in the vector."""
         v, d = F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double"))
         y = total(F.transform(d, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)))
-        y2 = total(F.transform(F.slice(d, 1, 8), lambda x: x * x))
+        y2 = total(F.transform(d, lambda x, i: x * x * (i % 5).cast("double")))
         return self.raw("embeddings").select(
             v.alias("row_id"), F.col("embedding").alias("z"), F.col("label"), F.concat(F.lit("E"), F.col("label").cast("string")).alias("star_name"),
             (v % 3).cast("int").alias("cls"), ((v * 37) % 400).cast("double").alias("snr"), y.alias("y"), y2.alias("y2"),
