@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lineloom import get_spark  # noqa: E402
 from lineloom.catalog import load  # noqa: E402
+from lineloom.session import drop_scratch  # noqa: E402
 
 HEADLINE = [
     # curation
@@ -50,6 +51,7 @@ def main() -> None:
         times[name] = round(best, 3)
     print(json.dumps({"metric": "headline queries, total wall-clock", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(path.rstrip("/"))}), flush=True)
+    drop_scratch(spark)
     spark.stop()
 
 

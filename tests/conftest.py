@@ -12,6 +12,8 @@ def spark():
     s = get_spark("tests", 8, 8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from lineloom.session import drop_scratch
+    drop_scratch(s)
     s.stop()
 
 
