@@ -36,6 +36,48 @@ def pca_full_rank(t):
     return p.select("row_id", F.abs(F.round(F.sqrt(sq("p")) - F.sqrt(sq("d")), 6)).alias("gap"))
 
 
+def two_inputs(t):
+    """Two inputs from all dimensions, and the curved target."""
+    at = lambda odd: F.aggregate(F.transform("z", lambda x, i: F.when(i % 2 == odd, x.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    return t.vec.select("row_id", "mjd", F.array(at(0), at(1)).alias("w"), "y2")
+
+
+TWO = """w AS (SELECT row_id, mjd, list_sum(list_transform(range(1, 65, 2), lambda i: z[i])) AS a, list_sum(list_transform(range(2, 65, 2), lambda i: z[i])) AS b,
+  list_sum(list_transform(range(64), lambda i: z[i+1]*z[i+1]*(i % 5))) AS y FROM vec),
+  d AS (SELECT *, CASE WHEN rn < e*(q+1) THEN rn // (q+1) ELSE e + (rn - e*(q+1)) // q END AS fold FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS rn, count(*) OVER () // 5 AS q, count(*) OVER () % 5 AS e FROM w)),
+  s AS (SELECT f.fold AS f, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y)/stddev_pop(a) AS qa, covar_pop(b, y)/stddev_pop(b) AS qb
+    FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+  m AS (SELECT *, ((n+1)*n*qa - n*r*n*qb)/((n+1)*(n+1) - n*r*n*r) AS ca, ((n+1)*n*qb - n*r*n*qa)/((n+1)*(n+1) - n*r*n*r) AS cb FROM s),
+  p AS (SELECT row_id, fold, y, my + ca*(a - ma)/sa + cb*(b - mb)/sb AS y_pred FROM d JOIN m ON d.fold = m.f)"""
+
+
+@query("""w AS (SELECT mjd, list_sum(list_transform(range(1, 65, 2), lambda i: z[i])) AS a, list_sum(list_transform(range(2, 65, 2), lambda i: z[i])) AS b FROM vec),
+  c AS (SELECT 'all' AS part, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM w UNION ALL SELECT 'train', var_pop(a), var_pop(b), covar_pop(a, b) FROM w WHERE mjd <= 100
+    UNION ALL SELECT 'scaled', 1, 1, corr(a, b) FROM w)
+  SELECT part, round(((va+vb)/2 + sqrt((va-vb)*(va-vb)/4 + c*c))/(va+vb), 6) AS explained FROM c""", "vec")
+def pca_explained_two_inputs(t):
+    """Share of variance on the first axis: all rows, training rows, standardised."""
+    v = materialize(two_inputs(t))
+    rows = [("all", L.fit_pca(v, "w", 1)), ("train", L.fit_pca(v.filter("mjd <= 100"), "w", 1)), ("scaled", L.fit_pca(v, "w", 1, standardize=True))]
+    return t.spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.round(F.lit(float(p.explained)), 6).alias("explained")) for n, p in rows])))
+
+
+@query(TWO + """, e AS (SELECT fold, 1 - sum((y-y_pred)*(y-y_pred))/(var_pop(y)*count(*)) AS r2, count(*) AS n FROM p GROUP BY fold)
+  SELECT round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std, sum(n)::BIGINT AS n_valid FROM e""", "vec")
+def probe_two_inputs(t):
+    """Cross-validated ridge on two inputs, five contiguous folds, one penalty."""
+    v = materialize(assign_folds(two_inputs(t), 5, "contiguous"))
+    return rnd(L.probe(v, "w", "y2", [1.0]))
+
+
+@query(TWO + " SELECT row_id, fold::INT AS fold, round(y, 5) AS y, round(y_pred, 5) AS y_pred FROM p", "vec")
+def oof_two_inputs(t):
+    """Out-of-fold predictions of the same model."""
+    v = materialize(assign_folds(two_inputs(t), 5, "contiguous"))
+    p = L.oof_predict(v, "w", "y2", [1.0], keep=("row_id",))
+    return p.select("row_id", "fold", F.round("y", 5).alias("y"), F.round("y_pred", 5).alias("y_pred"))
+
+
 @query(None)
 def ridge_probe(t):
     """Cross-validated linear probe of an exactly linear and of a curved target."""
@@ -101,24 +143,47 @@ def projection_2d(t):
 COS = "list_cosine_similarity(a.z, b.z)"
 
 
-@query(f"""nn AS (SELECT a.row_id, a.star_name, a.cls AS own, b.cls AS l, row_number() OVER (PARTITION BY a.row_id ORDER BY {COS} DESC, b.row_id) AS k
+PURITY = f"""nn AS (SELECT a.row_id, a.star_name, a.cls AS own, b.cls AS l, row_number() OVER (PARTITION BY a.row_id ORDER BY {COS} DESC, b.row_id) AS k
     FROM vec a JOIN vec b ON a.star_name = b.star_name AND a.row_id <> b.row_id),
   votes AS (SELECT row_id, star_name, own, l, count(*) AS n FROM nn WHERE k <= 5 GROUP BY ALL),
   said AS (SELECT row_id, star_name, own, l, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, l) AS r FROM votes),
-  share AS (SELECT star_name, max(c)::DOUBLE/sum(c) AS baseline FROM (SELECT star_name, cls, count(*) AS c FROM vec GROUP BY ALL) GROUP BY 1)
-  SELECT star_name AS entity, count(*) AS n, round(avg((l = own)::INT), 6) AS accuracy, round(any_value(baseline), 6) AS baseline, round(avg((l = own)::INT) - any_value(baseline), 6) AS delta
-  FROM said JOIN share USING (star_name) WHERE r = 1 GROUP BY star_name""", "vec")
+  share AS (SELECT star_name, max(c)::DOUBLE/sum(c) AS baseline FROM (SELECT star_name, cls, count(*) AS c FROM vec GROUP BY ALL) GROUP BY 1),
+  pu AS (SELECT star_name AS entity, count(*) AS n, avg((l = own)::INT) AS accuracy, any_value(baseline) AS baseline, avg((l = own)::INT) - any_value(baseline) AS delta
+  FROM said JOIN share USING (star_name) WHERE r = 1 GROUP BY star_name)"""
+
+
+@query(PURITY + " SELECT entity, n, round(accuracy, 6) AS accuracy, round(baseline, 6) AS baseline, round(delta, 6) AS delta FROM pu", "vec")
 def knn_label_purity(t):
     return rnd(K.knn_purity(t.vec, "row_id", "z", "cls", "star_name", 5))
 
 
-@query("""c AS (SELECT star_name, cls, i, avg(z[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY ALL), v AS (SELECT star_name, cls, list(m ORDER BY i) AS v FROM c GROUP BY ALL)
-  SELECT a.star_name, a.cls AS label_a, b.cls AS label_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, round(list_distance(a.v, b.v), 6) AS distance
-  FROM v a JOIN v b ON a.star_name = b.star_name AND a.cls < b.cls""", "vec")
+def _summary_sql(cte: str, value: str, above=(), below=()) -> str:
+    cuts = [f"count(*) FILTER ({value} > {c}) AS above_{k + 1}" for k, c in enumerate(above)] + [f"count(*) FILTER ({value} < {c}) AS below_{k + 1}" for k, c in enumerate(below)]
+    return f" SELECT count({value}) AS n_entities, round(avg({value}), 6) AS mean, round(median({value}), 6) AS median, round(stddev_pop({value}), 6) AS sigma, {', '.join(cuts)} FROM {cte}"
+
+
+@query(PURITY + _summary_sql("pu", "delta", above=(0.05, 0.1)), "vec")
+def purity_summary(t):
+    """Entities beating their baseline, by how much."""
+    return rnd(L.score_summary(materialize(K.knn_purity(t.vec, "row_id", "z", "cls", "star_name", 5)), "delta", above=(0.05, 0.1)))
+
+
+CENTROIDS = """c AS (SELECT star_name, cls, i, avg(z[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY ALL), v AS (SELECT star_name, cls, list(m ORDER BY i) AS v FROM c GROUP BY ALL),
+  ce AS (SELECT a.star_name, a.cls AS label_a, b.cls AS label_b, list_cosine_similarity(a.v, b.v) AS cosine, list_distance(a.v, b.v) AS distance
+  FROM v a JOIN v b ON a.star_name = b.star_name AND a.cls < b.cls)"""
+
+
+@query(CENTROIDS + " SELECT star_name, label_a, label_b, round(cosine, 6) AS cosine, round(distance, 6) AS distance FROM ce", "vec")
 def centroid_similarity(t):
     return rnd(K.centroid_similarity(t.vec, "z", "cls", "star_name"))
 
 
+@query(CENTROIDS + _summary_sql("ce", "cosine", below=(0.95, 0.9)), "vec")
+def centroid_summary(t):
+    """Label centroids of an entity that lie apart."""
+    return rnd(L.score_summary(materialize(K.centroid_similarity(t.vec, "z", "cls", "star_name")), "cosine", below=(0.95, 0.9)))
+
+
 @query(f"""nn AS (SELECT a.row_id, a.star_name = b.star_name AS hit, row_number() OVER (PARTITION BY a.row_id ORDER BY {COS} DESC, b.row_id) AS k FROM vec a JOIN vec b ON a.row_id <> b.row_id),
   h AS (SELECT row_id, max(hit::INT) AS h FROM nn WHERE k <= 10 GROUP BY 1) SELECT count(*) AS n_queries, sum(h)::BIGINT AS n_hits, round(avg(h), 6) AS recall FROM h""", "vec")
 def recall_at_10(t):

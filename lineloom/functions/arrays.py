@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lineloom.functions.kernels import H_ALPHA, LineGrid
-from lineloom.functions.rules import SPEED_OF_LIGHT_KMS
+from lineloom.functions.rules import SPEED_OF_LIGHT_KMS, ExemplarRules
 from lineloom.functions.scalars import _c, is_finite
 
 
@@ -174,37 +174,54 @@ def patch_means(col, size: int = 8, step: int = 4, bins: int = 128) -> Column:
     return F.transform(patchify(col, size, step, bins), mean_of)
 
 
-def exemplar_scores(col, centre_bin: int | None = None) -> dict[int, Column]:
-    """Score per profile class of how clearly a vector shows it; -1 when it is not eligible."""
-    a = _c(col)
-    if centre_bin is None:
-        centre_bin = int(np.argmin(np.abs(np.linspace(6530.0, 6595.0, 128) - 6562.8)))
-    core = part(a, centre_bin - 4, centre_bin + 5)
-    blue, red = part(a, 5, centre_bin - 5), part(a, centre_bin + 6, 123)
-    top, tiny, emits = F.array_max, F.lit(1e-6), 1.05
-    d = lambda x: x.cast("double")
-    v, r = d(top(blue)), d(top(red))
-    core_min, core_max = d(F.array_min(core)), d(top(core))
-    both = (v >= emits) & (r >= emits)
-    height = (v + r) / 2
-
-    depth = 1 - core_min
-    wings = F.greatest(1 - F.least(d(F.array_min(blue)), d(F.array_min(red))), tiny)
-    absorption = F.when((d(top(a)) > emits) | (depth < 0.03), -1.0).otherwise(depth * depth / wings)
-
-    calm = F.greatest(1 - std_of(F.transform(core, d)) / core_max, F.lit(0.0))
-    single = F.when(core_max < emits, -1.0).otherwise(
-        F.log1p(core_max) * core_max / F.greatest(v, r, tiny) * calm)
-
-    clear = F.greatest((height - core_max) / F.greatest(height - 1, tiny), F.lit(0.0))
-    noise = std_of(F.transform(part(a, 105, 120), d)) + 1e-6
-    drift_b = F.abs(mean_of(part(a, 5, 20)) - 1)
-    drift_r = F.abs(mean_of(part(a, 108, 123)) - 1)
-    flat = F.greatest(1 - 10 * (drift_b + drift_r), F.lit(0.0))
-    eligible = both & (core_min >= 0.98) & (clear >= 0.25) & (drift_b <= 0.012) & (drift_r <= 0.012)
-    double = F.when(eligible, height * F.least(v, r) / F.greatest(v, r) * clear * (height - 1) / noise * flat
-                    ).otherwise(-1.0)
-
-    asym = F.when(both, height * F.abs(v - r) / (v + r)).otherwise(-1.0)
-    shell = depth * F.when((v > emits) & (r > emits), 1.5).otherwise(1.0)
-    return {0: absorption, 1: single, 2: double, 3: asym, 4: shell}
+def exemplar_scores(col, centre_bin: int | None = None, rules: ExemplarRules = ExemplarRules()) -> dict[int, Column]:
+    """Score per profile class of how clearly a vector shows it; -1 when it is not eligible.
+
+    The measures the scores share (extremes of core and wings, side levels, noise) are one struct, evaluated once.
+    """
+    mid = rules_centre(rules) if centre_bin is None else centre_bin
+    cuts = {"core": (mid - rules.core, mid + rules.core + 1), "blue": (rules.edge, mid - rules.core - 1), "red": (mid + rules.core + 2, rules.bins - rules.edge)}
+
+    def measures(a):
+        zone = {k: F.transform(part(a, *c), lambda x: x.cast("double")) for k, c in cuts.items()}
+        level = {k: F.abs(mean_of(part(a, *c)) - 1) for k, c in (("blue", rules.blue_level), ("red", rules.red_level))}
+        parts = [f(zone[k]).alias(f"{k}_{n}") for k in cuts for n, f in (("top", F.array_max), ("low", F.array_min))]
+        return F.struct(*parts, std_of(zone["core"]).alias("ripple"), F.array_max(a).cast("double").alias("top"), level["blue"].alias("drift_blue"),
+                        level["red"].alias("drift_red"), (std_of(F.transform(part(a, *rules.noise), lambda x: x.cast("double"))) + 1e-6).alias("noise"))
+
+    def score(body):
+        return let(measures(_c(col)), body)
+
+    least = F.lit(1e-6)
+    emits = lambda x: x >= rules.emission
+
+    def absorption(m):
+        depth, wings = 1 - m["core_low"], F.greatest(1 - F.least(m["blue_low"], m["red_low"]), least)
+        return F.when((m["top"] > rules.emission) | (depth < rules.least_depth), -1.0).otherwise(depth * depth / wings)
+
+    def single(m):
+        calm = F.greatest(1 - m["ripple"] / m["core_top"], F.lit(0.0))
+        return F.when(~emits(m["core_top"]), -1.0).otherwise(F.log1p(m["core_top"]) * m["core_top"] / F.greatest(m["blue_top"], m["red_top"], least) * calm)
+
+    def double(m):
+        low, high = F.least(m["blue_top"], m["red_top"]), F.greatest(m["blue_top"], m["red_top"])
+        height = (m["blue_top"] + m["red_top"]) / 2
+        dip = F.greatest((height - m["core_top"]) / F.greatest(height - 1, least), F.lit(0.0))
+        flat = F.greatest(1 - rules.drift_weight * (m["drift_blue"] + m["drift_red"]), F.lit(0.0))
+        eligible = (emits(low) & (m["core_low"] >= rules.least_core) & (dip >= rules.least_dip)
+                    & (F.greatest(m["drift_blue"], m["drift_red"]) <= rules.most_drift))
+        return F.when(eligible, height * low / high * dip * (height - 1) / m["noise"] * flat).otherwise(-1.0)
+
+    def asymmetric(m):
+        blue, red = m["blue_top"], m["red_top"]
+        return F.when(emits(F.least(blue, red)), (blue + red) / 2 * F.abs(blue - red) / (blue + red)).otherwise(-1.0)
+
+    def shell(m):
+        return (1 - m["core_low"]) * F.when(F.least(m["blue_top"], m["red_top"]) > rules.emission, rules.shell_bonus).otherwise(1.0)
+
+    return {k: score(f) for k, f in enumerate((absorption, single, double, asymmetric, shell))}
+
+
+def rules_centre(rules: ExemplarRules) -> int:
+    """The bin nearest to the line centre."""
+    return int(np.argmin(np.abs(np.linspace(rules.low, rules.high, rules.bins) - H_ALPHA.centre)))

@@ -7,6 +7,9 @@ that yields a value wins. ``{1}`` is the captured text, ``{n}`` the captured int
 integer - outside all of them the next rule is tried.
 """
 
+from dataclasses import dataclass
+
+
 BIG = 10**9
 
 TELESCOPE_RULES = [
@@ -236,6 +239,16 @@ GREEK = {
 
 CATALOG_PREFIXES = ["HD", "HR", "SAO", "HIP", "MWC", "ADS", "TYC", "NSV", "NGC", "BD", "CD", "CPD"]
 
+# Rewrites of an object name, in this order.
+NAME_REWRITES = [
+    (r"^(" + "|".join(CATALOG_PREFIXES) + r")\s+", "$1"),
+    (r"^V\s+(\d)", "V$1"),
+    (r"^V0+(\d{1,4}\s)", "V$1"),
+    (r"^V0+(\d{1,4})$", "V$1"),
+    (r"^(\d+)([A-Z]{3})$", "$1 $2"),
+    (r"[\-\+\*]+$", ""),
+]
+
 LEAK_PATTERNS = ["/share/home", "/home/", "/users/"]
 
 # Line centres in angstrom.
@@ -250,3 +263,25 @@ CONTINUUM_WINDOWS = [(4000, 4100), (4550, 4650), (5400, 5500), (5800, 5870), (61
 PROFILE_CLASSES = ["absorption_pure", "single_peak", "double_peak", "double_asym", "shell"]
 
 SPEED_OF_LIGHT_KMS = 299792.458
+
+
+@dataclass(frozen=True)
+class ExemplarRules:
+    """Fixed values of the exemplar scores. Windows are bins (first, end) of a 128-bin vector over ``low`` to
+    ``high`` angstrom; the core reaches ``core`` bins on either side of the line centre."""
+
+    low: float = 6530.0
+    high: float = 6595.0
+    bins: int = 128
+    core: int = 4
+    edge: int = 5
+    noise: tuple[int, int] = (105, 120)
+    blue_level: tuple[int, int] = (5, 20)
+    red_level: tuple[int, int] = (108, 123)
+    emission: float = 1.05
+    least_depth: float = 0.03
+    least_core: float = 0.98
+    least_dip: float = 0.25
+    most_drift: float = 0.012
+    drift_weight: float = 10.0
+    shell_bonus: float = 1.5

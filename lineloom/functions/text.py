@@ -94,14 +94,7 @@ def normalize_name(col) -> Column:
     short = F.try_element_at(greek, first)
     s = F.when(F.contains(s, F.lit(" ")) & short.isNotNull(),
                F.concat(short, F.substr(s, F.length(first) + 1))).otherwise(s)
-    for pattern, to in (
-        (r"^(" + "|".join(R.CATALOG_PREFIXES) + r")\s+", "$1"),
-        (r"^V\s+(\d)", "V$1"),
-        (r"^V0+(\d{1,4}\s)", "V$1"),
-        (r"^V0+(\d{1,4})$", "V$1"),
-        (r"^(\d+)([A-Z]{3})$", "$1 $2"),
-        (r"[\-\+\*]+$", ""),
-    ):
+    for pattern, to in R.NAME_REWRITES:
         s = F.regexp_replace(s, pattern, to)
     return F.trim(s)
 
