@@ -8,6 +8,7 @@ from lineloom.catalog.registry import query
 from lineloom.functions.rules import LINES
 from lineloom.functions.scalars import hash_split, resolution_family
 from lineloom.operators import aggregates as G
+from lineloom.operators.filters import apply_flag_policy
 from lineloom.operators import splits as P
 from lineloom.operators.windows import cap_per_entity
 from lineloom.session import scratch_path
@@ -102,6 +103,30 @@ def line_coverage(t):
     return G.line_coverage(t.coverage)
 
 
+def _strict_sql() -> str:
+    one = []
+    for k, c in LINES.items():
+        lo, hi = f"{c - 50.0!r}::DOUBLE", f"{c + 50.0!r}::DOUBLE"
+        one.append(f"SELECT '{k}' AS line, count_if(ok) AS n_covered, count(*) AS n_total FROM (SELECT min(lambda_min) <= {lo} AND max(lambda_max) >= {hi} "
+                   f"AND NOT coalesce(bool_or(lambda_min > {lo} AND top < lambda_min AND top < {hi}), false) AS ok FROM g GROUP BY star_name, slot)")
+    return """o AS (SELECT star_name, floor(mjd / 30) AS slot, lambda_min, lambda_max FROM coverage WHERE lambda_min IS NOT NULL AND mjd IS NOT NULL),
+      g AS (SELECT *, max(lambda_max) OVER (PARTITION BY star_name, slot ORDER BY lambda_min, lambda_max ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o)
+      """ + " UNION ALL ".join(one)
+
+
+@query(_strict_sql(), "coverage")
+def strict_line_coverage(t):
+    """Gap-aware coverage; observations are taken to last thirty days here, so that they have several ranges."""
+    return G.strict_coverage(t.coverage.withColumn("slot", F.floor(F.col("mjd") / 30)), keys=("star_name", "slot"))
+
+
+@query("""SELECT 'exclude' AS policy, count(*) AS n FROM coverage WHERE NOT coalesce(is_echelle_order, false) UNION ALL SELECT 'include', count(*) FROM coverage
+  UNION ALL SELECT 'only', count(*) FROM coverage WHERE is_echelle_order""", "coverage")
+def flag_policies(t):
+    one = lambda p: apply_flag_policy(t.coverage, p).agg(F.lit(p).alias("policy"), F.count("*").alias("n"))
+    return one("exclude").unionByName(one("include")).unionByName(one("only"))
+
+
 @query("""s AS (SELECT *, unnest(['all', CASE WHEN coalesce(is_echelle_order, false) THEN 'echelle_order' ELSE 'single_range' END]) AS scope FROM coverage),
   k AS (SELECT scope, count(*) AS k FROM s WHERE mjd IS NOT NULL GROUP BY scope, star_name, mjd),
   q AS (SELECT scope, quantile_cont(k, 0.05) AS p5, quantile_cont(k, 0.5) AS p50, quantile_cont(k, 0.95) AS p95, count(*) AS n_observations FROM k GROUP BY scope)

@@ -155,6 +155,11 @@ def instrument_lookup_stats(t):
     return N.lookup_stats(N.build_lookup(t.meta))
 
 
+@query(LOOKUP + "SELECT raw, telescope, spectrograph, detector, confidence, n_rows FROM lk WHERE confidence IN ('low', 'medium')", "meta")
+def instrument_review_listing(t):
+    return N.lookup_listing(N.build_lookup(t.meta))
+
+
 @query(LOOKUP + "SELECT raw, n_rows, confidence FROM lk ORDER BY n_rows DESC, raw LIMIT 20", "meta")
 def instrument_top_setups(t):
     return N.top_lookup(N.build_lookup(t.meta)).select("raw", "n_rows", "confidence")

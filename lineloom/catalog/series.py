@@ -14,6 +14,8 @@ from lineloom.operators.joins import nearest_join
 from lineloom.operators.ranking import class_exemplars
 from lineloom.operators.skew import keep_large_groups
 from lineloom.plans import features as X
+from lineloom.plans.dataset import build_dataset
+from lineloom.plans.probes import aligned_probe
 from lineloom.session import materialize, scratch_path
 from lineloom.sources import io, schemas
 from lineloom.streaming.incremental import score_stream
@@ -379,3 +381,31 @@ def class_exemplar(t):
     return class_exemplars(f.select("spectrum_id", "profile_type_id", "flux_norm"), "profile_type_id", "flux_norm", "spectrum_id")
 
 
+
+
+# ---- whole jobs ------------------------------------------------------------------------------
+
+
+@query("""SELECT spectrum_id, n AS n_pixels, round(wavelength[1], 2) AS lambda_min, CASE WHEN flux[1] < 1.2 THEN 'unknown' WHEN flux[1]*50 >= 200 THEN 'excellent' WHEN flux[1]*50 >= 100 THEN 'good' WHEN flux[1]*50 >= 50 THEN 'medium' ELSE 'low' END AS snr_quality,
+  'no_exptime' AS temporal_quality, 35 AS n_columns FROM arrays_ev""", "arrays_ev")
+def dataset_build(t):
+    """Metadata and arrays to the declared table."""
+    a = materialize(t.arrays_ev)
+    snr = F.when(F.get("flux", F.lit(0)) >= 1.2, F.get("flux", F.lit(0)) * 50)
+    meta = a.select(F.col("spectrum_id").alias("id"), "star_name", "mjd", (F.get("wavelength", F.lit(0)) * 1e-10).alias("spectral_start"), snr.alias("snr"),
+                    F.lit(0.0).alias("exposure_time"), F.lit(200.0).alias("site_longitude"))
+    arrays = a.select(F.col("spectrum_id").alias("id"), "wavelength", "flux", F.size("wavelength").alias("n_pixels_extracted"))
+    d = build_dataset(meta, arrays)
+    return d.select("spectrum_id", "n_pixels", F.round("lambda_min", 2).alias("lambda_min"), "snr_quality", "temporal_quality", F.lit(len(d.columns)).alias("n_columns"))
+
+
+@query(NEAREST + """, a AS (SELECT row_id, ew AS y, r_ew AS w FROM m WHERE k = 1),
+  d AS (SELECT *, CASE WHEN rn < e*(q+1) THEN rn // (q+1) ELSE e + (rn - e*(q+1)) // greatest(q, 1) END AS fold FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS rn, count(*) OVER () // 5 AS q, count(*) OVER () % 5 AS e FROM a)),
+  s AS (SELECT f.fold AS f, count(*) AS n, avg(w) AS mw, avg(y) AS my, stddev_pop(w) AS sw, covar_pop(w, y)/stddev_pop(w) AS qw FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+  e AS (SELECT fold, 1 - sum((y-p)*(y-p))/(var_pop(y)*count(*)) AS r2, count(*) AS n FROM (SELECT d.*, my + n*qw/(n+1)*(w - mw)/sw AS p FROM d JOIN s ON d.fold = s.f) GROUP BY fold)
+  SELECT r AS representation, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std, sum(n)::BIGINT AS n_valid FROM e, (SELECT unnest(['z', 'pca1']) AS r) GROUP BY r""", "obs")
+def cross_table_probe(t):
+    """A measure of one kind of observation from the nearest one of another kind."""
+    left, right = _sides(t)
+    p = aligned_probe(left, right.withColumn("v", F.array("ew")), ["ew"], "v", 0.25, dims=(1,), alphas=[1.0])
+    return rnd(p.drop("feature"))

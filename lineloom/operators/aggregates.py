@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.functions.rules import LINES
@@ -119,6 +119,27 @@ def line_coverage(df: DataFrame, lines: dict[str, float] = LINES, half: float =
     return out
 
 
+def strict_coverage(df: DataFrame, lines: dict[str, float] = LINES, half: float = 50.0, keys=("star_name", "mjd")) -> DataFrame:
+    """Observations whose ranges together cover each line window without a gap: (line, n_covered, n_total).
+
+    Inside an observation rows go by their lower bound; a row that starts above the window's lower end and above
+    all upper bounds so far opens a gap.
+    """
+    base = df.filter(F.col("lambda_min").isNotNull() & F.col("lambda_max").isNotNull())
+    for k in keys:
+        base = base.filter(F.col(k).isNotNull())
+    before = Window.partitionBy(*keys).orderBy("lambda_min", "lambda_max").rowsBetween(Window.unboundedPreceding, -1)
+    seen = base.withColumn("_top", F.max("lambda_max").over(before))
+    aggs = []
+    for k, c in lines.items():
+        gap = (F.col("lambda_min") > c - half) & (F.col("_top") < F.col("lambda_min")) & (F.col("_top") < c + half)
+        whole = (F.min("lambda_min") <= c - half) & (F.max("lambda_max") >= c + half)
+        aggs.append((whole & ~F.coalesce(F.max(gap), F.lit(False))).alias(f"c_{k}"))
+    per = seen.groupBy(*keys).agg(*aggs)
+    n = per.agg(F.count("*").alias("t"), *[F.count_if(F.col(f"c_{k}")).alias(f"n_{k}") for k in lines])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(k).alias("line"), F.col(f"n_{k}").alias("n_covered"), F.col("t").alias("n_total")) for k in lines])))
+
+
 def granularity(df: DataFrame, qs=(0.05, 0.5, 0.95)) -> DataFrame:
     """Rows, observations and entities overall and per flag, with rows-per-observation quantiles."""
     flag = F.when(F.coalesce("is_echelle_order", F.lit(False)), "echelle_order").otherwise("single_range")

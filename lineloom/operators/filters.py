@@ -26,3 +26,12 @@ def filter_scoreable(df: DataFrame, min_snr: float = 10.0) -> DataFrame:
     """Feature-side filter: named and dated rows; a missing SNR passes, a finite low one does not."""
     low = F.coalesce(is_finite("snr") & (F.col("snr") < min_snr), F.lit(False))
     return df.filter((F.col("star_name") != "") & (F.col("mjd") > 0) & ~low)
+
+
+def apply_flag_policy(df: DataFrame, policy: str, flag: str = "is_echelle_order") -> DataFrame:
+    """``include``: all rows; ``exclude``: those not flagged; ``only``: those flagged. NULL is not flagged."""
+    flagged = F.coalesce(F.col(flag), F.lit(False))
+    tests = {"include": None, "exclude": ~flagged, "only": flagged}
+    if policy not in tests:
+        raise ValueError(f"unknown flag policy {policy!r}")
+    return df if tests[policy] is None else df.filter(tests[policy])

@@ -48,6 +48,11 @@ def lookup_stats(lookup: DataFrame) -> DataFrame:
     return conf.unionByName(one.select(F.inline(table)))
 
 
+def lookup_listing(lookup: DataFrame, levels: tuple[str, ...] = ("low", "medium"), raw: str = "raw") -> DataFrame:
+    """Setups of the given confidences, for review: text, parts, confidence and rows."""
+    return lookup.filter(F.col("confidence").isin(*levels)).select(raw, "telescope", "spectrograph", "detector", "confidence", "n_rows")
+
+
 def name_centroids(df: DataFrame, name: str = "name", x: str = "ra", y: str = "dec") -> DataFrame:
     """Median position and rows per name; names without any position are left out."""
     g = group_stats(df.filter(F.col(name).isNotNull()), [name], [F.count("*").alias("n")], [(x, 0.5, "x"), (y, 0.5, "y")])

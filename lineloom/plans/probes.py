@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.operators.joins import nearest_join
 from lineloom.operators.linear import fit_pca, loo_features, oof_predict, probe, stratified_r2
 from lineloom.operators.splits import assign_folds, cap_per_class
 from lineloom.session import materialize
@@ -39,6 +40,26 @@ def probe_grid(df: DataFrame, targets: list[str], z: str, raw: str, pca_dims=(10
     return out
 
 
+def aligned_probe(targets: DataFrame, vectors: DataFrame, names: list[str], vec: str, tol: float, key: str = "star_name", t: str = "mjd",
+                  order: str = "row_id", dims: tuple[int, ...] = (10, 32), k: int = 5, alphas=PROBE_ALPHAS) -> DataFrame:
+    """Probes across two tables, e.g. the features of one line from the window of another.
+
+    Each target row meets the vector of the same entity nearest in time, within ``tol``; folds are contiguous in
+    ``order``. Long rows (feature, representation, r2_mean, r2_std, n_valid) for the vector and its PCAs.
+    """
+    met = nearest_join(targets.select(key, t, order, *names), vectors.select(key, t, order, vec), key, t, tol, order)
+    table = materialize(met.select(order, *names, F.col(f"r_{vec}").alias("_v")))
+    reps = {"z": F.col("_v"), **{f"pca{d}": fit_pca(table, "_v", d).apply("_v") for d in dims}}
+    out = None
+    for y in names:
+        rows = materialize(assign_folds(table.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))), k, "contiguous", order)
+                           .select(y, "fold", *[c.alias(f"x_{n}") for n, c in reps.items()]))
+        for name in reps:
+            cell = probe(rows, f"x_{name}", y, alphas, k).select(F.lit(y).alias("feature"), F.lit(name).alias("representation"), "r2_mean", "r2_std", "n_valid")
+            out = cell if out is None else out.unionByName(cell)
+    return out
+
+
 def snr_study(df: DataFrame, x: str, y: str, snr: str = "snr", k: int = 5, seed: int = 42, alphas=PROBE_ALPHAS,
               tie: str = "row_id", bins=SNR_BINS) -> DataFrame:
     """Out-of-fold R2 overall and per SNR bin."""
