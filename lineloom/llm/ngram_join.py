@@ -105,12 +105,22 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, t: Fraction) ->
     return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def parities(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """Each row's parity bits in 64-bit words, as many bits as the power of two from its size on, 256 at least."""
+    width = 1 << np.ceil(np.log2(np.maximum(size, _BITS))).astype(np.int64)
+    stop = np.cumsum(width)
+    at = (stop - width)[row] + (h & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(stop[-1]) if len(stop) else 0) & 1
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]) // 64, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
+
+
 def describe(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, n_shingles, key, b0..b3): a row per row. ``key`` is null for an empty set. The b columns
-    hold the parities of the n-grams' hashes modulo 256: two sets differ in at least as many n-grams as bits."""
+    """(id, text_hash, n_shingles, key, b0..b3, bits): a row per row. ``key`` is null for an empty set. The b columns
+    hold the parities of the n-grams' hashes modulo 256, ``bits`` those modulo a power of two from the set's size
+    on: two sets differ in at least as many n-grams as bits."""
     def run(batches):
         for b in batches:
-            ns, keys, bits = [], [], []
+            ns, keys, bits, wide = [], [], [], []
             for _, _, data, at in slices(b.column(2)):
                 row, h = sets(data, at, n)
                 size = np.bincount(row, minlength=len(at) - 1)
@@ -118,12 +128,14 @@ def describe(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") ->
                 ns.append(size)
                 keys.append(signed(keys_of(row, h, size)))
                 bits.append(np.packbits(odd.reshape(-1, _BITS).astype(np.uint8), axis=1).view(np.int64))
+                wide.append(parities(row, h, size))
             size, bits = np.concatenate(ns or [np.zeros(0, np.int64)]), np.concatenate(bits or [np.zeros((0, 4), np.int64)])
             keys = pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), keys, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=[id, "text_hash", "n_shingles", "key", "b0", "b1", "b2", "b3"])
+            wide = pa.concat_arrays(wide) if wide else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), keys, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), wide], names=[id, "text_hash", "n_shingles", "key", "b0", "b1", "b2", "b3", "bits"])
 
     rows = docs.select(F.col(id), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"`{id}` {rows.schema[0].dataType.simpleString()}, text_hash bigint, n_shingles bigint, key bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return rows.mapInArrow(run, f"`{id}` {rows.schema[0].dataType.simpleString()}, text_hash bigint, n_shingles bigint, key bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, bits array<bigint>")
 
 
 def shared_fragments(docs: DataFrame, n: int, t: Fraction, rows: int, text: str = "text") -> DataFrame:
@@ -146,6 +158,13 @@ def near_enough(a: str, b: str, t: Fraction) -> Column:
     return (F.least(x, y) * den >= F.greatest(x, y) * num) & (bits * (den + num) <= (x + y) * (den - num))
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    """In how many parity bits two sets differ; the longer row of bits is folded onto the shorter, which keeps parities."""
+    short, long = (F.when((F.size(x) <= F.size(y)) == first, x).otherwise(y) for first in (True, False))
+    folded = F.when(F.size(x) == F.size(y), long).otherwise(F.transform(short, lambda _, k: F.get(long, k).bitwiseXOR(F.get(long, k + F.size(short)))))
+    return F.aggregate(F.zip_with(short, folded, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
+
 def fragment_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(key, part, grams): the sets of the documents whose text hash is in ``wanted``, in ``PARTS`` fragments."""
     def run(batches):
@@ -192,7 +211,7 @@ def link(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id:
     t = Fraction(similarity)
     every = materialize(describe(docs, n, id, text))
     known = every.filter("key is not null")
-    classes = materialize(known.groupBy("key").agg(F.min(id).alias("least"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "b2", "b3"))))
+    classes = materialize(known.groupBy("key").agg(F.min(id).alias("least"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "b2", "b3", "bits"))))
     common = materialize(shared_fragments(docs, n, t, every.count(), text))
     # a class's weight: how many classes share its fragments
     weighed = common.join(common.groupBy("sig").agg(F.count("*").alias("held")), "sig")
@@ -202,9 +221,10 @@ def link(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id:
     facts = classes.select("key", "n_shingles", "b0", "b1", "b2", "b3")
 
     def bounded(pairs):
-        x, y = facts.alias("x"), facts.alias("y")
-        joined = pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key"))
-        return joined.filter(near_enough("x", "y", t)).select("a", "b")
+        x, y = classes.alias("x"), classes.alias("y")
+        joined = pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key")).filter(near_enough("x", "y", t))
+        apart = bits_apart(F.col("x.bits"), F.col("y.bits")) * (t.denominator + t.numerator)
+        return joined.filter(apart <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (t.denominator - t.numerator)).select("a", "b")
 
     star = common.withColumnRenamed("key", "a").join(pivot, "sig").filter("a <> b").select("a", "b").distinct()
     first = materialize(bounded(star))
@@ -217,7 +237,7 @@ def link(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id:
     apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
     rest = x.join(y, apart & near_enough("x", "y", t)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(rest.join(done, ["a", "b"], "left_anti"))
+    second = materialize(bounded(materialize(rest.join(done, ["a", "b"], "left_anti"))))
     more = materialize(verify(second, classes, docs, n, t, text)) if second.take(1) else second
     final = components(linked.unionByName(more)).withColumnRenamed("id", "key")
     named = classes.select("key", "least").join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
