@@ -2,7 +2,7 @@ import numpy as np
 
 from lineloom.llm import embedding_dedup as E
 from lineloom.llm import queries
-from test_graph import brute as union
+from test_components import brute as union
 
 
 def brute(rows, cosine=0.9):

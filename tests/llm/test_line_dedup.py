@@ -5,7 +5,7 @@ import pytest
 from helpers import messy
 from lineloom.llm import line_dedup as L
 from lineloom.llm import queries
-from test_graph import brute as union
+from test_components import brute as union
 
 
 def lev(a, b):

@@ -10,7 +10,7 @@ from helpers import ROWS, messy
 from lineloom.llm import ngram_join as J
 from lineloom.llm import queries, sharing
 from lineloom.llm.words import slices
-from test_graph import brute as union
+from test_components import brute as union
 
 
 def shingles(text, n):
