@@ -86,10 +86,6 @@ def mjd_to_year(col) -> Column:
     return year + (c - start) / days
 
 
-def nan_to_null(col) -> Column:
-    c = _c(col)
-    return F.when(~F.isnan(c), c)
-
 
 def is_finite(col) -> Column:
     c = _c(col)

@@ -94,9 +94,3 @@ def variant_report(df: DataFrame, canonical: str = "star_name", raw: str = "raw"
 
 def top_lookup(lookup: DataFrame, k: int = 20) -> DataFrame:
     return lookup.orderBy(F.desc("n_rows"), F.asc("raw")).limit(k)
-
-
-def canonical_by_window(centroids: DataFrame, components: DataFrame, name: str = "name") -> DataFrame:
-    """Only the canonical member of each component."""
-    w = Window.partitionBy("component").orderBy(F.desc("n"), F.asc(name))
-    return centroids.join(components, name).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

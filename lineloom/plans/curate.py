@@ -1,4 +1,5 @@
-"""The curation chain as one lazy plan over metadata rows."""
+"""The curation chain over metadata rows. Building it runs jobs: lookups are written and measured, names are merged
+round by round; what it returns is lazy."""
 
 from __future__ import annotations
 
