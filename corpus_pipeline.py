@@ -37,9 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether these decode to the text."""
-    v = pieces.load()
-    back = pieces.decode(pieces.encode(docs, v), v, out="_pieces_decoded")
-    return back.withColumn("round_trip", back["_pieces_decoded"].eqNullSafe(back["text"])).drop("_pieces_decoded")
+    return pieces.encode_checked(docs, pieces.load())
 
 
 STAGES: list[tuple[str, Stage]] = [
