@@ -119,33 +119,35 @@ def take(x: Sparse, rows: np.ndarray) -> Sparse:
     return Sparse(x.ids[at], x.values[at], first)
 
 
-def steps(m: Model, x: Sparse, y: np.ndarray, seed: int, rate: float = 0.15, decay: float = 1e-4, batch: int = 64) -> tuple[Model, float]:
-    """One pass of adaptive gradient steps over the rows, in shuffled batches, and the log-loss met on the way."""
-    loss = 0.0
+def steps(m: Model, x: Sparse, y: np.ndarray, seed: int, rate: float = 0.15, decay: float = 1e-4, batch: int = 64, least: int = 64) -> tuple[Model, float]:
+    """Adaptive gradient steps over the rows in shuffled batches, as many passes as give ``least`` steps, and the
+    log-loss met in the last pass."""
     bias, linear, factors = float(m.bias), m.linear.copy(), m.factors.copy()
     g_bias, g_linear, g_factors = 1.0, np.full(WIDTH, 0.1, np.float32), np.full((WIDTH, RANK), 0.1, np.float32)
-    order = np.random.default_rng(seed).permutation(len(y))
-    for at in range(0, len(order), batch):
-        rows = order[at : at + batch]
-        part = take(x, rows)
-        z, sums = logits(Model(np.float32(bias), linear, factors), part)
-        loss += float(np.logaddexp(0, np.where(y[rows] > 0, -z, z)).sum())
-        error = (sigmoid(z) - y[rows]).astype(np.float32) / len(rows)
-        each = np.repeat(error, np.diff(part.first))
-        used, slot = np.unique(part.ids, return_inverse=True)
-        d_linear = np.bincount(slot, each * part.values, len(used)).astype(np.float32)
-        pull = (each * part.values)[:, None] * (np.repeat(sums, np.diff(part.first), axis=0) - factors[part.ids] * part.values[:, None])
-        d_factors = np.zeros((len(used), RANK), np.float32)
-        np.add.at(d_factors, slot, pull)
-        d_linear += decay * linear[used]
-        d_factors += decay * factors[used]
-        d_bias = float(error.sum())
-        g_bias += d_bias * d_bias
-        g_linear[used] += d_linear**2
-        g_factors[used] += d_factors**2
-        bias -= rate * d_bias / g_bias**0.5
-        linear[used] -= rate * d_linear / np.sqrt(g_linear[used])
-        factors[used] -= rate * d_factors / np.sqrt(g_factors[used])
+    rng, per = np.random.default_rng(seed), max(1, -(-len(y) // batch))
+    for _ in range(max(1, -(-least // per))):
+        order, loss = rng.permutation(len(y)), 0.0
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            part = take(x, rows)
+            z, sums = logits(Model(np.float32(bias), linear, factors), part)
+            loss += float(np.logaddexp(0, np.where(y[rows] > 0, -z, z)).sum())
+            error = (sigmoid(z) - y[rows]).astype(np.float32) / len(rows)
+            each = np.repeat(error, np.diff(part.first))
+            used, slot = np.unique(part.ids, return_inverse=True)
+            d_linear = np.bincount(slot, each * part.values, len(used)).astype(np.float32)
+            pull = (each * part.values)[:, None] * (np.repeat(sums, np.diff(part.first), axis=0) - factors[part.ids] * part.values[:, None])
+            d_factors = np.zeros((len(used), RANK), np.float32)
+            np.add.at(d_factors, slot, pull)
+            d_linear += decay * linear[used]
+            d_factors += decay * factors[used]
+            d_bias = float(error.sum())
+            g_bias += d_bias * d_bias
+            g_linear[used] += d_linear**2
+            g_factors[used] += d_factors**2
+            bias -= rate * d_bias / g_bias**0.5
+            linear[used] -= rate * d_linear / np.sqrt(g_linear[used])
+            factors[used] -= rate * d_factors / np.sqrt(g_factors[used])
     return Model(np.float32(bias), linear, factors), loss
 
 
@@ -164,7 +166,7 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_quality_n_chars", F.coalesce(F.col("n_chars").cast("double"), F.lit(float("nan"))) if known else F.lit(float("nan")))
 
 
-def fit(rows: DataFrame, rounds: int = 40, parts: int = 4, gain: float = 0.005) -> Model:
+def fit(rows: DataFrame, rounds: int = 20, parts: int = 4, gain: float = 0.03) -> Model:
     """Parameters from a frame of :func:`sample`. Without rows, or with one label only, all scores are near that label's share.
 
     Rounds end when the log-loss falls by less than ``gain`` of itself, or after ``rounds``. The sample is bounded, so what the driver averages is ``parts`` parameter sets a round. Sampled features are
