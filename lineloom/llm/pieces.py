@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineloom.llm.words import prefix_hashes, slices, span_hash
 
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         encoder, ids, ends, base = _encoder(shared), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
-        for _, _, data, at in slices(texts, 4 << 20):
+        for _, _, data, at in slices(texts):
             got, offsets = encoder.slice(data, at)
             ids.append(got)
             ends.append(offsets[1:] + base)
@@ -186,6 +187,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     return docs.withColumn(out, run(F.col(text)))
 
 
+class Surface:
+    """The bytes of all pieces in one array, for decoding many ids at once."""
+
+    def __init__(self, surface: list[bytes]):
+        pieces = [*surface, b""]  # the last stands for ids that write nothing
+        self.none = len(pieces) - 1
+        self.size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.flat, self.first = np.frombuffer(b"".join(pieces) + b" ", np.uint8), np.cumsum(self.size) - self.size
+
+    def text(self, ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, row offsets) of rows of ids, without the space in front of a row."""
+        part = np.where((ids < 0) | (ids >= self.none), self.none, ids)
+        each = self.size[part]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        raw = self.flat[np.repeat(self.first[part] - upto[:-1], each) + np.arange(upto[-1])]
+        at = upto[stops]
+        begin = at[:-1] + ((at[:-1] < at[1:]) & (np.append(raw, 0)[at[:-1]] == 0x20))
+        keep = np.ones(len(raw), bool)
+        keep[at[:-1][begin > at[:-1]]] = False
+        return raw[keep], np.concatenate([[0], np.cumsum(at[1:] - begin)])
+
+
 def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
     """All rows and columns plus ``out``, the text of the piece ids; null for null ids, empty for none.
 
@@ -196,26 +219,14 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out:
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        surface = [*shared.value, b""]
-        size = np.fromiter(map(len, surface), np.int64, len(surface))
-        flat, first = np.frombuffer(b"".join(surface) + b" ", np.uint8), np.cumsum(size) - size
+        surface, texts = Surface(shared.value), []
         counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
         ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         stops = np.concatenate([[0], np.cumsum(counts)])
-        nulls, texts = np.asarray(lists.is_null()), []
-        step, row = 1 << 20, 0
+        nulls, step, row = np.asarray(lists.is_null()), 1 << 18, 0
         while row < len(counts):
             end = max(row + 1, int(np.searchsorted(stops, stops[row] + step, "right")) - 1)
-            part = ids[stops[row] : stops[end]]
-            part = np.where((part < 0) | (part >= len(surface) - 1), len(surface) - 1, part)
-            each = size[part]
-            upto = np.concatenate([[0], np.cumsum(each)])
-            raw = flat[np.repeat(first[part] - upto[:-1], each) + np.arange(upto[-1])]
-            at = upto[stops[row : end + 1] - stops[row]]
-            begin = at[:-1] + ((at[:-1] < at[1:]) & (np.append(raw, 0)[at[:-1]] == 0x20))
-            keep = np.ones(len(raw), bool)
-            keep[at[:-1][begin > at[:-1]]] = False
-            raw, ends = raw[keep], np.concatenate([[0], np.cumsum(at[1:] - begin)])
+            raw, ends = surface.text(ids[stops[row] : stops[end]], stops[row : end + 1] - stops[row])
             got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw.tobytes())])
             try:
                 texts.append(got.cast(pa.large_string()))
@@ -228,3 +239,30 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out:
     return rows.withColumn(out, run(F.col(pieces)))
 
 
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "pieces", check: str = "round_trip") -> DataFrame:
+    """As :func:`encode`, plus ``check``: whether the ids decode to the text (true for a null text).
+
+    Both are done a slice of about a megabyte of text at a time, and each slice goes back at once, so what a
+    task holds doesn't grow with the rows of an Arrow batch.
+    """
+    shared, rows = docs.sparkSession.sparkContext.broadcast(vocabulary), docs.drop(out, check)
+    names, place = [*rows.columns, out, check], rows.columns.index(text)
+    state: dict = {}
+
+    def run(batches):
+        encoder = _encoder(shared)
+        if not state:
+            state["surface"] = Surface(encoder.v.surface)
+        for b in batches:
+            for i, j, data, at in slices(b.column(place)):
+                ids, stops = encoder.slice(data, at)
+                raw, ends = state["surface"].text(ids, stops)
+                if np.array_equal(ends, at) and np.array_equal(raw, data):
+                    good = np.ones(j - i, bool)
+                else:
+                    good = np.array([np.array_equal(raw[ends[k] : ends[k + 1]], data[at[k] : at[k + 1]]) for k in range(j - i)], bool)
+                part = b.slice(i, j - i)
+                lists = _masked(stops, pa.array(ids, pa.int32()), np.asarray(part.column(place).is_null()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(good)], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())]))

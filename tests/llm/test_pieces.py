@@ -47,6 +47,10 @@ def test_round_trip_of_messy_rows(spark, v):
     assert len(rows) == len(ROWS) and all(r.decoded == r.text for r in rows)
     assert [r.pieces for r in rows if r.text is None] == [None, None] and [r.pieces for r in rows if r.text == ""] == [[]]
     assert P.encode(docs.limit(0), v).count() == 0
+    checked = P.encode_checked(docs, v)
+    assert sorted(checked.columns) == sorted({*docs.columns, "round_trip"}) and P.encode_checked(docs.limit(0), v).count() == 0
+    key = lambda r: (r.doc_id or 0, r.text or "", r.pieces or [])
+    assert sorted(map(key, checked.collect())) == sorted(map(key, rows)) and all(r.round_trip for r in checked.collect())
     odd = spark.createDataFrame([([413, None, 99999999, -3, 0],), ([v.bytes_at[255]],), (None,), ([],)], "pieces array<int>")
     assert [r.decoded for r in P.decode(odd, v).collect()] == [v.surface[413].decode().lstrip(" "), "�", None, ""]
 
