@@ -29,7 +29,7 @@ from lineloom.session import materialize
 #: Sizes of one class share their number of fragments; the smallest is about this share of the largest.
 CLASS_RATIO = 0.7
 #: Documents whose fragments fill one group of the candidate search, about.
-GROUP_DOCS = 4_000
+GROUP_DOCS = 1_000
 #: Fragments in which overlaps are counted.
 PARTS = 8
 _BITS = 256

@@ -22,7 +22,7 @@ from lineloom.llm.words import prefix_hashes, slices, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marked words whose pieces a Python worker remembers; more are worked out anew each time.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 MARK = "▁"
 
 

@@ -13,7 +13,7 @@ from lineloom.llm.words import mix, signed
 #: Rows of one signature that a task sends to the signature's own group, at most.
 SENT = 4
 #: Signatures a task holds before it packs them.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def shared(rows: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], groups: int) -> DataFrame:

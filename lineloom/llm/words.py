@@ -92,6 +92,7 @@ def slices(column, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         end = min(end, rows)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
+    pa.default_memory_pool().release_unused()  # workers live on between tasks; what Arrow keeps would add up
 
 
 def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> Words:
