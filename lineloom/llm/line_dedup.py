@@ -1,9 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
-A line is cut into ``edits`` + 1 segments. A line within ``edits`` insertions, deletions and substitutions
-holds one of them unchanged, close to its place: each line probes the segments of lines as long as itself
-or up to ``edits`` shorter with the few substrings that can match (length-aware, aware of both sides).
-Pairs that pass cheap bounds are verified by a banded bit-parallel edit distance.
+Two lines are near when their distance is at most one edit for every ``PER_EDIT`` characters of the shorter
+one, ``EDITS`` at most: a share, so that short lines are not linked by chance; lines too short for an edit are
+near when equal. A line is cut into one segment more than its edits. A line within that many insertions,
+deletions and substitutions holds one of them unchanged, close to its place: each line probes the segments of
+lines as long as itself or a few characters shorter with the few substrings that can match (length-aware, aware
+of both sides). Pairs that pass cheap bounds are verified by a banded bit-parallel edit distance.
 
 Equal lines are one class from the start. As in the n-gram join, the lines that share a segment are first
 compared with one of them, then only with lines of other components, so copies cost what their number is.
@@ -22,10 +24,12 @@ from lineloom.llm.words import mix, prefix_hashes, span_hash
 from lineloom.session import materialize
 
 EDITS = 2
-#: Lines of fewer characters are left alone: each is a class of its own.
-LEAST = 16
-#: Lines from this length on are compared by edit distance, shorter ones for equality.
-LEAST_NEAR = 40
+#: Characters of a line for each edit.
+PER_EDIT = 14
+#: Lines of fewer characters are left alone, each a class of its own: empty lines only.
+LEAST = 1
+#: Lines from this length on have all edits.
+LEAST_NEAR = EDITS * PER_EDIT
 GROUP_LINES = 40_000
 _CELLS = 1 << 22
 
@@ -49,22 +53,30 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - plain), size + (i >= plain)
 
 
-def signatures(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def allowed(length: np.ndarray, edits: int, per: int) -> np.ndarray:
+    """Edits of pairs whose shorter line has these lengths; with ``per`` 0 all lengths have all edits."""
+    return np.minimum(edits, length // per) if per else np.full(len(length), edits)
+
+
+def signatures(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int, per: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, signature, indexed): a line's own segments, and the substrings by which it probes others."""
     sums, length = prefix_hashes(flat), end - begin
-    rows, out, own = [], [], []
+    rows, out, own = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
     for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            at, size = segment(length - shorter, i, edits)
-            lo, hi = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            label = mix(((length - shorter).astype(np.uint64) << np.uint64(8)) | np.uint64(i))
-            for off in range(lo, hi + 1):
-                start = at + off
-                good = np.flatnonzero((start >= 0) & (start + size <= length) & (size > 0))
-                first = begin[good] + start[good]
-                rows.append(good)
-                out.append(mix(span_hash(sums, first, first + size[good]) ^ label[good]))
-                own.append(np.full(len(good), shorter == 0 and off == 0))
+        limit = allowed(length - shorter, edits, per)
+        label = (length - shorter).astype(np.uint64) << np.uint64(8)
+        # lines of the length probed for are cut by their own edits
+        for e in range(max(shorter, 1 if per else edits), edits + 1):
+            for i in range(e + 1):
+                at, size = segment(length - shorter, i, e)
+                lo, hi = max(-i, shorter - (e - i)), min(i, shorter + (e - i))
+                for off in range(lo, hi + 1):
+                    start = at + off
+                    good = np.flatnonzero((limit == e) & (start >= 0) & (start + size <= length) & (size > 0))
+                    first = begin[good] + start[good]
+                    rows.append(good)
+                    out.append(mix(span_hash(sums, first, first + size[good]) ^ mix(label[good] | np.uint64(i))))
+                    own.append(np.full(len(good), shorter == 0 and off == 0))
     return np.concatenate(rows), np.concatenate(out), np.concatenate(own)
 
 
@@ -139,20 +151,23 @@ def near_enough(a: str, b: str, edits: int) -> Column:
             & (F.bit_count(F.col(f"{a}.p2").bitwiseXOR(F.col(f"{b}.p2"))) <= 4 * edits))
 
 
-def verify(pairs: DataFrame, facts: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) within ``edits``."""
+def verify(pairs: DataFrame, facts: DataFrame, edits: int, per: int) -> DataFrame:
+    """The pairs (a, b) within the edits of their shorter line."""
     def run(batches):
         for batch in batches:
-            hit = pa.array(distances(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits) <= edits)
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            shorter = np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+            hit = pa.array(distances(a, b, edits) <= allowed(shorter, edits, per))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
 
     text = lambda c: facts.select(F.col("key").alias(c), F.col("line").alias(f"_{c}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def link(lines: DataFrame, rows: int, edits: int = EDITS, least_near: int = LEAST_NEAR) -> DataFrame:
-    """(key, component) of the distinct lines (key, line) that have a partner within ``edits``."""
-    long = lines.filter(F.length("line") >= least_near).select("key", "line")
+def link(lines: DataFrame, rows: int, edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:
+    """(key, component) of the distinct lines (key, line) that have a partner within the edits of the shorter."""
+    # lines too short for an edit have equal partners only, which share their key
+    long = lines.filter(F.length("line") >= max(1, per)).select("key", "line")
 
     def produce(b):
         keys = b.column(0).to_numpy()
@@ -160,7 +175,7 @@ def link(lines: DataFrame, rows: int, edits: int = EDITS, least_near: int = LEAS
         text = b.column(1).take(pa.array(where)).to_pylist()
         step = max(1, len(text) // max(1, sum(map(len, text)) >> 20))
         for i in range(0, len(text), step):
-            r, s, own = signatures(*codes(text[i : i + step]), edits)
+            r, s, own = signatures(*codes(text[i : i + step]), edits, per)
             yield s, seen[i : i + step][r].view(np.uint64), own
 
     common = materialize(shared(long, produce, max(8, rows // GROUP_LINES)))
@@ -173,7 +188,7 @@ def link(lines: DataFrame, rows: int, edits: int = EDITS, least_near: int = LEAS
     star = common.select("sig", F.col("key").alias("a")).join(pivot, "sig").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = bounds.alias("x"), bounds.alias("y")
     first = materialize(star.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key")).filter(near_enough("x", "y", edits)).select("a", "b"))
-    linked = materialize(verify(first, facts, edits))
+    linked = materialize(verify(first, facts, edits, per))
     part = components(linked).withColumnRenamed("id", "key")
     placed = materialize(common.join(part, "key", "left").withColumn("component", F.coalesce("component", "key")))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("indexed").alias("indexed")).filter("lo <> hi and indexed").select("sig")
@@ -182,15 +197,15 @@ def link(lines: DataFrame, rows: int, edits: int = EDITS, least_near: int = LEAS
     apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") != F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
     rest = x.join(y, apart & near_enough("x", "y", edits)).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     second = materialize(rest.join(first, ["a", "b"], "left_anti"))
-    more = materialize(verify(second, facts, edits)) if second.take(1) else second
+    more = materialize(verify(second, facts, edits, per)) if second.take(1) else second
     return components(linked.unionByName(more)).withColumnRenamed("id", "key")
 
 
-def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, least_near: int = LEAST_NEAR) -> DataFrame:
+def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, per: int = PER_EDIT) -> DataFrame:
     """(id, text_hash, line_no, n_chars, class_id, class_line, kept): a row per line of every whole text.
 
     A class is named by its first line, by id (null ids last), text hash and number; ``kept`` marks it. Lines
-    of fewer than ``least`` characters, blank ones among them, are classes of their own and kept. A null text
+    of fewer than ``least`` characters, empty ones only by default, are classes of their own and kept. A null text
     has no lines, an empty one a single empty line. Rows equal in id and text have equal answers. Other
     columns are ignored; an empty table gives no rows.
     """
@@ -198,7 +213,7 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int
     place = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("text_hash").alias("hash"), F.col("line_no").alias("no"))
     firsts = materialize(every.filter("key is not null").groupBy("key").agg(F.min(place).alias("at")))
     lines = lines_of(docs, id, text).withColumn("key", F.xxhash64("line"))
-    linked = materialize(link(lines, every.count(), edits, least_near))
+    linked = materialize(link(lines, every.count(), edits, per))
     near = firsts.join(linked, "key")
     named = near.join(near.groupBy("component").agg(F.min("at").alias("first")), "component").select("key", "first")
     named = firsts.join(named, "key", "left").select("key", F.coalesce("first", "at").alias("first"))

@@ -112,3 +112,20 @@ def test_query_covers_every_line(spark):
         for k, x in enumerate(t.split("\n")):
             if len(x) >= L.LEAST:
                 assert got[i, k] <= exact.setdefault(x, (i, k))
+
+
+def test_short_lines_are_classed_without_cutoffs(spark):
+    """Every pair of distinct non-empty lines by plain edit distance: one edit per 14 characters of the shorter, two at most."""
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (1, 2, 3, 5, 8, 12, 13, 14, 15, 20, 26, 27, 28, 29, 30, 39, 41) for _ in range(3)]
+    lines = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) for _ in range(400)] + ["Les.", "Les.", "}", "}", ""]
+    rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(len(lines) // 5)]
+    at = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    names = {}
+    for i, k, x in at:
+        if x:
+            names.setdefault(x, (i, k))
+    part = union([(names[a], names[b]) for n, a in enumerate(names) for b in list(names)[:n] if abs(len(a) - len(b)) <= 2 and lev(a, b) <= min(2, min(len(a), len(b)) // 14)])
+    got = {(r.doc_id, r.line_no): (r.class_id, r.class_line) for r in L.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, k): part.get(names[x], names[x]) if x else (i, k) for i, k, x in at}
+    assert any(len(x) < 28 and part.get(names[x], names[x]) != names[x] for x in names)
