@@ -227,12 +227,11 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with every line gone whose class has an earlier line; columns stay as they are.
 
-    A row whose lines of ``least`` characters or more are all gone, one at least, goes as a whole: its text is
-    elsewhere. Null and empty texts stay. ``n_chars``, where there is such a
-    column, follows the new text.
+    A row goes as a whole only if every line of it that is not empty, one at least, is gone: its text is elsewhere.
+    Null and empty texts stay. ``n_chars``, where there is such a column, follows the new text.
     """
     classes = materialize(classify(docs, id, text, **options))
-    own = F.sum((F.col("kept") & (F.col("n_chars") >= options.get("least", LEAST))).cast("int"))
+    own = F.sum((F.col("kept") & (F.col("n_chars") > 0)).cast("int"))
     found = classes.groupBy(F.col(id).alias("_lines_id"), F.col("text_hash").alias("_lines_hash")).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_lines_gone"), own.alias("_lines_own"))
     gone = found.filter(F.size("_lines_gone") > 0)
 

@@ -129,3 +129,11 @@ def test_short_lines_are_classed_without_cutoffs(spark):
     got = {(r.doc_id, r.line_no): (r.class_id, r.class_line) for r in L.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, k): part.get(names[x], names[x]) if x else (i, k) for i, k, x in at}
     assert any(len(x) < 28 and part.get(names[x], names[x]) != names[x] for x in names)
+
+
+def test_rows_with_a_short_line_of_their_own_stay(spark):
+    foot = "All rights reserved by the owners of this text."
+    rows = [(1, "first\n" + foot), (2, "milk\neggs\n" + foot), (3, "eggs\n\n" + foot), (4, foot)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.keep_first(docs).collect()} == {1: "first\n" + foot, 2: "milk\neggs"}
+    assert {r.doc_id for r in L.keep_first(docs, least=16).collect()} == {1, 2, 3}
