@@ -19,14 +19,11 @@ from pyspark.sql import functions as F
 
 from lineloom.llm.maxent import Table
 from lineloom.llm.words import NOT_ALNUM, mix, signed, slices, words
-from lineloom.session import materialize
 
 BLOCK = 5_000
 BITS = 14
 RANK = 128
 SPARE = 16
-#: Documents whose windows join the benchmark in fitting the basis, at most. Every window of every document is searched.
-SAMPLED = 2_000
 
 
 class Rule(NamedTuple):
@@ -177,9 +174,8 @@ def spread(c: Cut, weights: np.ndarray, at: slice = slice(None)) -> tuple[np.nda
     return row[kept], term[kept]
 
 
-def sample_windows(docs: DataFrame, terms: Terms, window: int, least: float, most: int, id: str, text: str) -> DataFrame:
-    """(terms): the windows of at most ``most`` documents, spread by a hash of the id; only the basis is fitted on them."""
-    few = docs.select(F.xxhash64(F.col(id)).alias("_at")).distinct().orderBy("_at").limit(most)
+def all_windows(docs: DataFrame, terms: Terms, window: int, least: float, text: str) -> DataFrame:
+    """(terms): the windows of all documents that are searched; the basis is fitted on them."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
@@ -191,8 +187,7 @@ def sample_windows(docs: DataFrame, terms: Terms, window: int, least: float, mos
                 row, term = spread(c, t.idf)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(c.row) + 1)), pa.int32()), pa.array(term.astype(np.int32)))], names=["terms"])
 
-    part = docs.withColumn("_at", F.xxhash64(F.col(id))).join(F.broadcast(few), "_at", "left_semi").select(text)
-    return part.mapInArrow(run, "terms array<int>")
+    return docs.select(text).mapInArrow(run, "terms array<int>")
 
 
 def project(rows: int, row: np.ndarray, term: np.ndarray, terms: Terms, basis: np.ndarray) -> np.ndarray:
@@ -323,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         queries = [np.searchsorted(hashes, h) for h in items.hashes]
         terms = weigh(hashes, df, n, queries)
         least = rule.energy * min(float((terms.idf[q] ** 2).sum()) for q in queries)
-        basis = fit_basis(materialize(sample_windows(docs, terms, items.window, least, SAMPLED, id, text)), queries, terms)
+        basis = fit_basis(all_windows(docs, terms, items.window, least, text), queries, terms)
         names = spark.createDataFrame(list(enumerate(items.item)), f"passage int, `{item}` {benchmark.schema[item].dataType.simpleString()}")
         hits = _search(docs, items, terms, basis, queries, least, rule, id, text).join(F.broadcast(names), "passage").drop("passage")
         found = hits if found is None else found.unionByName(hits)

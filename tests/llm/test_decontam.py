@@ -89,3 +89,12 @@ def test_messy_rows(spark):
     assert left.schema == docs.schema and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 3, 4, 5, 6, 7, 8, 9]
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
     assert D.remove(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_basis_is_fitted_on_every_document(spark, monkeypatch):
+    seen, fit = [], D.fit_basis
+    monkeypatch.setattr(D, "fit_basis", lambda table, *rest: (seen.append(table.count()), fit(table, *rest))[1])
+    item = " ".join(f"w{k}" for k in range(16))
+    docs = spark.range(2100).selectExpr("id AS doc_id", f"'{item}' AS text")
+    assert D.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 2100
+    assert seen == [2100]
