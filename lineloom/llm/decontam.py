@@ -21,6 +21,8 @@ from lineloom.llm.maxent import Table
 from lineloom.llm.words import NOT_ALNUM, mix, signed, slices, words
 
 BLOCK = 5_000
+#: Words of the longest window.
+LONGEST = 64
 BITS = 14
 RANK = 128
 SPARE = 16
@@ -56,7 +58,7 @@ def passages(rows: list[tuple]) -> Items:
     """Benchmark passages of (item id, text) rows. An item of over twice the window is cut into windows that
     overlap by half, each of which counts; its answer belongs to the last. Items without words are left out."""
     known = [(i, t, h) for i, t in rows if t is not None and len(h := _hashes(t))]
-    window = int(np.clip(np.median([len(h) for _, _, h in known]) if known else 32, 8, 64))
+    window = int(np.clip(np.median([len(h) for _, _, h in known]) if known else 32, 1, LONGEST))
     item, hashes, answers = [], [], []
     for i, t, h in known:
         parts = [p for p in re.split(r"(?<=[.?!])\s+|\n+", t) if len(_hashes(p))]
@@ -70,6 +72,16 @@ def passages(rows: list[tuple]) -> Items:
     return Items(item, hashes, answers, window)
 
 
+def length_classes(rows: list[tuple]) -> list[Items]:
+    """Passages of (item id, text) rows by powers of two of the items' words, so that a window of a class is less
+    than twice as long as any item of it; items of ``LONGEST`` words or more are one class."""
+    classes: dict[int, list[tuple]] = {}
+    for r in rows:
+        if r[1] is not None and (n := len(_hashes(r[1]))):
+            classes.setdefault(min(n, LONGEST).bit_length(), []).append(r)
+    return [passages(classes[k]) for k in sorted(classes)]
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, a word of ``b`` at a time over the bits of ``a``."""
     masks: dict[int, int] = {}
@@ -259,21 +271,25 @@ def fit_basis(table: DataFrame, queries: list[np.ndarray], terms: Terms, rank: i
     return np.ascontiguousarray(basis[:, :rank] * (strength[:rank] > 1e-6 * max(strength[0], 1e-12)))
 
 
-def _search(docs: DataFrame, items: Items, terms: Terms, basis: np.ndarray, queries: list[np.ndarray], least: float,
+def _search(docs: DataFrame, groups: list[Items], terms: Terms, basis: np.ndarray, asked: list[list[np.ndarray]], floors: list[float],
             rule: Rule, id: str, text: str) -> DataFrame:
-    """Every window of every document: candidates by latent cosine, then common subsequence and answer."""
-    row, term = _rows(queries, terms)
-    q = project(len(queries), row, term, terms, basis)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, basis, q, queries, items.answer_at))
-    window = items.window
+    """Every window of every document, of each class's length: candidates by latent cosine, then common subsequence
+    and answer. Passages are numbered through all classes."""
+    parts, first = [], 0
+    for items, queries, least in zip(groups, asked, floors):
+        row, term = _rows(queries, terms)
+        q = project(len(queries), row, term, terms, basis)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        parts.append((first, q, queries, items.answer_at, items.window, least))
+        first += len(queries)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, basis, parts))
 
     def run(batches):
-        t, v, qs, wanted, answers = shared.value
+        t, v, classes = shared.value
         table = Table(t.hashes, np.arange(len(t.hashes), dtype=float))
         for b in batches:
             hits: dict[tuple[int, int], tuple] = {}
-            for i, _, data, at in slices(b.column(2)):
+            for (i, _, data, at), (base, qs, wanted, answers, window, least) in ((s, c) for s in slices(b.column(2)) for c in classes):
                 c = cut(data, at, table, t.idf**2, window, least)
                 for k in range(0, len(c.row), 2048):
                     some = slice(k, k + 2048)
@@ -281,7 +297,7 @@ def _search(docs: DataFrame, items: Items, terms: Terms, basis: np.ndarray, quer
                     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
                     near = p @ qs.T
                     for r, n in np.argwhere(near >= rule.cosine).tolist():
-                        key = (i + int(c.row[k + r]), n)
+                        key = (i + int(c.row[k + r]), base + n)
                         want, have = wanted[n], c.term[c.left[k + r] : c.right[k + r]]
                         share = common(want, have) / len(want)
                         if share < rule.with_answer or key in hits and hits[key][1] >= share:
@@ -310,17 +326,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     blocks = max(1, -(-ids.count() // BLOCK))
     for k in range(blocks):
         part = ids.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == k) if blocks > 1 else ids
-        items = passages([tuple(r) for r in part.collect()])
-        if not items.item:
+        groups = length_classes([tuple(r) for r in part.collect()])
+        if not groups:
             continue
-        hashes = np.unique(np.concatenate(items.hashes))
+        hashes = np.unique(np.concatenate([h for g in groups for h in g.hashes]))
         df, n = document_frequencies(docs, hashes, text)
-        queries = [np.searchsorted(hashes, h) for h in items.hashes]
+        asked = [[np.searchsorted(hashes, h) for h in g.hashes] for g in groups]
+        queries = [q for a in asked for q in a]
         terms = weigh(hashes, df, n, queries)
-        least = rule.energy * min(float((terms.idf[q] ** 2).sum()) for q in queries)
-        basis = fit_basis(all_windows(docs, terms, items.window, least, text), queries, terms)
-        names = spark.createDataFrame(list(enumerate(items.item)), f"passage int, `{item}` {benchmark.schema[item].dataType.simpleString()}")
-        hits = _search(docs, items, terms, basis, queries, least, rule, id, text).join(F.broadcast(names), "passage").drop("passage")
+        floors = [rule.energy * min(float((terms.idf[q] ** 2).sum()) for q in a) for a in asked]
+        window = int(np.clip(np.median([len(q) for q in queries]), 8, LONGEST))
+        basis = fit_basis(all_windows(docs, terms, window, min(floors), text), queries, terms)
+        names = spark.createDataFrame(list(enumerate(x for g in groups for x in g.item)), f"passage int, `{item}` {benchmark.schema[item].dataType.simpleString()}")
+        hits = _search(docs, groups, terms, basis, asked, floors, rule, id, text).join(F.broadcast(names), "passage").drop("passage")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = docs.select(F.col(id), F.lit(0).cast("long").alias("text_hash")).join(benchmark.select(F.col(item)).limit(0), F.lit(False)).selectExpr(f"`{id}`", "text_hash", f"`{item}`", "0D AS cosine", "0D AS common", "false AS answered")

@@ -98,3 +98,21 @@ def test_basis_is_fitted_on_every_document(spark, monkeypatch):
     docs = spark.range(2100).selectExpr("id AS doc_id", f"'{item}' AS text")
     assert D.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 2100
     assert seen == [2100]
+
+
+def test_short_items_beside_long_ones_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(k, " ".join(word() for _ in range(5 if k < 4 else 10 if k < 8 else 60))) for k in range(30)]
+    docs, want = [], set()
+    for i in range(120):
+        text = [word() for _ in range(200)]
+        if i < 30:
+            part = items[i][1].split()
+            if i % 2 and len(part) > 5:
+                part[3] = "other"
+            text[90:90] = part
+            want.add((i, i))
+        docs.append((i, " ".join(text)))
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
