@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import chat, decontam, embedding_dedup, line_dedup, maxent, ngram_join, pieces, pii, quality, sharding
+from lineloom.llm import chat, decontam, embedding_dedup, line_dedup, maxent, ngram_join, pieces, pii, quality, repair, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,67 @@ def op10_factorisation(spark, path):
     scored = quality.score(docs.select("doc_id", "text", "n_chars"), model)
     return scored.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(True)).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op13_checkpointed_repair(spark, path):
+    rows = table(spark, path, "conversations")
+    fixed = repair.repair(repair.damage(rows))
+    hashed = repair.digests(fixed.rows).withColumnRenamed("conv_id", "_id")
+    every = rows.select("conv_id").distinct().unionByName(fixed.report, allowMissingColumns=True).groupBy("conv_id")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = every.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in numbers), F.coalesce(F.max("audit"), F.lit("")).alias("audit"))
+    hashed = found.join(hashed, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return hashed.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
+SQL["op13_checkpointed_repair"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(v ORDER BY b) AS tbl FROM (
+    SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) t(b))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+                                  lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, bits),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM hurt),
+faulty AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS now, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || now NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+-- states: z nothing yet, s system, u user, a assistant; each with its cheapest, ASCII-least way there
+walk AS (
+  SELECT conv_id, n, 0::BIGINT AS i, [{'c': 0, 'e': '', 't': ''}] AS z, []::STRUCT(c INTEGER, e VARCHAR, t VARCHAR)[] AS s,
+         [{'c': 5, 'e': 'I', 't': E'user:\n'}] AS u, [{'c': 10, 'e': 'II', 't': E'user:\nassistant:\n'}] AS a FROM stats
+  UNION ALL
+  SELECT conv_id, n, i, z, s, list_sort(u || list_transform(list_sort(a)[:1] || z || s, lambda x: {'c': x.c + 5, 'e': x.e || 'I', 't': x.t || E'user:\n'}))[:1] AS u,
+         list_sort(a || list_transform(list_sort(u || list_transform(z || s, lambda x: {'c': x.c + 5, 'e': x.e || 'I', 't': x.t || E'user:\n'}))[:1],
+                                       lambda x: {'c': x.c + 5, 'e': x.e || 'I', 't': x.t || E'assistant:\n'}))[:1] AS a
+  FROM (
+    SELECT w.conv_id, n, f.i,
+      list_transform(z, lambda x: {'c': x.c + 2, 'e': x.e || 'D', 't': x.t}) AS z,
+      list_sort(list_transform(s, lambda x: {'c': x.c + 2, 'e': x.e || 'D', 't': x.t}) || CASE WHEN stays AND now = 's' THEN list_transform(z, lambda x: {'c': x.c + more, 'e': x.e || 'K', 't': x.t || line}) ELSE [] END)[:1] AS s,
+      list_sort(list_transform(u, lambda x: {'c': x.c + 2, 'e': x.e || 'D', 't': x.t})
+                || CASE WHEN stays AND now = 'u' THEN list_transform(z || s || a, lambda x: {'c': x.c + more, 'e': x.e || 'K', 't': x.t || line}) ELSE [] END
+                || CASE WHEN stays THEN list_transform(z || s || a, lambda x: {'c': x.c + more + 1, 'e': x.e || 'R', 't': x.t || 'user:' || text || E'\n'}) ELSE [] END)[:1] AS u,
+      list_sort(list_transform(a, lambda x: {'c': x.c + 2, 'e': x.e || 'D', 't': x.t})
+                || CASE WHEN stays AND now = 'a' THEN list_transform(u, lambda x: {'c': x.c + more, 'e': x.e || 'K', 't': x.t || line}) ELSE [] END
+                || CASE WHEN stays THEN list_transform(u, lambda x: {'c': x.c + more + 1, 'e': x.e || 'R', 't': x.t || 'assistant:' || text || E'\n'}) ELSE [] END)[:1] AS a
+    FROM walk w JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more, role || ':' || text || E'\n' AS line FROM faulty) f
+      ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+best AS (SELECT conv_id, list_sort(z || a)[1] AS b FROM walk WHERE i = n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(regexp_replace(b.t, '\n\z', ''), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
