@@ -22,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.session import materialize
@@ -30,7 +31,7 @@ from lineloom.session import materialize
 #: Components of the anchors of one broadcast block, at most (or one anchor).
 BLOCK_VALUES = 1 << 21
 #: Scores computed at once in a task.
-SCORES = 1 << 20
+SCORES = 1 << 19
 #: Below this, sums of products of doubles are exact, also times 100.
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -84,7 +85,7 @@ def first(group: np.ndarray, score: np.ndarray, id: np.ndarray, n: int) -> np.nd
 
 
 def _scored(batches, block):
-    """(row ids, row labels, anchors' numbers, scores) of each chunk of rows with the block's anchors of their dimension."""
+    """(dimension, row ids, row labels, anchors' numbers, scores) of each chunk of rows with the block's anchors of their dimension."""
     for b in batches:
         ids, labels = np.asarray(b["id"]), np.asarray(b["label"])
         for n, row, q in _matrix(b["vector"]):
@@ -94,38 +95,38 @@ def _scored(batches, block):
             step = max(1, SCORES // max(1, len(number)))
             for i in range(0, len(row), step):
                 part = row[i : i + step]
-                yield ids[part], labels[part], number, products(anchors, q[i : i + step])
+                yield n, ids[part], labels[part], number, products(anchors, q[i : i + step])
 
 
-def _best(scored, pick, n: int):
-    """Keep ``n`` entries of each group over a task's chunks; ``pick`` gives (group, score, id) arrays of a chunk, given the least kept scores."""
-    kept = tuple(np.zeros(0, np.int64) for _ in range(3))
-    for chunk in scored:
-        new = pick(*chunk)
-        kept = tuple(np.concatenate(x) for x in zip(kept, new))
-        at = first(*kept, n)
-        kept = tuple(x[at] for x in kept)
-    return kept
+def _keep(kept, new, n: int):
+    """The first ``n`` of each group among (group, score, id) arrays kept so far and new ones."""
+    kept = tuple(np.concatenate(x) for x in zip(kept, new))
+    at = first(*kept, n)
+    return tuple(x[at] for x in kept)
+
+
+def _none():
+    return tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
 def _blocks(anchors: DataFrame) -> Iterator[DataFrame]:
     """``anchors`` in parts that hold ``BLOCK_VALUES`` components at most; only the packs' sizes come to the driver."""
     def pack(batches):
+        total = 0
         for b in batches:
-            size = np.diff(np.asarray(b["vector"].offsets))
-            weight = np.cumsum(np.maximum(size, 1))
-            number = weight // (BLOCK_VALUES // 8)
-            yield pa.RecordBatch.from_arrays([b["id"], b["label"], b["vector"], pa.array(number), pa.array(np.maximum(size, 1).astype(np.int64))],
-                                             names=["id", "label", "vector", "pack", "weight"])
-
-    packed = anchors.mapInArrow(pack, "id bigint, label long, vector array<double>, pack bigint, weight bigint")
-    packed = materialize(packed.withColumn("pack", F.struct(F.spark_partition_id().alias("part"), "pack")))
+            size = np.maximum(np.diff(np.asarray(b["vector"].offsets)), 1).astype(np.int64)
+            number = (total + np.cumsum(size)) // (BLOCK_VALUES // 8)
+            total += int(size.sum())
+            number += TaskContext.get().partitionId() << 33
+            yield pa.RecordBatch.from_arrays([b["id"], b["label"], b["vector"], pa.array(number), pa.array(size)], names=["id", "label", "vector", "pack", "weight"])
+
+    packed = materialize(anchors.mapInArrow(pack, "id bigint, label bigint, vector array<double>, pack bigint, weight bigint"))
     held, weight = [], 0
     for r in packed.groupBy("pack").agg(F.sum("weight").alias("weight")).toLocalIterator():
         if held and weight + r.weight > BLOCK_VALUES:
             yield packed.filter(F.col("pack").isin(held))
             held, weight = [], 0
-        held.append(F.struct(F.lit(r.pack.part).alias("part"), F.lit(r.pack.pack).alias("pack")))
+        held.append(r.pack)
         weight += r.weight
     if held:
         yield packed.filter(F.col("pack").isin(held))
@@ -142,19 +143,15 @@ def _windows(rows: DataFrame, anchors: DataFrame, positives: int, negatives: int
 
     def best_positives(batches):
         ids, labels, block = shared.value
-
-        def pick(row_ids, row_labels, number, scores):
-            same = (labels[number][:, None] == row_labels[None, :]) & (ids[number][:, None] != row_ids[None, :])
-            a, r = np.nonzero(same)
-            return number[a], scores[a, r], row_ids[r]
-
-        a, score, id = _best(_scored(batches, block), pick, positives)
+        kept = _none()
+        for _, row_ids, row_labels, number, scores in _scored(batches, block):
+            a, r = np.nonzero((labels[number][:, None] == row_labels[None, :]) & (ids[number][:, None] != row_ids[None, :]))
+            kept = _keep(kept, (number[a], scores[a, r], row_ids[r]), positives)
+        a, score, id = kept
         yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(score), pa.array(id), pa.array(np.ones(len(a), bool))], names=["anchor_id", "score", "id", "same"])
 
-    local = rows.mapInArrow(best_positives, PAIR)
-    order = F.array_sort(F.collect_list(F.struct((-1 - F.col("score")).alias("down"), "id")))
-    best = materialize(local.groupBy("anchor_id").agg(F.slice(order, 1, positives).alias("best")).select("anchor_id", F.explode("best").alias("b"))
-                       .select("anchor_id", (-1 - F.col("b.down")).alias("score"), "b.id", F.lit(True).alias("same")))
+    place = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.col("score").desc(), "id"))
+    best = materialize(rows.mapInArrow(best_positives, PAIR).withColumn("place", place).filter(F.col("place") <= positives).drop("place"))
     known = best.select("anchor_id", "score").toArrow()
     at = np.searchsorted(np.sort(ids), np.asarray(known["anchor_id"]))
     number, top = np.argsort(ids)[at], np.asarray(known["score"])
@@ -169,24 +166,18 @@ def _windows(rows: DataFrame, anchors: DataFrame, positives: int, negatives: int
         floor = np.array([-(-low * int(x) // 100) for x in windows[:, 1]], dtype=np.int64)
         of = {n: np.flatnonzero(np.isin(windows[:, 0], number)) for n, (number, _) in block.items()}
 
-        def pick(row_ids, row_labels, number, scores):
-            mine = of[next(n for n, (x, _) in block.items() if x is number)]
-            place = np.searchsorted(number, windows[mine, 0])
-            s, top, bottom = scores[place], windows[mine, 1][:, None], np.maximum(floor[mine], least[mine])[:, None]
-            w, r = np.nonzero((s <= top) & (s >= bottom))
+        kept = _none()
+        for n, row_ids, row_labels, number, scores in _scored(batches, block):
+            mine = of[n]
+            s, top = scores[np.searchsorted(number, windows[mine, 0])], windows[mine, 1][:, None]
+            w, r = np.nonzero((s <= top) & (s >= np.maximum(floor[mine], least[mine])[:, None]))
             other = labels[windows[mine[w], 0]] != row_labels[r]
             w, r = w[other], r[other]
-            return mine[w], s[w, r], row_ids[r]
-
-        kept = tuple(np.zeros(0, np.int64) for _ in range(3))
-        for chunk in _scored(batches, block):
-            kept = tuple(np.concatenate(x) for x in zip(kept, pick(*chunk)))
-            at = first(*kept, negatives)
-            kept = tuple(x[at] for x in kept)
-            full, n = np.unique(kept[0], return_counts=True)
+            kept = _keep(kept, (mine[w], s[w, r], row_ids[r]), negatives)
+            full, count = np.unique(kept[0], return_counts=True)
             lowest = np.full(len(windows), MOST, dtype=np.int64)
             np.minimum.at(lowest, kept[0], kept[1])
-            least[full[n == negatives]] = lowest[full[n == negatives]]
+            least[full[count == negatives]] = lowest[full[count == negatives]]
         pairs = np.unique(np.stack([windows[kept[0], 0], kept[1], kept[2]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(np.zeros(len(pairs), bool))], names=["anchor_id", "score", "id", "same"])
 
