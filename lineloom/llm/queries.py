@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import chat, decontam, embedding_dedup, line_dedup, maxent, negatives, ngram_join, pieces, pii, quality, repair, sharding
+from lineloom.llm import chat, decontam, embedding_dedup, line_dedup, maxent, negatives, ngram_join, perplexity, pieces, pii, quality, repair, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,6 +143,57 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 """
 
 
+@query
+def op12_perplexity_bands(spark, path):
+    judged = perplexity.judge(table(spark, path, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", *perplexity.MEASURES, F.round("log10_perplexity", 4).alias("log10_perplexity"), "base_failed", "kept")
+
+
+SQL["op12_perplexity_bands"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM often, range(3) t(k) GROUP BY r),
+base AS (
+  SELECT d.r, doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d) d LEFT JOIN repeated USING (r)),
+symbol AS (
+  SELECT r, [chr(2), chr(2), chr(2), chr(2)] || CASE WHEN len(ws) = 0 THEN [] ELSE string_split(array_to_string(ws, ' '), '') END || [chr(3)] AS s FROM d),
+gram AS (SELECT r, s[i] || s[i + 1] || s[i + 2] || s[i + 3] || s[i + 4] AS g FROM (SELECT r, s, unnest(range(1, len(s) - 3)) AS i FROM symbol)),
+c5 AS MATERIALIZED (SELECT g, count(*) AS c FROM gram GROUP BY g),
+c4 AS MATERIALIZED (SELECT substr(g, 2) AS g, count(*) AS c FROM c5 GROUP BY 1),
+c3 AS MATERIALIZED (SELECT substr(g, 2) AS g, count(*) AS c FROM c4 GROUP BY 1),
+c2 AS MATERIALIZED (SELECT substr(g, 2) AS g, count(*) AS c FROM c3 GROUP BY 1),
+c1 AS MATERIALIZED (SELECT substr(g, 2) AS g, count(*) AS c FROM c2 GROUP BY 1),
+counts AS MATERIALIZED (SELECT 1 AS k, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3 UNION ALL SELECT 4, * FROM c4 UNION ALL SELECT 5, * FROM c5),
+n AS (SELECT k, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4 FROM counts GROUP BY k),
+guess AS (SELECT k, n1 * n2 * n3 * n4 > 0 AS fine, 1 - 2 * y * n2 / n1 AS d1, 2 - 3 * y * n3 / n2 AS d2, 3 - 4 * y * n4 / n3 AS d3 FROM (SELECT *, n1 / (n1 + 2 * n2) AS y FROM n)),
+disc AS (SELECT k, CASE WHEN ok THEN d1 ELSE 0.5 END AS d1, CASE WHEN ok THEN d2 ELSE 1 END AS d2, CASE WHEN ok THEN d3 ELSE 1.5 END AS d3
+         FROM (SELECT *, coalesce(fine AND d1 > 0 AND d1 < 1 AND d2 > 0 AND d2 < 2 AND d3 > 0 AND d3 < 3, FALSE) AS ok FROM guess)),
+less AS MATERIALIZED (SELECT k, g, left(g, k - 1) AS context, c, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM counts JOIN disc USING (k)),
+free AS MATERIALIZED (SELECT k, context, sum(c) AS total, sum(d) / sum(c) AS w FROM less GROUP BY ALL),
+own AS MATERIALIZED (SELECT k, g, (c - d) / total AS p, w FROM less JOIN free USING (k, context)),
+p1 AS (SELECT g, p + w / ((SELECT count(*) FROM c1) + 1) AS p FROM own WHERE k = 1),
+p2 AS (SELECT o.g, o.p + w * s.p AS p FROM own o JOIN p1 s ON s.g = substr(o.g, 2) WHERE k = 2),
+p3 AS (SELECT o.g, o.p + w * s.p AS p FROM own o JOIN p2 s ON s.g = substr(o.g, 2) WHERE k = 3),
+p4 AS (SELECT o.g, o.p + w * s.p AS p FROM own o JOIN p3 s ON s.g = substr(o.g, 2) WHERE k = 4),
+p5 AS (SELECT o.g, o.p + w * s.p AS p FROM own o JOIN p4 s ON s.g = substr(o.g, 2) WHERE k = 5),
+scored AS MATERIALIZED (
+  SELECT base.*, x AS log10_perplexity, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM base JOIN (SELECT r, -sum(log10(p)) / count(*) AS x FROM gram JOIN p5 USING (g) GROUP BY r) USING (r)),
+bins AS (SELECT lang, floor(log10_perplexity * 1000) AS bin, count(*) AS n FROM scored WHERE NOT base_failed GROUP BY ALL),
+upto AS (SELECT lang, bin, sum(n) OVER (PARTITION BY lang ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang) AS total FROM bins),
+quarter AS (SELECT lang, min(bin) FILTER (upto >= total * 0.25) / 1000 AS a, min(bin) FILTER (upto >= total * 0.75) / 1000 AS b FROM upto GROUP BY lang),
+band AS (SELECT lang, a - greatest(b - a, 0.01) * 4 AS low, b + greatest(b - a, 0.01) * 4 AS high FROM quarter)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(log10_perplexity, 4) AS log10_perplexity, base_failed,
+       coalesce(NOT base_failed AND log10_perplexity BETWEEN low AND high, FALSE) AS kept
+FROM scored LEFT JOIN band ON band.lang IS NOT DISTINCT FROM scored.lang
+"""
+
+
 @query
 def op13_checkpointed_repair(spark, path):
     rows = table(spark, path, "conversations")
