@@ -170,17 +170,17 @@ def quantile_summary(df: DataFrame, columns: list[str], qs=(0.05, 0.25, 0.5, 0.7
                      approximate: bool = False) -> DataFrame:
     """min, max, mean and quantiles per column; exact unless ``approximate``."""
     names = [f"p{round(q * 100)}" for q in qs]
-    out = None
-    for c in columns:
-        x = F.col(c).cast("double")
-        basic = [F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean")]
-        if approximate:
-            one = df.agg(*basic, F.approx_percentile(x, list(qs), 10000).alias("_p")).select(
-                "column", "n", "min", "max", "mean", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-        else:
-            one = group_stats(df.select(c), [], basic, [(c, q, n) for q, n in zip(qs, names)])
-        out = one if out is None else out.unionByName(one)
-    return out
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    basics = [("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg)]
+    aggs = [fn(f"x{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, fn in basics]
+    src = df.select(*x)
+    if approximate:
+        one = src.agg(*aggs, *[F.approx_percentile(f"x{i}", list(qs), 10000).alias(f"_p{i}") for i in range(len(columns))])
+        one = one.withColumns({f"{n}_{i}": F.col(f"_p{i}")[j] for i in range(len(columns)) for j, n in enumerate(names)})
+    else:
+        one = group_stats(src, [], aggs, [(f"x{i}", q, f"{n}_{i}") for i in range(len(columns)) for q, n in zip(qs, names)])
+    rows = [(c, *[F.col(f"{n}{i}") for n, _ in basics], *[F.col(f"{n}_{i}") for n in names]) for i, c in enumerate(columns)]
+    return one.select(F.inline(rows_of(["column", *[n for n, _ in basics], *names], rows)))
 
 
 def band_counts(df: DataFrame, col: str, cuts=(10.0, 50.0, 100.0, 200.0)) -> DataFrame:

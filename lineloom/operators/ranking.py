@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.arrays import exemplar_scores, total
 from lineloom.functions.scalars import sample_hash
-from lineloom.operators.skew import HOT_ROWS, attach, group_quantiles, row_numbers
+from lineloom.operators.selection import vector_quantiles
+from lineloom.operators.skew import HOT_ROWS, attach, row_numbers
 
 __all__ = ["class_exemplars", "class_means", "class_medians", "extreme_examples", "spread_examples", "sample_hash"]
 
@@ -37,11 +38,9 @@ def spread_examples(df: DataFrame, cls: str, by: str, tie: str, n: int, limit: i
 
 
 def class_medians(df: DataFrame, cls: str, vec: str) -> DataFrame:
-    """Element-wise exact median vector per class."""
-    cells = df.select(cls, F.posexplode(vec).alias("pos", "val"))
-    med = group_quantiles(cells, [cls, "pos"], "val", [0.5], ["m"])
-    # one entry per vector position: bounded by the vector length
-    return med.groupBy(cls).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("median"))
+    """Element-wise exact median vector per class; rows stay vectors throughout, see :mod:`selection`."""
+    found = vector_quantiles(df, [cls], F.col(vec), [0.5])
+    return found.select(cls, F.transform("q", lambda v: v[0]).alias("median"))
 
 
 def class_means(df: DataFrame, keys: list[str], vec: str) -> DataFrame:

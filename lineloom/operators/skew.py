@@ -12,12 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.operators.selection import vector_quantiles
 from lineloom.session import materialize
 
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 500_000
-QUANTILE_ROWS = 1_000_000  # above this, hash maps of all values cost more than two scans
-SKETCH_ACCURACY = 10_000
+QUANTILE_ROWS = 1_000_000  # above this, hash maps of all values cost more than passes over the rows
 NULL_SALTS = 4096
 CHUNK, BLOCK, HALO = "_chunk", "_block", "_halo"
 
@@ -39,6 +39,15 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS, rows: int |
     return hot if hot.take(1) else None
 
 
+def _tag_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``_hot``; the hot keys are few, see :func:`hot_keys`."""
+    a, b = df.alias("a"), F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))).alias("b")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, cond, "left").select("a.*", F.coalesce("b._hot", F.lit(False)).alias("_hot"))
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
@@ -89,12 +98,7 @@ def order_chunks(df: DataFrame, keys: list[str], order: list, limit: int = HOT_R
     total = hot.agg(F.sum("_n")).first()[0]
     parts = max(2, math.ceil(total / limit) * 2)
     if keys:
-        mark = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-        a, b = df.alias("a"), mark.alias("b")
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        tagged = a.join(b, cond, "left").select("a.*", F.coalesce("b._hot", F.lit(False)).alias("_hot"))
+        tagged = _tag_hot(df, hot, keys)
         cold = tagged.filter(~F.col("_hot")).drop("_hot").withColumn(CHUNK, F.lit(0))
         warm = tagged.filter("_hot").drop("_hot")
     else:
@@ -164,89 +168,45 @@ def halo_blocks(df: DataFrame, keys: list[str], order: list, length: int,
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], names: list[str],
                     limit: int = QUANTILE_ROWS) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; NULL values are skipped.
-
-    Where a group has more than ``limit`` rows, nothing is sorted whole: mergeable sketches bracket
-    each quantile, rows below a bracket are only counted, and the few rows inside are ranked.
-    """
+    """Exact linearly interpolated quantiles per group; NULL values are skipped."""
     src = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if hot_keys(src, by, limit) is None:
-        p = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
-        agg = src.groupBy(*by).agg(p.alias("_p"))
-        return agg.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    out = _bracketed_quantiles(src, by, qs, names, limit, SKETCH_ACCURACY)
-    broken = F.lit(False)
-    for n in names:
-        broken = broken | F.col(n).isNull()
-    if out.filter(broken).take(1):  # a bracket missed its rank: rank all rows instead
-        out = _bracketed_quantiles(src, by, qs, names, limit, None)
-    return out
-
-
-def _bracketed_quantiles(src: DataFrame, by: list[str], qs: list[float], names: list[str], limit: int,
-                         accuracy: int | None) -> DataFrame:
-    """NULL marks a quantile whose rank lies outside its bracket; without ``accuracy`` the bracket is everything."""
-    v, k = F.col("_v"), len(qs)
-    lo_hi = [F.min(v).alias("_min"), F.max(v).alias("_max"), F.count(v).alias("_n")]
-    if accuracy:
-        pad = 2.0 / accuracy
-        ends = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-pad, pad)]
-        lo_hi.append(F.approx_percentile(v, ends, accuracy).alias("_e"))
-    g = src.groupBy(*by).agg(*lo_hi)
-    entry = []
-    for i, q in enumerate(qs):
-        low = F.col("_e")[2 * i] if accuracy and q > 2.0 / accuracy else F.col("_min")
-        high = F.col("_e")[2 * i + 1] if accuracy and q < 1 - 2.0 / accuracy else F.col("_max")
-        entry.append(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), low.alias("lo"), high.alias("hi")))
-    g = materialize(g.select(*by, "_n", F.array(*entry).alias("_b")))
-    rows = attach(src, g.select(*by, "_b"), by) if by else src.withColumn("_b", g.select("_b").scalar())
-    below = rows.groupBy(*by).agg(F.array(*[F.count_if(v < F.col("_b")[i]["lo"]) for i in range(k)]).alias("_u"))
-    facts = attach(g, below, by) if by else g.withColumn("_u", below.scalar())
-    facts = facts.withColumn("_x", F.explode("_b")).select(
-        *by, "_n", F.col("_x.i").alias("_i"), F.col("_x.q").alias("_q"), F.get("_u", F.col("_x.i")).alias("_under"))
-    inside = rows.withColumn("_x", F.explode(F.filter("_b", lambda e: (v >= e["lo"]) & (v <= e["hi"]))))
-    keys = [*by, "_i"]
-    counted = inside.groupBy(*by, F.col("_x.i").alias("_i"), "_v").agg(F.count("*").alias("_c"))
-    chunked, split = order_chunks(counted, keys, ["_v"], limit)
-    run = Window.partitionBy(*keys, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    out = chunked.withColumn("_hi", F.sum("_c").over(run))
-    if split:
-        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        prefix = chunk_prefix(chunked, keys, [F.sum("_c").alias("_s")],
-                              [F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")])
-        out = attach_chunks(out, prefix, keys).withColumn("_hi", F.col("_hi") + F.col("_off")).drop("_off")
-    out = attach(out, facts, keys).withColumn("_hi", F.col("_hi") + F.col("_under"))
-    pos = (F.col("_n") - 1) * F.col("_q")
-    start = F.col("_hi") - F.col("_c")
-    at = lambda r: F.max(F.when((start <= r) & (r < F.col("_hi")), v))
-    one = out.groupBy(*keys).agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_z"),
-                                 F.max(pos - F.floor(pos)).alias("_f"))
-    res = F.col("_a") * (1 - F.col("_f")) + F.col("_z") * F.col("_f")
-    return materialize(one.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, res)).alias(n) for i, n in enumerate(names)]))
+    return group_stats(src, by, [], [("_v", q, n) for q, n in zip(qs, names)], limit)
 
 
 def group_stats(df: DataFrame, by: list[str], aggs: list[Column], quantiles: list[tuple[str, float, str]],
                 limit: int = QUANTILE_ROWS) -> DataFrame:
-    """Ordinary aggregates and exact quantiles ``(column, q, name)`` per group, in one pass where no
-    group is large."""
+    """Ordinary aggregates and exact quantiles ``(column, q, name)`` per group.
+
+    Groups of up to ``limit`` rows take one pass with counted values. Larger ones are selected by radix, in a
+    fixed number of passes over their rows whatever the columns and quantiles.
+    """
     per: dict[str, list[tuple[float, str]]] = {}
     for c, q, n in quantiles:
         per.setdefault(c, []).append((float(q), n))
-    if hot_keys(df, by, limit) is None:
-        arrays = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q, _ in v])).alias(f"_q{i}")
-                  for i, (c, v) in enumerate(per.items())]
-        out = df.groupBy(*by).agg(*aggs, *arrays)
+
+    def counted(part):
+        arrays = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q, _ in v])).alias(f"_q{i}") for i, (c, v) in enumerate(per.items())]
+        out = part.groupBy(*by).agg(*aggs, *arrays)
         return out.withColumns({n: F.col(f"_q{i}")[j] for i, v in enumerate(per.values()) for j, (_, n) in enumerate(v)}).drop(
             *[f"_q{i}" for i in range(len(per))])
-    out = df.groupBy(*by).agg(*aggs)
-    for c, v in per.items():
-        part = group_quantiles(df, by, c, [q for q, _ in v], [n for _, n in v], limit)
-        if by:
-            out = attach(out, part, by)
-        else:
-            one = part.select(F.struct("*")).scalar()
-            out = out.withColumn("_s", one).select(*out.columns, *[F.col(f"_s.{n}") for _, n in v])
-    return out
+
+    def selected(part):
+        qs = sorted({q for _, q, _ in quantiles})
+        found = vector_quantiles(part, by, F.array(*[F.col(c).cast("double") for c in per]), qs)
+        values = {n: F.col("_sel")[i][qs.index(q)] for i, v in enumerate(per.values()) for q, n in v}
+        if not by:
+            plain = part.agg(*aggs, F.count("*").alias("_all")).withColumn("_sel", found.select("q").scalar())
+            return plain.withColumns(values).drop("_sel", "_all")
+        plain = attach(part.groupBy(*by).agg(*aggs, F.count("*").alias("_all")), found.select(*by, F.col("q").alias("_sel")), by)
+        return plain.withColumns(values).drop("_sel", "_all")
+
+    hot = hot_keys(df, by, limit)
+    if hot is None:
+        return counted(df)
+    if not by:
+        return selected(df)
+    tagged = _tag_hot(df, hot, by)
+    return counted(tagged.filter(~F.col("_hot")).drop("_hot")).unionByName(selected(materialize(tagged.filter("_hot").drop("_hot"))))
 
 
 def rows_of(names: list[str], entries: list[tuple]) -> Column:

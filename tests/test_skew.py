@@ -116,7 +116,7 @@ def test_results_do_not_depend_on_partitioning(rows):
     same(one, many)
 
 
-def test_sketch_brackets_give_exact_quantiles(spark):
+def test_selection_gives_exact_quantiles_of_many_ties(spark):
     rng = np.random.default_rng(4)
     v = np.where(rng.random(60_000) < 0.35, 1.5, rng.normal(size=60_000).round(3))  # a third of all values equal
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
