@@ -92,24 +92,55 @@ def symbols(data: np.ndarray, at: np.ndarray, w: Words) -> tuple[np.ndarray, np.
     return out, begin
 
 
-def hashes(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of five code points each."""
-    c = codes.astype(np.uint64)
-    left = (c[..., 0] << np.uint64(42)) | (c[..., 1] << np.uint64(21)) | c[..., 2]
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix((c[..., 3] << np.uint64(21)) | c[..., 4]))
+def hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, given as one array of code points for each place."""
+    c = [x.astype(np.uint64, copy=False) for x in columns]
+    left = (c[0] << np.uint64(42)) | (c[1] << np.uint64(21)) | c[2]
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix((c[3] << np.uint64(21)) | c[4]))
 
 
-def grams(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, five code points, hash) of the n-grams that end in a character or an end mark, in chunks."""
+def windows(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """In chunks, the places of n-grams that end in a character or an end mark, and for each of their places the array of code points."""
     real = np.ones(len(codes), bool)
     for k in range(ORDER - 1):
         real[begin[:-1] + k] = False
-    ends = np.flatnonzero(real)
-    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin) - ORDER + 1)
-    windows = np.lib.stride_tricks.sliding_window_view(codes, ORDER) if len(codes) else codes
-    for i in range(0, len(ends), CHUNK):
-        five = windows[ends[i : i + CHUNK] - ORDER + 1]
-        yield row[i : i + CHUNK], five, hashes(five)
+    for i in range(0, len(codes) - ORDER + 1, CHUNK):
+        at = i + np.flatnonzero(real[i + ORDER - 1 : i + ORDER - 1 + CHUNK])
+        part = codes[i : i + CHUNK + ORDER - 1]
+        yield at, [part[k : len(part) - ORDER + 1 + k] for k in range(ORDER)]
+
+
+def grams(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of the n-grams, in chunks."""
+    row = np.repeat(np.arange(len(begin) - 1, dtype=np.int32), np.diff(begin))
+    wide = codes.astype(np.uint64)
+    done = 0
+    for at, places in windows(wide, begin):
+        yield row[at], hashes(places)[at - done]
+        done += CHUNK
+
+
+def distinct(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct n-grams, counts) of each chunk. Characters are numbered by the chunk's alphabet, so that an n-gram of up to 4096
+    different ones is one integer to sort; chunks with more are sorted by hash."""
+    done = 0
+    for at, places in windows(codes, begin):
+        own = at - done
+        done += CHUNK
+        present = np.zeros(0x110000, bool)
+        for p in places:
+            present[p] = True
+        alphabet = np.flatnonzero(present).astype(np.uint32)
+        if len(alphabet) <= 4096:
+            number = np.cumsum(present).astype(np.uint64) - np.uint64(1)
+            packed = number[places[0]]
+            for p in places[1:]:
+                packed = (packed << np.uint64(12)) | number[p]
+            found, n = np.unique(packed[own], return_counts=True)
+            yield np.stack([alphabet[((found >> np.uint64(12 * k)) & np.uint64(4095)).astype(np.int64)] for k in range(ORDER - 1, -1, -1)], axis=1), n
+        else:
+            _, first, n = np.unique(hashes(places)[own], return_index=True, return_counts=True)
+            yield np.stack([p[own[first]] for p in places], axis=1), n
 
 
 def count(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -128,10 +159,9 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
         parts, size = [], 0
         for b in batches:
             for _, _, data, at in slices(b["text"]):
-                for _, five, h in grams(*symbols(data, at, words(data, at))):
-                    h, first, n = np.unique(h, return_index=True, return_counts=True)
-                    parts.append((h, five[first], n))
-                    size += len(h)
+                for five, n in distinct(*symbols(data, at, words(data, at))):
+                    parts.append((hashes(list(five.T)), five, n))
+                    size += len(five)
                     if size > HELD:
                         parts = [compact(parts)]
                         size = len(parts[0][0])
@@ -208,7 +238,7 @@ class Arrays(NamedTuple):
     @classmethod
     def of(cls, table: pa.Table) -> Arrays:
         codes = np.array(table["gram"].to_pylist(), dtype=f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
-        h, log = hashes(codes), np.log10(np.asarray(table["p"]))
+        h, log = hashes(list(codes.T)), np.log10(np.asarray(table["p"]))
         order = np.argsort(h)
         h = h[order]
         bits = max(1, len(h).bit_length())
@@ -268,7 +298,7 @@ def _pass(docs: DataFrame, arrays: Arrays, text: str) -> DataFrame:
                 own = measures(data, at, w)
                 codes, begin = symbols(data, at, w)
                 log = np.zeros(j - i)
-                for row, _, h in grams(codes, begin):
+                for row, h in grams(codes, begin):
                     log += np.bincount(row, weights=found.find(h), minlength=j - i)
                 sums = prefix_hashes(data)
                 key = [signed(span_hash(sums, at[:-1], at[1:])), at[1:] - at[:-1]]
