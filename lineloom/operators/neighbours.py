@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +15,11 @@ from lineloom.operators.ranking import class_means
 from lineloom.operators.skew import attach, lookup_join
 from lineloom.session import materialize
 
-BLOCK_ROWS = 4096
-MAX_PIVOTS = 64
+BLOCK_ROWS = 8192
+#: Queries whose distances to a block a task holds at once.
+QUERIES = 1024
+#: Leading centres whose cells a row may join.
+LEADERS = 3
 
 
 def unit(vec) -> Column:
@@ -25,82 +30,153 @@ def unit(vec) -> Column:
 
 
 def _best(q_ids, q, b_ids, b, k):
-    """Top-k rows of block ``b`` for each row of ``q`` by distance, the row itself left out."""
-    d2 = np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * q @ b.T, 0.0)
-    d2[q_ids[:, None] == b_ids[None, :]] = np.inf
-    m = min(k, len(b_ids))
-    near = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(b_ids) else np.tile(np.arange(m), (len(q), 1))
-    rows = np.repeat(np.arange(len(q)), near.shape[1])
-    dist = np.sqrt(d2[rows, near.ravel()])
-    ok = np.isfinite(dist)
-    return q_ids[rows][ok], b_ids[near.ravel()][ok], dist[ok]
+    """Top-k rows of ``b`` for each row of ``q`` by distance, the row itself left out."""
+    parts = []
+    for i in range(0, len(q), QUERIES):
+        part, ids = q[i : i + QUERIES], q_ids[i : i + QUERIES]
+        d2 = np.maximum((part * part).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * part @ b.T, 0.0)
+        d2[ids[:, None] == b_ids[None, :]] = np.inf
+        m = min(k, len(b_ids))
+        near = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(b_ids) else np.tile(np.arange(m), (len(part), 1))
+        rows = np.repeat(np.arange(len(part)), near.shape[1])
+        dist = np.sqrt(d2[rows, near.ravel()])
+        ok = np.isfinite(dist)
+        parts.append((ids[rows][ok], b_ids[near.ravel()][ok], dist[ok]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _nearest(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of a near centre and the distance to it, in two levels: the first ``sqrt`` of the centres lead, each other
+    belongs to its nearest leader, and a row looks at the centres of its ``LEADERS`` nearest leaders (any cell is a right one, if not the tightest)."""
+    few = max(1, math.isqrt(len(centres)))
+    leads = _distances(centres, centres[:few]).argmin(1)
+    leads[:few] = np.arange(few)
+    close = np.argsort(_distances(v, centres[:few]), axis=1)[:, :LEADERS]
+    cell, dist = np.zeros(len(v), np.int64), np.full(len(v), np.inf)
+    for lead in np.unique(close):
+        at, members = np.flatnonzero((close == lead).any(1)), np.flatnonzero(leads == lead)
+        d = _distances(v[at], centres[members])
+        best, least = d.argmin(1), d.min(1)
+        nearer = least < dist[at]
+        cell[at[nearer]], dist[at[nearer]] = members[best[nearer]], least[nearer]
+    return cell, dist
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0))
 
 
 def knn(df: DataFrame, id_col: str, vec: str, k: int, group: str | None = None, cosine: bool = True,
         block: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest rows (id, nb, dist, rank) of every row, inside its group when one is named.
 
-    Rows are cut into cells around pivots and the cells into blocks of bounded size. A row is first
-    matched inside its own block; that bounds the distance it still has to look at, and only blocks
-    of cells that can hold something nearer are visited. Candidates are kept k per row and block.
+    A large group has about the square root of its rows as centres, in two levels; neighbouring cells are put together
+    to blocks of bounded size. A row is first matched inside its block, which bounds the distance it still has to
+    look at; the blocks with a cell that can hold something nearer are listed by id only, and vectors meet them in the
+    last join. Candidates are kept k per row and block.
     """
     v = unit(vec) if cosine else F.transform(vec, lambda x: x.cast("double"))
     g = F.col(group).cast("string") if group else F.lit("")
     pts = df.filter(usable(vec)).select(F.col(id_col).alias("id"), v.alias("v"), g.alias("g"))
-    sizes = pts.groupBy("g").agg(F.count("*").alias("n"))
-    if sizes.agg(F.max("n")).first()[0] is None or sizes.filter(F.col("n") > block).limit(1).count() == 0:
-        return _rank(_within(pts.withColumn("c", F.lit(0)).withColumn("s", F.lit(0)), k), k)
-
-    # pivots: the first rows by hash of each group, as many as blocks are needed
-    w = Window.partitionBy("g").orderBy(F.xxhash64("id"), "id")
-    top = pts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= MAX_PIVOTS)
-    need = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / block))
-    pivots = (attach(top, sizes, ["g"]).filter(F.col("r") <= need).groupBy("g")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda p: p["v"]).alias("p")))
-
-    @F.pandas_udf("array<double>")
-    def to_pivots(vs: pd.Series, ps: pd.Series) -> pd.Series:
-        return pd.Series([np.sqrt(((np.stack(p) - a) ** 2).sum(1)) for a, p in zip(vs, ps)])
-
-    at = attach(pts, pivots, ["g"]).withColumn("d", to_pivots("v", "p")).drop("p")
-    at = at.withColumn("c", F.array_position("d", F.array_min("d")).cast("int") - 1)
-    cells = at.groupBy("g", "c").agg(F.count("*").alias("cn"), F.max(F.array_min("d")).alias("radius"))
-    cells = materialize(cells.withColumn("ns", F.ceil(F.col("cn") / block).cast("int")))
-    at = attach(at, cells.select("g", "c", "ns"), ["g", "c"])
-    at = materialize(at.withColumn("s", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int")).drop("ns"))
-    first = materialize(_within(at.select("id", "v", "g", "c", "s"), k))
-    bound = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("tau"))
-    q = at.join(bound, "id", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf"))))
-    # radii per group: at most MAX_PIVOTS entries
-    reach = cells.groupBy("g").agg(F.collect_list(F.struct("c", "radius", "ns")).alias("reach"))
-    cand = attach(q, reach, ["g"]).withColumn("t", F.explode(F.filter(
-        "reach", lambda z: F.get(F.col("d"), z["c"]) - z["radius"] <= F.col("tau") + 1e-9)))
-    cand = cand.withColumn("ts", F.explode(F.sequence(F.lit(0), F.col("t.ns") - 1)))
-    cand = cand.filter((F.col("t.c") != F.col("c")) | (F.col("ts") != F.col("s"))).select(
-        "id", "v", "g", F.col("t.c").alias("c"), F.col("ts").alias("s"))
-    load = materialize(cand.groupBy("g", "c", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("fan")))
-    cand = attach(cand, load, ["g", "c", "s"]).withColumn("f", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int"))
-    twin = lambda d, cols: d.select(*[F.col(c).alias(c) for c in cols])  # own columns, so that the sides stay apart
-    blocks = (twin(at, ["id", "v", "g", "c", "s"]).join(twin(load, load.columns), ["g", "c", "s"])
-              .withColumn("f", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))))
-    keys = ["g", "c", "s", "f"]
+    sizes = materialize(pts.groupBy("g").agg(F.count("*").alias("n")))
+    if not sizes.filter(F.col("n") > block).take(1):
+        return _rank(_within(pts.withColumn("b", F.lit(0)).withColumn("s", F.lit(0)), k), k)
+    placed, centres = _cells(pts, sizes, block)
+    searched = materialize(_search(placed, centres, k))
+    first = searched.filter("nb IS NOT NULL").select("id", "nb", "dist")
+    return _rank(first.unionByName(_visit(placed, candidates(searched), k, block)), k)
+
+
+def _cells(pts: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, v, g, c, b, s)`` rows with cell, block and part of block, and ``(g, c, centre, radius, b, parts)`` of the cells; both written."""
+    kind = pts.schema["id"].dataType.simpleString()
+    sized = attach(pts, sizes, ["g"])
+    want = F.ceil(F.sqrt("n"))
+    # about twice as many as wanted by hash, of which the first are taken: no ranking of all rows
+    luck = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    some = sized.filter((F.col("n") <= block) & (luck < 2) | (luck < 2 * want / F.col("n"))).select("g", "id", "v", "n")
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
+    few = F.when(F.col("n") <= block, 1).otherwise(want)
+    centres = materialize(some.withColumn("r", rank).filter(F.col("r") <= few).select("g", (F.col("r") - 1).alias("c"), F.col("v").alias("centre"), F.ceil(F.col("n") / block).alias("parts")))
+    rows = sized.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / block)).cast("long")).select("id", "v", "g", "part")
+    spread = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+    def place(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "v": [], "g": [], "c": [], "d": []})
+        b = b.sort_values("c")
+        c, d = _nearest(stack(a["v"]), stack(b["centre"]))
+        return a[["id", "v", "g"]].assign(c=b["c"].to_numpy()[c], d=d)
+
+    at = rows.groupBy("g", "part").cogroup(spread.groupBy("g", "part")).applyInPandas(place, f"id {kind}, v array<double>, g string, c long, d double")
+    at = materialize(at)
+    stats = at.groupBy("g", "c").agg(F.count("*").alias("cn"), F.max("d").alias("radius"))
+    # cells next to each other by leader fill a block; one that is larger by itself is cut into parts by hash
+    upto = F.sum("cn").over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = stats.join(centres.drop("parts"), ["g", "c"]).withColumn("b", F.floor((upto - 1) / block))
+    full = numbered.groupBy("g", "b").agg(F.ceil(F.sum("cn") / (2 * block)).cast("int").alias("parts"))
+    cells = materialize(attach(numbered, full, ["g", "b"]).select("g", "c", "centre", "radius", "b", "parts"))
+    placed = attach(at.drop("d"), cells.select("g", "c", "b", "parts"), ["g", "c"])
+    return materialize(placed.withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")), cells
+
+
+def _search(placed: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """Neighbours of each row inside its block (id, nb, dist), and the blocks it has still to look at (id, g, to_b, parts)."""
+    kind = placed.schema["id"].dataType.simpleString()
+    homes = placed.select("g", F.col("b").alias("hb"), F.col("s").alias("hs")).distinct()
+    known = cells.join(homes, "g").withColumnsRenamed({"hb": "own_b", "hs": "own_s"})
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, v = a["id"].to_numpy(), stack(a["v"])
+        q, nb, dist = _best(ids, v, ids, v, k)
+        found = pd.DataFrame({"id": q, "nb": nb.astype(object), "dist": dist, "to_b": None, "parts": None})
+        per = found.groupby("id")["dist"].agg(["size", "max"]).reindex(ids)
+        bound = np.where(per["size"].fillna(0) >= k, per["max"], np.inf)
+        parts = b.groupby("b")["parts"].first()
+        slack = 1e-6 * (1 + np.abs(v).max(initial=0.0))  # distances are rounded
+        reach = _distances(v, stack(b["centre"])) - b["radius"].to_numpy() <= bound[:, None] + slack
+        blocks = b["b"].to_numpy()
+        more = []
+        for to in parts.index:
+            hit = ids[reach[:, blocks == to].any(1)]
+            if len(hit) and (to != key[1] or parts[to] > 1):
+                more.append(pd.DataFrame({"id": hit, "nb": None, "dist": np.nan, "to_b": int(to), "parts": int(parts[to])}).astype({"nb": object, "to_b": object, "parts": object}))
+        out = pd.concat([found, *more]) if more else found
+        return out.assign(g=key[0], b=key[1], s=key[2])[["id", "nb", "dist", "g", "b", "s", "to_b", "parts"]]
+
+    return placed.groupBy("g", "b", "s").cogroup(known.groupBy("g", "own_b", "own_s")).applyInPandas(
+        run, f"id {kind}, nb {kind}, dist double, g string, b long, s int, to_b long, parts int")
+
+
+def candidates(searched: DataFrame) -> DataFrame:
+    """(id, g, b, s): the block parts other than its own that a row has to look at; no vectors."""
+    to = searched.filter("to_b IS NOT NULL").withColumn("to_s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    away = (F.col("to_b") != F.col("b")) | (F.col("to_s") != F.col("s"))
+    return to.filter(away).select("id", "g", F.col("to_b").alias("b"), F.col("to_s").alias("s"))
+
+
+def _visit(placed: DataFrame, cand: DataFrame, k: int, block: int) -> DataFrame:
+    """Neighbours of each row in the blocks it visits: ids meet their vectors, then blocks of ``block`` rows meet ``block`` queries."""
+    keys = ["g", "b", "s"]
+    load = materialize(cand.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("fan")))
+    vectors = placed.select(F.col("id").alias("id"), F.col("v").alias("v"))
+    asked = attach(cand, load, keys).withColumn("f", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int")).drop("fan").join(vectors, "id")
+    own = placed.select(*[F.col(c).alias(c) for c in ("id", "v", *keys)]).join(load.select(*[F.col(c).alias(c) for c in load.columns]), keys)
+    own = own.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "nb": [], "dist": []})
-        return pd.DataFrame(dict(zip(("id", "nb", "dist"), _best(
-            a["id"].to_numpy(), stack(a["v"]), b["id"].to_numpy(), stack(b["v"]), k))))
+        return pd.DataFrame(dict(zip(("id", "nb", "dist"), _best(a["id"].to_numpy(), stack(a["v"]), b["id"].to_numpy(), stack(b["v"]), k))))
 
-    more = cand.drop("fan").groupBy(*keys).cogroup(blocks.drop("fan").groupBy(*keys)).applyInPandas(
-        match, _pair_schema(pts))
-    return _rank(first.unionByName(more), k)
+    return asked.groupBy(*keys, "f").cogroup(own.groupBy(*keys, "f")).applyInPandas(match, _pair_schema(placed))
 
 
 def _within(pts: DataFrame, k: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, v = pdf["id"].to_numpy(), stack(pdf["v"])
         return pd.DataFrame(dict(zip(("id", "nb", "dist"), _best(ids, v, ids, v, k))))
-    return pts.groupBy("g", "c", "s").applyInPandas(run, _pair_schema(pts))
+    return pts.groupBy("g", "b", "s").applyInPandas(run, _pair_schema(pts))
 
 
 def _pair_schema(pts: DataFrame) -> str:
