@@ -33,8 +33,10 @@ ORDER = 5
 #: Entries of one broadcast array, at most.
 BLOCK = 1 << 21
 #: n-grams a task holds before it sends them, and n-grams it looks at at once.
-HELD = 1 << 20
-CHUNK = 1 << 20
+HELD = 1 << 19
+CHUNK = 1 << 18
+#: Bytes of text looked at together: arrays of many times that size follow from them.
+SLICE = 1 << 18
 #: Quartile distances that the band reaches beyond the quartiles, and the least distance.
 WIDTH, LEAST_SPREAD = 4.0, 0.01
 BINS = 1000
@@ -99,48 +101,48 @@ def hashes(columns: list[np.ndarray]) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix((c[3] << np.uint64(21)) | c[4]))
 
 
-def windows(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """In chunks, the places of n-grams that end in a character or an end mark, and for each of their places the array of code points."""
+def windows(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """In chunks, where the chunk begins, the places of n-grams that end in a character or an end mark, and the chunk's code points."""
     real = np.ones(len(codes), bool)
     for k in range(ORDER - 1):
         real[begin[:-1] + k] = False
     for i in range(0, len(codes) - ORDER + 1, CHUNK):
         at = i + np.flatnonzero(real[i + ORDER - 1 : i + ORDER - 1 + CHUNK])
-        part = codes[i : i + CHUNK + ORDER - 1]
-        yield at, [part[k : len(part) - ORDER + 1 + k] for k in range(ORDER)]
+        if not len(at):
+            continue
+        yield i, at, codes[i : i + CHUNK + ORDER - 1]
+
+
+def places(part: np.ndarray) -> list[np.ndarray]:
+    """For each place in an n-gram the code points there, over all n-grams of ``part``."""
+    return [part[k : len(part) - ORDER + 1 + k] for k in range(ORDER)]
 
 
 def grams(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, hash) of the n-grams, in chunks."""
     row = np.repeat(np.arange(len(begin) - 1, dtype=np.int32), np.diff(begin))
-    wide = codes.astype(np.uint64)
-    done = 0
-    for at, places in windows(wide, begin):
-        yield row[at], hashes(places)[at - done]
-        done += CHUNK
+    for first, at, part in windows(codes, begin):
+        yield row[at], hashes(places(part.astype(np.uint64)))[at - first]
 
 
 def distinct(codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(distinct n-grams, counts) of each chunk. Characters are numbered by the chunk's alphabet, so that an n-gram of up to 4096
     different ones is one integer to sort; chunks with more are sorted by hash."""
-    done = 0
-    for at, places in windows(codes, begin):
-        own = at - done
-        done += CHUNK
-        present = np.zeros(0x110000, bool)
-        for p in places:
-            present[p] = True
+    for first, at, part in windows(codes, begin):
+        own = at - first
+        present = np.zeros(int(part.max()) + 1, bool)
+        present[part] = True
         alphabet = np.flatnonzero(present).astype(np.uint32)
         if len(alphabet) <= 4096:
-            number = np.cumsum(present).astype(np.uint64) - np.uint64(1)
-            packed = number[places[0]]
-            for p in places[1:]:
-                packed = (packed << np.uint64(12)) | number[p]
+            each = places((np.cumsum(present) - 1).astype(np.uint64)[part])
+            packed = each[0]
+            for p in each[1:]:
+                packed = (packed << np.uint64(12)) | p
             found, n = np.unique(packed[own], return_counts=True)
             yield np.stack([alphabet[((found >> np.uint64(12 * k)) & np.uint64(4095)).astype(np.int64)] for k in range(ORDER - 1, -1, -1)], axis=1), n
         else:
-            _, first, n = np.unique(hashes(places)[own], return_index=True, return_counts=True)
-            yield np.stack([p[own[first]] for p in places], axis=1), n
+            _, one, n = np.unique(hashes(places(part))[own], return_index=True, return_counts=True)
+            yield np.stack([p[own[one]] for p in places(part)], axis=1), n
 
 
 def count(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -158,14 +160,14 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         parts, size = [], 0
         for b in batches:
-            for _, _, data, at in slices(b["text"]):
+            for _, _, data, at in slices(b["text"], SLICE):
                 for five, n in distinct(*symbols(data, at, words(data, at))):
                     parts.append((hashes(list(five.T)), five, n))
                     size += len(five)
                     if size > HELD:
                         parts = [compact(parts)]
                         size = len(parts[0][0])
-                    if size > HELD // 2:
+                    if size > HELD * 3 // 4:
                         yield from send(parts[0] if len(parts) == 1 else compact(parts))
                         parts, size = [], 0
         if parts:
@@ -293,7 +295,7 @@ def _pass(docs: DataFrame, arrays: Arrays, text: str) -> DataFrame:
     def run(batches):
         found = shared.value
         for b in batches:
-            for i, j, data, at in slices(b[text]):
+            for i, j, data, at in slices(b[text], SLICE):
                 w = words(data, at)
                 own = measures(data, at, w)
                 codes, begin = symbols(data, at, w)
