@@ -64,11 +64,6 @@ def unpack(m) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
-def width(df: DataFrame, x: str) -> int:
-    row = df.select(F.size(x)).filter(F.col(x).isNotNull()).take(1)
-    return row[0][0] if row else 0
-
-
 def usable(x) -> Column:
     """Whether a vector is there and finite throughout."""
     x = F.col(x) if isinstance(x, str) else x
@@ -106,8 +101,11 @@ def fit_pca(df: DataFrame, x: str, k: int, standardize: bool = False) -> Pca:
 
     Fit on training rows by passing only those (L2). Axis signs: largest loading positive.
     """
-    width(df, x)
-    s = unpack(moments(df.filter(usable(x)), x).first()["m"])[:-1, :-1]
+    return _axes(unpack(moments(df.filter(usable(x)), x).first()["m"])[:-1, :-1], k, standardize)
+
+
+def _axes(s: np.ndarray, k: int, standardize: bool) -> Pca:
+    """Principal axes from moments of [1, x]."""
     n = s[0, 0]
     mean = s[0, 1:] / n
     cov = s[1:, 1:] / n - np.outer(mean, mean)
@@ -229,7 +227,6 @@ def _predict(df: DataFrame, models: dict, alpha: dict, keep: list[str]) -> DataF
 
 def ridge_fit(df: DataFrame, x: str, y: str, alphas) -> tuple[Design, float]:
     """Standardised ridge with an unpenalised intercept; alpha by leave-one-out error over the grid."""
-    width(df, x)
     src = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.lit("all").alias("g")).filter(is_finite("y") & usable("x"))
     m = design(unpack(moments(src, "x", "y").first()["m"]))
     err = _errors(src, {"all": m}, alphas, held_out=False)[0]["all"]
@@ -247,7 +244,6 @@ def oof_predict(df: DataFrame, x: str, y: str, alphas, fold: str = "fold", keep:
 
     One moments pass for all folds: the training sums of a fold are the total minus its own.
     """
-    width(df, x)
     src = _folded(df, x, y, fold, keep)
     _, models = _fold_models(src)
     grid = list(alphas)
@@ -278,7 +274,6 @@ def probe(df: DataFrame, x: str, y: str, alphas, k: int = 5, fold: str = "fold")
     Two passes over the rows: moments of all folds, then errors of all fold models and alphas.
     """
     src = _folded(df, x, y, fold)
-    width(df, x)
     per, models = _fold_models(src)
     n = int(sum(s[0, 0] for s in per.values()))
     mean = std = None
@@ -294,6 +289,152 @@ def probe(df: DataFrame, x: str, y: str, alphas, k: int = 5, fold: str = "fold")
                       F.lit(n).cast("long").alias("n_valid"))
 
 
+@dataclass
+class Block:
+    """Columns of a representation: a vector column, or a linear map of one (``axes``: its principal axes)."""
+
+    source: str
+    axes: Pca | None = None
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return x if self.axes is None else ((x - self.axes.centre) / self.axes.scale) @ self.axes.components.T
+
+    def fold(self, s: np.ndarray) -> np.ndarray:
+        """Moments of [1, block, y] from those of [1, source, y]."""
+        if self.axes is None:
+            return s
+        m = (self.axes.components / self.axes.scale).T
+        move = np.zeros((len(s), m.shape[1] + 2))
+        move[0, 0] = move[-1, -1] = 1.0
+        move[1:-1, 1:-1], move[0, 1:-1] = m, -self.axes.centre @ m
+        return move.T @ s @ move
+
+
+def probe_all(df: DataFrame, targets: list[str], vectors: dict[str, str], pcas: dict[str, tuple[str, int]], alphas, k: int = 5,
+              others: bool = False) -> list[tuple]:
+    """(target, representation, r2_mean, r2_std, n_valid) of cross-validated ridge probes of all cells, in two passes over the rows.
+
+    ``df`` has ``fold_<target>`` columns, ``vectors`` names array columns, ``pcas`` a vector and a number of its principal
+    axes over all rows, ``others`` adds the other targets (missing ones as 0). The first pass adds up one matrix of moments of
+    [1, all vectors, all targets] per target, fold and combination of usable vectors; every cell's fold models are sub-matrices or
+    projections of their sums. The second adds up all models' leave-one-out and held-out errors.
+    """
+    names, grid, n_t = list(vectors), list(alphas), len(targets)
+    cols = [*[F.col(c).alias(f"x{i}") for i, c in enumerate(vectors.values())], *[usable(c).alias(f"u{i}") for i, c in enumerate(vectors.values())],
+            F.array(*[F.col(y).cast("double") for y in targets]).alias("y"), F.array(*[F.col(f"fold_{y}") for y in targets]).alias("f")]
+    src = df.select(*cols)
+
+    def arrays(pdf):
+        good = np.stack([pdf[f"u{i}"].to_numpy(dtype=bool) for i in range(len(names))], axis=1)
+        y = np.array([[np.nan if v is None else v for v in row] for row in pdf["y"]], dtype=float)
+        fold = np.array([[-1 if v is None or v != v else v for v in row] for row in pdf["f"]], dtype=int)
+        xs = []
+        for i in range(len(names)):
+            rows = np.flatnonzero(good[:, i])
+            x = stack(pdf[f"x{i}"].iloc[rows])
+            full = np.zeros((len(pdf), x.shape[1] if len(rows) else 0))
+            full[rows] = x
+            xs.append(full)
+        return xs, good, y, fold
+
+    def moments_of(batches):
+        sums: dict = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            xs, good, y, fold = arrays(pdf)
+            code = good @ (1 << np.arange(len(names)))
+            for mask in np.unique(code):
+                rows = np.flatnonzero(code == mask)
+                z = np.column_stack([np.ones(len(rows)), *[x[rows] for i, x in enumerate(xs) if mask >> i & 1], np.where(np.isfinite(y[rows]), y[rows], 0.0)])
+                parts = [(-1, -1, np.arange(len(rows)))] + [(t, f, np.flatnonzero(fold[rows, t] == f)) for t in range(n_t) for f in range(k)]
+                for t, f, at in parts:
+                    if len(at):
+                        m = z[at].T @ z[at]
+                        key = f"{t} {f} {mask}"
+                        sums[key] = sums[key] + m if key in sums else m
+        yield pd.DataFrame({"g": list(sums), "m": [s[np.triu_indices(len(s))] for s in sums.values()]})
+
+    parts = src.mapInPandas(moments_of, "g string, m array<double>")
+    packed = parts.groupBy("g").agg(Summarizer.sum(array_to_vector("m")).alias("s")).select("g", vector_to_array("s").alias("m"))
+    found = {tuple(map(int, r["g"].split())): unpack(r["m"]) for r in packed.collect()}  # targets x folds rows, few masks
+    wide = [0] * len(names)
+    for (_, _, mask), m in found.items():
+        if mask and mask & (mask - 1) == 0:
+            wide[mask.bit_length() - 1] = len(m) - 1 - n_t
+    for i in range(len(names)):  # a vector that no row has alone
+        if not wide[i]:
+            row = df.select(F.size(vectors[names[i]]).alias("n")).filter(usable(vectors[names[i]])).take(1)
+            wide[i] = row[0][0] if row else 0
+
+    def sums(t: int, f: int, i: int | None, y: list[int]) -> np.ndarray:
+        """Moments of [1, vector ``i`` or none, targets ``y``] over the rows of a part where the vector is usable."""
+        total = np.zeros((1 + (wide[i] if i is not None else 0) + len(y),) * 2)
+        for (a, b, mask), m in found.items():
+            if (a, b) == (t, f) and (i is None or mask >> i & 1):
+                at = 1 + sum(wide[j] for j in range(i or 0) if mask >> j & 1)
+                own = list(range(at, at + wide[i])) if i is not None else []
+                end = len(m) - n_t
+                index = np.array([0, *own, *[end + v for v in y]])
+                total += m[np.ix_(index, index)]
+        return total
+
+    blocks: dict[str, Block] = {n: Block(n) for n in names}
+    for n, (source, dims) in pcas.items():
+        blocks[n] = Block(source, _axes(sums(-1, -1, names.index(source), []), dims, False))
+    models, spread, valid = {}, {}, {}
+    cells = [(t, n) for t in range(n_t) for n in [*blocks, *(["loo"] if others else [])]]
+    for t, n in cells:
+        rest = [v for v in range(n_t) if v != t]
+        per = {}
+        for f in range(k):
+            s = sums(t, f, None, [*rest, t]) if n == "loo" else blocks[n].fold(sums(t, f, names.index(blocks[n].source), [t]))
+            if s[0, 0]:
+                per[f] = s
+        valid[t, n] = int(sum(s[0, 0] for s in per.values()))
+        if valid[t, n] >= 5 * k and len(per) > 1:
+            whole = sum(per.values())
+            for f, s in per.items():
+                models[t, n, f] = design(whole - s)
+                spread[t, n, f] = s[-1, -1] - s[0, -1] ** 2 / s[0, 0]
+    shared = df.sparkSession.sparkContext.broadcast((models, blocks))
+
+    def errors_of(batches):
+        models, blocks = shared.value
+        total = {key: np.zeros((2, len(grid))) for key in models}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            xs, good, y, fold = arrays(pdf)
+            filled = np.where(np.isfinite(y), y, 0.0)
+            for t, n in {key[:2] for key in models}:
+                rows = np.flatnonzero((fold[:, t] >= 0) & (good[:, names.index(blocks[n].source)] if n != "loo" else True))
+                if not len(rows):
+                    continue
+                x = np.delete(filled[rows], t, axis=1) if n == "loo" else blocks[n].of(xs[names.index(blocks[n].source)][rows])
+                for f in range(k):
+                    m = models.get((t, n, f))
+                    if m is not None:
+                        use = fold[rows, t] != f
+                        total[t, n, f] += [m.loo_error(x[use], y[rows, t][use], grid), m.test_error(x[~use], y[rows, t][~use], grid)]
+        yield pd.DataFrame([(t, n, f, i, *v) for (t, n, f), e in total.items() for i, v in enumerate(e.T)], columns=["t", "n", "f", "i", "loo", "test"])
+
+    errors = {}
+    if models:
+        added = src.mapInPandas(errors_of, "t int, n string, f int, i int, loo double, test double").groupBy("t", "n", "f", "i").agg(F.sum("loo").alias("loo"), F.sum("test").alias("test"))
+        for r in added.collect():  # cells x folds x alphas rows
+            errors.setdefault((r.t, r.n, r.f), {})[r.i] = (r.loo, r.test)
+    out = []
+    for t, n in cells:
+        r2 = []
+        for f in range(k):
+            if (t, n, f) in models:
+                e = errors[t, n, f]
+                r2.append(1 - e[min(e, key=lambda i: (e[i][0], i))][1] / spread[t, n, f])
+        out.append((targets[t], n, float(np.mean(r2)) if r2 else None, float(np.std(r2)) if r2 else None, valid[t, n]))
+    return out
+
+
 def stratified_r2(pred: DataFrame, by: str | Column, min_rows: int = 20) -> DataFrame:
     """R2 of predictions per stratum; strata with few rows have NULL."""
     per = pred.groupBy((F.col(by) if isinstance(by, str) else by).alias("stratum")).agg(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineloom.functions.scalars import hash_split, sample_hash
+from lineloom.functions.scalars import hash_split, is_finite, sample_hash
 from lineloom.operators.joins import drop_keys, keep_keys
-from lineloom.operators.skew import HOT_ROWS, attach, lookup_join, row_numbers
+from lineloom.operators.skew import CHUNK, HOT_ROWS, attach, attach_chunks, chunk_prefix, lookup_join, order_chunks, row_numbers
 
 
 def ratio_split(df: DataFrame, key: str, ratios=(("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: int = 42,
@@ -74,6 +74,32 @@ def assign_folds(df: DataFrame, k: int, mode: str = "shuffled", tie: str = "row_
     return row_numbers(h, [], order, "_rn", limit).withColumn("fold", fold.cast("int")).drop("_rn", "_h")
 
 
+def assign_folds_by_target(df: DataFrame, targets: list[str], k: int, mode: str = "shuffled", tie: str = "row_id", seed: int = 42,
+                           limit: int = HOT_ROWS) -> DataFrame:
+    """``fold_<target>`` for every target: what :func:`assign_folds` gives over the rows where the target is finite, NULL
+    elsewhere. All targets share one ordering: a row's place among a target's rows is a running count."""
+    there = {y: is_finite(F.col(y).cast("double")) for y in targets}
+    order = [tie] if mode == "contiguous" else ["_h", tie]
+    h = df if mode == "contiguous" else df.withColumn("_h", sample_hash(seed, tie))
+    chunked, split = order_chunks(h, [], order, limit)
+    run = Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = chunked.withColumns({f"_r{i}": F.sum(there[y].cast("long")).over(run) for i, y in enumerate(targets)})
+    if split:
+        before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        prefix = chunk_prefix(chunked, [], [F.sum(there[y].cast("long")).alias(f"_c{i}") for i, y in enumerate(targets)],
+                              [F.coalesce(F.sum(f"_c{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(targets))])
+        out = attach_chunks(out, prefix, [])
+        out = out.withColumns({f"_r{i}": F.col(f"_r{i}") + F.col(f"_o{i}") for i in range(len(targets))})
+    counts = df.agg(*[F.count_if(there[y]).alias(f"n{i}") for i, y in enumerate(targets)]).first()
+    folds = {}
+    for i, y in enumerate(targets):
+        base, extra = divmod(counts[i], k)
+        r, big = F.col(f"_r{i}") - 1, extra * (base + 1)
+        fold = F.when(r < big, F.floor(r / F.lit(base + 1))).otherwise(F.lit(extra) + F.floor((r - big) / F.lit(max(base, 1))))
+        folds[f"fold_{y}"] = F.when(there[y], fold.cast("int"))
+    return out.select(*df.columns, *[f.alias(n) for n, f in folds.items()])
+
+
 def check_splits(df: DataFrame, key: str, split: str, expected: DataFrame, salt: str = "split") -> DataFrame:
     """Per split: entities found and expected, and how many disagree with the hash rule."""
     got = df.select(key, split).distinct().groupBy(split).agg(

@@ -5,66 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.functions.scalars import bucket_label
 from lineloom.operators.joins import nearest_join
-from lineloom.operators.linear import fit_pca, loo_features, oof_predict, probe, stratified_r2
-from lineloom.operators.splits import assign_folds, cap_per_class
+from lineloom.operators.linear import fit_pca, oof_predict, probe_all, stratified_r2
+from lineloom.operators.splits import assign_folds, assign_folds_by_target, cap_per_class
 from lineloom.session import materialize
 
 PROBE_ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
+CELLS = "feature string, representation string, r2_mean double, r2_std double, n_valid long"
 SNR_BINS = [(0.0, 60.0, "low"), (60.0, 120.0, "medium"), (120.0, 300.0, "good"), (300.0, None, "excellent")]
 
 
 def probe_grid(df: DataFrame, targets: list[str], z: str, raw: str, pca_dims=(10, 32, 50), k: int = 5, seed: int = 42,
                alphas=PROBE_ALPHAS, tie: str = "row_id", mode: str = "shuffled") -> DataFrame:
-    """Long table (feature, representation, r2_mean, r2_std, n_valid): z, PCAs, raw, other features.
+    """Long table (feature, representation, r2_mean, r2_std, n_valid): z, raw, PCAs of raw, other features.
 
-    The representations are written out once; each cell then reads only its own columns. PCA sees
+    Folds go over the rows with a finite target. The table is written once; all cells share two passes over it. PCA sees
     all rows, as in the published probes; fit it on training rows for a leak-free run.
     """
-    reps = {"z": F.transform(z, lambda x: x.cast("double")), "raw": F.transform(raw, lambda x: x.cast("double"))}
-    for d in pca_dims:
-        reps[f"pca{d}"] = fit_pca(df, raw, d).apply(raw)
-    table = df.select(tie, *targets, *[c.alias(f"x_{n}") for n, c in reps.items()])
-    for y in targets:
-        table = table.withColumn(f"x_loo_{y}", loo_features(y, targets))
-    table = materialize(table)
-    out = None
-    for y in targets:
-        # folds over the rows with a finite target, as each probe drops the others first
-        rows = assign_folds(table.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))), k, mode, tie, seed)
-        rows = materialize(rows)
-        for name, col in [*[(n, f"x_{n}") for n in reps], ("loo", f"x_loo_{y}")]:
-            cell = probe(rows, col, y, alphas, k).select(
-                F.lit(y).alias("feature"), F.lit(name).alias("representation"), "r2_mean", "r2_std", "n_valid")
-            out = cell if out is None else out.unionByName(cell)
-    return out
+    table = assign_folds_by_target(df.select(tie, *targets, F.col(z).alias("_z"), F.col(raw).alias("_raw")), targets, k, mode, tie, seed)
+    cells = probe_all(materialize(table), targets, {"z": "_z", "raw": "_raw"}, {f"pca{d}": ("raw", d) for d in pca_dims}, alphas, k, others=True)
+    return df.sparkSession.createDataFrame(cells, CELLS)
 
 
 def aligned_probe(targets: DataFrame, vectors: DataFrame, names: list[str], vec: str, tol: float, key: str = "star_name", t: str = "mjd",
-                  order: str = "row_id", dims: tuple[int, ...] = (10, 32), k: int = 5, alphas=PROBE_ALPHAS) -> DataFrame:
+                  order: str = "row_id", dims: tuple[int, ...] = (10, 32), k: int = 5, alphas=PROBE_ALPHAS,
+                  mode: str = "contiguous", seed: int = 42, others: bool = False) -> DataFrame:
     """Probes across two tables, e.g. the features of one line from the window of another.
 
     Each target row meets the vector of the same entity nearest in time, within ``tol``; folds are contiguous in
-    ``order``. Long rows (feature, representation, r2_mean, r2_std, n_valid) for the vector and its PCAs.
+    ``order`` unless ``mode`` says shuffled. Long rows (feature, representation, r2_mean, r2_std, n_valid) for the vector, its PCAs
+    and, with ``others``, the other features.
     """
     met = nearest_join(targets.select(key, t, order, *names), vectors.select(key, t, order, vec), key, t, tol, order)
     table = materialize(met.select(order, *names, F.col(f"r_{vec}").alias("_v")))
-    reps = {"z": F.col("_v"), **{f"pca{d}": fit_pca(table, "_v", d).apply("_v") for d in dims}}
-    out = None
-    for y in names:
-        rows = materialize(assign_folds(table.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))), k, "contiguous", order)
-                           .select(y, "fold", *[c.alias(f"x_{n}") for n, c in reps.items()]))
-        for name in reps:
-            cell = probe(rows, f"x_{name}", y, alphas, k).select(F.lit(y).alias("feature"), F.lit(name).alias("representation"), "r2_mean", "r2_std", "n_valid")
-            out = cell if out is None else out.unionByName(cell)
-    return out
+    folded = materialize(assign_folds_by_target(table, names, k, mode, order, seed))
+    return targets.sparkSession.createDataFrame(probe_all(folded, names, {"z": "_v"}, {f"pca{d}": ("z", d) for d in dims}, alphas, k, others), CELLS)
 
 
 def snr_study(df: DataFrame, x: str, y: str, snr: str = "snr", k: int = 5, seed: int = 42, alphas=PROBE_ALPHAS,
               tie: str = "row_id", bins=SNR_BINS) -> DataFrame:
     """Out-of-fold R2 overall and per SNR bin."""
-    from lineloom.functions.scalars import bucket_label
-
     rows = materialize(assign_folds(df.filter(F.col(y).isNotNull()), k, "shuffled", tie, seed))
     pred = materialize(oof_predict(rows, x, y, alphas, keep=(tie, snr)))
     every = stratified_r2(pred, F.lit("all"), 2)
