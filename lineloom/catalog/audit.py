@@ -287,21 +287,27 @@ def split_comparison(t):
     return P.compare_splits(a, b)
 
 
-@query(f"""e AS (SELECT DISTINCT star_name, {SPLIT_CASE.format(k='star_name')} AS split FROM obs), n AS (SELECT split, count(*) AS k FROM e GROUP BY 1)
-  SELECT split, greatest(1, floor(k*CASE split WHEN 'train' THEN 0.1::DOUBLE WHEN 'validation' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END + 1e-9))::BIGINT AS n_entities FROM n""", "obs")
+def sql_hash(c: str) -> str:
+    """The order of ``sample_hash`` with seed 42."""
+    return f"('0x' || substr(md5('42::' || {c}), 1, 15))::BIGINT"
+
+
+RANKED = f"""e AS (SELECT DISTINCT star_name, {SPLIT_CASE.format(k='star_name')} AS split FROM obs),
+  r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {sql_hash('star_name')}, star_name) AS r, count(*) OVER (PARTITION BY split) AS k FROM e)"""
+
+
+@query(RANKED + """ SELECT split, star_name FROM r WHERE r <= greatest(1, floor(k*CASE split WHEN 'train' THEN 0.1::DOUBLE WHEN 'validation' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END + 1e-9))""", "obs")
 def entity_sample_fraction(t):
     rows = t.obs.withColumn("split", hash_split("star_name"))
     s = P.sample_entities(rows, "star_name", "split", fracs={"train": 0.1, "validation": 0.2, "test": 0.5})
-    return s.groupBy("split").agg(F.count_distinct("star_name").alias("n_entities"))
+    return s.select("split", "star_name").distinct()
 
 
-@query(f"""e AS (SELECT DISTINCT star_name, {SPLIT_CASE.format(k='star_name')} AS split FROM obs) SELECT split, least(count(*), 5) AS n_entities,
-  20::BIGINT AS max_rows FROM e GROUP BY 1""", "obs")
+@query(RANKED + """ SELECT split, star_name, least(count(*), 20) AS n FROM r JOIN obs USING (star_name) WHERE r <= 5 GROUP BY ALL""", "obs")
 def entity_sample_capped(t):
     rows = t.obs.withColumn("split", hash_split("star_name"))
     s = cap_per_entity(P.sample_entities(rows, "star_name", "split", n=5), "star_name", ["row_id"], 20)
-    per = s.groupBy("split", "star_name").agg(F.count("*").alias("k"))
-    return per.groupBy("split").agg(F.count("*").alias("n_entities"), F.max("k").alias("max_rows"))
+    return s.groupBy("split", "star_name").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT star_name, row_id FROM (SELECT *, row_number() OVER (PARTITION BY star_name ORDER BY row_id) AS r FROM obs) WHERE r <= 20""", "obs")
@@ -309,15 +315,15 @@ def entity_row_cap(t):
     return cap_per_entity(t.obs, "star_name", ["row_id"], 20).select("star_name", "row_id")
 
 
-@query("SELECT cls, least(count(*), 1600) AS n FROM obs GROUP BY 1", "obs")
+@query(f"SELECT cls, row_id FROM (SELECT cls, row_id, row_number() OVER (PARTITION BY cls ORDER BY {sql_hash('row_id')}, row_id) AS r FROM obs) WHERE r <= 150", "obs")
 def class_cap(t):
-    return P.cap_per_class(t.obs, "cls", 1600, "row_id").groupBy("cls").agg(F.count("*").alias("n"))
+    return P.cap_per_class(t.obs, "cls", 150, "row_id").select("cls", "row_id")
 
 
-@query("SELECT least(count(*), 200) AS n, least(count(*), 200) AS n_good FROM meta WHERE snr >= 200 AND spectral_resolution >= 1000", "meta")
+@query(f"SELECT id, snr FROM meta WHERE snr >= 200 AND spectral_resolution >= 1000 ORDER BY {sql_hash('id')}, id LIMIT 200", "meta")
 def filtered_sample(t):
     where = (F.col("snr") >= 200) & (F.col("spectral_resolution") >= 1000)
-    return P.sample_rows(t.meta, where, 200, "id").agg(F.count("*").alias("n"), F.count_if(where).alias("n_good"))
+    return P.sample_rows(t.meta, where, 200, "id").select("id", "snr")
 
 
 @query("SELECT fold::INT AS fold, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM (SELECT row_id, ntile(5) OVER (ORDER BY row_id) - 1 AS fold FROM obs) GROUP BY 1", "obs")

@@ -196,6 +196,34 @@ def entity_regression(t):
     return L.per_entity_r2(t.vec, "star_name", "z", "y2")
 
 
+PER_ENTITY = """d AS (SELECT star_name, row_id % 5 AS fold, list_sum(list_transform(range(1, 65, 2), lambda i: z[i])) AS a, list_sum(list_transform(range(2, 65, 2), lambda i: z[i])) AS b,
+  list_sum(list_transform(range(64), lambda i: z[i+1]*z[i+1]*(i % 5))) AS y FROM vec),
+  s AS (SELECT f.star_name, f.fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y)/stddev_pop(a) AS qa, covar_pop(b, y)/stddev_pop(b) AS qb
+    FROM (SELECT DISTINCT star_name, fold FROM d) f JOIN d ON d.star_name = f.star_name AND d.fold <> f.fold GROUP BY ALL),
+  m AS (SELECT *, ((n+1)*n*qa - n*r*n*qb)/((n+1)*(n+1) - n*r*n*r) AS ca, ((n+1)*n*qb - n*r*n*qa)/((n+1)*(n+1) - n*r*n*r) AS cb FROM s),
+  e AS (SELECT star_name, fold, count(*) AS n, 1 - sum((y - my - ca*(a - ma)/sa - cb*(b - mb)/sb)**2)/(var_pop(y)*count(*)) AS r2 FROM d JOIN m USING (star_name, fold) GROUP BY ALL),
+  scores AS (SELECT star_name, sum(n)::BIGINT AS n, CASE WHEN sum(n) >= 8 AND bool_and(n > 1) AND count(*) > 1 THEN avg(r2) END AS r2_cv FROM e GROUP BY 1)"""
+
+
+def entity_scores(t):
+    v = two_inputs(t).join(t.vec.select("row_id", "star_name"), "row_id")
+    return L.per_entity_r2(v, "star_name", "w", "y2", min_rows=8, fold=F.col("row_id") % 5)
+
+
+@query(PER_ENTITY + " SELECT star_name, n, round(r2_cv, 5) AS r2_cv FROM scores", "vec")
+def entity_regression_two_inputs(t):
+    """Cross-validated fit per entity on two inputs."""
+    return entity_scores(t).select("star_name", "n", F.round("r2_cv", 5).alias("r2_cv"))
+
+
+@query(PER_ENTITY + """ SELECT count(r2_cv) AS n_entities, round(avg(r2_cv), 5) AS mean, round(median(r2_cv), 5) AS median, round(stddev_pop(r2_cv), 5) AS sigma,
+  count(*) FILTER (r2_cv > 0) AS above_1, count(*) FILTER (r2_cv > 0.1) AS above_2, count(*) FILTER (r2_cv > 0.3) AS above_3 FROM scores""", "vec")
+def entity_regression_summary(t):
+    """How many entities are predicted at all, a little and well."""
+    s = L.score_summary(materialize(entity_scores(t)), "r2_cv", above=(0.0, 0.1, 0.3))
+    return s.select("n_entities", *[F.round(c, 5).alias(c) for c in ("mean", "median", "sigma")], "above_1", "above_2", "above_3")
+
+
 @query("""SELECT label, row_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY y, row_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM vec)
   WHERE n <= 10 OR list_contains(list_transform(range(10), lambda i: floor(i*((n-1)/9.0::DOUBLE))), rn)""", "vec")
 def spread_examples(t):

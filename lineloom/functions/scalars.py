@@ -135,5 +135,6 @@ def bucket_label(col, cuts: list[tuple[float, float | None, str]]) -> Column:
 
 
 def sample_hash(seed: int, *cols) -> Column:
-    """Sampling order that depends only on the seed and the row's own key."""
-    return F.xxhash64(F.lit(seed), *[_c(c) for c in cols])
+    """Sampling order that depends only on the seed and the row's own key: the first 60 bits of an MD5, uniform from 0 to 2**60."""
+    text = F.concat_ws("::", F.lit(str(seed)), *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -45,41 +45,37 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, t: str, tol: float
     """For each left row the right row of the same key nearest in ``t``, strictly within ``tol``.
 
     Equal distances take the earlier right row; of right rows sharing (key, t) the first by
-    ``right_order`` counts. Both sides are merged into one ordered pass per key, so no pairs are
-    formed. Right columns come prefixed with ``r_``; ``how="left"`` keeps unmatched left rows.
+    ``right_order`` counts. Only distinct (key, t) of both sides are merged into one ordered pass per key, so no
+    pairs are formed and no other column is sorted; the columns meet their match afterwards by (key, t). Right columns
+    come prefixed with ``r_``; ``how="left"`` keeps unmatched left rows, those without key or time too.
     """
     rcols = [c for c in right.columns if c != key]
-    packed = right.filter(F.col(key).isNotNull() & F.col(t).isNotNull()).groupBy(key, t).agg(
-        F.min_by(F.struct(*rcols), F.col(right_order)).alias("_r"))
-    lcols = [c for c in left.columns if c not in (key, t)]
-    both = left.select(key, t, F.lit(1).alias("_side"), F.struct(*lcols).alias("_l"),
-                       F.xxhash64(*lcols).alias("_tie")).unionByName(
-        packed.select(key, t, F.lit(0).alias("_side"), "_r", F.lit(0).cast("long").alias("_tie")),
-        allowMissingColumns=True)
-    chunked, split = order_chunks(both, [key], [t, "_side", "_tie"], limit)
-    back = Window.partitionBy(key, CHUNK).orderBy(t, "_side", "_tie")
-    ahead = Window.partitionBy(key, CHUNK).orderBy(F.desc(t), F.desc("_side"), F.desc("_tie"))
+    there = F.col(key).isNotNull() & F.col(t).isNotNull()
+    spots = [d.filter(there).select(key, t).distinct().withColumn("_side", F.lit(i)) for i, d in enumerate((right, left))]
+    chunked, split = order_chunks(spots[0].unionByName(spots[1]), [key], [t, "_side"], limit)
+    back = Window.partitionBy(key, CHUNK).orderBy(t, "_side")
+    ahead = Window.partitionBy(key, CHUNK).orderBy(F.desc(t), F.desc("_side"))
     seen = (Window.unboundedPreceding, Window.currentRow)
+    at = F.when(F.col("_side") == 0, F.col(t))
     # both passes look backwards along their own order, which stays linear in the group size
-    out = (chunked.withColumn("_prev", F.last("_r", ignorenulls=True).over(back.rowsBetween(*seen)))
-           .withColumn("_next", F.last("_r", ignorenulls=True).over(ahead.rowsBetween(*seen))))
+    out = (chunked.withColumn("_prev", F.last(at, ignorenulls=True).over(back.rowsBetween(*seen)))
+           .withColumn("_next", F.last(at, ignorenulls=True).over(ahead.rowsBetween(*seen))))
     if split:
         up = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         down = Window.partitionBy(key).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-        edges = chunk_prefix(chunked, [key], [F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(t))).alias("_hi"),
-                                              F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col(t))).alias("_lo")],
-                             [F.last("_hi", ignorenulls=True).over(up).alias("_before"),
-                              F.last("_lo", ignorenulls=True).over(down).alias("_after")])
+        edges = chunk_prefix(chunked, [key], [F.max(at).alias("_hi"), F.min(at).alias("_lo")],
+                             [F.max("_hi").over(up).alias("_before"), F.min("_lo").over(down).alias("_after")])
         out = attach_chunks(out, edges, [key])
         out = out.withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after"))
-    dp, dn = F.col(t) - F.col(f"_prev.{t}"), F.col(f"_next.{t}") - F.col(t)
+    dp, dn = F.col(t) - F.col("_prev"), F.col("_next") - F.col(t)
     pick = F.when(F.col("_next").isNull() | (dp <= dn), F.col("_prev")).otherwise(F.col("_next"))
-    out = out.filter(F.col("_side") == 1).withColumn("_m", pick)
-    near = F.abs(F.col(t) - F.col(f"_m.{t}")) < tol
-    out = out.withColumn("_m", F.when(near, F.col("_m")))
-    if how == "inner":
-        out = out.filter(F.col("_m").isNotNull())
-    return out.select(key, t, *[F.col(f"_l.{c}") for c in lcols], *[F.col(f"_m.{c}").alias(f"r_{c}") for c in rcols])
+    met = out.filter(F.col("_side") == 1).withColumn("_rt", pick)
+    met = materialize(met.filter(F.abs(F.col(t) - F.col("_rt")) < tol).select(key, t, "_rt"))
+    wanted = met.select(key, F.col("_rt").alias(t)).distinct()
+    packed = right.join(wanted, [key, t], "left_semi").groupBy(key, t).agg(F.min_by(F.struct(*rcols), F.col(right_order)).alias("_r"))
+    packed = met.join(packed.withColumnRenamed(t, "_rt"), [key, "_rt"]).select(key, t, "_r")
+    return left.join(packed, [key, t], how).select(
+        key, t, *[c for c in left.columns if c not in (key, t)], *[F.col(f"_r.{c}").alias(f"r_{c}") for c in rcols])
 
 
 def _cells(df: DataFrame, x: str, y: str, side: float) -> DataFrame:

@@ -56,6 +56,37 @@ def moments(df: DataFrame, x: str, y: str | None = None, group: str | None = Non
     return parts.groupBy("g").agg(Summarizer.sum(array_to_vector("m")).alias("s")).select("g", vector_to_array("s").alias("m"))
 
 
+def running_moments(batches, flush: int = GROUPS_IN_MEMORY):
+    """Packed sums of rows (g, x, y) that come sorted by ``g``: one group's sum is held, and ``flush`` finished ones at most."""
+    done, of, total = [], None, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        z = np.column_stack([np.ones(len(pdf)), stack(pdf["x"]), pdf["y"].to_numpy()])
+        g = pdf["g"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for i, j in zip(cuts, np.r_[cuts[1:], len(g)]):
+            if g[i] != of:
+                if total is not None:
+                    done.append((of, total[np.triu_indices(len(total))]))
+                if len(done) >= flush:
+                    yield pd.DataFrame(done, columns=["g", "m"])
+                    done = []
+                of, total = g[i], 0.0
+            total = total + z[i:j].T @ z[i:j]
+    if total is not None:
+        done.append((of, total[np.triu_indices(len(total))]))
+        yield pd.DataFrame(done, columns=["g", "m"])
+
+
+def sorted_moments(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """What :func:`moments` gives, for very many groups: rows are dealt by ranges of (group, hash), so that a hot group lies in
+    several tasks, and each task adds up one group after the other."""
+    rows = df.select(F.col(group).alias("g"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.xxhash64(x, y).alias("h"))
+    parts = rows.repartitionByRange("g", "h").sortWithinPartitions("g").drop("h").mapInPandas(running_moments, "g string, m array<double>")
+    return parts.groupBy("g").agg(Summarizer.sum(array_to_vector("m")).alias("s")).select("g", vector_to_array("s").alias("m"))
+
+
 def unpack(m) -> np.ndarray:
     m = np.asarray(m, dtype=float)
     size = int((np.sqrt(8 * len(m) + 1) - 1) / 2)
@@ -448,16 +479,17 @@ def loo_features(target: str, features: list[str]) -> Column:
                      for f in features if f != target])
 
 
-def per_entity_r2(df: DataFrame, entity: str, x: str, y: str, alpha: float = 1.0, min_rows: int = 30, folds: int = 5) -> DataFrame:
+def per_entity_r2(df: DataFrame, entity: str, x: str, y: str, alpha: float = 1.0, min_rows: int = 30, folds: int = 5,
+                  fold: Column | None = None) -> DataFrame:
     """Cross-validated R2 of a ridge fitted per entity, all dimensions: (entity, n, r2_cv).
 
-    Folds go by a hash of the row. One moments pass per (entity, fold) is enough: training sums are the
-    entity's minus the fold's, and the squared error over a fold follows from the fold's own sums. No group
-    is gathered, only ``folds`` sums per entity. NULL below ``min_rows`` rows or where a fold does not vary.
+    Folds go by a hash of the row, or by ``fold`` (0 to ``folds`` - 1). One moments pass per (entity, fold) is enough: training
+    sums are the entity's minus the fold's, and the squared error over a fold follows from the fold's own sums. No
+    group is gathered, only ``folds`` sums per entity. NULL below ``min_rows`` rows or where a fold does not vary.
     """
     src = df.filter(is_finite(F.col(y).cast("double")) & usable(x) & F.col(entity).isNotNull())
-    key = F.struct(F.col(entity).alias("e"), F.pmod(F.xxhash64(x, y), F.lit(folds)).alias("f"))
-    m = moments(src.withColumn("_g", F.to_json(key)), x, y, "_g")
+    key = F.struct(F.col(entity).alias("e"), (F.pmod(F.xxhash64(x, y), F.lit(folds)) if fold is None else fold.cast("long")).alias("f"))
+    m = sorted_moments(src.withColumn("_g", F.to_json(key)), x, y, "_g")
 
     @F.pandas_udf("struct<n:long, r2:double>")
     def solve(lists: pd.Series) -> pd.DataFrame:

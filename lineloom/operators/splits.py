@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineloom.functions.scalars import hash_split, is_finite, sample_hash
 from lineloom.operators.joins import drop_keys, keep_keys
 from lineloom.operators.skew import CHUNK, HOT_ROWS, attach, attach_chunks, chunk_prefix, lookup_join, order_chunks, row_numbers
+from lineloom.session import materialize
 
 
 def ratio_split(df: DataFrame, key: str, ratios=(("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: int = 42,
@@ -28,28 +29,42 @@ def holdout_split(df: DataFrame, names: DataFrame, key: str = "star_name") -> tu
     return drop_keys(df, names, key, True), keep_keys(df, names, key, True)
 
 
+def least_by_hash(df: DataFrame, cls: str, order: list[str], want: Column, limit: int = HOT_ROWS) -> DataFrame:
+    """The first ``want`` rows of each class by ``order``, whose first column is a :func:`sample_hash`; ``want`` may use ``_n``, the class's rows.
+
+    The hash is uniform, so the rows wanted lie below a threshold a little over their share of its range; only those
+    are ranked. Where chance left a class short of them, all its rows are.
+    """
+    sizes = df.groupBy(cls).agg(F.count("*").alias("_n")).withColumn("_want", F.least("_n", want))
+    share = (F.col("_want") + 6 * F.sqrt("_want") + 10) / F.col("_n")
+    limits = materialize(sizes.select(cls, "_want", F.when(share < 1, share * float(1 << 60)).otherwise(float("inf")).alias("_below")))
+    below = materialize(attach(df, limits, [cls]).filter(F.col(order[0]) < F.col("_below")))
+    found = below.groupBy(cls).agg(F.count("*").alias("_found"))
+    short = attach(limits, found, [cls]).filter(F.coalesce("_found", F.lit(0)) < F.col("_want")).select(cls)
+    if short.take(1):
+        below = attach(df, limits, [cls])
+    return row_numbers(below, [cls], order, "_rn", limit).filter(F.col("_rn") <= F.col("_want")).drop("_rn", "_want", "_below")
+
+
 def sample_entities(df: DataFrame, key: str, strata: str, seed: int = 42, n: int | None = None,
                     fracs: dict[str, float] | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """All rows of a hashed choice of entities per stratum: ``n`` of them or max(1, int(size * frac))."""
     ents = df.select(key, strata).distinct().withColumn("_h", sample_hash(seed, key))
-    ranked = row_numbers(ents, [strata], ["_h", key], "_rn", limit)
     if n is not None:
-        chosen = ranked.filter(F.col("_rn") <= n)
+        want = F.lit(n)
     else:
-        size = ents.groupBy(strata).agg(F.count("*").alias("_k"))
         share = None
         for name, f in fracs.items():
             share = F.when(F.col(strata) == name, f) if share is None else share.when(F.col(strata) == name, f)
         # a hair above the product, so that 0.1 * 30 counts as 3
-        want = F.greatest(F.lit(1), F.floor(F.col("_k") * share + 1e-9))
-        chosen = attach(ranked, size, [strata]).filter(F.col("_rn") <= want)
+        want = F.when(share.isNotNull(), F.greatest(F.lit(1), F.floor(F.col("_n") * share + 1e-9))).otherwise(0)
+    chosen = least_by_hash(ents, strata, ["_h", key], want, limit)
     return lookup_join(df, chosen.select(key, strata), [key, strata], "left_semi")
 
 
 def cap_per_class(df: DataFrame, cls: str, n: int, tie: str, seed: int = 42, limit: int = HOT_ROWS) -> DataFrame:
     """At most ``n`` rows per class in hashed order."""
-    h = df.withColumn("_h", sample_hash(seed, tie))
-    return row_numbers(h, [cls], ["_h", tie], "_rn", limit).filter(F.col("_rn") <= n).drop("_rn", "_h")
+    return least_by_hash(df.withColumn("_h", sample_hash(seed, tie)), cls, ["_h", tie], F.lit(n), limit).drop("_h")
 
 
 def sample_rows(df: DataFrame, where: Column, n: int, tie: str, seed: int = 42) -> DataFrame:

@@ -11,6 +11,8 @@ from lineloom.operators.skew import attach
 from lineloom.session import materialize
 
 CHUNK_ROWS = 50_000
+#: Rows of equal errors up to which they are drawn one by one.
+FEW_COPIES = 4
 
 
 def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", model: str = "y_pred",
@@ -18,21 +20,22 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Paired bootstrap of mean|model error| / mean|base error| per ``by`` value.
 
-    Rows fall into 2**L hashed chunks of ``chunk_rows`` or fewer, about. A replicate splits its n draws over
-    them down a binary tree: at each node the left half gets a binomial share by its rows, from a generator
-    seeded by the node, so every chunk finds its own draws from the L nodes above it. Rows are then drawn
-    inside the chunk: the distribution of n draws from all rows, with no task holding more than a chunk.
+    Equal pairs of errors are one entry with their number, so repeated rows cost nothing. Entries fall into 2**L hashed
+    chunks of ``chunk_rows`` or fewer, about. A replicate splits its n draws over them down a binary tree: at each node
+    the left half gets a binomial share by its rows, from a generator seeded by the node, so every chunk finds its own
+    draws from the L nodes above it. Inside the chunk entries are drawn by their numbers: the distribution of n draws
+    from all rows, with no task holding more than a chunk.
     """
     err = pred.select(F.col(by).cast("string").alias("k"), F.abs(F.col(model) - F.col(y)).alias("m"),
-                      F.abs(F.col(base) - F.col(y)).alias("p"),
-                      F.xxhash64(*[c for c in pred.columns]).alias("h"))
-    err = materialize(err.filter(F.col("m").isNotNull() & F.col("p").isNotNull()))
-    size = err.groupBy("k").agg(F.count("*").alias("n"))
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / chunk_rows))).cast("int")
+                      F.abs(F.col(base) - F.col(y)).alias("p"))
+    err = err.filter(F.col("m").isNotNull() & F.col("p").isNotNull()).groupBy("k", "m", "p").agg(F.count("*").alias("w"))
+    err = materialize(err.withColumn("h", F.xxhash64("m", "p")))
+    size = err.groupBy("k").agg(F.sum("w").alias("n"), F.count("*").alias("entries"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("entries") / chunk_rows))).cast("int")
     placed = attach(err, size.select("k", "n", depth.alias("depth")), ["k"])
     placed = placed.withColumn("c", F.expr("pmod(h, shiftleft(1L, depth))"))
-    placed = materialize(placed.select("k", "c", "m", "p", "h", "n", "depth"))
-    counts = placed.groupBy("k", "c", "n", "depth").agg(F.count("*").alias("cn"))
+    placed = materialize(placed.select("k", "c", "m", "p", "w", "h", "n", "depth"))
+    counts = placed.groupBy("k", "c", "n", "depth").agg(F.sum("w").alias("cn"))
     # one row per chunk and level: the node below, its rows and those of its sibling
     steps = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("node", F.expr("shiftright(c, depth - level)"))
     nodes = materialize(steps.groupBy("k", "level", "node").agg(F.sum("cn").alias("rows")))
@@ -49,25 +52,21 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
                 left = rows if node % 2 == 0 else sibling
                 share = np.random.default_rng([seed, 0, int(level), int(node) // 2]).binomial(draws, left / (rows + sibling))
                 draws = share if node % 2 == 0 else draws - share
-        rng = np.random.default_rng([seed, 1, int(key[1])])
-        both = pdf[["m", "p"]].to_numpy()
-        sums = np.empty((n_boot, 2))
-        for b in range(n_boot):
-            w = np.bincount(rng.integers(0, len(both), size=draws[b]), minlength=len(both))
-            sums[b] = w @ both
+        sums = resampled(pdf[["m", "p"]].to_numpy(), pdf["w"].to_numpy(), draws, np.random.default_rng([seed, 1, int(key[1])]))
         return pd.DataFrame({"k": key[0], "b": np.arange(n_boot), "m": sums[:, 0], "p": sums[:, 1]})
 
     boots = placed.groupBy("k", "c").cogroup(plan.groupBy("k", "c")).applyInPandas(
         run, "k string, b int, m double, p double")
     ratio = boots.groupBy("k", "b").agg(F.sum("m").alias("m"), F.sum("p").alias("p"))
-    ratio = attach(ratio, size, ["k"]).select(
+    ratio = attach(ratio, size.select("k", "n"), ["k"]).select(
         "k", ((F.col("m") / F.col("n")) / F.greatest(F.col("p") / F.col("n"), F.lit(1e-10))).alias("r"))
     lo = (100 - ci) / 200
     # n_boot values per key
     summary = ratio.groupBy("k").agg(
         F.percentile("r", F.array(F.lit(lo), F.lit(0.5), F.lit(1 - lo))).alias("q"), F.avg("r").alias("boot_mean"),
         F.avg((F.col("r") < 1).cast("double")).alias("share_below_1"))
-    point = err.groupBy("k").agg(F.count("*").alias("n"), F.avg("m").alias("mae_model"), F.avg("p").alias("mae_persist"))
+    mean = lambda c: F.sum(F.col(c) * F.col("w")) / F.sum("w")
+    point = err.groupBy("k").agg(F.sum("w").alias("n"), mean("m").alias("mae_model"), mean("p").alias("mae_persist"))
     out = attach(point, summary, ["k"])
     return out.select(F.col("k").alias(by), "n", "mae_model", "mae_persist",
                       (F.col("mae_model") / F.greatest("mae_persist", F.lit(1e-10))).alias("ratio"),
@@ -75,6 +74,24 @@ def bootstrap_ratio(pred: DataFrame, by: str = "config", y: str = "y_true", mode
                       F.col("q")[2].alias("ci_hi"), "share_below_1")
 
 
+def resampled(values: np.ndarray, times: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sums of ``draws[b]`` rows drawn with replacement, for each replicate b, from entries that stand for ``times`` rows each.
+
+    Entries of few rows are drawn row by row, those of many together as one multinomial, so the cost goes with the
+    entries and the memory never with the rows.
+    """
+    many = np.flatnonzero(times > FEW_COPIES)
+    few = np.repeat(np.flatnonzero(times <= FEW_COPIES), times[times <= FEW_COPIES])
+    share = np.r_[times[many], len(few)] / times.sum()
+    out = np.empty((len(draws), values.shape[1]))
+    for b, n in enumerate(draws):
+        split = rng.multinomial(n, share) if len(many) else np.array([n])
+        out[b] = split[:-1] @ values[many]
+        if split[-1]:
+            out[b] += np.bincount(few[rng.integers(0, len(few), size=split[-1])], minlength=len(values)) @ values
+    return out
+
+
 def claim(lo, hi) -> Column:
     return F.when(F.col(hi) < 1, "beats").when(F.col(lo) > 1, "fails").otherwise("inconclusive")
 
