@@ -95,6 +95,12 @@ def unpack(m) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
+def width(df: DataFrame, x: str) -> int:
+    """Length of the vectors, by the first usable one."""
+    row = df.filter(usable(x)).select(F.size(x)).take(1)
+    return row[0][0] if row else 0
+
+
 def usable(x) -> Column:
     """Whether a vector is there and finite throughout."""
     x = F.col(x) if isinstance(x, str) else x
@@ -395,8 +401,7 @@ def probe_all(df: DataFrame, targets: list[str], vectors: dict[str, str], pcas:
             wide[mask.bit_length() - 1] = len(m) - 1 - n_t
     for i in range(len(names)):  # a vector that no row has alone
         if not wide[i]:
-            row = df.select(F.size(vectors[names[i]]).alias("n")).filter(usable(vectors[names[i]])).take(1)
-            wide[i] = row[0][0] if row else 0
+            wide[i] = width(df, vectors[names[i]])
 
     def sums(t: int, f: int, i: int | None, y: list[int]) -> np.ndarray:
         """Moments of [1, vector ``i`` or none, targets ``y``] over the rows of a part where the vector is usable."""
