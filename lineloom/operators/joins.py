@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,14 +174,17 @@ def _witness(cell_pairs: DataFrame, spot: DataFrame, scale: int, r: float) -> Da
 def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, component) with the smallest id as component, by alternating large-star and small-star.
 
-    Only minima are aggregated, never neighbour lists; each round is written to the shared folder.
+    Only minima are aggregated, never neighbour lists; each round is written to the shared folder. Once
+    ``ONE_TASK_EDGES`` edges or fewer are left, one task merges them.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _checksum(e)
     while True:
         n = mark[0]  # edges known, which bounds every group below
         if n <= ONE_TASK_EDGES:
-            e = e.coalesce(1)  # few enough for one task: no shuffles
+            kind = e.schema["u"].dataType.simpleString()
+            e = e.coalesce(1).mapInPandas(_merged, f"u {kind}, v {kind}")
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (salted_join(both, low, ["u"], "inner", rows=2 * n).filter("v > u")
@@ -201,5 +205,22 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
         F.col("id").alias(id_col), F.coalesce("m", "id").alias("component"))
 
 
+def _merged(batches):
+    """Every vertex of the edges with the least vertex it can reach, from all batches of one task."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    found = [(x, root(x)) for x in parent]
+    yield pd.DataFrame([f for f in found if f[0] != f[1]], columns=["u", "v"])
+
+
 def _checksum(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -21,8 +21,8 @@ from lineloom.session import materialize
 #: Bits of the key found by each pass; their sum is 64.
 DIGITS = (11, 11, 11, 11, 10, 10)
 #: Positions whose counts travel in one row, and counts a task holds before it sends them.
-POSITIONS, HELD = 16, 1 << 23
-#: Groups whose state is broadcast, at most.
+POSITIONS, HELD = 4, 1 << 23
+#: Groups whose state is broadcast to the tasks, at most; of more, each row carries its group's.
 FEW = 1_000
 
 
@@ -49,8 +49,10 @@ def matrix(lists: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (values[place], inside & known[place]) if len(values) else (np.zeros(place.shape), inside)
 
 
-def _count(rows: DataFrame, targets: int, done: int, bits: int) -> DataFrame:
-    """(_g, block, m): counts of the next ``bits`` bits by position, target and value, of keys that begin as found so far."""
+def _count(rows: DataFrame, targets: int, done: int, bits: int, known: dict | None = None) -> DataFrame:
+    """(_g, block, m): counts of the next ``bits`` bits by position, target and value, of keys that begin as found so far
+    (by ``known``, or by a column ``_found`` of the rows)."""
+    shared = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
     size, shift = 1 << bits, 64 - done - bits
 
     def run(batches):
@@ -76,7 +78,9 @@ def _count(rows: DataFrame, targets: int, done: int, bits: int) -> DataFrame:
                 if len(m) < wide:
                     m = np.concatenate([m, np.zeros((wide - len(m), targets, size))])
                 digit = ((keys >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64) + np.arange(wide) * size
-                found = np.array(b["_found"][int(own[0])].as_py(), dtype=np.int64).view(np.uint64).reshape(-1, targets)[:wide] if done else None
+                if done:
+                    found = shared.value[g] if shared else b["_found"][int(own[0])].as_py()
+                    found = np.array(found, dtype=np.int64).view(np.uint64).reshape(-1, targets)[:wide]
                 for t in range(targets):
                     use = there & (keys >> np.uint64(64 - done) == found[:, t]) if done else there
                     m[:wide, t] += np.bincount(digit[use], minlength=wide * size).reshape(wide, size)
@@ -103,9 +107,12 @@ def vector_quantiles(df: DataFrame, by: list[str], vec: Column, qs: list[float])
             counts = _count(rows, ranks, 0, bits).withColumns({"found": F.lit(None).cast("array<long>"), "rank": F.lit(None).cast("array<long>"), "n": F.lit(None).cast("array<long>")})
         else:
             whole = state.groupBy("_g").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "found"))), lambda s: s["found"])).alias("_found"))
-            whole = materialize(whole)
-            known = rows.join(F.broadcast(whole) if whole.count() <= FEW else whole, "_g")
-            counts = _count(known, ranks, done, bits).join(state, ["_g", "block"])
+            some = whole.limit(FEW + 1).collect()
+            if len(some) <= FEW:
+                counts = _count(rows, ranks, done, bits, {r["_g"]: np.array(r["_found"], dtype=np.int64) for r in some})
+            else:
+                counts = _count(rows.join(whole, "_g"), ranks, done, bits)
+            counts = counts.join(state, ["_g", "block"])
         step = _step(ranks, bits, list(qs))
         state = materialize(counts.withColumn("s", step("m", "found", "rank", "n")).select("_g", "block", "s.*"))
         done += bits
