@@ -70,7 +70,7 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(short) <= 3 and int(short or "0") <= 255 for short in (p.lstrip("0") for p in four)):
                 yield at, end
             at = end + 1
 

@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lineloom.llm.words import mix, signed
+from lineloom.llm.words import give_back, mix, signed
 
 #: Rows of one signature that a task sends to the signature's own group, at most.
 SENT = 4
 #: Signatures a task holds before it packs them.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def shared(rows: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], groups: int) -> DataFrame:
@@ -54,6 +54,7 @@ def shared(rows: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[tuple[n
                     held = []
         if held:
             yield emit()
+        give_back()
 
     def search(table: pa.Table) -> pa.Table:
         s, k, flags = (np.frombuffer(b"".join(x.as_py() for x in table[c]), kind) for c, kind in (("sig", np.uint64), ("key", np.uint64), ("flags", np.uint8)))
@@ -69,6 +70,7 @@ def shared(rows: DataFrame, produce: Callable[[pa.RecordBatch], Iterator[tuple[n
         indexed = np.logical_or.reduceat(f, start) if len(s) else np.zeros(0, bool)
         kept = np.repeat((each > 1) & indexed, each)
         s, k, f = (np.concatenate([a[kept], b]) for a, b in zip((s, k, f), done))
+        give_back()
         return pa.table({"sig": signed(s), "key": signed(k), "indexed": pa.array(f)})
 
     packed = rows.mapInArrow(pack, "grp bigint, sig binary, key binary, flags binary")

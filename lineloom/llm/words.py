@@ -6,6 +6,7 @@ The hash is polynomial modulo 2**64 with a finalising mix, so equal words have e
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +23,8 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Spaces and all other ASCII signs but letters and digits: what separates words where punctuation is ignored.
 NOT_ALNUM = np.array([not chr(k).isalnum() if k < 128 else False for k in range(256)])
 _powers: list[np.ndarray] = []
+#: glibc's call, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 class Words(NamedTuple):
@@ -92,7 +95,14 @@ def slices(column, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         end = min(end, rows)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
-    pa.default_memory_pool().release_unused()  # workers live on between tasks; what Arrow keeps would add up
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library keep for reuse: workers live on between tasks, and over the stages of a job it adds up."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> Words:

@@ -68,3 +68,10 @@ def test_query_covers_whole_texts(spark, small_dir="/root/testdata/sf0.001"):
     got = {r.doc_id: r.base_sha256 for r in queries.op8_pii(spark, small_dir).select("doc_id", "base_sha256").collect()}
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
     assert queries.op8_pii(spark, small_dir).agg(F.sum("n_card")).first()[0] is not None
+
+
+def test_runs_of_digits_of_any_length():
+    for n in (5_000, 100_000):
+        assert [(x["kind"], x["start"], x["end"]) for x in P.spans("0" * n + ".1.1.1")] == [("ip", 0, n + 6)]
+        assert P.spans("9" * n + ".1.1.1") == []
+        assert P.spans("1." + "0" * n + "256.1.1") == []
