@@ -60,12 +60,21 @@ def forecast_vector_ridge(t):
 def forecast_configurations(t):
     """Metrics of four configurations on one series table."""
     s = materialize(_series(t).select("star_name", "mjd", "row_id", "v", F.col("r_ew").alias("y")))
-    out = None
-    for k in (2, 4):
-        for length in (5, 10):
-            m = C.forecast_metrics(materialize(C.forecast_ridge(s, "v", "y", length, CUTOFF, k)), ["config"])
-            out = m if out is None else out.unionByName(m)
-    return out
+    pred = C.forecast_all(s, "v", "y", [(k, length) for k in (2, 4) for length in (5, 10)], CUTOFF)
+    return C.forecast_metrics(pred, ["config"])
+
+
+@query("""w AS (SELECT star_name, row_id, mjd, ew AS y, lag(ew, 2) OVER o AS a, lag(ew, 1) OVER o AS b FROM obs WHERE ew IS NOT NULL WINDOW o AS (PARTITION BY star_name ORDER BY mjd, row_id)),
+  d AS (SELECT * FROM w WHERE a IS NOT NULL),
+  s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y)/stddev_pop(a) AS qa, covar_pop(b, y)/stddev_pop(b) AS qb
+    FROM d WHERE mjd <= 60325.0::DOUBLE),
+  m AS (SELECT *, ((n+1)*n*qa - n*r*n*qb)/((n+1)*(n+1) - n*r*n*r) AS ca, ((n+1)*n*qb - n*r*n*qa)/((n+1)*(n+1) - n*r*n*r) AS cb FROM s)
+  SELECT 'raw_ctx2' AS config, star_name, row_id, round(my + ca*(a - ma)/sa + cb*(b - mb)/sb, 6) AS y_pred, round(b, 6) AS y_persist FROM d, m WHERE mjd > 60325.0::DOUBLE""", "obs")
+def forecast_two_inputs(t):
+    """Predictions from the last two values, one penalty."""
+    s = t.obs.filter("ew IS NOT NULL").select("star_name", "mjd", "row_id", F.array("ew").alias("v"), F.col("ew").alias("y"))
+    p = C.forecast_all(s, "v", "y", [(None, 2)], CUTOFF, alphas=[1.0])
+    return p.select("config", "star_name", "row_id", F.round("y_pred", 6).alias("y_pred"), F.round("y_persist", 6).alias("y_persist"))
 
 
 @query("""SELECT star_name, count(*) AS n, round(avg(abs(ew - p)), 8) AS mae FROM (SELECT star_name, ew, lag(ew) OVER (PARTITION BY star_name ORDER BY mjd, row_id) AS p FROM obs)

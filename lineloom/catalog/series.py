@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lineloom.catalog.audit import rnd
@@ -134,6 +136,16 @@ def wcs_axis(t):
     return a.select("id", F.round(F.element_at("w", 1), 6).alias("first_wl"), F.round(F.element_at("w", -1), 6).alias("last_wl"), F.size("w").cast("long").alias("n"))
 
 
+@query("SELECT spectrum_id AS id, length(spectrum_id) % 3 AS kind, n AS n_pixels, round(list_sum(flux::DOUBLE[]), 4) AS total FROM arrays_ev", "arrays_ev")
+def bucketed_assembly(t):
+    """Metadata joined to arrays that are stored by key: only the metadata is shuffled."""
+    a = t.arrays_ev.select(F.col("spectrum_id").alias("id"), "flux", F.size("flux").alias("n_pixels_extracted"))
+    stored = io.write_bucketed(a, f"arrays_{uuid.uuid4().hex}", scratch_path(t.spark), "id", 16)
+    meta = t.arrays_ev.select(F.col("spectrum_id").alias("id"), (F.length("spectrum_id") % 3).cast("long").alias("kind"), F.lit(0).alias("n_pixels"))
+    total = A.total(F.transform("flux", lambda x: x.cast("double")))
+    return io.assemble(meta, stored, "id").select("id", "kind", F.col("n_pixels").cast("long").alias("n_pixels"), F.round(total, 4).alias("total"))
+
+
 @query("""SELECT spectrum_id, CASE WHEN n >= 50 THEN round(list_aggregate(flux, 'median')/(1.482602::DOUBLE*list_aggregate(list_transform(range(3, n - 1),
   lambda i: abs(2*flux[i] - flux[i-2] - flux[i+2])), 'median')/sqrt(6.0::DOUBLE)), 6) END AS snr FROM arrays_ev""", "arrays_ev")
 def der_snr(t):

@@ -74,6 +74,8 @@ def _count(rows: DataFrame, targets: int, done: int, bits: int, known: dict | No
                 own = np.flatnonzero(code == k)
                 values, there = matrix(b["_x"], own)
                 keys, wide = to_keys(values), values.shape[1]
+                if not wide:
+                    continue
                 m = held.get(g, np.zeros((0, targets, size)))
                 if len(m) < wide:
                     m = np.concatenate([m, np.zeros((wide - len(m), targets, size))])

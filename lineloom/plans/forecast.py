@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.scalars import bucket_label, is_finite, time_split
 from lineloom.operators.joins import nearest_join
-from lineloom.operators.linear import fit_pca, r2_expr, ridge_fit, ridge_predict
+from lineloom.operators.linear import design, fit_pca, moments, r2_expr, unpack, usable
 from lineloom.operators.skew import group_quantiles, keep_large_groups
 from lineloom.operators.windows import context_window, finite_context, with_lag
 from lineloom.session import materialize
@@ -30,26 +30,96 @@ def forecast_series(emb: DataFrame, feat: DataFrame, key: str = "star_name", t:
 def forecast_ridge(series: DataFrame, vec: str, y: str, length: int, cutoff: float, k: int | None = None,
                    key: str = "star_name", t: str = "mjd", order: str = "row_id", alphas=ALPHAS,
                    config: str | None = None) -> DataFrame:
-    """Predictions for rows after the cutoff from the ``length`` vectors before each row.
+    """Predictions for rows after the cutoff from the ``length`` vectors before each row, see :func:`forecast_all`."""
+    out = forecast_all(series, vec, y, [(k, length)], cutoff, key, t, order, alphas)
+    return out.withColumn("config", F.lit(config)) if config else out
 
-    ``k`` reduces the vectors by a PCA fitted on rows up to the cutoff. Training rows lie before
-    the cutoff, so their contexts hold training rows only and one window serves both parts.
+
+def forecast_all(series: DataFrame, vec: str, y: str, configs: list[tuple[int | None, int]], cutoff: float, key: str = "star_name",
+                 t: str = "mjd", order: str = "row_id", alphas=ALPHAS) -> DataFrame:
+    """Predictions of several configurations (axes ``k`` or None for the whole vector, context ``length``) for rows after
+    the cutoff: (config, key, t, order, dt_days, y_true, y_pred, y_persist).
+
+    Axes are fitted on rows up to the cutoff; fewer axes are the first of more, so one projection serves all. One
+    ordered pass gives each row the longest context; a shorter one is its end. Moments of the longest are added up once, by
+    how many of the latest vectors are usable, and every configuration's model is a sub-matrix of their sums. Training
+    rows lie before the cutoff, so their contexts hold training rows only. Rows need ``length`` predecessors; where one
+    of these is not usable the prediction is NULL.
     """
-    part = time_split(t, cutoff)
-    if k is not None:
-        pca = fit_pca(series.filter(part == "train"), vec, k)
-        series = series.withColumn("_v", pca.apply(vec))
-    else:
-        series = series.withColumn("_v", F.transform(vec, lambda x: x.cast("double")))
-    rows = context_window(series.select(key, t, order, F.col(y).cast("double").alias("y_true"), "_v"), key, [t, order], "_v",
-                          length, out="ctx", with_lag={"y_true": "y_persist", t: "_t0"})
-    rows = rows.withColumn("x", F.flatten("ctx")).withColumn("part", part).withColumn("dt_days", F.col(t) - F.col("_t0"))
-    rows = materialize(rows.select(key, t, order, "dt_days", "y_true", "y_persist", "part", "x"))
-    model, alpha = ridge_fit(rows.filter("part = 'train'"), "x", "y_true", alphas)
-    test = rows.filter("part = 'test'")
-    pred = ridge_predict(test.select(key, t, order, "dt_days", "y_true", "y_persist", "x"), "x", model, alpha).drop("x")
-    name = config or f"{'raw' if k is None else f'pca{k}'}_ctx{length}"
-    return pred.select(F.lit(name).alias("config"), key, t, order, "dt_days", "y_true", "y_pred", "y_persist")
+    part, grid = time_split(t, cutoff), list(alphas)
+    most_k = max((k for k, _ in configs if k is not None), default=0)
+    whole, lags = any(k is None for k, _ in configs), max(n for _, n in configs)
+    blocks = [fit_pca(series.filter(part == "train"), vec, most_k).apply(vec)] if most_k else []
+    if whole:
+        blocks.append(F.when(usable(vec), F.transform(vec, lambda x: x.cast("double"))))
+    based = series.select(key, t, order, F.col(y).cast("double").alias("y_true"), F.when(usable(vec), F.concat(*blocks)).alias("_v"))
+    rows = context_window(based, key, [t, order], "_v", lags, min(n for _, n in configs), "ctx", {"y_true": "y_persist", t: "_t0"})
+    bad = F.array_position(F.transform(F.reverse("ctx"), lambda v: v.isNull()), True)
+    good = F.when(bad > 0, bad - 1).otherwise(F.size("ctx"))
+    rows = rows.select(key, t, order, (F.col(t) - F.col("_t0")).alias("dt_days"), "y_true", "y_persist", part.alias("part"), "ctx", F.size("ctx").alias("n"), good.alias("good"))
+    rows = materialize(rows)
+    row = series.filter(usable(vec)).select(F.size(vec).alias("n")).take(1)
+    dims = row[0].n if row else 0
+    wide = most_k + (dims if whole else 0)
+
+    def columns(k, length):
+        inside = range(most_k, wide) if k is None else range(k)
+        return np.array([lag * wide + i for lag in range(lags - length, lags) for i in inside], dtype=int)
+
+    def padded(pdf):
+        x = np.zeros((len(pdf), lags, wide))
+        for i, (ctx, n) in enumerate(zip(pdf["ctx"], pdf["good"])):
+            if n:
+                x[i, lags - n :] = np.stack(list(ctx)[len(ctx) - n :])
+        return x.reshape(len(pdf), lags * wide)
+
+    cuts = sorted({n for _, n in configs})
+
+    def vectors(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"x": list(padded(pdf)), "y": pdf["y_true"].to_numpy(), "g": [str(sum(n >= c for c in cuts)) for n in pdf["good"]]})
+
+    train = rows.filter((F.col("part") == "train") & is_finite("y_true")).select("ctx", "y_true", "good")
+    sums = {int(r["g"]): unpack(r["m"]) for r in moments(train.mapInPandas(vectors, "x array<double>, y double, g string"), "x", "y", "g").collect()}
+    models = {}
+    for k, length in configs:
+        at = np.r_[0, 1 + columns(k, length), 1 + lags * wide]
+        own = [m[np.ix_(at, at)] for g, m in sums.items() if g > cuts.index(length)]
+        if own:
+            models[k, length] = design(sum(own))
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def errors(batches):
+        total = {c: np.zeros(len(grid)) for c in shared.value}
+        for pdf in batches:
+            x, y, n = padded(pdf), pdf["y_true"].to_numpy(), pdf["good"].to_numpy()
+            for (k, length), m in shared.value.items():
+                use = n >= length
+                if use.any():
+                    total[k, length] += m.loo_error(x[use][:, columns(k, length)], y[use], grid)
+        yield pd.DataFrame([(-1 if k is None else k, length, i, v) for (k, length), e in total.items() for i, v in enumerate(e)], columns=["k", "length", "i", "e"])
+
+    best: dict = {}
+    if models:
+        for r in train.mapInPandas(errors, "k int, length int, i int, e double").groupBy("k", "length", "i").agg(F.sum("e").alias("e")).collect():
+            best.setdefault((None if r.k < 0 else r.k, r.length), {})[r.i] = r.e
+    alpha = {c: grid[min(e, key=lambda i: (e[i], i))] for c, e in best.items()}
+    keep = [key, t, order, "dt_days", "y_true", "y_persist"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
+
+    def predict(batches):
+        for pdf in batches:
+            x, n, good = padded(pdf), pdf["n"].to_numpy(), pdf["good"].to_numpy()
+            for k, length in configs:
+                pred = np.full(len(pdf), np.nan)
+                use = good >= length
+                if use.any() and (k, length) in shared.value:
+                    m = shared.value[k, length]
+                    pred[use] = m.predict(m.rotate(x[use][:, columns(k, length)]), alpha[k, length])
+                yield pdf[keep].assign(y_pred=pred, config=f"{'raw' if k is None else f'pca{k}'}_ctx{length}")[n >= length]
+
+    out = rows.filter("part = 'test'").select(*keep, "ctx", "n", "good").mapInPandas(predict, schema + ", y_pred double, config string")
+    return out.select("config", key, t, order, "dt_days", "y_true", "y_pred", "y_persist")
 
 
 def persistence(series: DataFrame, key: str, t: str, order: str, y: str) -> DataFrame:

@@ -127,6 +127,14 @@ def assemble(meta: DataFrame, arrays: DataFrame, key: str = "id") -> DataFrame:
     return out
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "id", buckets: int = 200) -> DataFrame:
+    """``df`` as a table in ``buckets`` files' worth of hash buckets by ``key``, each sorted by it: :func:`assemble` reads it in
+    place, so arrays are shuffled once, when they are stored, and by no later join on the key. Take at least as many
+    buckets as later joins have shuffle partitions, so that Spark keeps to them."""
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def unmatched_counts(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     """Keys found on one side only (U-3): one full outer join of key presence."""
     a = left.select(key).distinct().withColumn("_l", F.lit(True))

@@ -176,3 +176,16 @@ def test_nearest_join_plan_has_no_product(small):
 def test_own_scratch_folder_can_be_dropped(spark, tmp_path):
     from lineloom.session import _own_folder, scratch_path
     assert scratch_path(spark).startswith(_own_folder(spark)) and spark.sparkContext.applicationId in _own_folder(spark)
+
+
+def test_stored_arrays_are_not_shuffled_again(spark, tmp_path):
+    from lineloom.sources import io
+    arrays = spark.range(300).select((F.col("id") * 7 % 400).alias("id"), F.array(F.col("id").cast("double")).alias("flux"))
+    stored = io.write_bucketed(arrays, "stored_arrays", f"{tmp_path}/arrays", "id", 16)
+    meta = spark.range(400).select("id", F.lit(1).alias("n_pixels")).hint("merge")
+    joined = io.assemble(meta, stored)
+    assert joined.count() == arrays.select("id").distinct().count() == 300
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert "Range" in plan[plan.rindex("Exchange hashpartitioning"):].splitlines()[1]
+    spark.sql("DROP TABLE stored_arrays")
