@@ -72,6 +72,6 @@ def test_query_covers_whole_texts(spark, small_dir="/root/testdata/sf0.001"):
 
 def test_runs_of_digits_of_any_length():
     for n in (5_000, 100_000):
-        assert [(x["kind"], x["start"], x["end"]) for x in P.spans("0" * n + ".1.1.1")] == [("ip", 0, n + 6)]
-        assert P.spans("9" * n + ".1.1.1") == []
-        assert P.spans("1." + "0" * n + "256.1.1") == []
+        assert [(x["kind"], x["start"], x["end"]) for x in pii.spans("0" * n + ".1.1.1")] == [("ip", 0, n + 6)]
+        assert pii.spans("9" * n + ".1.1.1") == []
+        assert pii.spans("1." + "0" * n + "256.1.1") == []
