@@ -37,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether these decode to the text."""
-    return pieces.encode_checked(docs, pieces.load())
+    return pieces.encode_checked(docs, pieces.load(), stay=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -8,6 +8,7 @@ word before keep their forward scores, and only the rest is scored.
 
 from __future__ import annotations
 
+import gc
 from itertools import chain
 from typing import NamedTuple
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineloom.llm.words import prefix_hashes, slices, span_hash
+from lineloom.llm.words import give_back, prefix_hashes, slices, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marked words whose pieces a Python worker remembers; more are worked out anew each time.
@@ -239,11 +240,12 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out:
     return rows.withColumn(out, run(F.col(pieces)))
 
 
-def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "pieces", check: str = "round_trip") -> DataFrame:
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "pieces", check: str = "round_trip", stay: bool = True) -> DataFrame:
     """As :func:`encode`, plus ``check``: whether the ids decode to the text (true for a null text).
 
     Both are done a slice of about a megabyte of text at a time, and each slice goes back at once, so what a
-    task holds doesn't grow with the rows of an Arrow batch.
+    task holds doesn't grow with the rows of an Arrow batch. With ``stay`` a Python worker keeps its encoder and the words it
+    has met for later tasks; without, it gives their memory back, for jobs in which other work follows.
     """
     shared, rows = docs.sparkSession.sparkContext.broadcast(vocabulary), docs.drop(out, check)
     names, place = [*rows.columns, out, check], rows.columns.index(text)
@@ -264,5 +266,11 @@ def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
                 part = b.slice(i, j - i)
                 lists = _masked(stops, pa.array(ids, pa.int32()), np.asarray(part.column(place).is_null()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(good)], names=names)
+        if not stay:
+            encoder = None
+            state.clear()
+            _workers.clear()
+            gc.collect()
+            give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())]))

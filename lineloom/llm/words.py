@@ -49,15 +49,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and their inverses modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            row = np.full(size, base & _MASK, dtype=np.uint64)
-            row[0] = 1
-            _powers.append(np.cumprod(row))
-    return _powers[0][:n], _powers[1][:n]
+    """The base's powers 0..n-1 and their inverses modulo 2**64; those of a slice are kept, longer runs are made anew."""
+    if n <= SLICE_BYTES + 2 and _powers:
+        return _powers[0][:n], _powers[1][:n]
+    rows = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        row = np.full(max(n, SLICE_BYTES + 2), base & _MASK, dtype=np.uint64)
+        row[0] = 1
+        rows.append(np.cumprod(row))
+    if n <= SLICE_BYTES + 2:
+        _powers[:] = rows
+    return rows[0][:n], rows[1][:n]
 
 
 def prefix_hashes(codes: np.ndarray) -> np.ndarray:
