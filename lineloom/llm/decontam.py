@@ -3,22 +3,28 @@
 Corpus and benchmark are cut into passages, weighted by TF-IDF over the benchmark's words, and projected
 by a distributed randomised SVD. Passages whose latent cosine with a benchmark passage is high enough are
 checked: the longest common subsequence of words, and whether the item's answer (its last sentence) is
-there, decide. Case and punctuation don't matter. The benchmark is a stated query set: it is taken in
-blocks of ``BLOCK`` items, each of which goes over all documents.
+there, decide. Case and punctuation don't matter. The floors of the search follow from what that check can
+still accept: the lightest words that may be left of an item. Weights, floors and basis are of the whole
+benchmark; only the search is a stated query set taken in blocks of ``BLOCK`` items, each of which goes over
+all documents. What the driver holds is one block and the benchmark's distinct words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.llm.graph import small
 from lineloom.llm.maxent import Table
-from lineloom.llm.words import NOT_ALNUM, mix, signed, slices, words
+from lineloom.llm.words import NOT_ALNUM, Words, mix, slices, words
+from lineloom.session import materialize
 
 BLOCK = 5_000
 #: Words of the longest window.
@@ -26,18 +32,22 @@ LONGEST = 64
 BITS = 14
 RANK = 128
 SPARE = 16
+#: Groups in which partial sums of tasks meet before they are summed.
+SUM_GROUPS = 1024
+#: Cells of the table in which a run of windows looks up its words.
+_CELLS = 1 << 23
 
 
 class Rule(NamedTuple):
-    """Least cosine of a candidate; share of an item's words in common order that is enough alone, and with its
-    answer; share of the answer's words that counts as having it; share of the weakest passage's TF-IDF energy
-    below which a window is not searched."""
+    """Highest floor of a candidate's cosine; share of an item's words in common order that is enough alone, and with
+    its answer; share of the answer's words that counts as having it; share of what is left of an item at the least
+    that a window has to hold, since windows and passages do not begin at the same word."""
 
     cosine: float = 0.5
     alone: float = 0.8
     with_answer: float = 0.6
     answer: float = 0.9
-    energy: float = 0.3
+    slack: float = 0.8
 
 
 class Items(NamedTuple):
@@ -54,11 +64,10 @@ def _hashes(text: str) -> np.ndarray:
     return words(data, np.array([0, len(data)]), NOT_ALNUM).hash
 
 
-def passages(rows: list[tuple]) -> Items:
+def passages(rows: list[tuple], window: int) -> Items:
     """Benchmark passages of (item id, text) rows. An item of over twice the window is cut into windows that
     overlap by half, each of which counts; its answer belongs to the last. Items without words are left out."""
     known = [(i, t, h) for i, t in rows if t is not None and len(h := _hashes(t))]
-    window = int(np.clip(np.median([len(h) for _, _, h in known]) if known else 32, 1, LONGEST))
     item, hashes, answers = [], [], []
     for i, t, h in known:
         parts = [p for p in re.split(r"(?<=[.?!])\s+|\n+", t) if len(_hashes(p))]
@@ -72,14 +81,14 @@ def passages(rows: list[tuple]) -> Items:
     return Items(item, hashes, answers, window)
 
 
-def length_classes(rows: list[tuple]) -> list[Items]:
-    """Passages of (item id, text) rows by powers of two of the items' words, so that a window of a class is less
-    than twice as long as any item of it; items of ``LONGEST`` words or more are one class."""
+def length_classes(rows: list[tuple]) -> dict[int, Items]:
+    """Passages of (item id, text) rows by powers of two of the items' words; a class's window is the middle of its
+    lengths, whatever items there are. Items of ``LONGEST`` words or more are one class."""
     classes: dict[int, list[tuple]] = {}
     for r in rows:
         if r[1] is not None and (n := len(_hashes(r[1]))):
             classes.setdefault(min(n, LONGEST).bit_length(), []).append(r)
-    return [passages(classes[k]) for k in sorted(classes)]
+    return {k: passages(classes[k], min(LONGEST, max(1, 3 << k >> 2))) for k in sorted(classes)}
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -132,16 +141,16 @@ def document_frequencies(docs: DataFrame, hashes: np.ndarray, text: str = "text"
     return out, n
 
 
-def weigh(hashes: np.ndarray, df: np.ndarray, n: int, queries: list[np.ndarray]) -> Terms:
-    """Inverse document frequencies above those of stop words, which weigh nothing. Stop words occur in over a
-    fiftieth of all documents; the share rises until every passage has three words that are not, or all its words."""
-    for share in (0.02, 0.2, 1.0):
-        idf = np.maximum(0.0, np.log((n + 1) / (df + 1)) + np.log(share))
-        if share == 1.0:
-            idf = idf + 1e-3
-        if all((idf[q] > 0).sum() >= min(3, len(q)) for q in queries):
-            break
-    return Terms(hashes, idf)
+def weigh(hashes: np.ndarray, df: np.ndarray, n: int) -> Terms:
+    """Square roots of smoothed inverse document frequencies: a text from which all rare words were taken is still
+    near, and words of every document still count a little."""
+    return Terms(hashes, np.sqrt(np.log1p((n + 1) / (df + 1))))
+
+
+def least_left(query: np.ndarray, terms: Terms, rule: Rule) -> float:
+    """The least TF-IDF energy that the words the rule asks for can have: that of the passage's lightest ones."""
+    energy = np.sort(terms.idf[query] ** 2)
+    return float(energy[: max(1, int(np.ceil(min(rule.with_answer, rule.alone) * len(query))))].sum())
 
 
 class Cut(NamedTuple):
@@ -156,14 +165,27 @@ class Cut(NamedTuple):
     term: np.ndarray
 
 
-def cut(data: np.ndarray, at: np.ndarray, table: Table, energy: np.ndarray, window: int, least: float) -> Cut:
-    """Windows of ``window`` words, a quarter apart, whose TF-IDF energy is at least ``least``."""
-    stride = max(1, window // 4)
+class Slice(NamedTuple):
+    """Words of one slice; places and terms of those the benchmark has, and running sums of their energy."""
+
+    words: Words
+    there: np.ndarray
+    term: np.ndarray
+    sums: np.ndarray
+
+
+def look_up(data: np.ndarray, at: np.ndarray, table: Table, energy: np.ndarray) -> Slice:
     w = words(data, at, NOT_ALNUM)
     term = table.get(w.hash)
     there = np.flatnonzero(~np.isnan(term))
     term = term[there].astype(np.int64)
-    sums = np.concatenate([[0.0], np.cumsum(energy[term])])
+    return Slice(w, there, term, np.concatenate([[0.0], np.cumsum(energy[term])]))
+
+
+def cut(s: Slice, window: int, least: float) -> Cut:
+    """Windows of ``window`` words, a quarter apart, whose TF-IDF energy is at least ``least``."""
+    stride = max(1, window // 4)
+    w, there, term, sums = s
     size = np.diff(w.first)
     per = np.where(size > 0, np.maximum(0, -(-(size - window) // stride)) + 1, 0)
     row = np.repeat(np.arange(len(size)), per)
@@ -195,7 +217,7 @@ def all_windows(docs: DataFrame, terms: Terms, window: int, least: float, text:
         table = Table(t.hashes, np.arange(len(t.hashes), dtype=float))
         for b in batches:
             for _, _, data, at in slices(b.column(0)):
-                c = cut(data, at, table, t.idf**2, window, least)
+                c = cut(look_up(data, at, table, t.idf**2), window, least)
                 row, term = spread(c, t.idf)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(c.row) + 1)), pa.int32()), pa.array(term.astype(np.int32)))], names=["terms"])
 
@@ -222,15 +244,16 @@ def _rows(queries: list[np.ndarray], terms: Terms) -> tuple[np.ndarray, np.ndarr
     return row[kept], term[kept]
 
 
-def fit_basis(table: DataFrame, queries: list[np.ndarray], terms: Terms, rank: int = RANK, turns: int = 2) -> np.ndarray:
-    """Right singular vectors of all passages of the table and the benchmark, by randomised subspace iteration.
+def fit_basis(table: DataFrame, blocks_of: Callable[[], Iterable[list[np.ndarray]]], terms: Terms, rank: int = RANK, turns: int = 2) -> np.ndarray:
+    """Right singular vectors of all passages of the table and of the benchmark, whose blocks ``blocks_of`` gives, by
+    randomised subspace iteration.
 
     A turn is one pass: every task adds up A'(A Q) over its passages, the driver sums (2**BITS x rank numbers a
-    task group) and orthonormalises. Sums are combined per block of rows before they reach the driver."""
+    task group) and orthonormalises. Sums of tasks are combined per block of rows, first within ``SUM_GROUPS``
+    groups of tasks, before they reach the driver."""
     width = rank + SPARE
     rng = np.random.default_rng(3)
     basis = np.linalg.qr(rng.standard_normal((1 << BITS, width)).astype(np.float32))[0]
-    row, term = _rows(queries, terms)
     blocks = 32
 
     def gram(y, row, term, out):
@@ -255,33 +278,86 @@ def fit_basis(table: DataFrame, queries: list[np.ndarray], terms: Terms, rank: i
                     if len(own):
                         gram(project(b.num_rows, r, own, terms, shared.value), r, own, out)
             if any_row:
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(out, blocks)], pa.binary())], names=["block", "part"])
+                task = TaskContext.get().partitionId() % SUM_GROUPS
+                yield pa.RecordBatch.from_arrays([pa.array([task] * blocks, pa.int32()), pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(out, blocks)], pa.binary())], names=["task", "block", "part"])
 
         def total(got):
-            return got.head(1)[["block"]].assign(part=[sum(np.frombuffer(x, np.float32) for x in got["part"]).tobytes()])
+            return got.head(1)[["task", "block"]].assign(part=[sum(np.frombuffer(x, np.float32) for x in got["part"]).tobytes()])
 
-        sums = table.mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(total, "block int, part binary").collect()
+        kind = "task int, block int, part binary"
+        some = table.mapInArrow(run, kind).groupBy("task", "block").applyInPandas(total, kind)
+        sums = some.groupBy("block").applyInPandas(total, kind).collect()
         shared.destroy()
         out = np.zeros_like(basis)
         for r in sums:
             out[r["block"] * (len(out) // blocks) : (r["block"] + 1) * (len(out) // blocks)] = np.frombuffer(r["part"], np.float32).reshape(-1, width)
-        if len(term):
-            gram(project(len(queries), row, term, terms, basis), row, term, out)
+        for queries in blocks_of():
+            row, term = _rows(queries, terms)
+            if len(term):
+                gram(project(len(queries), row, term, terms, basis), row, term, out)
         basis, strength, _ = np.linalg.svd(out, full_matrices=False)
     return np.ascontiguousarray(basis[:, :rank] * (strength[:rank] > 1e-6 * max(strength[0], 1e-12)))
 
 
-def _search(docs: DataFrame, groups: list[Items], terms: Terms, basis: np.ndarray, asked: list[list[np.ndarray]], floors: list[float],
-            rule: Rule, id: str, text: str) -> DataFrame:
-    """Every window of every document, of each class's length: candidates by latent cosine, then common subsequence
-    and answer. Passages are numbered through all classes."""
-    parts, first = [], 0
-    for items, queries, least in zip(groups, asked, floors):
+class Part(NamedTuple):
+    """One class of a block of items: number of its first passage, unit latent vectors, terms (also padded with the
+    number of all terms), answers' first words, window, floors of the cosine and of a window's energy."""
+
+    first: int
+    unit: np.ndarray
+    terms: list[np.ndarray]
+    padded: np.ndarray
+    answer_at: list[int]
+    window: int
+    cosine: np.ndarray
+    energy: float
+
+
+def parts_of(groups: dict[int, Items], asked: dict[int, list[np.ndarray]], terms: Terms, basis: np.ndarray, floors: dict[int, float], rule: Rule) -> list[Part]:
+    """The classes of a block, passages numbered through. A passage's floor is the cosine that the lightest words the
+    rule asks for have with all of it, in a window whose other words weigh as much as the passage's did."""
+    out, first = [], 0
+    for k, items in groups.items():
+        queries = asked[k]
         row, term = _rows(queries, terms)
         q = project(len(queries), row, term, terms, basis)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        parts.append((first, q, queries, items.answer_at, items.window, least))
+        padded = np.full((len(queries), max(map(len, queries))), len(terms.hashes), np.int64)
+        for r, x in enumerate(queries):
+            padded[r, : len(x)] = x
+        left = np.array([least_left(x, terms, rule) / float((terms.idf[x] ** 2).sum()) for x in queries])
+        out.append(Part(first, q, queries, padded, items.answer_at, items.window, np.minimum(rule.cosine, rule.slack * left).astype(np.float32), floors[k]))
         first += len(queries)
+    return out
+
+
+def candidates(c: Cut, part: Part, t: Terms, basis: np.ndarray, rule: Rule):
+    """(window, passage, cosine) of the windows whose cosine reaches the passage's floor and that have, with a window's
+    length on either side, enough of its words in any order."""
+    step = max(1, min(2048, _CELLS // (len(t.hashes) + 1)))
+    need = np.ceil(rule.with_answer * np.array([len(x) for x in part.terms]) - 1e-9)
+    for k in range(0, len(c.row), step):
+        some = slice(k, k + step)
+        p = project(len(c.row[some]), *spread(c, t.idf, some), t, basis)
+        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+        near = p @ part.unit.T
+        r, n = np.nonzero(near >= part.cosine)
+        if not len(r):
+            continue
+        at, which = np.unique(r, return_inverse=True)
+        there = np.zeros((len(at), len(t.hashes) + 1), bool)
+        left, size = c.left[some][at], c.right[some][at] - c.left[some][at]
+        own = np.repeat(np.arange(len(at)), size)
+        there[own, c.term[np.repeat(left - (np.cumsum(size) - size), size) + np.arange(len(own))]] = True
+        for j in range(0, len(r), 1 << 14):
+            w, q = which[j : j + (1 << 14)], n[j : j + (1 << 14)]
+            for x in np.flatnonzero(there[w[:, None], part.padded[q]].sum(1) >= need[q]).tolist():
+                yield k + int(at[w[x]]), int(q[x]), float(near[at[w[x]], q[x]])
+
+
+def _search(docs: DataFrame, parts: list[Part], terms: Terms, basis: np.ndarray, rule: Rule, id: str, text: str) -> DataFrame:
+    """Every window of every document, of each class's length: candidates by latent cosine, then common subsequence
+    and answer."""
     shared = docs.sparkSession.sparkContext.broadcast((terms, basis, parts))
 
     def run(batches):
@@ -289,23 +365,24 @@ def _search(docs: DataFrame, groups: list[Items], terms: Terms, basis: np.ndarra
         table = Table(t.hashes, np.arange(len(t.hashes), dtype=float))
         for b in batches:
             hits: dict[tuple[int, int], tuple] = {}
-            for (i, _, data, at), (base, qs, wanted, answers, window, least) in ((s, c) for s in slices(b.column(2)) for c in classes):
-                c = cut(data, at, table, t.idf**2, window, least)
-                for k in range(0, len(c.row), 2048):
-                    some = slice(k, k + 2048)
-                    p = project(len(c.row[some]), *spread(c, t.idf, some), t, v)
-                    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-                    near = p @ qs.T
-                    for r, n in np.argwhere(near >= rule.cosine).tolist():
-                        key = (i + int(c.row[k + r]), base + n)
-                        want, have = wanted[n], c.term[c.left[k + r] : c.right[k + r]]
+            for i, _, data, at in slices(b.column(2)):
+                looked = look_up(data, at, table, t.idf**2)
+                for part in classes:
+                    c, tried = cut(looked, part.window, part.energy), set()
+                    for r, n, cosine in candidates(c, part, t, v, rule):
+                        left, right = int(c.left[r]), int(c.right[r])
+                        if (n, left, right) in tried:
+                            continue
+                        tried.add((n, left, right))
+                        key = (i + int(c.row[r]), part.first + n)
+                        want, have = part.terms[n], c.term[left:right]
                         share = common(want, have) / len(want)
                         if share < rule.with_answer or key in hits and hits[key][1] >= share:
                             continue
-                        answer = want[answers[n] :]
+                        answer = want[part.answer_at[n] :]
                         answered = bool(len(answer)) and common(answer, have) >= rule.answer * len(answer)
                         if share >= rule.alone or answered:
-                            hits[key] = (float(near[r, n]), share, answered)
+                            hits[key] = (cosine, share, answered)
             where = pa.array([r for r, _ in hits], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array([n for _, n in hits], pa.int32()), *(pa.array([h[k] for h in hits.values()], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.bool_())))], names=[id, "text_hash", "passage", "cosine", "common", "answered"])
 
@@ -318,34 +395,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
                  item_text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(id, text_hash, item_id, cosine, common, answered): one row per document and item found in it, best values.
 
-    Null and empty texts hold nothing and null or wordless items match nothing; repeated rows of a document
-    give one row; other columns are ignored. Empty tables give no rows. Tied items all get their rows.
+    Null and empty texts hold nothing and null or wordless items match nothing; repeated rows of a document or an
+    item give one row; other columns are ignored. Empty tables give no rows. Tied items all get their rows.
     """
-    spark, found = docs.sparkSession, None
-    ids = benchmark.select(F.col(item), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull())
-    blocks = max(1, -(-ids.count() // BLOCK))
+    spark = docs.sparkSession
+    ids = materialize(benchmark.select(F.col(item), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull()).distinct())
+    texts = ids.select("_text").distinct()
+    blocks = max(1, -(-texts.count() // BLOCK))
+
+    def block(k: int) -> dict[int, Items]:
+        part = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == k) if blocks > 1 else texts
+        return length_classes([(r[0], r[0]) for r in part.orderBy("_text").collect()])
+
+    def places(groups: dict[int, Items]) -> dict[int, list[np.ndarray]]:
+        return {k: [np.searchsorted(hashes, h) for h in g.hashes] for k, g in groups.items()}
+
+    hashes = np.zeros(0, np.uint64)
+    for k in range(blocks):
+        hashes = np.unique(np.concatenate([hashes, *(h for g in block(k).values() for h in g.hashes)]))
+    if not len(hashes):
+        none = docs.select(F.col(id), F.lit(0).cast("long").alias("text_hash")).join(benchmark.select(F.col(item)).limit(0), F.lit(False))
+        return none.selectExpr(f"`{id}`", "text_hash", f"`{item}`", "0D AS cosine", "0D AS common", "false AS answered")
+    terms = weigh(hashes, *document_frequencies(docs, hashes, text))
+    floors: dict[int, float] = {}
+    for k in range(blocks):
+        for c, queries in places(block(k)).items():
+            floors[c] = min(floors.get(c, np.inf), rule.slack * min(least_left(q, terms, rule) for q in queries))
+    basis = fit_basis(all_windows(docs, terms, LONGEST // 2, min(floors.values()), text),
+                      lambda: ([q for a in places(block(k)).values() for q in a] for k in range(blocks)), terms)
+    found = None
     for k in range(blocks):
-        part = ids.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == k) if blocks > 1 else ids
-        groups = length_classes([tuple(r) for r in part.collect()])
+        groups = block(k)
         if not groups:
             continue
-        hashes = np.unique(np.concatenate([h for g in groups for h in g.hashes]))
-        df, n = document_frequencies(docs, hashes, text)
-        asked = [[np.searchsorted(hashes, h) for h in g.hashes] for g in groups]
-        queries = [q for a in asked for q in a]
-        terms = weigh(hashes, df, n, queries)
-        floors = [rule.energy * min(float((terms.idf[q] ** 2).sum()) for q in a) for a in asked]
-        window = int(np.clip(np.median([len(q) for q in queries]), 8, LONGEST))
-        basis = fit_basis(all_windows(docs, terms, window, min(floors), text), queries, terms)
-        names = spark.createDataFrame(list(enumerate(x for g in groups for x in g.item)), f"passage int, `{item}` {benchmark.schema[item].dataType.simpleString()}")
-        hits = _search(docs, groups, terms, basis, asked, floors, rule, id, text).join(F.broadcast(names), "passage").drop("passage")
+        hits = _search(docs, parts_of(groups, places(groups), terms, basis, floors, rule), terms, basis, rule, id, text)
+        names = spark.createDataFrame(list(enumerate(x for g in groups.values() for x in g.item)), "passage int, _text string")
+        hits = hits.join(small(names), "passage").drop("passage")
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.select(F.col(id), F.lit(0).cast("long").alias("text_hash")).join(benchmark.select(F.col(item)).limit(0), F.lit(False)).selectExpr(f"`{id}`", "text_hash", f"`{item}`", "0D AS cosine", "0D AS common", "false AS answered")
-    return found.groupBy(id, "text_hash", item).agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("answered").alias("answered"))
+    best = found.groupBy(id, "text_hash", "_text").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("answered").alias("answered"))
+    return best.join(small(ids), "_text").select(id, "text_hash", item, "cosine", "common", "answered").groupBy(id, "text_hash", item).agg(
+        *(F.max(c).alias(c) for c in ("cosine", "common", "answered")))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns stay, null ids and texts are kept."""
     hits = contaminated(docs, benchmark, id, text, **options).select(F.col("text_hash").alias("_hit_hash")).distinct()
-    return docs.join(hits, F.xxhash64(docs[text]) == F.col("_hit_hash"), "left_anti")
+    return docs.join(small(materialize(hits)), F.xxhash64(docs[text]) == F.col("_hit_hash"), "left_anti")

@@ -116,3 +116,63 @@ def test_short_items_beside_long_ones_are_found(spark):
         docs.append((i, " ".join(text)))
     got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def paraphrases(rare, seed=4, n=240, items=40):
+    """Documents of which every second holds an item whose answer is whole and 38 % of whose words are others: any
+    words of the question, or its rarest ones."""
+    rng = random.Random(seed)
+    stop = ["the", "of", "and", "to", "in"]
+    content = lambda: "w%d" % int(5000 * rng.random() ** 2)
+    word = lambda: rng.choice(stop) if rng.random() < 0.4 else content()
+    rank = lambda w: -1 if w in stop else int(w[1:])
+    bank = [([word() for _ in range(rng.randrange(16, 50))], [word() for _ in range(rng.randrange(3, 8))]) for _ in range(items)]
+    docs = []
+    for i in range(n):
+        text = [word() for _ in range(300)]
+        if i % 2 == 0:
+            question, answer = rng.choice(bank)
+            question, other = list(question), int(0.38 * (len(question) + len(answer)))
+            at = sorted(range(len(question)), key=lambda j: -rank(question[j]))[:other] if rare else rng.sample(range(len(question)), other)
+            for j in at:
+                question[j] = content()
+            place = rng.randrange(301)
+            text[place:place] = question + answer
+        docs.append((i, " ".join(text)))
+    return docs, [(k, f"{' '.join(q)}. {' '.join(a)}.") for k, (q, a) in enumerate(bank)], bank
+
+
+def accepted(docs, bank):
+    """What the rule accepts somewhere: the common subsequence with any stretch twice as long as the item."""
+    out = set()
+    for i, text in docs:
+        have = text.split()
+        for k, (question, answer) in enumerate(bank):
+            want = question + answer
+            for at in range(0, len(have), len(want) // 2):
+                part = have[at : at + 2 * len(want)]
+                if sum(w in part for w in want) >= 0.6 * len(want) and lcs(want, part) >= 0.6 * len(want) and lcs(answer, part) >= 0.9 * len(answer):
+                    out.add((i, k))
+    return out
+
+
+def test_paraphrases_are_found_in_blocks_of_any_size(spark, monkeypatch):
+    for rare in (False, True):
+        docs, items, bank = paraphrases(rare)
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        want = accepted(docs, bank)
+        rows = []
+        for block in (5_000, 15):
+            monkeypatch.setattr(D, "BLOCK", block)
+            rows.append(sorted(tuple(r) for r in D.contaminated(frame, bench).collect()))
+        found = {(r[0], r[2]) for r in rows[0]}
+        assert len(want) >= 120 and len(found & want) >= 0.9 * len(want)
+        assert [(r[0], r[2], r[4], r[5]) for r in rows[0]] == [(r[0], r[2], r[4], r[5]) for r in rows[1]]
+
+
+def test_repeated_items_give_one_row(spark):
+    text = "The quick brown fox jumps over the lazy dog. And then it runs home again."
+    bench = spark.createDataFrame([(1, text), (1, text), (2, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "a b c " + text), (7, "a b c " + text), (8, "nothing")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()) == [(7, 1), (7, 2)]
