@@ -4,8 +4,9 @@ Vectors within a ball whose diameter is the threshold angle are all linked to ea
 one node and its copies are never paired. Balls come from neighbours in orders by random hyperplanes, each
 member checked against its leader. The leaders' neighbour graph starts from the same orders and is refined
 by joining neighbours of neighbours; lists filled with threshold edges are enlarged, threshold edges are
-never dropped, and rounds go on until they find next to nothing new and a brute-force audit of a bounded
-number of leaders finds the wanted recall. Last, every edge between balls is counted out in double
+never dropped, and rounds go on until they find next to nothing new and a brute-force audit finds the wanted
+recall, over as many leaders as it takes to see a stated number of true edges. Where audits keep failing, all
+leaders are asked, block by block: the graph is exact then. Last, every edge between balls is counted out in double
 precision, member by member where the triangle inequality leaves doubt.
 """
 
@@ -18,13 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineloom.llm.graph import components
+from lineloom.llm.graph import components, small
 from lineloom.session import materialize
 
 ORDERS, WINDOW, LIST, CHUNK = 8, 6, 8, 64
-#: Leaders whose true neighbours are found by brute force in an audit, at most, and the recall wanted.
-AUDITED, RECALL = 500, 0.97
-MOST_ROUNDS = 12
+#: Leaders whose true neighbours are found by brute force in one pass of an audit, the true edges an audit has to
+#: see (or all there are), and the recall wanted.
+AUDITED, EVIDENCE, RECALL = 500, 200, 0.97
+#: Rounds, and audits failed, after which every leader is asked instead.
+MOST_ROUNDS, MOST_AUDITS = 40, 6
+#: Leaders asked at once by the exact way out.
+ASKED = 4_000
+#: Rows of one leader that one task joins, at most.
+HOT = 1 << 14
 _EPS = 1e-4
 
 
@@ -88,13 +95,25 @@ def ordered_pairs(points: DataFrame, seed: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
+def dealt_join(rows: DataFrame, facts: DataFrame, on: str, each: int | None = None) -> DataFrame:
+    """Inner join of rows (with a ``row`` number) and facts; a key of over ``each`` rows is dealt over several tasks."""
+    each = each or HOT
+    hot = materialize(rows.groupBy(on).agg(F.ceil(F.count("*") / each).cast("int").alias("_deal")).filter("_deal > 1"))
+    if not hot.take(1):
+        return rows.join(facts, on)
+    parts = F.coalesce("_deal", F.lit(1))
+    left = rows.join(small(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64("row"), parts).cast("int")).drop("_deal")
+    right = facts.join(small(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_deal")
+    return left.join(right, [on, "_part"]).drop("_part")
+
+
 def balls(points: DataFrame, pairs: DataFrame, inner: float) -> DataFrame:
     """(row, x, id, leader, apart): every point with its ball's leader and the angle between them. A point whose
     group's leader is farther than the ball's radius leads itself."""
     group = components(pairs.filter(F.col("sim") >= inner).select("a", "b")).withColumnsRenamed({"id": "row", "component": "leader"})
     placed = points.join(group, "row", "left").withColumn("leader", F.coalesce("leader", "row"))
     heads = points.select(F.col("row").alias("leader"), F.col("x").alias("lx"))
-    joined = placed.join(heads, "leader")
+    joined = dealt_join(placed, heads, "leader")
     near = joined.withColumn("cos", dot("x", "lx"))
     alone = F.col("cos").isNull() | (F.col("cos") < inner)
     return near.select("row", "id", "x", F.when(alone, F.col("row")).otherwise(F.col("leader")).alias("leader"),
@@ -180,10 +199,10 @@ def _runs(t: pa.Table, cut: np.ndarray, local):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "sim"])
 
 
-def audit(heads: DataFrame, lists: DataFrame, angle: float) -> tuple[float, DataFrame]:
-    """Share of the threshold edges of at most ``AUDITED`` leaders, spread by hash, that the lists hold, and those edges."""
-    some = heads.orderBy(F.xxhash64("leader")).limit(AUDITED).select("leader", "x", "radius").collect()
-    shared = heads.sparkSession.sparkContext.broadcast([(r["leader"], np.array(r["x"]), r["radius"]) for r in some])
+def true_edges(heads: DataFrame, some: DataFrame, angle: float) -> DataFrame:
+    """(v, u, sim): all threshold edges of the few leaders ``some``, by comparison with every leader."""
+    asked_all = [(r["leader"], np.array(r["x"]), r["radius"]) for r in some.select("leader", "x", "radius").collect()]
+    shared = heads.sparkSession.sparkContext.broadcast(asked_all)
 
     def scan(batches):
         for b in batches:
@@ -194,19 +213,43 @@ def audit(heads: DataFrame, lists: DataFrame, angle: float) -> tuple[float, Data
             out = []
             for n, at in by_width.items():
                 asked = [(r, x, q) for r, x, q in shared.value if len(x) == n]
-                if asked:
-                    sim = np.stack([xs[k] for k in at]) @ np.stack([x for _, x, _ in asked]).T
+                for k in range(0, len(at) if asked else 0, 512):
+                    part = at[k : k + 512]
+                    sim = np.stack([xs[k] for k in part]) @ np.stack([x for _, x, _ in asked]).T
                     apart = np.arccos(np.clip(sim, -1, 1))
-                    hit = apart <= angle + radius[at][:, None] + np.array([q for *_, q in asked])[None]
-                    out += [(asked[j][0], ids[at[i]], sim[i, j]) for i, j in np.argwhere(hit) if asked[j][0] != ids[at[i]]]
+                    hit = apart <= angle + radius[part][:, None] + np.array([q for *_, q in asked])[None]
+                    out += [(asked[j][0], ids[part[i]], sim[i, j]) for i, j in np.argwhere(hit) if asked[j][0] != ids[part[i]]]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["v", "u", "sim"])
 
-    true = materialize(heads.select("leader", "x", "radius").mapInArrow(scan, "v bigint, u bigint, sim double"))
-    total = true.count()
+    found = materialize(heads.select("leader", "x", "radius").mapInArrow(scan, "v bigint, u bigint, sim double"))
+    shared.destroy()
+    return found
+
+
+def audit(heads: DataFrame, lists: DataFrame, angle: float, turn: int = 0) -> tuple[float, DataFrame]:
+    """Share of the true edges of leaders drawn by hash that the lists hold, and those edges. About ``AUDITED`` leaders
+    are drawn at a time until ``EVIDENCE`` true edges were seen or all leaders were drawn; no edges at all pass."""
+    parts = max(1, -(-heads.count() // AUDITED))
+    true, total, step = None, 0, 0
+    while step < parts and total < EVIDENCE:
+        drawn = heads.filter(F.pmod(F.xxhash64("leader", F.lit(turn)), F.lit(parts)) == step)
+        more = true_edges(heads, drawn, angle)
+        true = more if true is None else true.unionByName(more)
+        total += more.count()
+        step += 1
     found = true.join(lists.select("v", "u"), ["v", "u"], "left_semi").count() if total else 0
     return (found / total if total else 1.0), true
 
 
+def every_edge(heads: DataFrame, angle: float) -> DataFrame:
+    """(v, u, sim): the exact way out, all leaders as queries against all, a block at a time."""
+    parts, out = max(1, -(-heads.count() // ASKED)), None
+    for k in range(parts):
+        more = true_edges(heads, heads.filter(F.pmod(F.xxhash64("leader", F.lit(-1)), F.lit(parts)) == k), angle)
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
 def graph(points: DataFrame, cosine: float = 0.9) -> tuple[DataFrame, DataFrame, list[float]]:
     """(members, edges, recalls): members are (row, id, x, leader, apart), edges the ball pairs (a, b) that may hold links."""
     angle, inner = math.acos(cosine), min(1.0, math.sqrt((1 + cosine) / 2) + 1e-6)
@@ -219,23 +262,26 @@ def graph(points: DataFrame, cosine: float = 0.9) -> tuple[DataFrame, DataFrame,
     own = pairs.join(of.filter("row = leader").select(F.col("row").alias("a")), "a", "left_semi").join(of.filter("row = leader").select(F.col("row").alias("b")), "b", "left_semi")
     fresh = ordered_pairs(heads.select(F.col("leader").alias("row"), "x"), 23)
     lists = materialize(_lists(own.unionByName(fresh), heads, angle))
-    recalls, links = [], lists.filter("link").count()
-    for turn in range(MOST_ROUNDS):
+    ends = lambda df: df.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b"), "sim")
+    recalls, links, turn = [], lists.filter("link").count(), 0
+    while not recalls or recalls[-1] < RECALL:
+        if turn >= MOST_ROUNDS or len(recalls) >= MOST_AUDITS:
+            lists = materialize(_lists(ends(lists).unionByName(ends(every_edge(heads, angle))), heads, angle))
+            recalls.append(1.0)
+            break
         full = lists.groupBy("v").agg(F.count(F.when(F.col("link"), 1)).alias("held"), F.max("k").alias("_k")).filter("held >= _k").select(F.col("v").alias("leader"), F.lit(True).alias("_full"))
         heads = materialize(heads.join(full, "leader", "left").withColumn("k", F.when(F.col("_full"), F.col("k") * 2).otherwise(F.col("k"))).drop("_full"))
         found = neighbours_of_neighbours(lists, heads, turn)
-        edges = lists.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b"), "sim").unionByName(found)
-        lists = materialize(_lists(edges, heads, angle))
+        lists = materialize(_lists(ends(lists).unionByName(found), heads, angle))
         now = lists.filter("link").count()
         if now - links <= 0.005 * now:
-            recall, _ = audit(heads, lists, angle)
+            recall, true = audit(heads, lists, angle, turn)
             recalls.append(recall)
-            if recall >= RECALL:
-                break
-            again = ordered_pairs(heads.select(F.col("leader").alias("row"), "x"), 101 + turn)
-            lists = materialize(_lists(lists.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b"), "sim").unionByName(again), heads, angle))
-            now = lists.filter("link").count()
-        links = now
+            if recall < RECALL:
+                again = ordered_pairs(heads.select(F.col("leader").alias("row"), "x"), 101 + turn)
+                lists = materialize(_lists(ends(lists).unionByName(again).unionByName(ends(true)), heads, angle))
+                now = lists.filter("link").count()
+        links, turn = now, turn + 1
     held = lists.filter("link").select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
     return members, materialize(held), recalls
 
@@ -254,7 +300,7 @@ def link(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", cosi
     angle = math.acos(cosine)
     size = members.groupBy("leader").agg(F.count("*").alias("n"), F.max("apart").alias("radius"), F.max(F.when(F.col("row") == F.col("leader"), F.col("x"))).alias("lx"))
     toward = edges.select(F.col("a").alias("leader"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("leader"), F.col("a").alias("other")))
-    met = members.select("row", "x", "leader").join(toward, "leader").join(size.withColumnRenamed("leader", "other"), "other")
+    met = dealt_join(members.select("row", "x", "leader"), toward, "leader").join(size.withColumnRenamed("leader", "other"), "other")
     # all of a ball, none of it, or its members one by one; a lone leader is always compared itself
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.col("cos"), F.lit(1.0))))
     met = materialize(met.withColumn("cos", dot("x", "lx")).withColumn("far", apart).withColumn(

@@ -61,3 +61,25 @@ def test_query_on_the_given_vectors(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op6_nn_descent(spark, path).collect()}
     assert got == brute(rows)
+
+
+def test_failing_rounds_end_in_an_exact_scan(spark, monkeypatch):
+    rows = cloud(5, 150)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(E, "MOST_ROUNDS", 0)
+    monkeypatch.setattr(E, "ASKED", 60)
+    monkeypatch.setattr(E, "HOT", 20)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.link(frame).collect()}
+    assert got == brute(rows)
+
+
+def test_an_audit_looks_until_it_has_seen_enough(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((120, 40))
+    x[1], x[3] = x[0] + 0.4 * np.linalg.norm(x[0]) * x[1] / np.linalg.norm(x[1]), x[2]
+    heads = spark.createDataFrame([(k, (v / np.linalg.norm(v)).tolist(), 0.0) for k, v in enumerate(x)], "leader long, x array<double>, radius double")
+    none = spark.createDataFrame([], "v long, u long, sim double")
+    monkeypatch.setattr(E, "AUDITED", 10)
+    recall, true = E.audit(heads, none, 0.45)
+    assert recall == 0.0 and {(r.v, r.u) for r in true.collect()} == {(0, 1), (1, 0), (2, 3), (3, 2)}
+    assert E.audit(heads, true, 0.45)[0] == 1.0
