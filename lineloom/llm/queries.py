@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineloom.llm import chat, decontam, embedding_dedup, line_dedup, maxent, negatives, ngram_join, perplexity, pieces, pii, quality, repair, sharding
+from lineloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,9 +50,9 @@ def op3_vertical_join(spark, path):
 
 @query
 def op4_virtual_slots(spark, path):
-    placed = sharding.shard(table(spark, path, "documents"), 40)
+    placed = sharding.shard_and_grow(table(spark, path, "documents"), 40, scratch_path(spark))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
 
 
 @query

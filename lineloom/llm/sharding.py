@@ -129,3 +129,19 @@ def shard(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text",
     if store:
         save_map(spark, assigned, store, version)
     return assign(rows, map_frame(spark, assigned, version), id)
+
+
+def shard_and_grow(docs: DataFrame, shards: int, store: str, id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """:func:`shard`, by the stored map, with ``next_shard``: where a row lies once a shard was added.
+
+    Version 1 of the map is stored, read back and edited: the slots that move into the new shard make version 2, and
+    rows are placed by what was stored. Nulls, repeated rows, empty tables and other columns as in :func:`shard`.
+    """
+    spark = docs.sparkSession
+    rows = records(docs, id, text, slots)
+    held = weights(slot_bytes(rows))
+    save_map(spark, balance(held, shards, slots), store, 1)
+    version, now = load_map(spark, store)
+    save_map(spark, grow(now, held), store, version + 1)
+    later = spark.read.parquet(store).filter(F.col("version") == version + 1).select("virtual_slot", F.col("shard").alias("next_shard"))
+    return assign(rows, map_frame(spark, now, version), id).join(F.broadcast(later), "virtual_slot")

@@ -20,6 +20,18 @@ def test_query_places_every_row(spark):
     for k in range(40):
         own = sorted(r.slot for r in got if r.shard == k)
         assert own == list(range(len(own)))
+    # the second version of the map moves whole slots, and only into the new shard
+    assert all(r.next_shard in (r.shard, 40) for r in got)
+    assert len({(r.virtual_slot, r.next_shard) for r in got}) == len({r.virtual_slot for r in got})
+    moved = sum(r["size"] for r in got if r.next_shard == 40)
+    assert 0.9 * sum(load) / 41 < moved < 1.1 * sum(load) / 41
+
+
+def test_stored_map_of_messy_rows(spark, tmp_path):
+    got = sharding.shard_and_grow(messy(spark), 3, str(tmp_path / "a"))
+    assert len(got.collect()) == len(ROWS) and all(r.next_shard in (r.shard, 3) for r in got.collect())
+    assert sharding.load_map(spark, str(tmp_path / "a"))[0] == 2
+    assert sharding.shard_and_grow(messy(spark).limit(0), 3, str(tmp_path / "b")).count() == 0
 
 
 def test_messy_rows(spark):
