@@ -109,10 +109,7 @@ class Terms(NamedTuple):
 
     hashes: np.ndarray
     idf: np.ndarray
-
-    @property
-    def bucket(self) -> np.ndarray:
-        return (mix(self.hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    bucket: np.ndarray
 
 
 def document_frequencies(docs: DataFrame, hashes: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
@@ -144,7 +141,7 @@ def document_frequencies(docs: DataFrame, hashes: np.ndarray, text: str = "text"
 def weigh(hashes: np.ndarray, df: np.ndarray, n: int) -> Terms:
     """Square roots of smoothed inverse document frequencies: a text from which all rare words were taken is still
     near, and words of every document still count a little."""
-    return Terms(hashes, np.sqrt(np.log1p((n + 1) / (df + 1))))
+    return Terms(hashes, np.sqrt(np.log1p((n + 1) / (df + 1))), (mix(hashes) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
 def least_left(query: np.ndarray, terms: Terms, rule: Rule) -> float:
@@ -182,9 +179,9 @@ def look_up(data: np.ndarray, at: np.ndarray, table: Table, energy: np.ndarray)
     return Slice(w, there, term, np.concatenate([[0.0], np.cumsum(energy[term])]))
 
 
-def cut(s: Slice, window: int, least: float) -> Cut:
-    """Windows of ``window`` words, a quarter apart, whose TF-IDF energy is at least ``least``."""
-    stride = max(1, window // 4)
+def cut(s: Slice, window: int, least: float, stride: int | None = None) -> Cut:
+    """Windows of ``window`` words, a quarter apart by default, whose TF-IDF energy is at least ``least``."""
+    stride = stride or max(1, window // 4)
     w, there, term, sums = s
     size = np.diff(w.first)
     per = np.where(size > 0, np.maximum(0, -(-(size - window) // stride)) + 1, 0)
@@ -209,7 +206,7 @@ def spread(c: Cut, weights: np.ndarray, at: slice = slice(None)) -> tuple[np.nda
 
 
 def all_windows(docs: DataFrame, terms: Terms, window: int, least: float, text: str) -> DataFrame:
-    """(terms): the windows of all documents that are searched; the basis is fitted on them."""
+    """(terms): all documents cut into windows side by side; the basis is fitted on them."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
@@ -217,7 +214,7 @@ def all_windows(docs: DataFrame, terms: Terms, window: int, least: float, text:
         table = Table(t.hashes, np.arange(len(t.hashes), dtype=float))
         for b in batches:
             for _, _, data, at in slices(b.column(0)):
-                c = cut(look_up(data, at, table, t.idf**2), window, least)
+                c = cut(look_up(data, at, table, t.idf**2), window, least, window)
                 row, term = spread(c, t.idf)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(c.row) + 1)), pa.int32()), pa.array(term.astype(np.int32)))], names=["terms"])
 
@@ -236,6 +233,23 @@ def project(rows: int, row: np.ndarray, term: np.ndarray, terms: Terms, basis: n
     return out
 
 
+def project_windows(c: Cut, some: slice, terms: Terms, basis: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of a run of windows. They overlap by three quarters, so the words between two neighbouring
+    ends of windows are added up once, and a window is what running sums of these gain over it."""
+    lo, hi = c.lo[some], c.hi[some]
+    ends = np.unique(np.concatenate([lo, hi]))
+    first = int(ends[0])
+    term = c.term[first : int(ends[-1])]
+    out = np.zeros((len(ends), basis.shape[1]))
+    if len(term):
+        rows = basis[terms.bucket[term]]
+        rows *= terms.idf[term].astype(np.float32)[:, None]
+        np.cumsum(np.add.reduceat(rows, ends[:-1] - first, axis=0), axis=0, dtype=float, out=out[1:])
+    p = (out[np.searchsorted(ends, hi)] - out[np.searchsorted(ends, lo)]).astype(np.float32)
+    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
+    return p
+
+
 def _rows(queries: list[np.ndarray], terms: Terms) -> tuple[np.ndarray, np.ndarray]:
     """(query, term) of the queries' terms of positive weight."""
     row = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
@@ -338,9 +352,7 @@ def candidates(c: Cut, part: Part, t: Terms, basis: np.ndarray, rule: Rule):
     need = np.ceil(rule.with_answer * np.array([len(x) for x in part.terms]) - 1e-9)
     for k in range(0, len(c.row), step):
         some = slice(k, k + step)
-        p = project(len(c.row[some]), *spread(c, t.idf, some), t, basis)
-        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-        near = p @ part.unit.T
+        near = project_windows(c, some, t, basis) @ part.unit.T
         r, n = np.nonzero(near >= part.cosine)
         if not len(r):
             continue
