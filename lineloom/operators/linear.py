@@ -390,7 +390,8 @@ def probe_all(df: DataFrame, targets: list[str], vectors: dict[str, str], pcas:
                         m = z[at].T @ z[at]
                         key = f"{t} {f} {mask}"
                         sums[key] = sums[key] + m if key in sums else m
-        yield pd.DataFrame({"g": list(sums), "m": [s[np.triu_indices(len(s))] for s in sums.values()]})
+        if sums:  # a column without a row has no list type
+            yield pd.DataFrame({"g": list(sums), "m": [s[np.triu_indices(len(s))] for s in sums.values()]})
 
     parts = src.mapInPandas(moments_of, "g string, m array<double>")
     packed = parts.groupBy("g").agg(Summarizer.sum(array_to_vector("m")).alias("s")).select("g", vector_to_array("s").alias("m"))

@@ -50,3 +50,17 @@ def test_every_cell_equals_its_own_probe_in_few_jobs(spark, table):
 def test_few_rows_have_no_score(table):
     got = P.probe_grid(table.limit(15), ["a"], "z", "raw", (2,)).collect()
     assert len(got) == 4 and all(r.r2_mean is None for r in got)
+
+
+def test_gain_with_tasks_that_read_no_row(spark, table):
+    want = {r.feature: r for r in L.gain(P.probe_grid(table, ["a", "b"], "z", "raw", (2,)), "z", "pca2").collect()}
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # a row group lies in one of its file's splits
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = {r.feature: r for r in L.gain(P.probe_grid(table, ["a", "b"], "z", "raw", (2,)), "z", "pca2").collect()}
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert set(got) == set(want) == {"a", "b"}
+    assert all(abs(got[y].gain - want[y].gain) < 1e-9 and got[y].winner == want[y].winner for y in want)
