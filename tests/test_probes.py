@@ -64,3 +64,11 @@ def test_gain_with_tasks_that_read_no_row(spark, table):
             spark.conf.set(c, v)
     assert set(got) == set(want) == {"a", "b"}
     assert all(abs(got[y].gain - want[y].gain) < 1e-9 and got[y].winner == want[y].winner for y in want)
+
+
+def test_grid_does_not_depend_on_how_few_rows_a_task_has(table):
+    folded = assign_folds_by_target(table, ["a", "b"], 5).cache()
+    one, many = ({c[:2]: c for c in L.probe_all(folded.repartition(n), ["a", "b"], {"z": "z", "raw": "raw"}, {"pca2": ("raw", 2)}, P.PROBE_ALPHAS, others=True)}
+                 for n in (1, 600))
+    assert set(one) == set(many) and len(one) == 8
+    assert all(one[c][4] == many[c][4] and np.allclose(one[c][2:4], many[c][2:4], atol=1e-9) for c in one)
