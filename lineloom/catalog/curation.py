@@ -14,6 +14,7 @@ from lineloom.operators import windows as W
 from lineloom.operators.filters import filter_covering, filter_scoreable
 from lineloom.operators.joins import (common_keys, connected_components, drop_keys, keep_keys, radius_edges, radius_pairs,
                                       unmatched)
+from lineloom.operators.skew import lookup_join
 from lineloom.plans.curate import curate
 from lineloom.session import materialize
 from lineloom.sources import io, schemas
@@ -174,7 +175,14 @@ def name_normalize(t):
 
 
 def _named(t):
-    return t.names.withColumn("name", normalize_name("raw"))
+    """Rows with their normalised name, written: centroids read them several times."""
+    return materialize(lookup_join(t.names, N.name_texts(t.names), ["raw"]))
+
+
+def _canonical(t):
+    """Rows with their normalised and canonical name."""
+    texts = N.name_texts(t.names)
+    return N.apply_texts(t.names, texts, N.merge_names(t.names, texts=texts))
 
 
 @query("SELECT name, n, round(x, 6) AS x, round(y, 6) AS y FROM cent", "cent")
@@ -200,7 +208,7 @@ def name_canonical(t):
 
 @query("SELECT id, name, coalesce(canonical, name) AS star_name FROM names LEFT JOIN canon USING (name)", "canon")
 def name_map_back(t):
-    return N.apply_canonical(_named(t), N.merge_names(t.names)).select("id", "name", "star_name")
+    return _canonical(t).select("id", "name", "star_name")
 
 
 @query("""full_ AS (SELECT names.*, coalesce(canonical, name) AS star_name FROM names LEFT JOIN canon USING (name)),
@@ -209,7 +217,7 @@ def name_map_back(t):
   SELECT star_name, raw, name, count(*) AS n_variant, any_value(n_rows) AS n_rows, any_value(n_raw_variants) AS n_raw_variants, any_value(n_names) AS n_names,
   any_value(med_ra) AS med_ra, any_value(med_dec) AS med_dec FROM full_ JOIN per USING (star_name) GROUP BY star_name, raw, name""", "canon")
 def name_variant_report(t):
-    return N.variant_report(N.apply_canonical(_named(t), N.merge_names(t.names)))
+    return N.variant_report(_canonical(t))
 
 
 @query("""full_ AS (SELECT names.*, coalesce(canonical, name) AS star_name FROM names LEFT JOIN canon USING (name)),
@@ -218,8 +226,7 @@ def name_variant_report(t):
   (SELECT count(DISTINCT star_name) FROM full_) AS distinct_star_name, round(avg(k), 6) AS mean_rows, max(k) AS max_rows, count_if(k >= 100) AS n_ge_100,
   count_if(k >= 10) AS n_ge_10, count_if(k = 1) AS n_eq_1, median(k) AS median_rows FROM k""", "canon")
 def name_reduction_stats(t):
-    out = N.apply_canonical(_named(t), N.merge_names(t.names))
-    return G.reduction_stats(out, ["raw", "name", "star_name"], "star_name").withColumn("mean_rows", F.round("mean_rows", 6))
+    return G.reduction_stats(_canonical(t), ["raw", "name", "star_name"], "star_name").withColumn("mean_rows", F.round("mean_rows", 6))
 
 
 LEAKS = ["example.com", "password", "license"]

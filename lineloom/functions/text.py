@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lineloom.functions import rules as R
+from lineloom.functions.arrays import let
 from lineloom.functions.scalars import SEPARATORS, _c
 
 
@@ -88,12 +89,14 @@ def join_parts(*cols, sep: str = "+") -> Column:
 
 def normalize_name(col) -> Column:
     """Canonical spelling of an object name (eight ordered rewrites)."""
-    s = F.upper(F.trim(F.regexp_replace(F.trim(_c(col)), r"[\s_\-]+", " ")))
-    first = F.substring_index(s, " ", 1)
     greek = literal_map({k: v for k, v in R.GREEK.items() if k != v})
-    short = F.try_element_at(greek, first)
-    s = F.when(F.contains(s, F.lit(" ")) & short.isNotNull(),
-               F.concat(short, F.substr(s, F.length(first) + 1))).otherwise(s)
+
+    def shorten(s: Column) -> Column:
+        first = F.substring_index(s, " ", 1)
+        short = F.try_element_at(greek, first)
+        return F.when(F.contains(s, F.lit(" ")) & short.isNotNull(), F.concat(short, F.substr(s, F.length(first) + 1))).otherwise(s)
+
+    s = let(F.upper(F.trim(F.regexp_replace(F.trim(_c(col)), r"[\s_\-]+", " "))), shorten)
     for pattern, to in R.NAME_REWRITES:
         s = F.regexp_replace(s, pattern, to)
     return F.trim(s)

@@ -279,8 +279,9 @@ def mjd_consistency(df: DataFrame, mjd: str = "mjd", date_obs: str = "date_obs",
 
 def reduction_stats(df: DataFrame, steps: list[str], final: str) -> DataFrame:
     """Distinct names after each rewriting step and rows per final entity."""
+    df = materialize(df.select(*dict.fromkeys([*steps, final])))
     one = df.agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in steps])
-    k = df.filter(F.col(final).isNotNull()).groupBy(final).agg(F.count("*").alias("k"))
+    k = materialize(df.filter(F.col(final).isNotNull()).groupBy(final).agg(F.count("*").alias("k")))
     per = k.agg(F.avg("k").alias("mean_rows"), F.max("k").alias("max_rows"), F.count_if(F.col("k") >= 100).alias("n_ge_100"),
                 F.count_if(F.col("k") >= 10).alias("n_ge_10"), F.count_if(F.col("k") == 1).alias("n_eq_1"))
     med = group_quantiles(k, [], "k", [0.5], ["m"])

@@ -68,9 +68,16 @@ def canonical_names(centroids: DataFrame, components: DataFrame, name: str = "na
     return lookup_join(c, best, ["component"])
 
 
-def merge_names(df: DataFrame, raw: str = "raw", x: str = "ra", y: str = "dec", radius: float = 0.01) -> DataFrame:
-    """Name map: every normalised name with a position and the canonical name of its group."""
-    base = df.withColumn("name", normalize_name(raw)).select("name", x, y)
+def name_texts(df: DataFrame, raw: str = "raw", name: str = "name") -> DataFrame:
+    """Normalised name of each distinct raw text, written; the rules never see repeats."""
+    return materialize(df.select(raw).filter(F.col(raw).isNotNull()).distinct().withColumn(name, normalize_name(raw)))
+
+
+def merge_names(df: DataFrame, raw: str = "raw", x: str = "ra", y: str = "dec", radius: float = 0.01, texts: DataFrame | None = None) -> DataFrame:
+    """Name map: every normalised name with a position and the canonical name of its group. ``texts``: the names of the raw texts,
+    where the caller has them."""
+    texts = name_texts(df, raw) if texts is None else texts
+    base = materialize(lookup_join(df.select(raw, x, y), texts, [raw]).select("name", x, y))
     cent = materialize(name_centroids(base, "name", x, y))
     comp = connected_components(cent, radius_edges(cent, "name", "x", "y", radius), "name")
     return materialize(canonical_names(cent, comp))
@@ -82,9 +89,15 @@ def apply_canonical(df: DataFrame, mapping: DataFrame, name: str = "name", out:
     return lookup_join(df, m, [name]).withColumn(out, F.coalesce("_c", name)).drop("_c")
 
 
+def apply_texts(df: DataFrame, texts: DataFrame, mapping: DataFrame, raw: str = "raw", name: str = "name", out: str = "star_name") -> DataFrame:
+    """Normalised and canonical name on every row by its raw text: one join, of a table of distinct texts."""
+    return lookup_join(df, apply_canonical(texts, mapping, name, out).select(raw, name, out), [raw])
+
+
 def variant_report(df: DataFrame, canonical: str = "star_name", raw: str = "raw", name: str = "name",
                    x: str = "ra", y: str = "dec") -> DataFrame:
     """Long report: per canonical name its rows and median position, with one row per raw variant."""
+    df = materialize(df.select(*dict.fromkeys([canonical, raw, name, x, y])))
     n = group_stats(df, [canonical], [F.count("*").alias("n_rows"), F.count_distinct(raw).alias("n_raw_variants"),
                                       F.count_distinct(name).alias("n_names")], [(x, 0.5, "med_ra"), (y, 0.5, "med_dec")])
     n = n.withColumns({c: F.round(c, 6) for c in ("med_ra", "med_dec")})

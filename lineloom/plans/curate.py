@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import rules as R
 from lineloom.functions import scalars as S
-from lineloom.functions.text import normalize_name
-from lineloom.operators.names import apply_canonical, apply_lookup, build_lookup, merge_names
+from lineloom.operators.names import apply_lookup, apply_texts, build_lookup, merge_names, name_texts
 from lineloom.operators.windows import combine_flags, structural_group_flag
 
 
@@ -18,8 +17,8 @@ def curate(df: DataFrame, radius: float = 0.01) -> DataFrame:
     out = apply_lookup(df, build_lookup(df, "raw"), "raw")
     out = (out.withColumn("lon_clean", S.wrap_longitude("lon")).withColumn("temporal_quality", S.temporal_quality("mjd", "exptime"))
            .withColumn("snr_quality", S.snr_quality("snr"))
-           .withColumn("observer_type", S.classify_by_list("spectrograph", R.PROFESSIONAL_SPECTROGRAPHS))
-           .withColumn("name", normalize_name("name_raw")))
-    out = apply_canonical(out, merge_names(df, "name_raw", "ra", "dec", radius))
+           .withColumn("observer_type", S.classify_by_list("spectrograph", R.PROFESSIONAL_SPECTROGRAPHS)))
+    texts = name_texts(df, "name_raw")
+    out = apply_texts(out, texts, merge_names(df, "name_raw", "ra", "dec", radius, texts), "name_raw")
     out = structural_group_flag(out, ["star_name", "mjd", "n_points"], "lambda_start")
     return combine_flags(out, F.col("spectrograph").isin(R.ECHELLE_SPECTROGRAPHS))
