@@ -16,8 +16,8 @@ from lineloom.operators.skew import attach, lookup_join
 from lineloom.session import materialize
 
 BLOCK_ROWS = 8192
-#: Queries whose distances to a block a task holds at once.
-QUERIES = 1024
+#: Distances a task holds at once.
+HELD = 1 << 21
 #: Leading centres whose cells a row may join.
 LEADERS = 3
 
@@ -31,10 +31,12 @@ def unit(vec) -> Column:
 
 def _best(q_ids, q, b_ids, b, k):
     """Top-k rows of ``b`` for each row of ``q`` by distance, the row itself left out."""
-    parts = []
-    for i in range(0, len(q), QUERIES):
-        part, ids = q[i : i + QUERIES], q_ids[i : i + QUERIES]
-        d2 = np.maximum((part * part).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * part @ b.T, 0.0)
+    parts, squares = [], (b * b).sum(1)[None, :]
+    for i, j in _slices(len(q), len(b)):
+        part, ids = q[i:j], q_ids[i:j]
+        d2 = (part * part).sum(1)[:, None] + squares
+        d2 -= 2 * part @ b.T
+        np.maximum(d2, 0.0, out=d2)
         d2[ids[:, None] == b_ids[None, :]] = np.inf
         m = min(k, len(b_ids))
         near = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(b_ids) else np.tile(np.arange(m), (len(part), 1))
@@ -45,6 +47,12 @@ def _best(q_ids, q, b_ids, b, k):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _slices(rows: int, columns: int) -> list[tuple[int, int]]:
+    """Cuts of ``rows`` such that a cut has ``HELD`` distances to ``columns`` others at most; one, if empty, where there are no rows."""
+    step = max(1, HELD // max(columns, 1))
+    return [(i, min(i + step, rows)) for i in range(0, max(rows, 1), step)]
+
+
 def _nearest(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of a near centre and the distance to it, in two levels: the first ``sqrt`` of the centres lead, each other
     belongs to its nearest leader, and a row looks at the centres of its ``LEADERS`` nearest leaders (any cell is a right one, if not the tightest)."""
@@ -132,20 +140,24 @@ def _search(placed: DataFrame, cells: DataFrame, k: int) -> DataFrame:
         found = pd.DataFrame({"id": q, "nb": nb.astype(object), "dist": dist, "to_b": None, "parts": None})
         per = found.groupby("id")["dist"].agg(["size", "max"]).reindex(ids)
         bound = np.where(per["size"].fillna(0) >= k, per["max"], np.inf)
-        parts = b.groupby("b")["parts"].first()
+        b = b.sort_values("b")
+        centres, radius = stack(b["centre"]), b["radius"].to_numpy()
+        to, starts = np.unique(b["b"].to_numpy(), return_index=True)
+        parts = b["parts"].to_numpy()[starts]
         slack = 1e-6 * (1 + np.abs(v).max(initial=0.0))  # distances are rounded
-        reach = _distances(v, stack(b["centre"])) - b["radius"].to_numpy() <= bound[:, None] + slack
-        blocks = b["b"].to_numpy()
-        more = []
-        for to in parts.index:
-            hit = ids[reach[:, blocks == to].any(1)]
-            if len(hit) and (to != key[1] or parts[to] > 1):
-                more.append(pd.DataFrame({"id": hit, "nb": None, "dist": np.nan, "to_b": int(to), "parts": int(parts[to])}).astype({"nb": object, "to_b": object, "parts": object}))
-        out = pd.concat([found, *more]) if more else found
-        return out.assign(g=key[0], b=key[1], s=key[2])[["id", "nb", "dist", "g", "b", "s", "to_b", "parts"]]
-
-    return placed.groupBy("g", "b", "s").cogroup(known.groupBy("g", "own_b", "own_s")).applyInPandas(
-        run, f"id {kind}, nb {kind}, dist double, g string, b long, s int, to_b long, parts int")
+        near = np.concatenate([np.logical_or.reduceat(_distances(v[i:j], centres) - radius <= bound[i:j, None] + slack, starts, axis=1)
+                               for i, j in _slices(len(v), len(centres))])
+        # the rows that look at a block travel as one list
+        more = [{"ids": ids[hit], "to_b": int(t), "parts": int(p)} for t, p, hit in zip(to, parts, near.T) if hit.any() and (t != key[1] or p > 1)]
+        out = found.assign(ids=None)
+        if more:
+            lists = pd.DataFrame(more).assign(id=ids[0], nb=None, dist=np.nan).astype({"nb": object, "to_b": object, "parts": object})
+            out = pd.concat([out, lists])
+        return out.assign(g=key[0], b=key[1], s=key[2])[["id", "nb", "dist", "g", "b", "s", "to_b", "parts", "ids"]]
+
+    out = placed.groupBy("g", "b", "s").cogroup(known.groupBy("g", "own_b", "own_s")).applyInPandas(
+        run, f"id {kind}, nb {kind}, dist double, g string, b long, s int, to_b long, parts int, ids array<{kind}>")
+    return out.withColumn("id", F.explode(F.coalesce("ids", F.array("id")))).drop("ids")
 
 
 def candidates(searched: DataFrame) -> DataFrame:

@@ -36,3 +36,19 @@ def test_copies_and_large_ids(spark):
     assert set(got["id"]) == set(ids) and set(got["nb"]) <= set(ids) and len(got) == 1200
     for i, own in got.groupby("id"):
         assert np.allclose(own.sort_values("rank")["dist"], np.sort(d[np.flatnonzero(ids == i)[0]])[:4], atol=1e-6)
+
+
+def test_memory_of_a_block_does_not_grow_with_its_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    b, ids = rng.normal(size=(16384, 8)), np.arange(16384)
+    tracemalloc.start()
+    q, nb, dist = N._best(ids[:1024], b[:1024], ids, b, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert len(q) == 3 * 1024 and (q != nb).all()
+    d = np.sqrt(((b[5] - b) ** 2).sum(1))
+    d[5] = np.inf
+    assert set(nb[q == 5]) == set(np.argsort(d)[:3]) and np.allclose(np.sort(dist[q == 5]), np.sort(d)[:3])
