@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.scalars import bucket_label, is_finite, time_split
 from lineloom.operators.joins import nearest_join
-from lineloom.operators.linear import design, fit_pca, moments, r2_expr, unpack, usable
+from lineloom.operators.linear import design, fit_pca, moments, r2_expr, stack, unpack, usable
 from lineloom.operators.skew import group_quantiles, keep_large_groups
 from lineloom.operators.windows import context_window, finite_context, with_lag
 from lineloom.session import materialize
@@ -56,31 +56,23 @@ def forecast_all(series: DataFrame, vec: str, y: str, configs: list[tuple[int |
     rows = context_window(based, key, [t, order], "_v", lags, min(n for _, n in configs), "ctx", {"y_true": "y_persist", t: "_t0"})
     bad = F.array_position(F.transform(F.reverse("ctx"), lambda v: v.isNull()), True)
     good = F.when(bad > 0, bad - 1).otherwise(F.size("ctx"))
-    rows = rows.select(key, t, order, (F.col(t) - F.col("_t0")).alias("dt_days"), "y_true", "y_persist", part.alias("part"), "ctx", F.size("ctx").alias("n"), good.alias("good"))
-    rows = materialize(rows)
     row = series.filter(usable(vec)).select(F.size(vec).alias("n")).take(1)
     dims = row[0].n if row else 0
     wide = most_k + (dims if whole else 0)
+    rows = rows.select(key, t, order, (F.col(t) - F.col("_t0")).alias("dt_days"), "y_true", "y_persist", part.alias("part"), "ctx", F.size("ctx").alias("n"), good.alias("good"))
+    # the latest usable vectors as one array of fixed length, zeros before them: tasks stack plain arrays
+    latest = F.flatten(F.slice("ctx", F.col("n") - F.col("good") + 1, F.col("good")))
+    rows = materialize(rows.withColumn("x", F.concat(F.array_repeat(F.lit(0.0), ((lags - F.col("good")) * wide).cast("int")), latest)).drop("ctx"))
 
     def columns(k, length):
         inside = range(most_k, wide) if k is None else range(k)
         return np.array([lag * wide + i for lag in range(lags - length, lags) for i in inside], dtype=int)
 
-    def padded(pdf):
-        x = np.zeros((len(pdf), lags, wide))
-        for i, (ctx, n) in enumerate(zip(pdf["ctx"], pdf["good"])):
-            if n:
-                x[i, lags - n :] = np.stack(list(ctx)[len(ctx) - n :])
-        return x.reshape(len(pdf), lags * wide)
-
     cuts = sorted({n for _, n in configs})
 
-    def vectors(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"x": list(padded(pdf)), "y": pdf["y_true"].to_numpy(), "g": [str(sum(n >= c for c in cuts)) for n in pdf["good"]]})
-
-    train = rows.filter((F.col("part") == "train") & is_finite("y_true")).select("ctx", "y_true", "good")
-    sums = {int(r["g"]): unpack(r["m"]) for r in moments(train.mapInPandas(vectors, "x array<double>, y double, g string"), "x", "y", "g").collect()}
+    train = rows.filter((F.col("part") == "train") & is_finite("y_true")).select(
+        "x", F.col("y_true").alias("y"), "good", sum(((F.col("good") >= c).cast("int") for c in cuts), F.lit(0)).cast("string").alias("g"))
+    sums = {int(r["g"]): unpack(r["m"]) for r in moments(train, "x", "y", "g").collect()}
     models = {}
     for k, length in configs:
         at = np.r_[0, 1 + columns(k, length), 1 + lags * wide]
@@ -92,7 +84,7 @@ def forecast_all(series: DataFrame, vec: str, y: str, configs: list[tuple[int |
     def errors(batches):
         total = {c: np.zeros(len(grid)) for c in shared.value}
         for pdf in batches:
-            x, y, n = padded(pdf), pdf["y_true"].to_numpy(), pdf["good"].to_numpy()
+            x, y, n = stack(pdf["x"]), pdf["y"].to_numpy(), pdf["good"].to_numpy()
             for (k, length), m in shared.value.items():
                 use = n >= length
                 if use.any():
@@ -109,7 +101,7 @@ def forecast_all(series: DataFrame, vec: str, y: str, configs: list[tuple[int |
 
     def predict(batches):
         for pdf in batches:
-            x, n, good = padded(pdf), pdf["n"].to_numpy(), pdf["good"].to_numpy()
+            x, n, good = stack(pdf["x"]), pdf["n"].to_numpy(), pdf["good"].to_numpy()
             for k, length in configs:
                 pred = np.full(len(pdf), np.nan)
                 use = good >= length
@@ -118,7 +110,7 @@ def forecast_all(series: DataFrame, vec: str, y: str, configs: list[tuple[int |
                     pred[use] = m.predict(m.rotate(x[use][:, columns(k, length)]), alpha[k, length])
                 yield pdf[keep].assign(y_pred=pred, config=f"{'raw' if k is None else f'pca{k}'}_ctx{length}")[n >= length]
 
-    out = rows.filter("part = 'test'").select(*keep, "ctx", "n", "good").mapInPandas(predict, schema + ", y_pred double, config string")
+    out = rows.filter("part = 'test'").select(*keep, "x", "n", "good").mapInPandas(predict, schema + ", y_pred double, config string")
     return out.select("config", key, t, order, "dt_days", "y_true", "y_pred", "y_persist")
 
 

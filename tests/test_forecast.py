@@ -65,3 +65,16 @@ def test_no_training_rows(spark):
     df = spark.createDataFrame([("a", float(i), i, [1.0 * i], 1.0) for i in range(5)], "star_name string, mjd double, row_id int, v array<double>, y double")
     got = C.forecast_all(df, "v", "y", [(None, 2)], -1.0, alphas=ALPHAS).collect()
     assert len(got) == 3 and all(r.y_pred is None or r.y_pred != r.y_pred for r in got)
+
+
+def test_contexts_travel_as_one_plain_array(spark, monkeypatch):
+    from lineloom.plans import forecast as C
+
+    written, kept = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: written.append(kept(df)) or written[-1])
+    rows = [("s", float(i), i, None if i == 3 else [float(i), float(i % 4)], float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "star_name string, mjd double, row_id int, v array<double>, y double")
+    C.forecast_all(df, "v", "y", [(None, 2), (None, 3)], 7.0)
+    got = {r.row_id: (r.good, r.x) for r in written[-1].collect()}
+    assert got[2] == (2, [0.0, 0.0, 0.0, 0.0, 1.0, 1.0]) and got[4] == (0, [0.0] * 6)
+    assert got[6] == (2, [0.0, 0.0, 4.0, 0.0, 5.0, 1.0]) and got[9] == (3, [6.0, 2.0, 7.0, 3.0, 8.0, 0.0])
