@@ -4,7 +4,8 @@ Corpus and benchmark are cut into passages, weighted by TF-IDF over the benchmar
 by a distributed randomised SVD. Passages whose latent cosine with a benchmark passage is high enough are
 checked: the longest common subsequence of words, and whether the item's answer (its last sentence) is
 there, decide. Case and punctuation don't matter. The floors of the search follow from what that check can
-still accept: the lightest words that may be left of an item. Weights, floors and basis are of the whole
+still accept: the lightest words that may be left of an item. A window is projected only where, going by counts of
+words, some passage could have as many of its words as the check asks for. Weights, floors and basis are of the whole
 benchmark; only the search is a stated query set taken in blocks of ``BLOCK`` items, each of which goes over
 all documents. What the driver holds is one block and the benchmark's distinct words.
 """
@@ -36,6 +37,12 @@ SPARE = 16
 SUM_GROUPS = 1024
 #: Cells of the table in which a run of windows looks up its words.
 _CELLS = 1 << 23
+#: Terms of least weight that are taken as columns of a matrix; the others are rare enough to be taken one by one.
+OFTEN = 256
+#: Passages of a run whose sums are added up together.
+_RUN = 4096
+#: Cells of the table in which a run of places counts the words of all passages.
+_COUNTS = 1 << 21
 
 
 class Rule(NamedTuple):
@@ -179,14 +186,82 @@ def look_up(data: np.ndarray, at: np.ndarray, table: Table, energy: np.ndarray)
     return Slice(w, there, term, np.concatenate([[0.0], np.cumsum(energy[term])]))
 
 
-def cut(s: Slice, window: int, least: float, stride: int | None = None) -> Cut:
-    """Windows of ``window`` words, a quarter apart by default, whose TF-IDF energy is at least ``least``."""
+class Bound(NamedTuple):
+    """How often each passage has each term: of frequent terms (``column`` has a term's, else -1) as a matrix, of the others
+    as lists of passages and times that begin at ``first``; and how many words a window needs of each passage."""
+
+    column: np.ndarray
+    often: np.ndarray
+    first: np.ndarray
+    passage: np.ndarray
+    times: np.ndarray
+    need: np.ndarray
+
+
+def frequent(terms: Terms) -> np.ndarray:
+    """The ``OFTEN`` terms of least weight."""
+    return np.argsort(terms.idf, kind="stable")[:OFTEN]
+
+
+def bound_of(queries: list[np.ndarray], terms: Terms, rule: Rule) -> Bound:
+    column = np.full(len(terms.hashes), -1)
+    often_terms = frequent(terms)
+    column[often_terms] = np.arange(len(often_terms))
+    of, times = np.unique(np.concatenate(queries) * len(queries) + np.repeat(np.arange(len(queries)), [len(q) for q in queries]), return_counts=True)
+    term, passage = of // len(queries), of % len(queries)
+    wide = column[term] >= 0
+    often = np.zeros((len(often_terms), len(queries)), np.float32)
+    often[column[term[wide]], passage[wide]] = times[wide]
+    return Bound(column, often, np.searchsorted(term[~wide], np.arange(len(column) + 1)), passage[~wide], times[~wide].astype(float), needed(queries, rule))
+
+
+def needed(queries: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """How many of each passage's words the check asks for."""
+    return np.ceil(rule.with_answer * np.array([len(x) for x in queries]) - 1e-9)
+
+
+def hopeful(s: Slice, window: int, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut into stretches of a window's length: each text's first stretch, and which stretches hold the begin of a
+    window that could have enough words of a passage, with a window's length on either side. No other window can pass:
+    all its words lie in the stretch, the one before and the two after, whose frequent words count once, others each time."""
+    size = np.diff(s.words.first)
+    many = -(-size // window)
+    base = np.cumsum(many) - many
+    row = s.words.row[s.there]
+    stretch = base[row] + (s.there - s.words.first[row]) // window
+    out, wide = np.zeros(int(many.sum()), bool), len(bound.need)
+    step = max(1, _COUNTS // wide)
+    for k in range(0, len(out), step):
+        n = min(step, len(out) - k)
+        lo, hi = np.searchsorted(stretch, [k - 1, k + n + 2])
+        at, term = stretch[lo:hi] - (k - 1), s.term[lo:hi]
+        column = bound.column[term]
+        there = np.zeros((n + 3, len(bound.often)), bool)
+        there[at[column >= 0], column[column >= 0]] = True
+        total = (there[:n] | there[1 : n + 1] | there[2 : n + 2] | there[3:]).astype(np.float32) @ bound.often
+        at, term = at[column < 0], term[column < 0]
+        each = bound.first[term + 1] - bound.first[term]
+        held = np.repeat(bound.first[term] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        rare = np.bincount(np.repeat(at, each) * wide + bound.passage[held], bound.times[held], (n + 3) * wide).reshape(n + 3, wide)
+        for j in range(4):
+            total += rare[j : j + n]
+        out[k : k + n] = (total >= bound.need).any(1)
+    return base, out
+
+
+def cut(s: Slice, window: int, least: float, stride: int | None = None, bound: Bound | None = None) -> Cut:
+    """Windows of ``window`` words, a quarter apart by default, whose TF-IDF energy is at least ``least``; with a bound
+    only those that could have enough words of a passage."""
     stride = stride or max(1, window // 4)
     w, there, term, sums = s
     size = np.diff(w.first)
     per = np.where(size > 0, np.maximum(0, -(-(size - window) // stride)) + 1, 0)
     row = np.repeat(np.arange(len(size)), per)
     begin = w.first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * stride
+    if bound is not None:
+        base, could = hopeful(s, window, bound)
+        could = could[base[row] + (begin - w.first[row]) // window]
+        row, begin = row[could], begin[could]
     end = np.minimum(begin + window, w.first[row + 1])
     lo, hi = np.searchsorted(there, begin), np.searchsorted(there, end)
     hot = np.flatnonzero(sums[hi] - sums[lo] >= least)
@@ -235,21 +310,65 @@ def project(rows: int, row: np.ndarray, term: np.ndarray, terms: Terms, basis: n
 
 def project_windows(c: Cut, some: slice, terms: Terms, basis: np.ndarray) -> np.ndarray:
     """Unit latent vectors of a run of windows. They overlap by three quarters, so the words between two neighbouring
-    ends of windows are added up once, and a window is what running sums of these gain over it."""
+    ends of windows are added up once, and a window is what running sums of these gain over it. Words in no window are
+    left out."""
     lo, hi = c.lo[some], c.hi[some]
     ends = np.unique(np.concatenate([lo, hi]))
-    first = int(ends[0])
-    term = c.term[first : int(ends[-1])]
+    left, right = np.searchsorted(ends, lo), np.searchsorted(ends, hi)
+    inside = np.flatnonzero(np.cumsum(np.bincount(left, minlength=len(ends)) - np.bincount(right, minlength=len(ends)))[:-1])
     out = np.zeros((len(ends), basis.shape[1]))
-    if len(term):
+    if len(inside):
+        size = ends[inside + 1] - ends[inside]
+        begin = np.cumsum(size) - size
+        term = c.term[np.repeat(ends[inside] - begin, size) + np.arange(size.sum())]
         rows = basis[terms.bucket[term]]
         rows *= terms.idf[term].astype(np.float32)[:, None]
-        np.cumsum(np.add.reduceat(rows, ends[:-1] - first, axis=0), axis=0, dtype=float, out=out[1:])
-    p = (out[np.searchsorted(ends, hi)] - out[np.searchsorted(ends, lo)]).astype(np.float32)
+        out[inside + 1] = np.add.reduceat(rows, begin, axis=0)
+        np.cumsum(out, axis=0, out=out)
+    p = (out[right] - out[left]).astype(np.float32)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
     return p
 
 
+def add_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+    """Adds ``weight * rows[at]`` to ``out[to]``, where ``to`` ascends: the first of every place, then the second, and so on."""
+    if not len(to):
+        return
+    begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    size = np.diff(np.r_[begin, len(to)])
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], -size[order]
+    for k in range(int(-size[0])):
+        one = begin[: np.searchsorted(size, -k)] + k
+        out[to[one]] += rows[at[one]] * weight[one, None]
+
+
+def add_gram(n: int, row: np.ndarray, term: np.ndarray, terms: Terms, basis: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A basis) of ``n`` passages of unit length to ``out``; ``row`` ascends. Terms that are in many passages go as
+    columns of a matrix, so that sums over them are matrix products."""
+    often = frequent(terms)
+    column = np.full(len(terms.hashes), -1)
+    column[often] = np.arange(len(often))
+    weight, bucket = terms.idf.astype(np.float32), terms.bucket
+    head = basis[bucket[often]] * weight[often, None]
+    sums = np.zeros_like(head)
+    norm = np.bincount(row, terms.idf[term] ** 2, n)
+    for k in range(0, n, _RUN):
+        m = min(_RUN, n - k)
+        lo, hi = np.searchsorted(row, [k, k + m])
+        r, t = row[lo:hi] - k, term[lo:hi]
+        wide = column[t] >= 0
+        held = np.bincount(r[wide] * len(often) + column[t[wide]], minlength=m * len(often)).reshape(m, len(often)).astype(np.float32)
+        y = held @ head
+        r, t = r[~wide], t[~wide]
+        add_rows(y, r, basis, bucket[t], weight[t])
+        y /= np.maximum(norm[k : k + m], 1e-24)[:, None].astype(np.float32)
+        sums += held.T @ y
+        order = np.argsort(bucket[t], kind="stable")
+        add_rows(out, bucket[t][order], y, r[order], weight[t][order])
+    np.add.at(out, bucket[often], sums * weight[often, None])
+
+
 def _rows(queries: list[np.ndarray], terms: Terms) -> tuple[np.ndarray, np.ndarray]:
     """(query, term) of the queries' terms of positive weight."""
     row = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
@@ -270,15 +389,6 @@ def fit_basis(table: DataFrame, blocks_of: Callable[[], Iterable[list[np.ndarray
     basis = np.linalg.qr(rng.standard_normal((1 << BITS, width)).astype(np.float32))[0]
     blocks = 32
 
-    def gram(y, row, term, out):
-        weight = terms.idf[term].astype(np.float32)
-        norm = np.sqrt(np.bincount(row, weight.astype(float) ** 2, len(y)))
-        scaled = y[row] * (weight / np.maximum(norm, 1e-12)[row].astype(np.float32))[:, None]
-        order = np.argsort(terms.bucket[term], kind="stable")
-        at = terms.bucket[term][order]
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out[at[cut]] += np.add.reduceat(scaled[order], cut, axis=0)
-
     for _ in range(turns):
         shared = table.sparkSession.sparkContext.broadcast(basis)
 
@@ -290,7 +400,7 @@ def fit_basis(table: DataFrame, blocks_of: Callable[[], Iterable[list[np.ndarray
                     own = b.column(0).flatten().to_numpy()
                     r = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy())
                     if len(own):
-                        gram(project(b.num_rows, r, own, terms, shared.value), r, own, out)
+                        add_gram(b.num_rows, r, own, terms, shared.value, out)
             if any_row:
                 task = TaskContext.get().partitionId() % SUM_GROUPS
                 yield pa.RecordBatch.from_arrays([pa.array([task] * blocks, pa.int32()), pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(out, blocks)], pa.binary())], names=["task", "block", "part"])
@@ -308,14 +418,14 @@ def fit_basis(table: DataFrame, blocks_of: Callable[[], Iterable[list[np.ndarray
         for queries in blocks_of():
             row, term = _rows(queries, terms)
             if len(term):
-                gram(project(len(queries), row, term, terms, basis), row, term, out)
+                add_gram(len(queries), row, term, terms, basis, out)
         basis, strength, _ = np.linalg.svd(out, full_matrices=False)
     return np.ascontiguousarray(basis[:, :rank] * (strength[:rank] > 1e-6 * max(strength[0], 1e-12)))
 
 
 class Part(NamedTuple):
     """One class of a block of items: number of its first passage, unit latent vectors, terms (also padded with the
-    number of all terms), answers' first words, window, floors of the cosine and of a window's energy."""
+    number of all terms), answers' first words, window, floors of the cosine and of a window's energy, words needed."""
 
     first: int
     unit: np.ndarray
@@ -325,6 +435,7 @@ class Part(NamedTuple):
     window: int
     cosine: np.ndarray
     energy: float
+    bound: Bound
 
 
 def parts_of(groups: dict[int, Items], asked: dict[int, list[np.ndarray]], terms: Terms, basis: np.ndarray, floors: dict[int, float], rule: Rule) -> list[Part]:
@@ -340,7 +451,7 @@ def parts_of(groups: dict[int, Items], asked: dict[int, list[np.ndarray]], terms
         for r, x in enumerate(queries):
             padded[r, : len(x)] = x
         left = np.array([least_left(x, terms, rule) / float((terms.idf[x] ** 2).sum()) for x in queries])
-        out.append(Part(first, q, queries, padded, items.answer_at, items.window, np.minimum(rule.cosine, rule.slack * left).astype(np.float32), floors[k]))
+        out.append(Part(first, q, queries, padded, items.answer_at, items.window, np.minimum(rule.cosine, rule.slack * left).astype(np.float32), floors[k], bound_of(queries, terms, rule)))
         first += len(queries)
     return out
 
@@ -349,7 +460,7 @@ def candidates(c: Cut, part: Part, t: Terms, basis: np.ndarray, rule: Rule):
     """(window, passage, cosine) of the windows whose cosine reaches the passage's floor and that have, with a window's
     length on either side, enough of its words in any order."""
     step = max(1, min(2048, _CELLS // (len(t.hashes) + 1)))
-    need = np.ceil(rule.with_answer * np.array([len(x) for x in part.terms]) - 1e-9)
+    need = needed(part.terms, rule)
     for k in range(0, len(c.row), step):
         some = slice(k, k + step)
         near = project_windows(c, some, t, basis) @ part.unit.T
@@ -368,8 +479,8 @@ def candidates(c: Cut, part: Part, t: Terms, basis: np.ndarray, rule: Rule):
 
 
 def _search(docs: DataFrame, parts: list[Part], terms: Terms, basis: np.ndarray, rule: Rule, id: str, text: str) -> DataFrame:
-    """Every window of every document, of each class's length: candidates by latent cosine, then common subsequence
-    and answer."""
+    """Every window of every document, of each class's length, that could have enough of a passage's words: candidates by
+    latent cosine, then common subsequence and answer."""
     shared = docs.sparkSession.sparkContext.broadcast((terms, basis, parts))
 
     def run(batches):
@@ -380,7 +491,7 @@ def _search(docs: DataFrame, parts: list[Part], terms: Terms, basis: np.ndarray,
             for i, _, data, at in slices(b.column(2)):
                 looked = look_up(data, at, table, t.idf**2)
                 for part in classes:
-                    c, tried = cut(looked, part.window, part.energy), set()
+                    c, tried = cut(looked, part.window, part.energy, bound=part.bound), set()
                     for r, n, cosine in candidates(c, part, t, v, rule):
                         left, right = int(c.left[r]), int(c.right[r])
                         if (n, left, right) in tried:
@@ -433,7 +544,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     for k in range(blocks):
         for c, queries in places(block(k)).items():
             floors[c] = min(floors.get(c, np.inf), rule.slack * min(least_left(q, terms, rule) for q in queries))
-    basis = fit_basis(all_windows(docs, terms, LONGEST // 2, min(floors.values()), text),
+    basis = fit_basis(materialize(all_windows(docs, terms, LONGEST // 2, min(floors.values()), text)),
                       lambda: ([q for a in places(block(k)).values() for q in a] for k in range(blocks)), terms)
     found = None
     for k in range(blocks):

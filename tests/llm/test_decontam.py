@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from helpers import messy
 from lineloom.llm import decontam as D
@@ -176,3 +177,50 @@ def test_repeated_items_give_one_row(spark):
     bench = spark.createDataFrame([(1, text), (1, text), (2, text)], "item_id long, text string")
     docs = spark.createDataFrame([(7, "a b c " + text), (7, "a b c " + text), (8, "nothing")], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()) == [(7, 1), (7, 2)]
+
+
+def looked(docs, terms):
+    texts = pa.array(docs, pa.string())
+    table = D.Table(terms.hashes, np.arange(len(terms.hashes), dtype=float))
+    (_, _, data, at), = D.slices(texts)
+    return D.look_up(data, at, table, terms.idf**2)
+
+
+def test_bound_keeps_every_window_with_enough_words_and_few_others(monkeypatch):
+    docs, items, _ = paraphrases(False, n=120)
+    groups = D.length_classes([(x, x) for _, x in items])
+    hashes = np.unique(np.concatenate([h for g in groups.values() for h in g.hashes]))
+    texts = [x for _, x in docs] + ["", None, items[0][1]]
+    there = np.array([[h in set(D._hashes(x or "").tolist()) for h in hashes.tolist()] for x in texts])
+    terms = D.weigh(hashes, there.sum(0), len(texts))
+    s = looked(texts, terms)
+    for often, cells in ((256, 1 << 21), (8, 500)):
+        monkeypatch.setattr(D, "OFTEN", often)
+        monkeypatch.setattr(D, "_COUNTS", cells)
+        for g in groups.values():
+            queries = [np.searchsorted(hashes, h) for h in g.hashes]
+            every, some = D.cut(s, g.window, 0.0), D.cut(s, g.window, 0.0, bound=D.bound_of(queries, terms, D.Rule()))
+            kept = set(zip(some.lo.tolist(), some.hi.tolist(), some.row.tolist()))
+            enough = {(lo, hi, r) for lo, hi, r, a, b in zip(*(x.tolist() for x in (every.lo, every.hi, every.row, every.left, every.right)))
+                      if any(np.isin(q, every.term[a:b]).sum() >= np.ceil(0.6 * len(q) - 1e-9) for q in queries)}
+            assert enough and enough <= kept
+            assert often == 8 or len(some.row) < 0.5 * len(every.row)
+
+
+def test_sums_of_a_basis_equal_dense_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    hashes = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    terms = D.weigh(hashes, rng.integers(0, 90, 300), 90)
+    size = rng.integers(0, 12, 70)
+    row, term = np.repeat(np.arange(70), size), rng.integers(0, 300, size.sum())
+    basis = rng.standard_normal((1 << D.BITS, 7)).astype(np.float32)
+    a = np.zeros((70, 1 << D.BITS))
+    np.add.at(a, (row, terms.bucket[term]), terms.idf[term])
+    norm = np.sqrt(np.bincount(row, terms.idf[term] ** 2, 70))
+    a /= np.maximum(norm, 1e-12)[:, None]
+    for often, run in ((256, 4096), (5, 16), (1000, 4096)):
+        monkeypatch.setattr(D, "OFTEN", often)
+        monkeypatch.setattr(D, "_RUN", run)
+        out = np.zeros_like(basis)
+        D.add_gram(70, row, term, terms, basis, out)
+        assert np.allclose(out, a.T @ (a @ basis), rtol=1e-4, atol=1e-4)
