@@ -64,3 +64,14 @@ def test_stages_take_messy_documents(spark):
         assert set(docs.columns) <= set(out.columns), name
         assert 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_batches_of_whole_texts_are_bounded_by_bytes(spark, stages):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('abcdefgh', 1000) AS text")
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) <= P.BATCH_BYTES + 16_000
