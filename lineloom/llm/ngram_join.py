@@ -2,7 +2,8 @@
 
 The global order of n-grams (by hash) is cut into fragments. Two sets of sizes a <= b with similarity t or
 more differ in at most d = (a + b)(1 - t)/(1 + t) n-grams, so of d + 1 fragments they agree on one: pairs
-that share a whole fragment are the candidates. A candidate's overlap is counted fragment by fragment,
+that share a whole fragment are the candidates. There are more fragments than that, so similar sets agree on several,
+and each set may leave out the ones most held, all but one of what it has to agree on. A candidate's overlap is counted fragment by fragment,
 separately, and summed per pair. Sets are compared by 64-bit hashes of n-grams.
 
 Equal sets are one class from the start. Within a shared fragment, classes are first compared with one of
@@ -13,12 +14,13 @@ no cap, no sample: every pair is either linked through others or was compared or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm.graph import components, small
@@ -30,6 +32,10 @@ from lineloom.session import materialize
 CLASS_RATIO = 0.7
 #: Documents whose fragments fill one group of the candidate search, about.
 GROUP_DOCS = 1_000
+#: Ways in which a set is cut, one after the other, before its empty fragments count.
+CUTS = 8
+#: Neighbouring size classes that are told apart in a signature's lowest bits.
+CODES = 8
 #: Fragments in which overlaps are counted.
 PARTS = 8
 _BITS = 256
@@ -49,12 +55,28 @@ def most_apart(both, t: Fraction):
     return (both * (t.denominator - t.numerator)) // (t.denominator + t.numerator)
 
 
-def fragments_of(kind: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Number of fragments of size classes, and how many of them may be empty in a set before its empty
-    fragments count as well: with fewer, an agreeing fragment that isn't empty is left."""
-    d = most_apart(2 * (_bounds()[kind + 1] - 1), t)
-    spare = d // 16 + 2
-    return d + 1 + spare, spare
+@lru_cache(maxsize=8)
+def _fragments(t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bounds = _bounds()
+    d = most_apart(2 * (bounds[1:] - 1), t)
+    least = bounds[:-1] * t.numerator / t.denominator
+    few = d // 16 + 2
+    spare = few.copy()
+    for _ in range(50):
+        count = d + 1 + spare
+        empty = np.exp(-least / count)
+        need = count * empty + 2 * np.sqrt(count * np.maximum(0, empty - (1 + least / count) * empty**2))
+        spare = np.maximum(spare, np.minimum(np.ceil(need).astype(np.int64), d + few + 1))
+    spare = np.where(spare > np.maximum(few, d // 2), few, spare)
+    count = d + 1 + spare
+    return count, spare, np.where(count * np.exp(-least / count) <= spare, CUTS, 1)
+
+
+def fragments_of(kind: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of fragments of size classes; how many of them may be empty in a set: with no more, an agreeing fragment
+    that isn't empty is left; and in how many ways a set with more is cut. Where possible, two standard deviations over
+    the mean are spared for the smallest partner of a class."""
+    return tuple(x[kind] for x in _fragments(t))
 
 
 def sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,31 +100,61 @@ def keys_of(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every set's fragments, for its own size class and those of larger partners."""
+def cuts_of(row: np.ndarray, h: np.ndarray, size: np.ndarray, t: Fraction) -> Iterator[tuple]:
+    """Every cut of every set, for its own size class and those of larger partners: (code of class and cut, class by row,
+    row by n-gram, n-gram, fragment by n-gram, places of the fragments' first n-grams, need by row, {row: empty fragments}).
+
+    A set with more empty fragments than are spared is cut in another way as well, and so on: two sets have all cuts up
+    to the first that suits one of them. Empty fragments, which any two sets may share, count only where no cut suits.
+    Of ``count`` fragments similar sets agree on all but ``apart``; so they agree on ``need`` that aren't empty.
+    """
     bounds = _bounds()
     own = np.searchsorted(bounds, size, "right") - 1
     last = np.searchsorted(bounds, size * t.denominator // t.numerator, "right") - 1
-    rows, out = [], []
-    for step in range(int((last - own).max(initial=-1)) + 1):
+    steps = int((last - own).max(initial=-1)) + 1
+    for step in range(steps):
         kind = own + step
         used = (size > 0) & (kind <= last)
-        count, spare = fragments_of(np.where(used, kind, 0), t)
-        mine = used[row]
-        r, g = row[mine], h[mine]
-        if not len(r):
-            continue
-        part = ((g >> np.uint64(32)) * count[r].astype(np.uint64)) >> np.uint64(32)
-        cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (part[1:] != part[:-1])])
-        label = lambda k, p: mix((k.astype(np.uint64) << np.uint64(40)) ^ p.astype(np.uint64))
-        rows.append(r[cut])
-        out.append(mix(np.add.reduceat(mix(g), cut) ^ label(kind[r[cut]], part[cut])))
-        filled = np.bincount(r[cut], minlength=len(size))
-        for i in np.flatnonzero(used & (count - filled > spare)):
-            empty = np.setdiff1d(np.arange(count[i]), part[cut][r[cut] == i].astype(np.int64))
-            rows.append(np.full(len(empty), i))
-            out.append(label(np.full(len(empty), kind[i]), empty))
-    return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        count, spare, cuts = fragments_of(np.where(used, kind, 0), t)
+        for cut in range(CUTS):
+            mine = used[row]
+            r, g = row[mine], h[mine]
+            if not len(r):
+                break
+            place = mix(g + np.uint64(cut)) if cut else g
+            part = ((place >> np.uint64(32)) * count[r].astype(np.uint64)) >> np.uint64(32)
+            if cut:
+                order = np.lexsort((part, r))
+                r, g, part = r[order], g[order], part[order]
+            at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (part[1:] != part[:-1])])
+            filled = np.bincount(r[at], minlength=len(size))
+            need = np.where(used, np.maximum(1, filled - (count - 1 - spare)) if steps <= CODES else 1, 0)
+            used = used & (count - filled > spare)
+            empty = {i: np.setdiff1d(np.arange(count[i]), part[at][r[at] == i].astype(np.int64)) for i in np.flatnonzero(used & (cuts == cut + 1))}
+            yield (kind % CODES) * CUTS + cut, kind, r, g, part, at, need, empty
+            used &= cuts > cut + 1
+
+
+def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of every set's fragments in all its cuts; the lowest bits are the code of class and cut."""
+    rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for code, kind, r, g, part, at, _, empty in cuts_of(row, h, size, t):
+        label = lambda i, p: mix((kind[i].astype(np.uint64) << np.uint64(40)) ^ p.astype(np.uint64))
+        sums = mix(np.add.reduceat(mix(g), at) ^ label(r[at], part[at]))
+        for i, s in [(r[at], sums), *((np.full(len(e), i), label(np.full(len(e), i), e)) for i, e in empty.items())]:
+            rows.append(i)
+            out.append(s & ~np.uint64(CODES * CUTS - 1) | code[i].astype(np.uint64))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def needs(row: np.ndarray, h: np.ndarray, size: np.ndarray, t: Fraction) -> pa.ListArray:
+    """Of every set, for each class and cut, need * CODES * CUTS + code."""
+    rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for code, *_, need, _ in cuts_of(row, h, size, t):
+        rows.append(np.flatnonzero(need))
+        out.append(need[rows[-1]] * (CODES * CUTS) + code[rows[-1]])
+    rows, out = np.concatenate(rows), np.concatenate(out)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=len(size)))], pa.int32()), pa.array(out[np.argsort(rows, kind="stable")]))
 
 
 def parities(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:
@@ -114,13 +166,13 @@ def parities(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]) // 64, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
 
 
-def describe(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, n_shingles, key, b0..b3, bits): a row per row. ``key`` is null for an empty set. The b columns
+def describe(docs: DataFrame, n: int, t: Fraction, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text_hash, n_shingles, key, b0..b3, bits, needs): a row per row. ``key`` is null for an empty set. The b columns
     hold the parities of the n-grams' hashes modulo 256, ``bits`` those modulo a power of two from the set's size
     on: two sets differ in at least as many n-grams as bits."""
     def run(batches):
         for b in batches:
-            ns, keys, bits, wide = [], [], [], []
+            ns, keys, bits, wide, least = [], [], [], [], []
             for _, _, data, at in slices(b.column(2)):
                 row, h = sets(data, at, n)
                 size = np.bincount(row, minlength=len(at) - 1)
@@ -129,13 +181,14 @@ def describe(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") ->
                 keys.append(signed(keys_of(row, h, size)))
                 bits.append(np.packbits(odd.reshape(-1, _BITS).astype(np.uint8), axis=1).view(np.int64))
                 wide.append(parities(row, h, size))
+                least.append(needs(row, h, size, t))
             size, bits = np.concatenate(ns or [np.zeros(0, np.int64)]), np.concatenate(bits or [np.zeros((0, 4), np.int64)])
             keys = pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]), mask=size == 0)
-            wide = pa.concat_arrays(wide) if wide else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), keys, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), wide], names=[id, "text_hash", "n_shingles", "key", "b0", "b1", "b2", "b3", "bits"])
+            wide, least = (pa.concat_arrays(x) if x else pa.array([], pa.list_(pa.int64())) for x in (wide, least))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), keys, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), wide, least], names=[id, "text_hash", "n_shingles", "key", "b0", "b1", "b2", "b3", "bits", "needs"])
 
     rows = docs.select(F.col(id), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"`{id}` {rows.schema[0].dataType.simpleString()}, text_hash bigint, n_shingles bigint, key bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, bits array<bigint>")
+    return rows.mapInArrow(run, f"`{id}` {rows.schema[0].dataType.simpleString()}, text_hash bigint, n_shingles bigint, key bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, bits array<bigint>, needs array<bigint>")
 
 
 def shared_fragments(docs: DataFrame, n: int, t: Fraction, rows: int, text: str = "text") -> DataFrame:
@@ -150,6 +203,21 @@ def shared_fragments(docs: DataFrame, n: int, t: Fraction, rows: int, text: str
     return shared(docs.select(text), produce, max(8, rows // GROUP_DOCS)).select("sig", "key")
 
 
+def telling(common: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, key): ``common`` without what many share and no pair needs.
+
+    Similar sets agree on at least the larger of their needs in one cut. If each leaves out one fragment less than its
+    own need, those most held first, the one of the agreeing fragments that fewest hold stays with both. A passage that
+    stands in many unlike texts makes no pairs then, and a set that shares fewer fragments than its need goes.
+    """
+    held = materialize(common.join(common.groupBy("sig").agg(F.count("*").alias("held")), "sig"))
+    need = classes.select("key", F.explode("needs").alias("need")).select("key", (F.col("need") % (CODES * CUTS)).alias("code"), F.floor(F.col("need") / (CODES * CUTS)).alias("need"))
+    coded = held.withColumn("code", F.col("sig").bitwiseAND(F.lit(CODES * CUTS - 1)))
+    nth = F.row_number().over(Window.partitionBy("key", "code").orderBy(F.desc("held"), F.desc("sig")))
+    left = materialize(coded.withColumn("nth", nth).join(need, ["key", "code"]).filter("nth >= need").select("sig", "key"))
+    return left.join(left.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "sig", "left_semi")
+
+
 def near_enough(a: str, b: str, t: Fraction) -> Column:
     """Bounds that every pair of similarity ``t`` keeps: sizes, and differing parity bits."""
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
@@ -209,10 +277,10 @@ def link(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id:
     other id is there. Repeated rows share a component. Other columns are ignored; an empty table gives no rows.
     """
     t = Fraction(similarity)
-    every = materialize(describe(docs, n, id, text))
+    every = materialize(describe(docs, n, t, id, text))
     known = every.filter("key is not null")
-    classes = materialize(known.groupBy("key").agg(F.min(id).alias("least"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "b2", "b3", "bits"))))
-    common = materialize(shared_fragments(docs, n, t, every.count(), text))
+    classes = materialize(known.groupBy("key").agg(F.min(id).alias("least"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "b2", "b3", "bits", "needs"))))
+    common = materialize(telling(materialize(shared_fragments(docs, n, t, every.count(), text)), classes))
     # a class's weight: how many classes share its fragments
     weighed = common.join(common.groupBy("sig").agg(F.count("*").alias("held")), "sig")
     weight = materialize(weighed.groupBy("key").agg(F.sum("held").alias("weight")))

@@ -122,3 +122,55 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_vertical_join(spark, path).collect()}
     assert got == brute(rows, 3, Fraction(9, 10))
+
+
+def test_unlike_sets_share_no_empty_fragments():
+    # the smallest sets that may have a partner of the next size class leave the most fragments empty
+    rng = np.random.default_rng(2)
+    for size in (188, 268, 382):
+        h = np.sort(rng.integers(0, 1 << 63, (200, size)).astype(np.uint64) * np.uint64(2), axis=1).ravel()
+        _, s = J.signatures(np.repeat(np.arange(200), size), h, np.full(200, size), Fraction(4, 5))
+        assert len(np.unique(s)) == len(s)
+
+
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_similar_sets_agree_as_often_as_either_needs(t):
+    rng = np.random.default_rng(7)
+    low = J.CODES * J.CUTS
+    for size in [1, 2, 4, 6, 9, 17, 40, 90, 188, 233, 268, 382, 700]:
+        for _ in range(12):
+            a = rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
+            apart = int(J.most_apart(2 * size, t))
+            gone = rng.integers(0, apart + 1)
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, apart - gone).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            if not len(b) or len(np.intersect1d(a, b)) * t.denominator < len(np.union1d(a, b)) * t.numerator:
+                continue
+            of = [(np.zeros(len(x), int), x, np.array([len(x)]), t) for x in (a, b)]
+            sig = [set(J.signatures(*x)[1].tolist()) for x in of]
+            need = [{v % low: v // low for v in J.needs(*x)[0].as_py()} for x in of]
+            codes = [s % low for s in sig[0] & sig[1]]
+            assert any(codes.count(c) >= max(need[0][c], need[1][c]) for c in codes)
+
+
+def test_a_passage_in_unlike_texts_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(60))
+    texts = [passage + " " + " ".join(word() for _ in range(rng.randrange(185, 330))) for _ in range(500)]
+    texts += [x + " " + word() for x in texts[:40]]
+    rows = list(enumerate(texts))
+    pairs, write = [], J.materialize
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    # no pair is excluded by its bits, as with long texts
+    monkeypatch.setattr(J, "near_enough", lambda a, b, t: J.F.lit(True))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows, 5, Fraction(4, 5))
+    assert max(pairs) < 2 * len(rows)
