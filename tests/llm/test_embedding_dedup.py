@@ -83,3 +83,33 @@ def test_an_audit_looks_until_it_has_seen_enough(spark, monkeypatch):
     recall, true = E.audit(heads, none, 0.45)
     assert recall == 0.0 and {(r.v, r.u) for r in true.collect()} == {(0, 1), (1, 0), (2, 3), (3, 2)}
     assert E.audit(heads, true, 0.45)[0] == 1.0
+
+
+def test_rare_edges_do_not_take_a_pass_for_every_draw(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 40))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in (0, 2, 4):
+        x[k + 1] = x[k] + 0.4 * x[k + 1]
+    rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))]
+    monkeypatch.setattr(E, "AUDITED", 4)
+    passes, scan = [], E.true_edges
+    monkeypatch.setattr(E, "true_edges", lambda *a: passes.append(1) or scan(*a))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    assert got == brute(rows) and sum(n for n, *_ in got.values()) == 6
+    assert len(passes) <= 2
+
+
+def test_blocks_compare_every_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = [*rng.standard_normal((150, 64)), *rng.standard_normal((40, 10))]
+    x[:60] = [v + 0.35 * rng.standard_normal(64) for v in x[60:120]]
+    x = [v / np.linalg.norm(v) for v in x]
+    far = np.where(rng.random(len(x)) < 0.2, 0.2 * rng.random(len(x)), 0.0)
+    heads = spark.createDataFrame([(k, v.tolist(), float(r)) for k, (v, r) in enumerate(zip(x, far))], "leader long, x array<double>, radius double").repartition(3)
+    want = sorted((i, j) for i in range(len(x)) for j in range(len(x)) if i != j and len(x[i]) == len(x[j]) and np.arccos(np.clip(x[i] @ x[j], -1, 1)) <= 0.45 + far[i] + far[j])
+    for most in (30, 1 << 16):
+        monkeypatch.setattr(E, "ASKED", most)
+        assert sorted((r.v, r.u) for r in E.every_edge(heads, 0.45).collect()) == want and len(want) > 60
+    few = sorted((r.v, r.u) for r in E.true_edges(heads, heads.filter("leader < 20"), 0.45).collect())
+    assert few == [e for e in want if e[0] < 20]
